@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup, quality
-from .common import table
+from . import bpe, ctw, decontaminate, langid, mainhtml, neardup, quality, sstable, tokencounts, toxicity
+from .common import fold, table
 
 
 def public_vocabulary(name: str) -> str:
@@ -14,6 +15,11 @@ def public_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,21 +32,49 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"), fold("doc_id", 3) != 1)
+    return found.select("doc_id", (~F.col("trained")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_bpe, op6_near_duplicates)}
+def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ctw.scores(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return found.withColumn("held_out", ~F.col("train")).drop("train")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.counted(table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.round_trip(table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"))
+
+
+_ALL = (
+    op1_toxicity, op2_decontamination, op3_quality_rules, op4_bpe, op5_language_id,
+    op6_near_duplicates, op7_context_tree_weighting, op8_token_counts, op9_main_text, op10_sorted_string_tables,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 ORACLE = {
-    "op2_decontamination": r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w FROM benchmark),
+    "op2_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} w FROM documents), b AS (SELECT item_id, {_WORDS} w FROM benchmark),
 bi AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) k, array_to_string(w[i:i + 9], ' ') s FROM bi),
 ks AS (SELECT DISTINCT k FROM win),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) i FROM d),
-occ AS (SELECT DISTINCT dp.doc_id, dp.i, ks.k, win.item_id FROM dp, ks JOIN win USING (k) WHERE dp.i + ks.k - 1 <= len(dp.w) AND array_to_string(dp.w[dp.i:dp.i + ks.k - 1], ' ') = win.s),
+dp AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) i, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) s FROM d, ks WHERE len(w) >= k),
+occ AS (SELECT DISTINCT doc_id, i, k, item_id FROM dp JOIN win USING (k, s)),
 pos AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) p FROM occ) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) item FROM occ) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated

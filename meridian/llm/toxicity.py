@@ -160,7 +160,7 @@ def _counted(rows: DataFrame, cost, keep=None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "feature string, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
 
 
-def fit(labelled: DataFrame, cost, max_labelled: int = MAX_LABELLED) -> tuple[dict[str, int], np.ndarray, float]:
+def fit(labelled: DataFrame, cost) -> tuple[dict[str, int], np.ndarray, float]:
     """(features, weights, bias) from labelled rows (text, toxic)."""
     spark = labelled.sparkSession
     labelled = written(labelled, "labelled")
@@ -214,13 +214,11 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, keep: Column, max_labelled
     return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("text", "toxic")
 
 
-def scores(docs: DataFrame, labels: DataFrame, keep: Column, max_labelled: int = MAX_LABELLED, learn_from: DataFrame | None = None) -> DataFrame:
-    """doc_id, score of every row of docs. keep: which label rows (doc_id) may be learnt from."""
+def scores(docs: DataFrame, labels: DataFrame, keep: Column, max_labelled: int = MAX_LABELLED, carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns in carry and the score of every row of docs. keep: which label rows (doc_id) may be learnt from."""
     spark = docs.sparkSession
-    learn_from = docs if learn_from is None else learn_from
-    cost = spark.sparkContext.broadcast(character_model(trigrams(learn_from)))
-    feats, w, b = fit(labelled_rows(learn_from, labels, keep, max_labelled), cost, max_labelled)
-    model = spark.sparkContext.broadcast((feats, w, b))
+    cost = spark.sparkContext.broadcast(character_model(trigrams(docs)))
+    model = spark.sparkContext.broadcast(fit(labelled_rows(docs, labels, keep, max_labelled), cost))
 
     def run(batches):
         feats, w, b = model.value
@@ -228,7 +226,8 @@ def scores(docs: DataFrame, labels: DataFrame, keep: Column, max_labelled: int =
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
-                z = np.array([b + w[fs].sum() if fs else b for fs in _document_features(part.column("text").to_pylist(), restorer, known)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
+                z = np.array([b + w[fs].sum() if fs else b for fs in _document_features(part.column("_text").to_pylist(), restorer, known)])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*carry, name])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, `{name}` double")
