@@ -1,0 +1,4 @@
+"""The registered queries of the catalogue engine."""
+
+from . import curves, groups, joins, scalars  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
