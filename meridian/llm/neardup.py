@@ -8,8 +8,8 @@ probability under 1e-6.
 
 Work is done on classes of equal shingle sets. In each bucket of entries, members are compared with the bucket's
 leader, which links most of a group of copies with as many comparisons as it has members; buckets whose members
-are then in one component are done. What is left is compared in full, between components only, after removing
-texts too few of whose shingles any other member shares. No link between different sets is lost by that.
+are then in one component are done. Texts of the buckets that are left are compared in full, between components only,
+where the rarest shingles that a partner would have to share meet. No link between different sets is lost by that.
 
 Null and empty texts have no shingles and are linked with nothing. Fewer words than a shingle make one shingle.
 Rows that repeat a doc_id with the same text get the same result. An empty table gives an empty result.
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .bytescan import Words, chunks, mix
 from .common import written
@@ -108,16 +109,20 @@ def _open(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return e.join(split, "key")
 
 
-def _shared(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Entries without the texts that are too rare: a partner would have to share `percent` of the shingles."""
-    mine = sets.join(entries.select("rep").distinct(), "rep", "left_semi").select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
-    often = mine.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("h")
-    keep = mine.join(often, "h").groupBy("rep").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("known")).filter(100 * F.col("known") >= percent * F.col("n"))
-    return entries.join(keep.select("rep"), "rep", "left_semi")
+def _prefix_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) from different components that can be similar enough.
 
-
-def _errors():
-    return F.size(F.filter(F.arrays_zip("x", "y"), lambda p: p["x"] != p["y"]))
+    Shingles are ordered by how few of the texts hold them. Of n shingles, the first n - ceil(0.85 n) + 1 must hold
+    one that the partner's first ones hold too; a shingle of one text alone takes a place there and meets nothing.
+    """
+    comp = entries.select("rep", "comp").distinct()
+    mine = sets.join(comp, "rep").select("rep", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    often = mine.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    ranked = mine.join(often, "h").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("df", "h")))
+    first = written(ranked.filter((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("h", "rep", "comp", "n"), "prefixes")
+    one, two = (first.select("h", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return one.join(two, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
 
 
 def links(docs: DataFrame, signed: DataFrame, percent: int = 85, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -141,11 +146,7 @@ def links(docs: DataFrame, signed: DataFrame, percent: int = 85, k: int = 5) ->
         rows = written(_open(led.filter("rep <> leader").drop("leader", "comp"), roots), "open")
         if rows.isEmpty():
             return classes.select("class", "rep"), roots
-    rest = written(_open(_shared(rows.drop("comp"), sets, percent), roots), "rest")
-    if rest.isEmpty():
-        return classes.select("class", "rep"), roots
-    one, two = rest.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    pairs = one.join(two, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
+    pairs = _prefix_pairs(rows, sets, percent)
     found = written(found.union(_confirmed(pairs, sets, percent)), "links")
     return classes.select("class", "rep"), components(found)
 
