@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .bytescan import Words, chunks
 from .common import written
 
-DEPTH = 5
+DEPTH = 4
 BLOCK_BYTES = 32 << 20
 END = np.int64(0x7E57E2D0C0FFEE11)
 
