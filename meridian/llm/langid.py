@@ -29,10 +29,10 @@ def _grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c = codes("\n\n".join(["", *(t or "" for t in texts), ""]))[1:-1]  # one boundary before, one after each
     row = np.repeat(np.arange(len(texts)), lens)
     letters = np.bincount(row[c > 0], minlength=len(texts))
-    keep = np.r_[True, (c[1:] > 0) | (c[:-1] > 0)]
+    keep = (c > 0) | (np.r_[1, c][: len(c)] > 0)
     c, row = c[keep].astype(np.int64), row[keep]
-    before = np.r_[0, c[:-1]]
-    before2 = np.r_[0, 0, c[:-2]]
+    before = np.r_[0, c][: len(c)]
+    before2 = np.r_[0, 0, c][: len(c)]
     before2[before == 0] = 0  # nothing is seen across a boundary
     use = (c > 0) | (before > 0)
     return ((before2 << 12) + (before << 6) + c)[use], row[use], letters

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 from .bpe import Memory
 
 #: str.split takes these for white space, the vocabulary doesn't.
 CONTROL = re.compile("[\x1c-\x1f]")
+#: Texts of Latin letters that the vocabulary's normaliser only lower-cases, and the pieces it then takes apart.
+PLAIN = re.compile("[\x00-\x84\x86-\x9f\xa1-\u012f\u0131-\u017e]*")
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
 class WordEncoder:
@@ -35,7 +40,9 @@ class WordEncoder:
         if CONTROL.search(text):
             return self._ids(text)
         word = self.word
-        return b"".join([word[w] for w in text.split()])
+        if "<|" in text or not (text.isascii() or PLAIN.fullmatch(text)):
+            return b"".join([word[w] for w in text.split()])
+        return b"".join([word[w] for w in (ASCII_PIECE if text.isascii() else PIECE).findall(text.lower())])
 
 
 @lru_cache(2)
