@@ -52,7 +52,7 @@ def counts(docs: DataFrame) -> DataFrame:
                     acc += np.bincount(_grams(mine[i : i + ROWS])[0], minlength=SIZE**3)
         for lang, acc in total.items():
             at = np.flatnonzero(acc)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(acc[at])], ["lang", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(acc[at])], ["lang", "code", "n"])
 
     return docs.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
