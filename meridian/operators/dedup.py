@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,14 @@ def neighbour_count(df: DataFrame, id_col: str, radius: float, include_self: boo
     return n.select(id_col, (F.col("n") - (0 if include_self else 1)).alias("n_neighbours"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut by a checkpoint in the folder that the cluster names."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     """One component: earlier rows claim later ones unless they are claimed themselves."""
     order = sorted(set(zip(pdf.rank_i, pdf.i)) | set(zip(pdf.rank_j, pdf.j)))
@@ -52,12 +62,16 @@ def merge_bands(df: DataFrame, id_col: str, rank: str, radius: float, on: tuple
     b = df.select(F.col(id_col).alias("j"), F.col(rank).alias("rank_j"), *on, F.col("ra").alias("ra2"), F.col("dec").alias("dec2"))
     later = (F.col("rank_i") < F.col("rank_j")) | ((F.col("rank_i") == F.col("rank_j")) & (F.col("i") < F.col("j")))
     pairs = radius_join(a, b, radius, on=on).filter(later).select("i", "rank_i", "j", "rank_j")
-    group = pairs.select(F.col("i").alias("u"), F.col("j").alias("v"))
-    for _ in range(4):  # min-label steps; chains over 16 radii long would need more
-        both = group.union(group.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        group = both.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-    root = group.groupBy("u").agg(F.min("v").alias("root"))
+    pairs = _kept(pairs)
+    edges = pairs.select(F.col("i").alias("u"), F.col("j").alias("v")).union(pairs.select(F.col("j").alias("u"), F.col("i").alias("v")))
+    root, mark = edges.select("u", F.col("u").alias("root")).distinct(), None
+    while True:  # groups span a few radii, so a few steps settle them
+        seen = edges.join(root.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("root").alias("m"))
+        root = _kept(root.join(seen, "u").select("u", F.least("root", "m").alias("root")))
+        now = root.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
+        if now == mark:
+            break
+        mark = now
     settled = pairs.join(root, F.col("i") == F.col("u")).groupBy("root").applyInPandas(_greedy, "member long, owner long")
     alone = df.select(F.col(id_col).cast("long").alias("member")).join(settled.select("member"), "member", "left_anti")
     return settled.union(alone.select("member", F.col("member").alias("owner")))
