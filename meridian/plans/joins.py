@@ -281,7 +281,7 @@ def healpix_cell(t):
     return t.pos.select("k", healpix_nested(c("ra"), c("dec"), 5).alias("pixel"))
 
 
-@query("SELECT src_id, round((degrees(atan2(sin(radians(a.ra)) + sin(radians(b.ra)), cos(radians(a.ra)) + cos(radians(b.ra)))) + 360) % 360, 6) AS ra, round((a.dec + b.dec) / 2, 6) AS dec FROM cat_a a JOIN cat_b b ON a.k = b.obj_id")
+@query("SELECT src_id, round((degrees(atan2(sin(radians(a.ra)) + sin(radians(b.ra)), cos(radians(a.ra)) + cos(radians(b.ra)))) + 360) % 360, 8) AS ra, round((a.dec + b.dec) / 2, 8) AS dec FROM cat_a a JOIN cat_b b ON a.k = b.obj_id")
 def mean_position(t):
     b = t.cat_b.select(c("obj_id").alias("k"), c("ra").alias("ra2"), c("dec").alias("dec2"))
-    return t.cat_a.join(b, "k").select("src_id", F.round(mean_ra(c("ra"), c("ra2")), 6).alias("ra"), F.round((c("dec") + c("dec2")) / 2, 6).alias("dec"))
+    return t.cat_a.join(b, "k").select("src_id", F.round(mean_ra(c("ra"), c("ra2")), 8).alias("ra"), F.round((c("dec") + c("dec2")) / 2, 8).alias("dec"))
