@@ -110,19 +110,24 @@ def _open(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _prefix_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) from different components that can be similar enough.
+    """Pairs (a, b) from different components that can be similar enough; a is the smaller set.
 
-    Shingles are ordered by how few of the texts hold them. Of n shingles, the first n - ceil(0.85 n) + 1 must hold
-    one that the partner's first ones hold too; a shingle of one text alone takes a place there and meets nothing.
+    Shingles are ordered by how few of the texts hold them; one of a single text takes a place and meets nothing.
+    Sets of na <= nb shingles must share at least `need` = ceil(t / (1 + t) (na + nb)) of them, so the first one they
+    share stands within the first na - need + 1 of the one and nb - need + 1 of the other. As nb >= na, the smaller
+    enters only n - ceil(2t / (1 + t) n) + 1 shingles, the larger n - ceil(t n) + 1.
     """
     comp = entries.select("rep", "comp").distinct()
     mine = sets.join(comp, "rep").select("rep", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
     often = mine.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     ranked = mine.join(often, "h").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("df", "h")))
-    first = written(ranked.filter((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("h", "rep", "comp", "n"), "prefixes")
-    one, two = (first.select("h", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return one.join(two, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
+    first = written(ranked.filter((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("h", "rep", "comp", "n", "i"), "prefixes")
+    one, two = (first.select("h", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}")) for x in "ab")
+    one = one.filter(F.col("ia") <= F.col("na") - F.ceil(F.col("na") * 2 * percent / (100 + percent)) + 1)
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    alike = (F.col("ia") <= F.col("na") - need + 1) & (F.col("ib") <= F.col("nb") - need + 1)
+    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    return one.join(two, "h").filter(order & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
 
 
 def links(docs: DataFrame, signed: DataFrame, percent: int = 85, k: int = 5) -> tuple[DataFrame, DataFrame]:
