@@ -50,3 +50,55 @@ def big_differences(df: DataFrame, bounds: DataFrame) -> DataFrame:
     t = (F.col("mag") - lo) / step - F.col("_i")
     j = j.withColumn("low", F.col("l1") + t * (F.coalesce("l2", "l1") - F.col("l1"))).withColumn("high", F.col("h1") + t * (F.coalesce("h2", "h1") - F.col("h1")))
     return j.withColumn("big", F.coalesce((F.col("dmag") < F.col("low")) | (F.col("dmag") > F.col("high")), F.lit(False))).drop("_i", "_b1", "_c1", "_b2", "_c2", "l1", "h1", "l2", "h2")
+
+
+GRID = ((11.0, 25.0), (-5.0, 5.0), 100)
+#: Deviations beyond which a row adds less than 1e-13 of its peak to a grid point and is left out there.
+REACH = 8.0
+
+
+def kde2d_grid(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, i, j, x, y, density): Gaussian kernel density of (mag, dmag) on a fixed grid, Scott bandwidth.
+
+    A row goes to the grid points within REACH bandwidths; sums are combined per task, so a grid per group is
+    shuffled. Groups of fewer than two rows, or on one line, give nothing.
+    """
+    (x0, x1), (y0, y1), n = GRID
+    dx, dy = (x1 - x0) / (n - 1), (y1 - y0) / (n - 1)
+    s = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.var_samp("mag").alias("_xx"), F.var_samp("dmag").alias("_yy"), F.covar_samp("mag", "dmag").alias("_xy"))
+    f2 = F.pow(F.col("_n").cast("double"), -1.0 / 3.0)
+    s = s.select(*by, "_n", *[(F.col(v) * f2).alias(v) for v in ("_xx", "_yy", "_xy")]).withColumn("_det", F.col("_xx") * F.col("_yy") - F.col("_xy") * F.col("_xy")).filter("_det > 0")
+    d = df.select(*by, "mag", "dmag").join(s, by)
+    for axis, v, var, low, step in (("i", "mag", "_xx", x0, dx), ("j", "dmag", "_yy", y0, dy)):
+        first = F.greatest(F.ceil((F.col(v) - REACH * F.sqrt(var) - low) / step), F.lit(0))
+        last = F.least(F.floor((F.col(v) + REACH * F.sqrt(var) - low) / step), F.lit(n - 1))
+        d = d.withColumn(axis, F.explode(F.when(first <= last, F.sequence(first, last))))
+    u, v = x0 + F.col("i") * dx - F.col("mag"), y0 + F.col("j") * dy - F.col("dmag")
+    q = (F.col("_yy") * u * u - 2 * F.col("_xy") * u * v + F.col("_xx") * v * v) / F.col("_det")
+    g = d.groupBy(*by, "i", "j").agg(F.sum(F.exp(-0.5 * q) / (F.col("_n") * 2 * math.pi * F.sqrt("_det"))).alias("density"))
+    return g.select(*by, "i", "j", (x0 + F.col("i") * dx).alias("x"), (y0 + F.col("j") * dy).alias("y"), "density")
+
+
+def hdr_level(grid: DataFrame, by: list[str], mass: float = 0.9973) -> DataFrame:
+    """(by, level): the density down to which the densest grid points hold that share of the grid's sum."""
+    w = Window.partitionBy(*by).orderBy(F.desc("density"))
+    run = F.sum("density").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    g = grid.withColumn("_c", run / F.sum("density").over(Window.partitionBy(*by)))
+    return g.filter(F.col("_c") >= mass).groupBy(*by).agg(F.max("density").alias("level"))
+
+
+def kde_filter(df: DataFrame, grid: DataFrame, level: DataFrame, by: list[str]) -> DataFrame:
+    """df with score (bilinear density at mag, dmag; NULL outside the grid) and kept (score below the level)."""
+    (x0, x1), (y0, y1), n = GRID
+    at = {"i": ((F.col("mag") - x0) * (n - 1) / (x1 - x0)), "j": ((F.col("dmag") - y0) * (n - 1) / (y1 - y0))}
+    out = df.withColumns({f"_{a}": F.floor(p) for a, p in at.items()} | {f"_t{a}": p - F.floor(p) for a, p in at.items()})
+    for a in (0, 1):
+        for b in (0, 1):
+            corner = F.broadcast(grid.select(*by, (F.col("i") - a).alias("_i"), (F.col("j") - b).alias("_j"), F.col("density").alias(f"_p{a}{b}")))  # n * n rows a group
+            out = out.join(corner, [*by, "_i", "_j"], "left")
+    ti, tj = F.col("_ti"), F.col("_tj")
+    p = {k: F.coalesce(f"_p{k}", F.lit(0.0)) for k in ("00", "01", "10", "11")}
+    value = (1 - ti) * ((1 - tj) * p["00"] + tj * p["01"]) + ti * ((1 - tj) * p["10"] + tj * p["11"])
+    inside = F.col("mag").between(x0, x1) & F.col("dmag").between(y0, y1)
+    out = out.withColumn("score", F.when(inside, value)).join(F.broadcast(level), by, "left")
+    return out.withColumn("kept", F.coalesce(F.col("score") < F.col("level"), F.lit(False))).drop("_i", "_j", "_ti", "_tj", *[f"_p{k}" for k in p], "level")
