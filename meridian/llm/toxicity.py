@@ -40,6 +40,7 @@ SPACED_OUT = re.compile(rf"(?<![^\W_]){_LETTER}(?:[ .\-_*]{_LETTER}(?![^\W_])){{
 SIGNED = re.compile(rf"(?<!\S)(?:[\"'(\[]?)((?:{_LETTER}|{_SIGN}|\*)*?(?:{_LETTER}{_SIGN}{{1,2}}|{_SIGN}{{1,2}}{_LETTER})(?:{_LETTER}|{_SIGN}|\*)*)")
 REPEATED = re.compile(rf"{_LETTER}*({_LETTER})\1\1{_LETTER}*")
 ANY_SIGN = re.compile(_SIGN)
+THRICE = re.compile(r"(.)\1\1")
 WORD = re.compile(rf"{_LETTER}+")
 PREFIXES = range(3, 8)
 
@@ -115,31 +116,40 @@ class Restorer:
         self.span = Memory(lambda s: restore(s, cost), 100_000)
 
     def __call__(self, text: str) -> str:
-        low = text.lower()
-        low = SPACED_OUT.sub(lambda m: self.span[m[0]], low)
+        low = self.joined(text)
         if ANY_SIGN.search(low):
             low = SIGNED.sub(lambda m: m[0][: m.start(1) - m.start()] + self.span[m[1]], low)
         return REPEATED.sub(lambda m: self.span[m[0]], low)
 
+    def joined(self, text: str) -> str:
+        """Lower-cased, with letters set apart restored: the one error that crosses white space."""
+        return SPACED_OUT.sub(lambda m: self.span[m[0]], text.lower())
+
+    def words(self, token: str) -> list[str]:
+        """The restored words of what stands between white space."""
+        if ANY_SIGN.search(token):
+            token = SIGNED.sub(lambda m: m[0][: m.start(1) - m.start()] + self.span[m[1]], token)
+        return [self.span[w] if THRICE.search(w) else w for w in WORD.findall(token)]
+
 
 def word_features(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
 
 
-def _known(keep=None) -> Memory:
-    """The features of a word, of those in keep."""
+def _known(restorer: Restorer, keep=None) -> Memory:
+    """The features, of those in keep, of what stands between white space."""
     if keep is None:
-        return Memory(word_features, 200_000)
-    return Memory(lambda w: [keep[f] for f in word_features(w) if f in keep], 600_000)
+        return Memory(lambda t: [f for w in restorer.words(t) for f in word_features(w)], 200_000)
+    return Memory(lambda t: [keep[f] for w in restorer.words(t) for f in word_features(w) if f in keep] or None, 600_000)
 
 
 def _document_features(texts, restorer, known) -> list[list]:
-    """The distinct features of each text."""
+    """The distinct features of each text. All errors but spacing stay between white space, so tokens are remembered."""
     out = []
     for t in texts:
         found: set = set()
-        for w in set(WORD.findall(restorer(t or ""))):
-            if fs := known[w]:
+        for token in set(restorer.joined(t or "").split()):
+            if fs := known[token]:
                 found.update(fs)
         out.append(list(found))
     return out
@@ -148,7 +158,8 @@ def _document_features(texts, restorer, known) -> list[list]:
 def _counted(rows: DataFrame, cost, keep=None) -> DataFrame:
     """(feature, docs): in how many of rows a feature occurs."""
     def run(batches):
-        restorer, known, n = Restorer(cost.value), _known(keep and keep.value), Counter()
+        restorer, n = Restorer(cost.value), Counter()
+        known = _known(restorer, keep and keep.value)
         for batch in batches:
             for fs in _document_features(batch.column("text").to_pylist(), restorer, known):
                 n.update(fs)
@@ -179,7 +190,8 @@ def fit(labelled: DataFrame, cost) -> tuple[dict[str, int], np.ndarray, float]:
     held = spark.sparkContext.broadcast(keep)
 
     def run(batches):
-        restorer, known = Restorer(cost.value), _known(held.value)
+        restorer = Restorer(cost.value)
+        known = _known(restorer, held.value)
         for batch in batches:
             fs = _document_features(batch.column("text").to_pylist(), restorer, known)
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(fs, pa.list_(pa.int32()))], ["toxic", "found"])
@@ -222,7 +234,8 @@ def scores(docs: DataFrame, labels: DataFrame, keep: Column, max_labelled: int =
 
     def run(batches):
         feats, w, b = model.value
-        restorer, known = Restorer(cost.value), _known(feats)
+        restorer = Restorer(cost.value)
+        known = _known(restorer, feats)
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
