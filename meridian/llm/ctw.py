@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import Words, chunks
+from .bytescan import Words, chunks, mix
 from .common import written
 
 DEPTH = 4
@@ -62,10 +62,11 @@ class _Tally:
         self.keys, self.n, self.size = [], [], 0
 
     def add(self, keys: np.ndarray, train: np.ndarray) -> None:
-        k, inv = np.unique(keys, return_inverse=True)
-        self.keys.append(k)
-        self.n.append(np.bincount(inv, train, len(k)).astype(np.int64))
-        self.size += len(k)
+        for part, counts in ((keys[train], True), (keys[~train], False)):
+            k, n = np.unique(part, return_counts=True)
+            self.keys.append(k)
+            self.n.append(n if counts else np.zeros(len(k), np.int64))
+            self.size += len(k)
         if self.size > 4_000_000:
             self.fold()
 
@@ -96,7 +97,7 @@ def _ask(batches, depth):
             mine = tallies.setdefault(int(b), (_Tally(), _Tally()))
             at = np.flatnonzero(blocks == b)
             for lo, buf, offs in chunks(batch.column("text").take(pa.array(at))):
-                t = train[at[lo : lo + len(offs) - 1]].astype(float)
+                t = train[at[lo : lo + len(offs) - 1]]
                 w = Words(buf, offs)
                 mine[0].add(np.r_[w.hash.view(np.int64), np.full(len(t), END)], np.r_[t[w.row], t])
                 if len(buf):
@@ -166,23 +167,44 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return all_.groupBy("key").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("value"))
 
 
+class _Lookup:
+    """Values by distinct keys. Only keys that it holds may be asked for."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        mixed = mix(keys.view(np.uint64))
+        order = np.argsort(mixed)
+        self.mixed, self.values = mixed[order], values[order]
+        bits = max(len(keys), 1).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(self.mixed, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        mixed = mix(keys.view(np.uint64))
+        at = self.start[mixed >> self.shift]
+        late = np.flatnonzero(self.mixed[at] != mixed)
+        while len(late):
+            at[late] += 1
+            late = late[self.mixed[at[late]] != mixed[late]]
+        return self.values[at]
+
+
 def _score(docs: pa.Table, values: pa.Table, depth: int, total: int, kinds: int) -> pa.Table:
     word = values.column("word").to_numpy()
     key, value = values.column("key").to_numpy(), values.column("value").to_numpy()
     look = []
     for side in (word, ~word):
         k, first = np.unique(key[side], return_index=True)
-        look.append((k, value[side][first]))
+        look.append(_Lookup(k, value[side][first]))
     rows = []
     for lo, buf, offs in chunks(docs.column("text")):
         w, n = Words(buf, offs), len(offs) - 1
-        c = look[0][1][np.searchsorted(look[0][0], np.r_[w.hash.view(np.int64), np.full(n, END)])]
+        c = look[0](np.r_[w.hash.view(np.int64), np.full(n, END)])
         row = np.r_[w.row, np.arange(n)]
         known = np.bincount(row, c > 0, n).astype(np.int64)
         base = np.bincount(row, np.log10((c + 1) / (total + kinds + 1)), n)
         score = np.zeros(n)
         if len(buf):
-            g = look[1][1][np.searchsorted(look[1][0], grams(buf, offs, depth))]
+            g = look[1](grams(buf, offs, depth))
             score = np.bincount(np.repeat(np.arange(n), np.diff(offs)), g, n)
         rows.append((w.count + 1, known, base, score, np.diff(offs)))
     cols = [np.concatenate(c) for c in zip(*rows)]
