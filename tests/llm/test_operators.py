@@ -134,3 +134,19 @@ def test_pages_keep_the_article_only():
     assert mainhtml.main_text(page) == "Title & more\n\nFirst part of it.\n\nSecond part of the text, long enough."
     assert mainhtml.main_text(None) == mainhtml.main_text("") == ""
     assert mainhtml.min_cut([(3.0, 0.0), (0.0, 1.0), (0.0, 5.0)], [(0, 1, 2.0), (1, 2, 0.5)]) == [True, True, False]
+
+
+def test_features_of_tokens_are_those_of_whole_texts():
+    cost = np.random.default_rng(1).random((64, 64, 64)).astype(np.float32)
+    restorer = toxicity.Restorer(cost)
+    known = toxicity._known(restorer)
+    for text in ["a1b c.d.e ff", "  (fr33 h-e-l-l-o w0rd\x1cx1y", "goooood!!! l l l", "3e*e ßsİsss", "a\x85b1", "", None]:
+        whole = {f for w in toxicity.WORD.findall(restorer(text or "")) for f in toxicity.word_features(w)}
+        assert set(toxicity._document_features([text], restorer, known)[0]) == whole
+
+
+def test_lookup_by_hash_finds_each_key():
+    keys = np.unique(np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 5000))
+    look = ctw._Lookup(keys, np.arange(len(keys), dtype=float))
+    assert (look(keys[::-1]) == np.arange(len(keys))[::-1]).all()
+    assert len(ctw._Lookup(keys[:0], np.zeros(0))(keys[:0])) == 0
