@@ -5,8 +5,10 @@ node keeps counts of zeros and ones and a Krichevsky-Trofimov estimate, and each
 ones. The model is frozen after training: a text's probability mixes the estimates of all depths of its path by
 their posterior weights, down to the deepest node that training met.
 
-Counting, weighting and mixing are joins and aggregations on nodes. Texts are scored in blocks of BLOCK_BYTES: a
-block asks for the grams and words it holds and gets those values back, so no task ever needs the whole model.
+Weighting and mixing of nodes of up to SHALLOW bytes are joins and aggregations; the deeper nodes below one of SHALLOW
+bytes are in one bucket and are made there, twice, instead of written. Texts are scored in blocks of BLOCK_BYTES: a
+block asks for the grams and words it holds and gets those values back, in packed arrays by bucket, so no task ever
+needs the whole model.
 
 Null and empty texts are one end token with a model score of 0. Without training rows every decision has
 probability 1/2 and no token is known. Repeated rows score alike; an empty table gives an empty result. Words are
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 from .bytescan import Words, chunks, mix
 from .common import written
 
-DEPTH = 4
+DEPTH = 6
+#: Bytes of context up to which nodes are tables; deeper ones are arrays of one of LEAST_BUCKETS buckets, or one per BUCKET_BYTES of texts.
+SHALLOW = 3
+LEAST_BUCKETS, BUCKET_BYTES = 64, 8 << 20
 BLOCK_BYTES = 32 << 20
 END = np.int64(0x7E57E2D0C0FFEE11)
 
@@ -78,16 +83,36 @@ class _Tally:
         return self.keys[0], self.n[0]
 
 
-def _ask(batches, depth):
+def packed(x: np.ndarray) -> bytes:
+    """An array of 8-byte numbers by planes of their bytes, compressed; sorted grams take few bytes each."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int, dtype=np.int64) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, size).T).view(dtype).ravel()
+
+
+PACKED = "block long, bucket long, size long, keys binary, n binary"
+
+
+def _packs(block: int, word: bool, keys: np.ndarray, n: np.ndarray, top: int, buckets: int):
+    """Rows of PACKED from sorted distinct keys: words in buckets below 0, grams by the top bytes before their last."""
+    part = mix((keys if word else (keys >> 8) & _mask(top)).view(np.uint64)) % np.uint64(buckets)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(buckets + 1))
+    for i in np.flatnonzero(np.diff(cut)):
+        at = order[cut[i] : cut[i + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1 - i if word else i], pa.int64()), pa.array([len(at)]), pa.array([packed(keys[at])]), pa.array([packed(n[at])])], ["block", "bucket", "size", "keys", "n"])
+
+
+def _ask(batches, depth, top, buckets):
     tallies: dict[int, tuple[_Tally, _Tally]] = {}
 
     def out(block):
         for word, t in zip((True, False), tallies.pop(block)):
             if t.keys:
-                keys, n = t.fold()
-                for i in range(0, len(keys), 100_000):
-                    k = keys[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(np.full(len(k), word)), pa.array(k), pa.array(n[i : i + 100_000])], ["block", "word", "key", "n"])
+                yield from _packs(block, word, *t.fold(), top, buckets)
 
     for batch in batches:
         blocks, train = batch.column("block").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
@@ -106,65 +131,194 @@ def _ask(batches, depth):
         yield from out(b)
 
 
-def _lgamma(x: Column) -> Column:
+def _lgamma(x, log=np.log):
     """ln gamma of x >= 1/2: Stirling's series at x + 6."""
     y = x + 6
-    down = F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) - down
-
-
-def _bits(counts: DataFrame, depth: int) -> DataFrame:
-    """For each gram its eight decisions: node (context and the byte's bits so far) and the bit."""
-    byte = F.col("key").bitwiseAND(255)
-    ctx = F.shiftright("key", 8)
-    parts = [F.struct((F.shiftleft(ctx, 8) + F.lit(1 << j) + F.shiftright(byte, 8 - j)).alias("node"), F.shiftright(byte, 7 - j).bitwiseAND(1).alias("bit")) for j in range(8)]
-    return counts.select("key", "n", F.explode(F.array(*parts)).alias("d")).select("key", "n", "d.node", "d.bit")
-
-
-def _up(node: Column, depth: int) -> Column:
-    """The node with a context of depth bytes above one of more."""
-    mask = (1 << 8 * depth) - 1
-    return F.shiftleft(F.shiftright(node, 8).bitwiseAND(F.lit(mask).cast("long")), 8) + node.bitwiseAND(255)
-
-
-def trees(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
-    """For each depth from 0: (node, p), the mixed probability of a one if the path ends there."""
+    down = log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) - down
+
+
+def _evidence(n0, n1, log=np.log):
+    """ln of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
+    return _lgamma(n0 + 0.5, log) + _lgamma(n1 + 0.5, log) - _lgamma(n0 + n1 + 1.0, log) - math.log(math.pi)
+
+
+def _mask(depth: int) -> int:
+    return (1 << 8 * depth) - 1
+
+
+def _up(node, depth: int):
+    """The node with a context of depth bytes above one of more: a column or an array."""
+    if isinstance(node, Column):
+        return F.shiftleft(F.shiftright(node, 8).bitwiseAND(F.lit(_mask(depth)).cast("long")), 8) + node.bitwiseAND(255)
+    return (((node >> 8) & _mask(depth)) << 8) | (node & 255)
+
+
+def _nodes(key: np.ndarray, j: int) -> np.ndarray:
+    """Node of a gram's decision j: its context and the byte's first j bits after a one."""
+    return (key >> 8 << 8) | (1 << j) | ((key & 255) >> (8 - j))
+
+
+def _shorter(key: np.ndarray, n: np.ndarray, depth: int, top: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each depth down to top: sorted distinct grams and their counts."""
+    out = {depth: (key, n)}
+    for k in range(depth - 1, top - 1, -1):
+        g, inv = np.unique(out[k + 1][0] & _mask(k + 1), return_inverse=True)
+        out[k] = g, np.bincount(inv, out[k + 1][1], len(g))
+    return out
+
+
+def _tree(short: dict, depth: int, top: int, j: int) -> dict[int, dict[str, np.ndarray]]:
+    """For each depth from top: nodes of decision j, sorted, with counts, weights and the place of each one's parent."""
+    out: dict[int, dict[str, np.ndarray]] = {}
+    for k in range(depth, top - 1, -1):
+        g, n = short[k]
+        all_ = _nodes(g, j)
+        new = np.r_[True, all_[1:] != all_[:-1]]
+        first = np.flatnonzero(new)
+        node = all_[first]
+        n1 = np.add.reduceat(n * ((g >> (7 - j)) & 1), first).astype(float)
+        n0 = np.add.reduceat(n, first) - n1
+        pe = _evidence(n0, n1)
+        pw, w = pe, np.ones(len(node))
+        if k < depth:
+            below = out[k + 1]
+            below["parent"] = np.searchsorted(node, _up(below["node"], k))
+            pw = math.log(0.5) + np.logaddexp(pe, np.bincount(below["parent"], below["pw"], len(node)))
+            w = np.exp(math.log(0.5) + pe - pw)
+        out[k] = {"node": node, "pw": pw, "w": w, "kt": (n1 + 0.5) / (n0 + n1 + 1), "n0": n0, "n1": n1, "at": np.cumsum(new) - 1}
+    return out
+
+
+def _bucket(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys of each row, and the distinct keys of all with their counts."""
+    size, each = t.column("size").to_pylist(), []
+    tally = _Tally()
+    for keys, n, m in zip(t.column("keys"), t.column("n"), size):
+        each.append(unpacked(keys.as_py(), m))
+        tally.keys.append(each[-1])
+        tally.n.append(unpacked(n.as_py(), m))
+    return each, *tally.fold()
+
+
+def _rows(kind: int, bucket: int, node: np.ndarray, *rest: np.ndarray) -> pa.Table:
+    rest = rest or [np.zeros(len(node))] * 5
+    return pa.table([pa.array(np.full(len(node), kind, np.int32)), pa.array(np.full(len(node), bucket)), pa.array(node), *map(pa.array, rest)], names=["kind", "bucket", "node", "pw", "w", "kt", "n0", "n1"])
+
+
+NODES = "kind int, bucket long, node long, pw double, w double, kt double, n0 double, n1 double"
+TREE, MISSED, COUNT = 0, 1, 2
+
+
+def _grown(t: pa.Table, depth: int, top: int) -> pa.Table:
+    """TREE: the nodes at depth top above a bucket's grams, weighted with all deeper ones. MISSED: those that are asked for, but not met in training. COUNT: how many words, and how many different ones, a bucket of words has."""
+    bucket = t.column("bucket")[0].as_py()
+    _, key, n = _bucket(t)
+    if bucket < 0:
+        return _rows(COUNT, bucket, np.zeros(1, np.int64), *np.array([[0.0], [0.0], [0.0], [n.sum()], [(n > 0).sum()]]))
+    out, seen = [], key[n > 0]
+    short = _shorter(seen, n[n > 0], depth, top)
+    want = np.unique(key[n == 0] & _mask(top + 1))
+    for j in range(8):
+        x = _tree(short, depth, top, j)[top] if len(seen) else {"node": seen}
+        if len(seen):
+            out.append(_rows(TREE, bucket, x["node"], *(x[c] for c in ("pw", "w", "kt", "n0", "n1"))))
+        out.append(_rows(MISSED, bucket, np.setdiff1d(_nodes(want, j), x["node"])))
+    return pa.concat_tables(out)
+
+
+VALUED = "block long, word boolean, size long, keys binary, value binary"
+
+
+def _valued(t: pa.Table, mixed: pa.Table, depth: int, top: int) -> pa.Table:
+    """For each row of a bucket, the values of its keys."""
+    each, key, n = _bucket(t)
+    word = t.column("bucket")[0].as_py() < 0
+    value = n.astype(float) if word else _values(key, n, mixed, depth, top)
+    back = [packed(value[np.searchsorted(key, k)]) for k in each]
+    return pa.table([t.column("block"), pa.array([word] * len(t)), t.column("size"), t.column("keys"), pa.array(back, pa.binary())], names=["block", "word", "size", "keys", "value"])
+
+
+def _values(key: np.ndarray, n: np.ndarray, mixed: pa.Table, depth: int, top: int) -> np.ndarray:
+    node, a_, b_ = (mixed.column(c).to_numpy() for c in ("node", "a", "b"))
+    order = np.argsort(node)
+    node, a_, b_ = node[order], a_[order], b_[order]
+    seen, asked = key[n > 0], key[n == 0]
+    short = _shorter(seen, n[n > 0], depth, top)
+    value = np.zeros(len(key))
+    for j in range(8):
+        p = a_[np.searchsorted(node, _nodes(asked & _mask(top + 1), j))]
+        if len(seen):
+            tree = _tree(short, depth, top, j)
+            at = np.searchsorted(node, tree[top]["node"])
+            a, b = a_[at], b_[at]
+            for k in range(top, depth + 1):
+                x = tree[k]
+                if k > top:
+                    a, b = a[x["parent"]], b[x["parent"]]
+                end = a + b * x["kt"]
+                want = _nodes(asked & _mask(k + 1), j)
+                at = np.minimum(np.searchsorted(x["node"], want), len(end) - 1)
+                p = np.where(x["node"][at] == want, end[at], p)
+                a, b = a + b * x["w"] * x["kt"], b * (1 - x["w"])
+            one = end[tree[depth]["at"]]
+            value[n > 0] += np.log10(np.where((seen >> (7 - j)) & 1, one, 1 - one))
+        value[n == 0] += np.log10(np.where((asked >> (7 - j)) & 1, p, 1 - p))
+    return value
+
+
+def _weighted(asked: DataFrame, depth: int, top: int) -> tuple[DataFrame, int, int]:
+    """VALUED for each row of PACKED, and how many words, and different ones, training has.
+
+    Grams with the same `top` bytes before their last are in one bucket, whose deeper nodes are arrays of one task and
+    are never written. Only the nodes of `top` bytes and fewer are tables.
+    """
+    grown = written(asked.groupBy("bucket").applyInArrow(lambda t: _grown(t, depth, top), NODES), "ctw")
+    words = grown.filter(F.col("kind") == COUNT).agg(F.sum("n0").alias("n"), F.sum("n1").alias("v")).first()
+    levels = [grown.filter(F.col("kind") == TREE).drop("kind")]
     half = math.log(0.5)
-    pe = _lgamma(F.col("n0") + 0.5) + _lgamma(F.col("n1") + 0.5) - _lgamma(F.col("n0") + F.col("n1") + 1.0) - math.log(math.pi)
-    kt = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
-    d = _bits(counts.filter("n > 0"), depth)
-    level = d.groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    levels = [written(level.select("node", pe.alias("pw"), F.lit(1.0).alias("w"), kt.alias("kt"), "n0", "n1"), "ctw")]
-    for k in range(depth - 1, -1, -1):
+    for k in range(top - 1, -1, -1):
         level = levels[0].groupBy(_up(F.col("node"), k).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
-        level = level.withColumn("pe", pe)
-        top = F.greatest("pe", "below")
-        pw = half + top + F.log1p(F.exp(F.least("pe", "below") - top))
-        level = level.withColumn("pw", pw)
+        level = level.withColumn("pe", _evidence(F.col("n0"), F.col("n1"), F.log))
+        high = F.greatest("pe", "below")
+        level = level.withColumn("pw", half + high + F.log1p(F.exp(F.least("pe", "below") - high)))
+        kt = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
         levels.insert(0, written(level.select("node", "pw", F.exp(half + F.col("pe") - F.col("pw")).alias("w"), kt.alias("kt"), "n0", "n1"), "ctw"))
-    out = [levels[0].withColumn("a", F.lit(0.0)).withColumn("b", F.lit(1.0))]
-    for k in range(1, depth + 1):
-        above = out[-1].select(F.col("node").alias("_up"), (F.col("a") + F.col("b") * F.col("w") * F.col("kt")).alias("a"), (F.col("b") * (1 - F.col("w"))).alias("b"))
-        out.append(written(levels[k].join(above, _up(F.col("node"), k - 1) == F.col("_up")).drop("_up"), "ctw-mixed"))
-    return [t.select("node", (F.col("a") + F.col("b") * F.col("kt")).alias("p")) for t in out]
+    mixed = [levels[0].withColumn("a", F.lit(0.0)).withColumn("b", F.lit(1.0))]
+    for k in range(1, top + 1):
+        above = mixed[-1].select(F.col("node").alias("_up"), (F.col("a") + F.col("b") * F.col("w") * F.col("kt")).alias("a"), (F.col("b") * (1 - F.col("w"))).alias("b"))
+        mixed.append(written(levels[k].join(above, _up(F.col("node"), k - 1) == F.col("_up")).drop("_up"), "ctw-mixed"))
+    last = mixed[top].select("bucket", "node", "a", "b")
+    open_ = grown.filter(F.col("kind") == MISSED).select("bucket", "node")
+    for k in range(top - 1, -1, -1):
+        ends = mixed[k].select(F.col("node").alias("_n"), (F.col("a") + F.col("b") * F.col("kt")).alias("a"))
+        j = written(open_.join(ends, _up(F.col("node"), k) == F.col("_n"), "left").drop("_n"), "ctw-open")
+        last = last.union(j.filter("a is not null").select("bucket", "node", "a", F.lit(0.0)))
+        open_ = j.filter("a is null").drop("a")
+    last = last.union(open_.select("bucket", "node", F.lit(0.5), F.lit(0.0)))
+    valued = asked.groupBy("bucket").cogroup(last.groupBy("bucket")).applyInArrow(lambda t, m: _valued(t, m, depth, top) if len(t) else VALUED_NONE, VALUED)
+    return valued, int(words.n or 0), int(words.v or 0)
+
+
+VALUED_NONE = pa.table([pa.array([], x) for x in (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())], names=["block", "word", "size", "keys", "value"])
 
 
 def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(key, value): log10 of the probability of a gram's last byte after the others."""
-    tree = trees(counts, depth)
-    open_ = _bits(counts, depth).select("key", "bit", "node")
-    parts = []
-    for k in range(depth, -1, -1):
-        j = open_.join(tree[k].withColumnRenamed("node", "_n"), _up(F.col("node"), k) == F.col("_n"), "left").drop("_n")
-        if k == depth:
-            j = written(j, "ctw-deepest")
-        parts.append(j.filter("p is not null").select("key", "bit", "p"))
-        open_ = j.filter("p is null").drop("p")
-    parts.append(open_.select("key", "bit", F.lit(0.5).alias("p")))
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.union(p)
-    return all_.groupBy("key").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("value"))
+    top = min(depth, SHALLOW)
+
+    def pack(batches):
+        for batch in batches:
+            key, n = batch.column("key").to_numpy(), batch.column("n").to_numpy()
+            order = np.argsort(key)
+            yield from _packs(0, False, key[order], n[order], top, LEAST_BUCKETS)
+
+    def unpack(batches):
+        for batch in batches:
+            for size, keys, value in zip(*(batch.column(c).to_pylist() for c in ("size", "keys", "value"))):
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(keys, size)), pa.array(unpacked(value, size, float))], ["key", "value"])
+
+    return _weighted(written(counts.select("key", "n").mapInArrow(pack, PACKED), "asked"), depth, top)[0].mapInArrow(unpack, "key long, value double")
 
 
 class _Lookup:
@@ -189,12 +343,11 @@ class _Lookup:
 
 
 def _score(docs: pa.Table, values: pa.Table, depth: int, total: int, kinds: int) -> pa.Table:
-    word = values.column("word").to_numpy()
-    key, value = values.column("key").to_numpy(), values.column("value").to_numpy()
     look = []
-    for side in (word, ~word):
-        k, first = np.unique(key[side], return_index=True)
-        look.append(_Lookup(k, value[side][first]))
+    for side in (True, False):
+        rows = [r for r in values.to_pylist() if r["word"] == side]
+        parts = [(unpacked(r["keys"], r["size"]), unpacked(r["value"], r["size"], float)) for r in rows]
+        look.append(_Lookup(*(np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0)), *parts))))
     rows = []
     for lo, buf, offs in chunks(docs.column("text")):
         w, n = Words(buf, offs), len(offs) - 1
@@ -218,11 +371,9 @@ def scores(docs: DataFrame, train: Column, depth: int = DEPTH, block_bytes: int
     """
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     d = written(d.mapInArrow(partial(_blocks, size=block_bytes), "doc_id long, text string, train boolean, block long"), "text-blocks")
-    asked = written(d.select("text", "train", "block").mapInArrow(partial(_ask, depth=depth), "block long, word boolean, key long, n long"), "asked")
-    counts = written(asked.groupBy("word", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counts.filter("word and n > 0").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    grams_ = gram_scores(counts.filter("not word").select("key", "n"), depth)
-    values = counts.filter("word").select("word", "key", F.col("n").cast("double").alias("value")).union(grams_.select(F.lit(False), "key", "value"))
-    back = asked.select("block", "word", "key").join(values, ["word", "key"]).select("block", "word", "key", "value")
-    run = partial(_score, depth=depth, total=int(words.n or 0), kinds=int(words.v))
+    top = min(depth, SHALLOW)
+    buckets = max(LEAST_BUCKETS, int(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+    asked = written(d.select("text", "train", "block").mapInArrow(partial(_ask, depth=depth, top=top, buckets=buckets), PACKED), "asked")
+    back, total, kinds = _weighted(asked, depth, top)
+    run = partial(_score, depth=depth, total=total, kinds=kinds)
     return d.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda a, b: run(a, b), "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")

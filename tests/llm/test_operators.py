@@ -1,5 +1,6 @@
 """Text operators against brute force, and with empty, null and repeated rows."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -150,3 +151,47 @@ def test_lookup_by_hash_finds_each_key():
     look = ctw._Lookup(keys, np.arange(len(keys), dtype=float))
     assert (look(keys[::-1]) == np.arange(len(keys))[::-1]).all()
     assert len(ctw._Lookup(keys[:0], np.zeros(0))(keys[:0])) == 0
+
+
+def test_context_tree_of_six_bytes_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    text = lambda: bytes(rng.choice(list(b"abc"), 300)).decode() + "abcabcx" * 5
+    rows = [(i, text(), i < 8) for i in range(10)] + [(10, "zzabcabcx", False), (11, "", False)]
+    counts = {}
+    for _, t, train in rows:
+        full = b"\0" * 6 + t.encode()
+        for i in range(6, len(full)):
+            for k in range(7):
+                for j in range(8):
+                    if train:
+                        counts.setdefault((full[i - k : i], full[i] >> (8 - j), j), [0, 0])[full[i] >> (7 - j) & 1] += 1
+    below = {}
+    for c, x, j in counts:
+        if c:
+            below.setdefault((c[1:], x, j), []).append((c, x, j))
+    log_kt = lambda n: math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
+    pw = {}
+    for node in sorted(counts, key=lambda x: -len(x[0])):
+        pe = log_kt(counts[node])
+        pw[node] = pe if len(node[0]) == 6 else math.log(0.5) + np.logaddexp(pe, sum(pw[c] for c in below[node]))
+
+    def logp(full, i):
+        total = 0
+        for j in range(8):
+            p, a, b = 0.5, 0.0, 1.0
+            for k in range(7):
+                node = (full[i - k : i], full[i] >> (8 - j), j)
+                if node not in counts:
+                    break
+                n0, n1 = counts[node]
+                kt = (n1 + 0.5) / (n0 + n1 + 1)
+                w = math.exp(math.log(0.5) + log_kt(counts[node]) - pw[node]) if k < 6 else 1.0
+                p, a, b = a + b * kt, a + b * w * kt, b * (1 - w)
+            total += math.log10(p if full[i] >> (7 - j) & 1 else 1 - p)
+        return total
+
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ctw.scores(docs, F.col("doc_id") < 8).collect()}
+    for i, t, _ in rows:
+        full = b"\0" * 6 + t.encode()
+        assert got[i] == pytest.approx(sum(logp(full, x) for x in range(6, len(full))), abs=1e-6)
