@@ -1,10 +1,9 @@
 """Near duplicates: a multi-index Hamming join of b-bit MinHash signatures, confirmed on full shingle sets.
 
-A signature has `PARTS` symbols of 16 bits. It is split into `CHUNKS` chunks; two signatures that differ in at
-most `ERRORS` symbols have, by the pigeonhole principle, a chunk with at most ERRORS // CHUNKS = 1 differing symbol.
-Each chunk is therefore entered under every way of leaving one symbol out, and equal entries meet. A pair at the
-least similarity of 0.85 differs in 96 * 0.15 = 14.4 symbols, with a deviation of 3.5: a distance over 33 has a
-probability under 1e-6.
+A signature has `PARTS` symbols of 16 bits. It is split into chunks; two signatures that differ in at most `errors`
+symbols have, by the pigeonhole principle, a chunk with at most errors // chunks = 1 differing symbol. Each chunk is
+therefore entered under every way of leaving one symbol out, and equal entries meet. `layout` takes as many errors as
+a pair at the least similarity exceeds with a probability of at most 1e-6: 33 in 17 chunks at 0.85, 40 in 21 at 0.8.
 
 Work is done on classes of equal shingle sets. In each bucket of entries, members are compared with the bucket's
 leader, which links most of a group of copies with as many comparisons as it has members; buckets whose members
@@ -18,6 +17,7 @@ Rows that repeat a doc_id with the same text get the same result. An empty table
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import partial
 
 import numpy as np
@@ -30,13 +30,22 @@ from .bytescan import Words, chunks, mix
 from .common import written
 from .graph import components
 
-PARTS, CHUNKS, ERRORS = 96, 17, 33
+PARTS, LOST = 96, 1e-6
 LEADER_ROUNDS = 2
 _rng = np.random.Generator(np.random.PCG64(96))
 _MULTIPLY = _rng.integers(1, 2**31, PARTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FLIP = _rng.integers(0, 2**32, PARTS, dtype=np.uint32)
-_CHUNK = np.repeat(np.arange(CHUNKS), [PARTS // CHUNKS + (c < PARTS % CHUNKS) for c in range(CHUNKS)])
-_FIRST = np.flatnonzero(np.r_[True, _CHUNK[1:] != _CHUNK[:-1]])
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """(errors, chunks) at which a pair of that similarity is lost with a probability of at most LOST."""
+    p, over, errors = 1 - percent / 100, 0.0, PARTS
+    while errors and (more := over + math.comb(PARTS, errors) * p**errors * (1 - p) ** (PARTS - errors)) <= LOST:
+        over, errors = more, errors - 1
+    chunks = errors // 2 + 1
+    if PARTS // chunks < 3:
+        raise ValueError(f"{PARTS} symbols are too few for pairs at {percent} %")
+    return errors, chunks
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -82,14 +91,16 @@ def _full(batches, k):
             yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, step), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(part)))], ["rep", "shingles"])
 
 
-def _enter(batches):
+def _enter(batches, chunks):
+    chunk = np.repeat(np.arange(chunks), [PARTS // chunks + (c < PARTS % chunks) for c in range(chunks)])
+    first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
     for batch in batches:
         for i in range(0, len(batch), 2048):
             part = batch.slice(i, 2048)
             sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, PARTS).astype(np.uint64)
             term = mix(sig + (np.arange(PARTS, dtype=np.uint64) << np.uint64(16)))
-            total = np.add.reduceat(term, _FIRST, axis=1)
-            key = mix(total[:, _CHUNK] - term + np.arange(PARTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            total = np.add.reduceat(term, first, axis=1)
+            key = mix(total[:, chunk] - term + np.arange(PARTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(part.column("rep").to_numpy(), PARTS))], ["key", "rep"])
 
 
@@ -130,10 +141,10 @@ def _prefix_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return one.join(two, "h").filter(order & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
 
 
-def links(docs: DataFrame, signed: DataFrame, percent: int = 85, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, signed: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(class, rep) of every set and (u, root) of the reps that are linked to a smaller one."""
     classes = written(signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    keys = classes.select("rep", "sig").mapInArrow(_enter, "key long, rep long")
+    keys = classes.select("rep", "sig").mapInArrow(partial(_enter, chunks=layout(percent)[1]), "key long, rep long")
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = written(keys.join(many, "key"), "entries")
     pop = written(entries.groupBy("rep").agg(F.sum("n").alias("pop")), "popularity")
@@ -156,7 +167,7 @@ def links(docs: DataFrame, signed: DataFrame, percent: int = 85, k: int = 5) ->
     return classes.select("class", "rep"), components(found)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept: a row for each row of docs."""
     signed = written(signatures(docs, k), "signatures")
     classes, roots = links(docs, signed, percent, k)

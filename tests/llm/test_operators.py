@@ -195,3 +195,25 @@ def test_context_tree_of_six_bytes_matches_brute_force(spark):
     for i, t, _ in rows:
         full = b"\0" * 6 + t.encode()
         assert got[i] == pytest.approx(sum(logp(full, x) for x in range(6, len(full))), abs=1e-6)
+
+
+def test_near_duplicates_of_the_pipeline_reach_down_to_four_fifths(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    at = {1: 0, 2: 9, 3: 12}  # replacing the last n words changes n shingles: (100 - n) / (100 + n)
+    rows = [(i, " ".join(base[: 104 - n] + [f"x{i}y{j}" for j in range(n)]), "en", "s") for i, n in at.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs.filter("doc_id <> 3"), "").collect()} == {1}  # 91 / 109 = 0.835
+    assert {r.doc_id for r in neardup.near_duplicates(docs.filter("doc_id <> 3"), percent=85).filter("kept").collect()} == {1, 2}
+    assert {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs.filter("doc_id <> 2"), "").collect()} == {1, 3}  # 88 / 112 = 0.786
+
+
+def test_near_duplicate_chunks_follow_the_threshold():
+    assert neardup.layout(85) == (33, 17)
+    for percent in (70, 75, 80, 85, 90):
+        errors, chunks = neardup.layout(percent)
+        tail = sum(math.comb(96, e) * (1 - percent / 100) ** e * (percent / 100) ** (96 - e) for e in range(errors + 1, 97))
+        assert tail <= 1e-6 and errors // chunks <= 1
+    with pytest.raises(ValueError):
+        neardup.layout(40)
