@@ -12,7 +12,7 @@ LOW, HIGH = 0.0013498980316301035, 0.9986501019683699  # the normal distribution
 CENTRES = (14.0, 24.0, 0.25)
 
 
-def kde_envelope(df: DataFrame, points: int = 200, half_width: float = 0.5) -> DataFrame:
+def kde_envelope(df: DataFrame, points: int = 1000, half_width: float = 0.5) -> DataFrame:
     """(band, c, d, density): mean of N(dmag, err) over the rows within half_width of each magnitude centre.
 
     A row goes to its four centres or fewer and to all grid points; sums are combined per task, so what

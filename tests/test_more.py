@@ -1,5 +1,7 @@
 """Later catalogue queries against their SQL; files and streams against the batch form."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 from test_catalogue import SF, db, plain  # noqa: F401
@@ -60,3 +62,15 @@ def test_ingest_drops_repeats(spark, tmp_path):
     for n in "ab":
         (tmp_path / f"in/{n}.txt").write_text(FP)
     assert sum(map(len, _drained(jobs.fp_ingest(spark, f"file://{tmp_path}/in", KINDS), tmp_path, "append"))) == 2
+
+
+def test_envelope_has_the_thousand_points_of_the_survey(spark):
+    from meridian.operators import density
+
+    rows = [("g", 18.0 + i / 100, 0.07 * i - 0.3, 0.05 + i / 200) for i in range(10)]
+    grid = density.kde_envelope(spark.createDataFrame(rows, "band string, mag double, dmag double, err double")).filter("c = 18")
+    got = sorted((r.d, r.density) for r in grid.collect())
+    assert len(got) == 1000 and abs(got[1][0] - got[0][0] - 10 / 999) < 1e-9
+    for d, value in got[::37]:
+        want = sum(math.exp(-0.5 * ((d - x) / e) ** 2) / (e * math.sqrt(2 * math.pi)) for _, _, x, e in rows) / len(rows)
+        assert abs(value - want) < 1e-9
