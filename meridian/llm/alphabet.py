@@ -17,10 +17,12 @@ def _code(cp: int) -> int:
     return CODES.get(low[0], 0) or (OTHER if unicodedata.category(c)[0] == "L" else 0)
 
 
-_TABLE = np.array([_code(cp) if not 0xD800 <= cp < 0xE000 else 0 for cp in range(0x10000)], np.uint8)
+#: No letter is assigned beyond.
+_LAST = 0x33FFF
+_TABLE = np.array([_code(cp) if not 0xD800 <= cp < 0xE000 else 0 for cp in range(_LAST)] + [0], np.uint8)
 
 
 def codes(text: str) -> np.ndarray:
     """The code of every character."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(cp < 0x10000, _TABLE[np.minimum(cp, 0xFFFF)], OTHER if len(cp) else 0).astype(np.uint8)
+    return _TABLE[np.minimum(cp, _LAST)]

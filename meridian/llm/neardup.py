@@ -6,12 +6,14 @@ therefore entered under every way of leaving one symbol out, and equal entries m
 a pair at the least similarity exceeds with a probability of at most 1e-6: 33 in 17 chunks at 0.85, 40 in 21 at 0.8.
 
 Work is done on classes of equal shingle sets. In each bucket of entries, members are compared with the bucket's
-leader, which links most of a group of copies with as many comparisons as it has members; buckets whose members
-are then in one component are done. Texts of the buckets that are left are compared in full, between components only,
-where the rarest shingles that a partner would have to share meet. No link between different sets is lost by that.
-
-Null and empty texts have no shingles and are linked with nothing. Fewer words than a shingle make one shingle.
-Rows that repeat a doc_id with the same text get the same result. An empty table gives an empty result.
+leader, first by their signatures' distance and then in full, which links most of a group of copies with as many
+comparisons as it has members; buckets whose members are then in one component are done. Texts of the buckets that are
+left are compared in full, between components only, where the rarest shingles that a partner would have to share meet.
+No link between different sets is lost by that.
+
+Null and empty texts have no shingles and are linked with nothing, and so are rows whose id is null. Fewer words than a
+shingle make one shingle. Rows that repeat an id with the same text get the same result; different texts under one id
+are compared each for itself. An empty table gives an empty result. Columns other than id and text are left alone.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from .graph import components
 
 PARTS, LOST = 96, 1e-6
 LEADER_ROUNDS = 2
+#: Partners of a set up to which one copy of it serves.
+PARTNERS = 64
 _rng = np.random.Generator(np.random.PCG64(96))
 _MULTIPLY = _rng.integers(1, 2**31, PARTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FLIP = _rng.integers(0, 2**32, PARTS, dtype=np.uint32)
@@ -72,7 +76,7 @@ def _sign(batches, k):
         n, cls, sig = [], [], []
         for _, s in _sets(batch.column("text"), k):
             n.append(len(s))
-            cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            cls.append(_class(s))
             sig.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "class", "sig"])
 
@@ -81,9 +85,16 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_sign, k=k), "doc_id long, n_shingles long, class binary, sig binary")
 
 
+def _class(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def _full(batches, k):
+    """The sets of those texts that are of the class they are asked for."""
     for batch in batches:
-        rows = [s.view(np.int64) for _, s in _sets(batch.column("text"), k)]
+        rows = [s for _, s in _sets(batch.column("text"), k)]
+        mine = [i for i, (s, c) in enumerate(zip(rows, batch.column("class").to_pylist())) if _class(s) == c]
+        rows, batch = [rows[i].view(np.int64) for i in mine], batch.take(pa.array(mine, pa.int64()))
         step = max(1, len(rows) // 8)
         for i in range(0, len(rows), step):
             part = rows[i : i + step]
@@ -104,12 +115,29 @@ def _enter(batches, chunks):
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(part.column("rep").to_numpy(), PARTS))], ["key", "rep"])
 
 
+def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with table's column of each side, as x and y.
+
+    A rep with many partners is copied once for every PARTNERS of them, so that no task meets them all.
+    """
+    copies = pairs.groupBy("a").agg((F.count(F.lit(1)) / PARTNERS).cast("long").alias("copies"))
+    many = copies.filter("copies > 0").select(F.col("a").alias("_a"), "copies")
+    p = pairs.join(many, F.col("a") == F.col("_a"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("copies") + 1), F.lit(0)).alias("copy"))
+    one = table.join(copies, F.col("rep") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), "copies")).alias("copy"), F.col(column).alias("x"))
+    return p.join(one, ["a", "copy"]).drop("copy").join(table.select(F.col("rep").alias("b"), F.col(column).alias("y")), "b")
+
+
+def _near(batches, errors):
+    """Those of pairs (a, b, x, y) whose signatures x and y differ in at most `errors` symbols."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, PARTS) for c in "xy")
+        yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= errors))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar enough."""
-    s = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    p = pairs.join(s, "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    na, nb = F.size("sa"), F.size("sb")
-    p = p.filter(100 * F.least(na, nb) >= percent * F.greatest(na, nb)).select("a", "b", (na + nb).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    p = _both(pairs, sets, "shingles").withColumns({"nx": F.size("x"), "ny": F.size("y")})
+    p = p.filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select("a", "b", (F.col("nx") + F.col("ny")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
     return p.filter(100 * F.col("both") >= percent * (F.col("n") - F.col("both"))).select("a", "b").distinct()
 
 
@@ -143,35 +171,47 @@ def _prefix_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 def links(docs: DataFrame, signed: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(class, rep) of every set and (u, root) of the reps that are linked to a smaller one."""
-    classes = written(signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    keys = classes.select("rep", "sig").mapInArrow(partial(_enter, chunks=layout(percent)[1]), "key long, rep long")
+    errors, chunk_count = layout(percent)
+    classes = signed.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    # different texts under one id: all but one of them get an id that no row has
+    same = Window.partitionBy("rep").orderBy("class")
+    classes = written(classes.withColumn("doc_id", F.col("rep")).withColumn("rep", F.when(F.row_number().over(same) == 1, F.col("rep")).otherwise(F.xxhash64("class"))), "classes")
+    keys = classes.select("rep", "sig").mapInArrow(partial(_enter, chunks=chunk_count), "key long, rep long")
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = written(keys.join(many, "key"), "entries")
     pop = written(entries.groupBy("rep").agg(F.sum("n").alias("pop")), "popularity")
-    mine = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(pop.select("rep"), "rep", "left_semi")
-    sets = written(mine.mapInArrow(partial(_full, k=k), "rep long, shingles array<long>"), "sets")
+    sigs = classes.select("rep", "sig")
+    asked = classes.join(pop, "rep").select("rep", "class", F.col("doc_id").alias("_id"))
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, F.col("doc_id") == F.col("_id")).select("rep", "class", "text")
+    sets = mine.mapInArrow(partial(_full, k=k), "rep long, shingles array<long>")
+    if not signed.groupBy("doc_id", "class").count().filter("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["rep"])  # rows that repeat both id and text
+    sets = written(sets, "sets")
     rows = written(entries.select("key", "rep").join(pop, "rep"), "ranked")
     found = sets.sparkSession.createDataFrame([], "a long, b long")
     roots = sets.sparkSession.createDataFrame([], "u long, root long")
     for _ in range(LEADER_ROUNDS):
         lead = rows.groupBy("key").agg(F.max(F.struct("pop", "rep")).alias("top")).select("key", F.col("top.rep").alias("leader"))
         led = rows.join(lead, "key")
-        pairs = led.filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        found = written(found.union(_confirmed(pairs, sets, percent)), "links")
+        pairs = written(led.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+        near = written(_both(pairs, sigs, "sig").mapInArrow(partial(_near, errors=errors), "a long, b long"), "near")
+        found = written(found.union(_confirmed(near, sets, percent)), "links")
         roots = components(found)
         rows = written(_open(led.filter("rep <> leader").drop("leader", "comp"), roots), "open")
         if rows.isEmpty():
-            return classes.select("class", "rep"), roots
-    pairs = _prefix_pairs(rows, sets, percent)
+            return classes, roots
+    pairs = written(_prefix_pairs(rows, sets, percent), "pairs")
     found = written(found.union(_confirmed(pairs, sets, percent)), "links")
-    return classes.select("class", "rep"), components(found)
+    return classes, components(found)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept: a row for each row of docs."""
     signed = written(signatures(docs, k), "signatures")
     classes, roots = links(docs, signed, percent, k)
-    home = classes.join(roots, F.col("rep") == F.col("u"), "left").select(F.col("class").alias("_c"), F.coalesce("root", "rep").alias("home"))
-    out = signed.select("doc_id", "n_shingles", "class").join(home, F.col("class") == F.col("_c"), "left")
-    comp = F.coalesce("home", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), (comp == F.col("doc_id")).alias("kept"))
+    home = classes.join(roots, F.col("rep") == F.col("u"), "left").select("class", "doc_id", F.coalesce("root", "rep").alias("home"))
+    least = home.groupBy("home").agg(F.min("doc_id").alias("least"))
+    home = home.join(least, "home").select(F.col("class").alias("_c"), "least")
+    out = signed.select("doc_id", "n_shingles", "class").join(home, (F.col("class") == F.col("_c")) & F.col("doc_id").isNotNull(), "left")
+    comp = F.coalesce("least", "doc_id")
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))

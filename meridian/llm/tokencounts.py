@@ -2,7 +2,8 @@
 
 Blocks of a file are read apart. A vectorised search gives the separators of a block; the tokens before its first
 and after its last one belong to documents that other blocks hold the rest of. A prefix scan over the blocks of a file
-gives each block the number of documents and the tokens carried into it, and so stitches the boundaries.
+gives each block the number of documents and the tokens carried into it, and so stitches the boundaries. The scan is
+over one small row a block; the lengths that a block has are joined to what it is carried.
 
 A file may end without a separator: the rest is a document. Empty files and tables give no rows. A document of
 no tokens counts 0. Token files hold unsigned little-endian ids of `width` bytes.
@@ -78,15 +79,14 @@ def document_lengths(files: DataFrame, folder: str, end_id: int, width: int = 2,
     blocks = files.select("path").distinct().mapInArrow(sizes, "path string, bytes long").filter("bytes > 0")
     blocks = blocks.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(step).cast("long"))).alias("at"))
     blocks = blocks.repartition(files.sparkSession.sparkContext.defaultParallelism * 4, "path", "at")
-    found = blocks.mapInArrow(scan, "path string, at long, ends long, tail long, final boolean, lens array<bigint>")
+    found = written(blocks.mapInArrow(scan, "path string, at long, ends long, tail long, final boolean, lens array<bigint>"), "token-blocks")
     order = Window.partitionBy("path").orderBy("at")
     prior = order.rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.sum("ends").over(prior), F.lit(0))
-    found = found.withColumn("base", base).withColumn("sum_tail", F.coalesce(F.sum("tail").over(prior), F.lit(0)))
+    small = found.select("path", "at", "ends", "tail")
+    small = small.withColumn("base", F.coalesce(F.sum("ends").over(prior), F.lit(0))).withColumn("sum_tail", F.coalesce(F.sum("tail").over(prior), F.lit(0)))
     # tokens since the last separator: tails summed, less what was summed before the last block with a separator
-    found = found.withColumn("cut", F.coalesce(F.max(F.when(F.col("ends") > 0, F.col("sum_tail"))).over(prior), F.lit(0)))
-    carry = F.col("sum_tail") - F.col("cut")
-    found = found.withColumn("carry", carry)
+    small = small.withColumn("cut", F.coalesce(F.max(F.when(F.col("ends") > 0, F.col("sum_tail"))).over(prior), F.lit(0)))
+    found = found.join(small.select("path", "at", "base", (F.col("sum_tail") - F.col("cut")).alias("carry")), ["path", "at"])
     whole = F.when(F.col("ends") > 0, F.transform("lens", lambda n, i: n + F.when(i == 0, F.col("carry")).otherwise(0)))
     rest = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("tail"))
     whole = F.concat(F.coalesce(whole, F.array().cast("array<bigint>")), F.when(F.col("final") & (rest > 0), F.array(rest)).otherwise(F.array().cast("array<bigint>")))
@@ -97,4 +97,4 @@ def counted(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens of each row of docs, through flat token files."""
     folder = new_path(docs.sparkSession, "tokens")
     names, end_id = write_tokens(docs, vocabulary, folder)
-    return names.join(document_lengths(names, folder, end_id), ["path", "ordinal"]).select("doc_id", "n_tokens")
+    return names.hint("merge").join(document_lengths(names, folder, end_id).hint("merge"), ["path", "ordinal"]).select("doc_id", "n_tokens")

@@ -1,15 +1,19 @@
 """Toxicity of texts whose insults may be disguised.
 
 A noisy channel is undone first: spans with digits or signs among letters, letters repeated three times or more, or
-letters set apart by spaces or dots, become a lattice of readings; the Viterbi path under a character trigram model
-(trained on all documents) is the restored text. Plain words have one reading. A logistic model over the words
-and word beginnings of restored text, found and fitted on labelled rows, then scores the text.
+letters and signs set apart by spaces or dots, become a lattice of readings; the Viterbi path under a character trigram
+model (trained on all documents) is the restored text. What sets letters apart may be nothing or a space between
+words. Plain words have one reading. A logistic model over the words and word beginnings of restored text, found
+and fitted on labelled rows, then scores the text. The character model tells Western European letters apart; letters
+of other scripts are one code for it, and whole words of any script are features.
 
-At most `max_labelled` labelled rows are used to fit (rows with the lowest hash of the id, about that many); the
-character counts cover every document. Labels count once a row; a document labelled both ways counts for both.
+About `max_labelled` labelled ids are used to fit (those with the lowest hashes); the sample is broadcast, so texts are
+never shuffled. The character counts cover every document. A label of a document counts once however often it is
+repeated; a document labelled both ways counts for both.
 
 Null and empty texts get the score of a text without any of the features. A corpus without labelled rows scores
-0. Repeated rows get equal scores; an empty table gives an empty result.
+0. Repeated rows get equal scores; an empty table gives an empty result. Any columns may be carried along, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,26 +26,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .alphabet import CODES, OTHER, SIZE, codes
 from .bpe import Memory
 from .common import written
 
 MAX_LABELLED = 40_000
-MAX_FEATURES = 4_000
+#: Labelled toxic rows that must hold a feature.
+LEAST_ROWS = 3
 #: The letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c"}
 #: Costs in nats of the channel's errors.
-SIGN, DROP, SPACED, ORNAMENT = 1.0, 10.0, 0.5, 1.0
+SIGN, DROP, SPACED, APART, ORNAMENT = 1.0, 10.0, 0.5, 1.5, 1.0
 _SIGN = "[" + re.escape("".join(SIGNS)) + "]"
 _LETTER = r"[^\W\d_]"
-#: Spans that may be disguised: letters set apart; signs between or before letters; a letter three times or more.
-SPACED_OUT = re.compile(rf"(?<![^\W_]){_LETTER}(?:[ .\-_*]{_LETTER}(?![^\W_])){{2,}}")
+#: Spans that may be disguised: letters and signs set apart; signs between or before letters; a letter three times or more.
+_UNIT = rf"(?:{_LETTER}|[013457@$€])"
+SPACED_OUT = re.compile(rf"(?<![^\W_]){_UNIT}(?:[ .\-_*]{{1,3}}{_UNIT}(?![^\W_])){{2,}}")
 SIGNED = re.compile(rf"(?<!\S)(?:[\"'(\[]?)((?:{_LETTER}|{_SIGN}|\*)*?(?:{_LETTER}{_SIGN}{{1,2}}|{_SIGN}{{1,2}}{_LETTER})(?:{_LETTER}|{_SIGN}|\*)*)")
 REPEATED = re.compile(rf"{_LETTER}*({_LETTER})\1\1{_LETTER}*")
 ANY_SIGN = re.compile(_SIGN)
 THRICE = re.compile(r"(.)\1\1")
 WORD = re.compile(rf"{_LETTER}+")
+ANY_LETTER = re.compile(_LETTER)
 PREFIXES = range(3, 8)
 
 
@@ -85,7 +93,9 @@ def readings(span: str) -> list[list[tuple[str, float]]]:
             each += [(x, SIGN * n + 0.5) for x in SIGNS[c]] if n > 1 else []
         elif c.isalpha():
             each = [(c * n, 0.0)] if n < 3 else [(c, 0.5), (c * 2, 1.0)]
-        elif apart or c == "*":
+        elif apart:
+            each = [("", SPACED * n), (" ", APART / n)]
+        elif c == "*":
             each = [("", SPACED)]
         else:
             each = [(" ", 0.0)]
@@ -116,6 +126,7 @@ class Restorer:
         self.span = Memory(lambda s: restore(s, cost), 100_000)
 
     def __call__(self, text: str) -> str:
+        """The restored text, lower-cased."""
         low = self.joined(text)
         if ANY_SIGN.search(low):
             low = SIGNED.sub(lambda m: m[0][: m.start(1) - m.start()] + self.span[m[1]], low)
@@ -123,7 +134,7 @@ class Restorer:
 
     def joined(self, text: str) -> str:
         """Lower-cased, with letters set apart restored: the one error that crosses white space."""
-        return SPACED_OUT.sub(lambda m: self.span[m[0]], text.lower())
+        return SPACED_OUT.sub(lambda m: self.span[m[0]] if ANY_LETTER.search(m[0]) else m[0], text.lower())
 
     def words(self, token: str) -> list[str]:
         """The restored words of what stands between white space."""
@@ -179,14 +190,13 @@ def fit(labelled: DataFrame, cost) -> tuple[dict[str, int], np.ndarray, float]:
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return {}, np.zeros(0), -30.0 if not bad else 30.0
-    often = _counted(labelled.filter("toxic = 1"), cost).filter("docs >= 3").orderBy(F.desc("docs"), "feature").limit(20 * MAX_FEATURES)
-    often = {r.feature: r.docs for r in often.collect()}
+    often = _counted(labelled.filter("toxic = 1"), cost).filter(F.col("docs") >= LEAST_ROWS).orderBy(F.desc("docs"), "feature")
+    often = {r.feature: r.docs for r in often.collect()}  # of about max_labelled rows at most
     names = {f: i for i, f in enumerate(often)}
     order = list(often)
     clean = {order[int(r.feature)]: r.docs for r in _counted(labelled.filter("toxic = 0"), cost, spark.sparkContext.broadcast(names)).collect()}
     odds = {f: math.log((n + 0.5) / (bad + 1)) - math.log((clean.get(f, 0) + 0.5) / (good + 1)) for f, n in often.items()}
-    top = sorted((f for f in odds if odds[f] > 1.0), key=lambda f: -odds[f] * math.sqrt(often[f]))[:MAX_FEATURES]
-    keep = {f: i for i, f in enumerate(top)}
+    keep = {f: i for i, f in enumerate(f for f in odds if odds[f] > 1.0)}
     held = spark.sparkContext.broadcast(keep)
 
     def run(batches):
@@ -218,16 +228,16 @@ def fit(labelled: DataFrame, cost) -> tuple[dict[str, int], np.ndarray, float]:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, keep: Column, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(text, toxic) of about max_labelled labelled rows for which keep holds, chosen by a hash of the id."""
-    known = labels.filter(F.col("toxic").isNotNull() & keep).select(F.col("doc_id").alias("_id"), "toxic")
+    """(text, toxic) of about max_labelled labelled ids for which keep holds, chosen by a hash of the id."""
+    known = labels.filter(F.col("toxic").isNotNull() & keep).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     n = known.count()
     if n > max_labelled:
-        known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("text", "toxic")
+        known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 52)) < (max_labelled << 52) // n)
+    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "toxic")
 
 
-def scores(docs: DataFrame, labels: DataFrame, keep: Column, max_labelled: int = MAX_LABELLED, carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """The columns in carry and the score of every row of docs. keep: which label rows (doc_id) may be learnt from."""
+def scored(docs: DataFrame, labels: DataFrame, keep: Column, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Every row of docs as a struct `row`, and its score. keep: which label rows (doc_id) may be learnt from."""
     spark = docs.sparkSession
     cost = spark.sparkContext.broadcast(character_model(trigrams(docs)))
     model = spark.sparkContext.broadcast(fit(labelled_rows(docs, labels, keep, max_labelled), cost))
@@ -239,8 +249,13 @@ def scores(docs: DataFrame, labels: DataFrame, keep: Column, max_labelled: int =
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
-                z = np.array([b + w[fs].sum() if fs else b for fs in _document_features(part.column("_text").to_pylist(), restorer, known)])
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*carry, name])
+                z = np.array([b + w[fs].sum() if fs else b for fs in _document_features(part.column("text").to_pylist(), restorer, known)])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["row", "score"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, `{name}` double")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+
+
+def scores(docs: DataFrame, labels: DataFrame, keep: Column, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id and score of every row of docs."""
+    return scored(docs.select("doc_id", "text"), labels, keep, max_labelled).select("row.doc_id", "score")
