@@ -1,7 +1,9 @@
 """A corpus from documents: toxic texts out, quality rules, near duplicates, benchmark leaks, then tokens.
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns
-of documents; every decision removes whole documents, and clean documents pass.
+of documents, extra ones included; every decision removes whole rows, and clean documents pass. Rows are told apart by
+numbers of their own, so nulls and repeats among doc_id do no harm, and columns of any name are carried along.
+Empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -10,32 +12,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm import bpe, decontaminate, neardup, quality, toxicity
-from meridian.llm.common import fold, new_path, table
+from meridian.llm.common import fold, new_path, table, written
 from meridian.llm.queries import public_vocabulary
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs as (doc_id, row): a number that is the row's alone, and the row as a struct."""
+    return written(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
+
+
+def _keep(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return rows.join(ids.select("doc_id"), "doc_id", "left_semi").select("row.*")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.scores(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0, carry=tuple(docs.columns), name="_toxicity")
-    return scored.filter("_toxicity < 0.5").drop("_toxicity")
+    """Rows whose text scores under 0.5. Texts without letters, empty and null ones pass unless the labels say otherwise."""
+    return toxicity.scored(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0).filter("score < 0.5").select("row.*")
 
 
 def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, quality.judge(docs).filter("kept"))
+    """Rows that the quality rules keep: none of fewer than 50 words, so no empty or null text."""
+    rows = _numbered(docs)
+    return _keep(rows, quality.judge(rows.select("doc_id", "row.text", "row.lang", "row.source")).filter("kept"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, neardup.near_duplicates(docs).filter("kept")).dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates: that of the smallest doc_id, of several the first. Texts without words stay."""
+    rows = _numbered(docs)
+    found = neardup.near_duplicates(rows.select("doc_id", "row.text")).select(F.col("doc_id").alias("n"), "component_id")
+    named = found.join(rows.select(F.col("doc_id").alias("n"), F.col("row.doc_id").alias("id")), "n")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("first"))
+    return _keep(rows, first.select(F.col("first.n").alias("doc_id")))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")))
+    """Rows without a window of a benchmark item."""
+    rows = _numbered(docs)
+    return _keep(rows, decontaminate.contamination(rows.select("doc_id", "row.text"), table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
     return bpe.digests(docs, public_vocabulary("byte_bpe_50k.json"))
 
 
