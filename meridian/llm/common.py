@@ -27,9 +27,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets a temporary one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="spark-work-")
         spark.conf.set("spark.checkpoint.dir", conf)
         spark.sparkContext.setCheckpointDir(conf)
@@ -45,3 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, n: int, column: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, dealt by column into n buckets: grouping by it needs no shuffle."""
+    entry = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, column).option("path", new_path(df.sparkSession, name)).option("compression", "zstd").saveAsTable(entry)
+    out = df.sparkSession.table(entry)
+    df.sparkSession.sql(f"DROP TABLE {entry}")  # the files stay
+    return out

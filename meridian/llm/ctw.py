@@ -3,16 +3,18 @@
 Each byte is eight binary decisions. A decision has a context tree over the up to DEPTH bytes before it; every
 node keeps counts of zeros and ones and a Krichevsky-Trofimov estimate, and each depth is weighted with all deeper
 ones. The model is frozen after training: a text's probability mixes the estimates of all depths of its path by
-their posterior weights, down to the deepest node that training met.
+their posterior weights, down to the deepest node that training met. Before each byte stands one more decision, whether
+the text ends there, with a tree over the two bytes before; so the probabilities of all texts of any length sum to 1.
 
 Weighting and mixing of nodes of up to SHALLOW bytes are joins and aggregations; the deeper nodes below one of SHALLOW
 bytes are in one bucket and are made there, twice, instead of written. Texts are scored in blocks of BLOCK_BYTES: a
-block asks for the grams and words it holds and gets those values back, in packed arrays by bucket, so no task ever
-needs the whole model.
+block asks for the grams and words it holds and gets their values back in the order in which it asked, in packed
+arrays by bucket, so no task ever needs the whole model. Texts and questions are written once, in buckets, and not
+shuffled again.
 
-Null and empty texts are one end token with a model score of 0. Without training rows every decision has
-probability 1/2 and no token is known. Repeated rows score alike; an empty table gives an empty result. Words are
-told apart by 64-bit hashes.
+Null and empty texts are one end token; their score is that of ending at once. Without training rows every decision
+has probability 1/2 and no token is known. Repeated rows score alike; an empty table gives an empty result. A very
+long text is a block of its own. Words are told apart by 64-bit hashes. Columns other than doc_id and text are left alone.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import Words, chunks, mix
-from .common import written
+from .common import bucketed, written
 
 DEPTH = 6
 #: Bytes of context up to which nodes are tables; deeper ones are arrays of one of LEAST_BUCKETS buckets, or one per BUCKET_BYTES of texts.
 SHALLOW = 3
 LEAST_BUCKETS, BUCKET_BYTES = 64, 8 << 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
+#: Files of a table; buckets beyond share them.
+LEAST_FILES, MOST_FILES = 12, 50_000
 END = np.int64(0x7E57E2D0C0FFEE11)
 
 
@@ -68,67 +72,75 @@ class _Tally:
 
     def add(self, keys: np.ndarray, train: np.ndarray) -> None:
         for part, counts in ((keys[train], True), (keys[~train], False)):
-            k, n = np.unique(part, return_counts=True)
-            self.keys.append(k)
-            self.n.append(n if counts else np.zeros(len(k), np.int64))
-            self.size += len(k)
-        if self.size > 4_000_000:
-            self.fold()
+            if len(part):
+                k, n = np.unique(part, return_counts=True)
+                self.put(k, n if counts else np.zeros(len(k), np.int64))
+
+    def put(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """Sorted distinct keys and their counts."""
+        self.keys.append(keys)
+        self.n.append(n)
+        self.size += len(keys)
+        if self.size > 6_000_000:
+            self.size = len(self.fold()[0]) // 2
 
     def fold(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = np.concatenate(self.keys), np.concatenate(self.n)
-        k, inv = np.unique(keys, return_inverse=True)
-        self.keys, self.n = [k], [np.bincount(inv, n, len(k)).astype(np.int64)]
-        self.size = 0
+        if len(self.keys) != 1:
+            keys, n = np.concatenate([np.zeros(0, np.int64), *self.keys]), np.concatenate([np.zeros(0, np.int64), *self.n])
+            order = np.argsort(keys, kind="stable")  # of sorted runs
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+            self.keys, self.n = [keys[first]], [np.add.reduceat(n, first) if len(first) else n]
         return self.keys[0], self.n[0]
 
 
 def packed(x: np.ndarray) -> bytes:
-    """An array of 8-byte numbers by planes of their bytes, compressed; sorted grams take few bytes each."""
-    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+    """An array of numbers by planes of their bytes, compressed; sorted grams take few bytes each."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, size: int, dtype=np.int64) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 8 * size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, size).T).view(dtype).ravel()
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data, width * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(dtype).ravel()
 
 
 PACKED = "block long, bucket long, size long, keys binary, n binary"
+PACKED_NAMES = ["block", "bucket", "size", "keys", "n"]
 
 
-def _packs(block: int, word: bool, keys: np.ndarray, n: np.ndarray, top: int, buckets: int):
-    """Rows of PACKED from sorted distinct keys: words in buckets below 0, grams by the top bytes before their last."""
+def _dealt(word: bool, keys: np.ndarray, top: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted keys by bucket, and where each bucket begins. Grams are dealt by the top bytes before their last."""
     part = mix((keys if word else (keys >> 8) & _mask(top)).view(np.uint64)) % np.uint64(buckets)
     order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(buckets + 1))
-    for i in np.flatnonzero(np.diff(cut)):
-        at = order[cut[i] : cut[i + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1 - i if word else i], pa.int64()), pa.array([len(at)]), pa.array([packed(keys[at])]), pa.array([packed(n[at])])], ["block", "bucket", "size", "keys", "n"])
+    return order, np.searchsorted(part[order], np.arange(buckets + 1))
 
 
-def _ask(batches, depth, top, buckets):
-    tallies: dict[int, tuple[_Tally, _Tally]] = {}
+def _packs(block: int, word: bool, keys: np.ndarray, n: np.ndarray, top: int, buckets: int) -> list[tuple]:
+    """Rows of PACKED from sorted distinct keys: words in buckets below 0."""
+    order, cut = _dealt(word, keys, top, buckets)
+    return [(block, -1 - int(i) if word else int(i), len(at := order[cut[i] : cut[i + 1]]), packed(keys[at]), packed(n[at])) for i in np.flatnonzero(np.diff(cut))]
 
-    def out(block):
-        for word, t in zip((True, False), tallies.pop(block)):
-            if t.keys:
-                yield from _packs(block, word, *t.fold(), top, buckets)
 
-    for batch in batches:
-        blocks, train = batch.column("block").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
-        for b in np.unique(blocks):
-            for old in [o for o in tallies if o != b]:
-                yield from out(old)
-            mine = tallies.setdefault(int(b), (_Tally(), _Tally()))
-            at = np.flatnonzero(blocks == b)
-            for lo, buf, offs in chunks(batch.column("text").take(pa.array(at))):
-                t = train[at[lo : lo + len(offs) - 1]]
-                w = Words(buf, offs)
-                mine[0].add(np.r_[w.hash.view(np.int64), np.full(len(t), END)], np.r_[t[w.row], t])
-                if len(buf):
-                    mine[1].add(grams(buf, offs, depth), np.repeat(t, np.diff(offs)))
-    for b in list(tallies):
-        yield from out(b)
+def _packed_table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 3 + [pa.binary()] * 2)], names=PACKED_NAMES)
+
+
+def _gathered(texts, train: np.ndarray, depth: int) -> tuple[_Tally, _Tally]:
+    words, found = _Tally(), _Tally()
+    for lo, buf, offs in chunks(texts):
+        t = train[lo : lo + len(offs) - 1]
+        w = Words(buf, offs)
+        words.add(np.r_[w.hash.view(np.int64), np.full(len(t), END)], np.r_[t[w.row], t])
+        if len(buf):
+            found.add(grams(buf, offs, depth), np.repeat(t, np.diff(offs)))
+    return words, found
+
+
+def _ask(t: pa.Table, depth: int, top: int, buckets: int) -> pa.Table:
+    block = t.column("block")[0].as_py()
+    words, found = _gathered(t.column("text"), t.column("train").to_numpy(), depth)
+    return _packed_table(_packs(block, True, *words.fold(), top, buckets) + _packs(block, False, *found.fold(), top, buckets))
 
 
 def _lgamma(x, log=np.log):
@@ -196,8 +208,7 @@ def _bucket(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     tally = _Tally()
     for keys, n, m in zip(t.column("keys"), t.column("n"), size):
         each.append(unpacked(keys.as_py(), m))
-        tally.keys.append(each[-1])
-        tally.n.append(unpacked(n.as_py(), m))
+        tally.put(each[-1], unpacked(n.as_py(), m))
     return each, *tally.fold()
 
 
@@ -227,16 +238,20 @@ def _grown(t: pa.Table, depth: int, top: int) -> pa.Table:
     return pa.concat_tables(out)
 
 
-VALUED = "block long, word boolean, size long, keys binary, value binary"
+VALUED = "block long, bucket long, size long, keys binary, value binary"
+NO_VALUES = pa.table([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())], names=["block", "bucket", "size", "keys", "value"])
 
 
-def _valued(t: pa.Table, mixed: pa.Table, depth: int, top: int) -> pa.Table:
-    """For each row of a bucket, the values of its keys."""
+def _valued(t: pa.Table, mixed: pa.Table, depth: int, top: int, echo: bool) -> pa.Table:
+    """For each row of a bucket the values of its keys: counts of words, logarithms for grams; with the keys only where echo is set."""
+    if not len(t):
+        return NO_VALUES
     each, key, n = _bucket(t)
     word = t.column("bucket")[0].as_py() < 0
-    value = n.astype(float) if word else _values(key, n, mixed, depth, top)
+    value = n if word else _values(key, n, mixed, depth, top).astype(np.float32)
     back = [packed(value[np.searchsorted(key, k)]) for k in each]
-    return pa.table([t.column("block"), pa.array([word] * len(t)), t.column("size"), t.column("keys"), pa.array(back, pa.binary())], names=["block", "word", "size", "keys", "value"])
+    keys = t.column("keys") if echo else pa.nulls(len(t), pa.binary())
+    return pa.table([t.column("block"), t.column("bucket"), t.column("size"), keys, pa.array(back, pa.binary())], names=["block", "bucket", "size", "keys", "value"])
 
 
 def _values(key: np.ndarray, n: np.ndarray, mixed: pa.Table, depth: int, top: int) -> np.ndarray:
@@ -267,7 +282,7 @@ def _values(key: np.ndarray, n: np.ndarray, mixed: pa.Table, depth: int, top: in
     return value
 
 
-def _weighted(asked: DataFrame, depth: int, top: int) -> tuple[DataFrame, int, int]:
+def _weighted(asked: DataFrame, depth: int, top: int, echo: bool = False) -> tuple[DataFrame, int, int]:
     """VALUED for each row of PACKED, and how many words, and different ones, training has.
 
     Grams with the same `top` bytes before their last are in one bucket, whose deeper nodes are arrays of one task and
@@ -296,13 +311,10 @@ def _weighted(asked: DataFrame, depth: int, top: int) -> tuple[DataFrame, int, i
         last = last.union(j.filter("a is not null").select("bucket", "node", "a", F.lit(0.0)))
         open_ = j.filter("a is null").drop("a")
     last = last.union(open_.select("bucket", "node", F.lit(0.5), F.lit(0.0)))
-    valued = asked.groupBy("bucket").cogroup(last.groupBy("bucket")).applyInArrow(lambda t, m: _valued(t, m, depth, top) if len(t) else VALUED_NONE, VALUED)
+    valued = asked.groupBy("bucket").cogroup(last.groupBy("bucket")).applyInArrow(lambda t, m: _valued(t, m, depth, top, echo), VALUED)
     return valued, int(words.n or 0), int(words.v or 0)
 
 
-VALUED_NONE = pa.table([pa.array([], x) for x in (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())], names=["block", "word", "size", "keys", "value"])
-
-
 def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(key, value): log10 of the probability of a gram's last byte after the others."""
     top = min(depth, SHALLOW)
@@ -311,14 +323,67 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         for batch in batches:
             key, n = batch.column("key").to_numpy(), batch.column("n").to_numpy()
             order = np.argsort(key)
-            yield from _packs(0, False, key[order], n[order], top, LEAST_BUCKETS)
+            yield from _packed_table(_packs(0, False, key[order], n[order], top, LEAST_BUCKETS)).to_batches()
 
     def unpack(batches):
         for batch in batches:
             for size, keys, value in zip(*(batch.column(c).to_pylist() for c in ("size", "keys", "value"))):
-                yield pa.RecordBatch.from_arrays([pa.array(unpacked(keys, size)), pa.array(unpacked(value, size, float))], ["key", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(keys, size)), pa.array(unpacked(value, size, np.float32).astype(float))], ["key", "value"])
 
-    return _weighted(written(counts.select("key", "n").mapInArrow(pack, PACKED), "asked"), depth, top)[0].mapInArrow(unpack, "key long, value double")
+    return _weighted(written(counts.select("key", "n").mapInArrow(pack, PACKED), "asked"), depth, top, True)[0].mapInArrow(unpack, "key long, value double")
+
+
+def _places(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bytes before each byte and before each text's end, as numbers; zeros stand before a text's start."""
+    one, two = np.r_[0, buf].astype(np.int64), np.r_[0, 0, buf].astype(np.int64)
+    start, end = offs[:-1], offs[1:]
+    last = np.where(end > start, one[end], 0) + (np.where(end > start + 1, two[end], 0) << 8)
+    one, two = one[: len(buf)], two[: len(buf)]
+    some = start[end > start]
+    one[some] = two[some] = 0
+    two[some[some + 1 < len(buf)] + 1] = 0
+    return one + (two << 8), last
+
+
+def end_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """How often training texts (text, train) go on and end after each two bytes, and the bytes of all texts."""
+    def run(batches):
+        on, end, size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        for batch in batches:
+            train = batch.column("train").to_numpy(zero_copy_only=False)
+            for lo, buf, offs in chunks(batch.column("text")):
+                t, size = train[lo : lo + len(offs) - 1], size + len(buf)
+                before, last = _places(buf, offs)
+                on += np.bincount(before[np.repeat(t, np.diff(offs))], minlength=1 << 16)
+                end += np.bincount(last[t], minlength=1 << 16)
+        at = np.flatnonzero(on + end)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[on[at], size]), pa.array(np.r_[end[at], 0])], ["place", "on", "end"])
+
+    rows = docs.select("text", "train").mapInArrow(run, "place long, on long, end long").groupBy("place").agg(F.sum("on").alias("on"), F.sum("end").alias("end")).collect()  # 65,537 at most
+    on, end = np.zeros(1 << 16), np.zeros(1 << 16)
+    for r in rows:
+        if r.place >= 0:
+            on[r.place], end[r.place] = r.on, r.end
+    return on, end, sum(r.on for r in rows if r.place < 0)
+
+
+def end_logs(on: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """log10 of the probabilities to go on and to end after each two bytes, by a context tree of depth two."""
+    levels = [(x.reshape(256, 256), y.reshape(256, 256)) for x, y in ((on, end),)]
+    levels.append(tuple(x.sum(0) for x in levels[0]))
+    levels.append(tuple(x.sum() for x in levels[1]))
+    below, mixed = None, []
+    for n0, n1 in levels:
+        pe = _evidence(n0, n1)
+        pw = pe if below is None else math.log(0.5) + np.logaddexp(pe, below.sum(0))
+        w = np.exp(math.log(0.5) + pe - pw) if below is not None else np.ones_like(pe)
+        below = np.where(n0 + n1 > 0, pw, 0.0)
+        mixed.append((n0 + n1 > 0, w, (n1 + 0.5) / (n0 + n1 + 1)))
+    a, b, p = 0.0, 1.0, 0.5
+    for met, w, kt in reversed(mixed):
+        p = np.where(met, a + b * kt, p)
+        a, b = np.where(met, a + b * w * kt, a), np.where(met, b * (1 - w), b)
+    return np.log10(np.array([1 - p, p]).reshape(2, -1))
 
 
 class _Lookup:
@@ -342,12 +407,17 @@ class _Lookup:
         return self.values[at]
 
 
-def _score(docs: pa.Table, values: pa.Table, depth: int, total: int, kinds: int) -> pa.Table:
+def _score(docs: pa.Table, values: pa.Table, depth: int, top: int, buckets: int, total: int, kinds: int, ends: np.ndarray) -> pa.Table:
+    back = dict(zip(values.column("bucket").to_pylist(), zip(values.column("size").to_pylist(), values.column("value"))))
     look = []
-    for side in (True, False):
-        rows = [r for r in values.to_pylist() if r["word"] == side]
-        parts = [(unpacked(r["keys"], r["size"]), unpacked(r["value"], r["size"], float)) for r in rows]
-        look.append(_Lookup(*(np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0)), *parts))))
+    for word, tally in zip((True, False), _gathered(docs.column("text"), np.ones(len(docs), bool), depth)):
+        keys, dtype = tally.fold()[0], np.int64 if word else np.float32
+        order, cut = _dealt(word, keys, top, buckets)
+        value = np.zeros(len(keys), dtype)
+        for i in np.flatnonzero(np.diff(cut)):
+            size, data = back[-1 - i if word else i]
+            value[order[cut[i] : cut[i + 1]]] = unpacked(data.as_py(), size, dtype)
+        look.append(_Lookup(keys, value))
     rows = []
     for lo, buf, offs in chunks(docs.column("text")):
         w, n = Words(buf, offs), len(offs) - 1
@@ -355,10 +425,11 @@ def _score(docs: pa.Table, values: pa.Table, depth: int, total: int, kinds: int)
         row = np.r_[w.row, np.arange(n)]
         known = np.bincount(row, c > 0, n).astype(np.int64)
         base = np.bincount(row, np.log10((c + 1) / (total + kinds + 1)), n)
-        score = np.zeros(n)
+        before, last = _places(buf, offs)
+        score = ends[1][last]
         if len(buf):
-            g = look[1](grams(buf, offs, depth))
-            score = np.bincount(np.repeat(np.arange(n), np.diff(offs)), g, n)
+            g = look[1](grams(buf, offs, depth)) + ends[0][before]
+            score = score + np.bincount(np.repeat(np.arange(n), np.diff(offs)), g, n)
         rows.append((w.count + 1, known, base, score, np.diff(offs)))
     cols = [np.concatenate(c) for c in zip(*rows)]
     return pa.table([docs.column("doc_id"), docs.column("train"), pa.array(cols[0]), pa.array(cols[1]), pa.array(np.full(len(docs), total)), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4])], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
@@ -370,10 +441,12 @@ def scores(docs: DataFrame, train: Column, depth: int = DEPTH, block_bytes: int
     score / n_bytes * log2(10) is the code length in bits per byte, with the sign turned.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    d = written(d.mapInArrow(partial(_blocks, size=block_bytes), "doc_id long, text string, train boolean, block long"), "text-blocks")
-    top = min(depth, SHALLOW)
-    buckets = max(LEAST_BUCKETS, int(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
-    asked = written(d.select("text", "train", "block").mapInArrow(partial(_ask, depth=depth, top=top, buckets=buckets), PACKED), "asked")
+    on, end, size = end_counts(d)
+    top, buckets = min(depth, SHALLOW), max(LEAST_BUCKETS, size // BUCKET_BYTES)
+    files = min(MOST_FILES, max(LEAST_FILES, 2 * size // block_bytes))
+    d = bucketed(d.mapInArrow(partial(_blocks, size=block_bytes), "doc_id long, text string, train boolean, block long"), "text_blocks", files, "block")
+    asked = d.groupBy("block").applyInArrow(lambda t: _ask(t, depth, top, buckets), PACKED)
+    asked = bucketed(asked.repartition(min(MOST_FILES, buckets), "bucket"), "asked", min(MOST_FILES, buckets), "bucket")
     back, total, kinds = _weighted(asked, depth, top)
-    run = partial(_score, depth=depth, total=total, kinds=kinds)
-    return d.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda a, b: run(a, b), "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
+    run = partial(_score, depth=depth, top=top, buckets=buckets, total=total, kinds=kinds, ends=end_logs(on, end))
+    return d.groupBy("block").cogroup(back.drop("keys").groupBy("block")).applyInArrow(lambda a, b: run(a, b), "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
