@@ -1,140 +1,227 @@
-"""Language identification with interpolated Kneser-Ney character trigram models.
-
-Counts come from every training row. A model keeps, per language, sorted arrays of n-gram hashes with their log
-probabilities and back-off weights; 64 ** 3 trigrams bound it. The language of the lowest cross-entropy per character
-is chosen. Rejection is calibrated on the training rows: a text is `rejected` when its cross-entropy lies above the
-given quantile of its language's training texts.
-
-Text without a letter, empty or null is `und` with score 0. Rows with a null lang aren't learnt from. Without any
-training row every text is `und`. Ties go to the language that sorts first. An empty table gives an empty result.
+"""Language identification with interpolated Kneser-Ney character models.
+
+Models are over real code points of any script, lower-cased: n-grams of up to ORDER letters and marks within a word;
+whatever else stands between two words is one boundary. Counts, continuation counts, discounts and back-off weights
+come from every training row, in Spark. A model keeps per language and order a sorted array of 64-bit hashes with their
+probabilities, and one of contexts with their back-off weights. N-grams of a smaller share than LEAST_SHARE of their
+language's are left to the back-off, which bounds a model by 1 / LEAST_SHARE entries an order, however large the corpus.
+
+The language of the lowest cross-entropy per character is chosen. One in CALIBRATION of the training ids stays out of
+the counts; on these rows the temperature of the score is fitted, and a text is `rejected` when its cross-entropy lies
+MARGIN times as far above their median in its language as the given quantile does.
+
+Text without a letter, empty or null is `und` with score 0, and rejected. Rows with a null lang aren't learnt from.
+Without any training row every text is `und`; without calibration rows no other is rejected. Ties go to the language that
+sorts first. Repeated rows are told alike, an empty table gives an empty result, long texts cost in proportion. Columns
+other than doc_id, text and lang are left alone.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .alphabet import SIZE, codes
+from .bytescan import mix
 from .common import written
 
-REJECT_AT, TEMPERATURE = 0.9995, 1.0
+ORDER, LEAST_SHARE = 4, 2e-6
+REJECT_AT, MARGIN, CALIBRATION = 0.999, 1.5, 10
+TEMPERATURES = [2.0**k for k in range(11)]
 ROWS = 256
-
-
-def _grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigram codes, row of each, letters per row); runs of other characters count as one boundary."""
-    lens = np.array([len(t) + 2 if t else 2 for t in texts])
-    c = codes("\n\n".join(["", *(t or "" for t in texts), ""]))[1:-1]  # one boundary before, one after each
-    row = np.repeat(np.arange(len(texts)), lens)
-    letters = np.bincount(row[c > 0], minlength=len(texts))
-    keep = (c > 0) | (np.r_[1, c][: len(c)] > 0)
-    c, row = c[keep].astype(np.int64), row[keep]
-    before = np.r_[0, c][: len(c)]
-    before2 = np.r_[0, 0, c][: len(c)]
-    before2[before == 0] = 0  # nothing is seen across a boundary
-    use = (c > 0) | (before > 0)
-    return ((before2 << 12) + (before << 6) + c)[use], row[use], letters
+BOUNDARY = np.uint32(32)
+LETTER, MARK = 1, 2
+#: No letter is assigned beyond.
+_LAST = 0x33FFF
+_KIND = np.array([{"L": LETTER, "M": MARK}.get(unicodedata.category(chr(cp))[0], 0) for cp in range(_LAST)] + [0], np.uint8)
+_PLACE = mix(np.arange(1, ORDER + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols (the last first) of the n-gram that ends at each letter and at each word's end, its row, letters per row."""
+    low = [(t or "").lower() for t in texts]
+    cp = np.frombuffer("\n".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)[1:]
+    row = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
+    kind = _KIND[np.minimum(cp, _LAST)]
+    letters = np.bincount(row[kind == LETTER], minlength=len(low))
+    inside = kind > 0
+    keep = inside | np.r_[False, inside[:-1]][: len(inside)]
+    c, row = np.where(inside, cp, BOUNDARY)[keep], row[keep]
+    out = np.full((ORDER, len(c)), BOUNDARY, np.uint32)
+    out[0] = c
+    for j in range(1, ORDER):
+        out[j, j:] = c[: len(c) - j] if len(c) > j else []
+        if j > 1:
+            out[j][out[j - 1] == BOUNDARY] = BOUNDARY  # nothing is seen across a boundary
+    return out, row, letters
+
+
+def hashes(symbols: np.ndarray, start: int = 0) -> np.ndarray:
+    """One number for each column of symbols (the last symbol first); start 1 leaves place 0 out, for contexts."""
+    h = np.zeros(symbols.shape[1], np.uint64)
+    for j in range(start, len(symbols)):
+        h += symbols[j].astype(np.uint64) * _PLACE[j]
+    return mix(h)
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(lang, code, n) over docs (text, lang)."""
+    """(lang, gram, n): how often docs (text, lang) hold each gram of ORDER symbols, the last symbol last."""
     def run(batches):
-        total: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
+        size = 0
+
+        def out():
+            for lang, parts in held.items():
+                h, s, n = (np.concatenate(x, axis=-1) for x in zip(*parts))
+                _, first, inv = np.unique(h, return_index=True, return_inverse=True)
+                total = np.bincount(inv, n, len(first)).astype(np.int64)
+                strings = np.ascontiguousarray(s[::-1, first].T).view(f"<U{ORDER}").ravel().tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(strings), pa.string()), pa.array(strings, pa.string()), pa.array(total)], ["lang", "gram", "n"])
+            held.clear()
+
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = batch.column("text").to_pylist()
             for lang in set(langs):
                 mine = [texts[i] for i in np.flatnonzero(langs == lang)]
-                acc = total.setdefault(lang, np.zeros(SIZE**3, np.int64))
                 for i in range(0, len(mine), ROWS):
-                    acc += np.bincount(_grams(mine[i : i + ROWS])[0], minlength=SIZE**3)
-        for lang, acc in total.items():
-            at = np.flatnonzero(acc)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(acc[at])], ["lang", "code", "n"])
-
-    return docs.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def _discount(n: np.ndarray) -> float:
-    one, two = (n == 1).sum(), (n == 2).sum()
-    return float(one / (one + 2 * two)) if one and two else 0.5
+                    s, _, _ = grams(mine[i : i + ROWS])
+                    h, first, n = np.unique(hashes(s), return_index=True, return_counts=True)
+                    held.setdefault(lang, []).append((h, s[:, first], n))
+                    size += len(h)
+            if size > 1_000_000:
+                yield from out()
+                size = 0
+        yield from out()
+
+    known = docs.filter("lang is not null and text is not null").select("text", "lang")
+    return known.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def estimates(table: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(k, lang, gram, p, gamma): for each kept gram of k symbols its discounted probability and its context's back-off weight."""
+    out, level = [], table
+    for k in range(ORDER, 0, -1):
+        per = level.groupBy("lang").agg(F.sum("n").alias("all"), F.sum((F.col("n") == 1).cast("long")).alias("one"), F.sum((F.col("n") == 2).cast("long")).alias("two"))
+        d = F.when((F.col("one") > 0) & (F.col("two") > 0), F.col("one") / (F.col("one") + 2 * F.col("two"))).otherwise(0.5)
+        x = level.join(F.broadcast(per), "lang").select("lang", "gram", F.substring("gram", 1, k - 1).alias("ctx"), "n", (F.col("n") - d).alias("rest"), (F.col("n") >= least_share * F.col("all")).alias("keep"))
+        ctx = x.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("keep"), F.col("rest"))).alias("mass"))
+        x = x.filter("keep").join(ctx, ["lang", "ctx"])
+        out.append(x.select(F.lit(k).alias("k"), "lang", "gram", (F.col("rest") / F.col("total")).alias("p"), (1 - F.col("mass") / F.col("total")).alias("gamma")))
+        level = level.groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))  # continuations
+    return reduce(DataFrame.union, out)
+
+
+def _find(keys: np.ndarray, values: np.ndarray, at: np.ndarray, other) -> np.ndarray:
+    if not len(keys):
+        return np.broadcast_to(other, at.shape).astype(float)
+    i = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+    return np.where(keys[i] == at, values[i], other)
 
 
 class KneserNey:
-    """One language: sorted hashes of seen trigrams and bigrams with log probabilities, and context weights."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        order = np.argsort(code)
-        self.h3, n = code[order], n[order].astype(float)
-        d3 = _discount(n)
-        self.c2, first, inv = np.unique(self.h3 >> 6, return_index=True, return_inverse=True)
-        total = np.add.reduceat(n, first) if len(n) else np.zeros(0)
-        kinds = np.diff(np.r_[first, len(n)])
-        self.g3 = d3 * kinds / total
-        self.h2, n2 = np.unique(self.h3 & 0xFFF, return_counts=True)  # continuation counts
-        d2 = _discount(n2)
-        self.c1, first2, inv2 = np.unique(self.h2 >> 6, return_index=True, return_inverse=True)
-        total2 = np.add.reduceat(n2.astype(float), first2) if len(n2) else np.zeros(0)
-        self.g2 = d2 * np.diff(np.r_[first2, len(n2)]) / total2
-        n1 = np.bincount(self.h2 & 63, minlength=SIZE).astype(float)
-        d1 = 0.5
-        self.p1 = np.maximum(n1 - d1, 0) / max(n1.sum(), 1) + d1 * max((n1 > 0).sum(), 1) / max(n1.sum(), 1) / SIZE
-        self.p2 = np.maximum(n2 - d2, 0) / total2[inv2] + self.g2[inv2] * self.p1[self.h2 & 63]
-        self.p3 = np.maximum(n - d3, 0) / total[inv] + self.g3[inv] * self._p2(self.h3 & 0xFFF)
-
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, at: np.ndarray, other) -> np.ndarray:
-        i = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
-        return np.where(keys[i] == at, values[i], other)
-
-    def _p2(self, h: np.ndarray) -> np.ndarray:
-        return self._find(self.h2, self.p2, h, self._find(self.c1, self.g2, h >> 6, 1.0) * self.p1[h & 63])
-
-    def cost(self, h: np.ndarray) -> np.ndarray:
-        """-log2 p of trigrams."""
-        return -np.log2(self._find(self.h3, self.p3, h, self._find(self.c2, self.g3, h >> 6, 1.0) * self._p2(h & 0xFFF)))
+    """One language: for each order sorted hashes of n-grams with their probabilities, and of contexts with their weights."""
+
+    def __init__(self, levels: dict, kinds: int):
+        self.kinds, self.levels = kinds, []
+        for k in range(1, ORDER + 1):
+            grams_, p, gamma = levels.get(k, ([], np.zeros(0), np.zeros(0)))
+            s = np.array(grams_, f"<U{k}").view(np.uint32).reshape(-1, k).T[::-1]
+            p = p + gamma * self.probability(s[: k - 1] if k > 1 else s, k - 1)
+            h, ctx = hashes(s), hashes(s, 1)
+            order, (c, first) = np.argsort(h), np.unique(ctx, return_index=True)
+            self.levels.append((h[order], p[order], c, gamma[first]))
+
+    def probability(self, symbols: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Of the last symbols (row 0) after the others."""
+        if order == 0:
+            return np.full(symbols.shape[1], 1 / self.kinds)
+        h, p, c, gamma = self.levels[order - 1]
+        s = symbols[:order]
+        return _find(h, p, hashes(s), _find(c, gamma, hashes(s, 1), 1.0) * self.probability(symbols, order - 1))
 
 
 def models(table: DataFrame) -> dict[str, KneserNey]:
-    rows = table.toPandas()  # 64 ** 3 rows a language at most
-    return {lang: KneserNey(g["code"].to_numpy(), g["n"].to_numpy()) for lang, g in sorted(rows.groupby("lang"))}
-
-
-def entropies(docs: DataFrame, model: dict[str, KneserNey]) -> DataFrame:
-    """docs' columns but text, with lang_pred, entropy (bits a character), score."""
+    rows = estimates(table).toPandas()  # ORDER / LEAST_SHARE rows a language at most
+    kinds = rows[rows.k == 1].gram.nunique() + 1
+    return {lang: KneserNey({k: (x.gram.tolist(), x.p.to_numpy(), x.gamma.to_numpy()) for k, x in g.groupby("k")}, kinds) for lang, g in sorted(rows.groupby("lang"))}
+
+
+class _Costs:
+    """Sums of -log2 p over the n-grams of rows, by language. N-grams that were met stay in a table of 2 ** BITS places."""
+
+    BITS = 19
+
+    def __init__(self, held: list[KneserNey]):
+        self.models, self.keys = held, np.zeros(1 << self.BITS, np.uint64)
+        self.cost = np.zeros((len(held), 1 << self.BITS), np.float32)
+
+    def __call__(self, symbols: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        h = hashes(symbols)
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        new = np.flatnonzero(self.keys[slot] != h)
+        each = None
+        if len(new):
+            u, first, inv = np.unique(h[new], return_index=True, return_inverse=True)
+            each = np.array([-np.log2(m.probability(symbols[:, new[first]])) for m in self.models], np.float32)
+            self.keys[slot[new[first]]], self.cost[:, slot[new[first]]] = u, each
+        out = []
+        for i in range(len(self.models)):
+            c = self.cost[i][slot]
+            if each is not None:
+                c[new] = each[i][inv]
+            out.append(np.bincount(row, c, n))
+        return np.array(out)
+
+
+def entropies(docs: DataFrame, model: dict[str, KneserNey], temperature: float = 1.0, gaps: bool = False) -> DataFrame:
+    """docs' columns but text, with lang_pred, entropy (bits a character), score; gaps: nats between each language and the best."""
     langs, held = list(model), docs.sparkSession.sparkContext.broadcast(list(model.values()))
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches):
+        costs = _Costs(held.value)
         for batch in batches:
             for i in range(0, len(batch), ROWS):
                 part = batch.slice(i, ROWS)
-                h, row, letters = _grams(part.column("text").to_pylist())
+                s, row, letters = grams(part.column("text").to_pylist())
                 n = np.maximum(np.bincount(row, minlength=len(part)), 1)
-                there = np.flatnonzero(np.bincount(h, minlength=SIZE**3))
-                lut, cost = np.zeros(SIZE**3, np.float32), []
-                for m in held.value:
-                    lut[there] = m.cost(there)
-                    cost.append(np.bincount(row, lut[h], len(part)) / n)
                 known = (letters > 0) & bool(langs)
-                cost = np.array(cost or [np.zeros(len(part))])
-                best = cost.argmin(0)
-                low = cost.min(0)
-                share = 1 / np.exp2(-TEMPERATURE * np.minimum(n, 60) * (cost - low)).sum(0)
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in others], pa.array([langs[b] if k else "und" for b, k in zip(best, known)], pa.string()), pa.array(np.where(known, low, np.nan)), pa.array(np.where(known, share, 0.0))],
-                    [*others, "lang_pred", "entropy", "score"],
-                )
+                cost = costs(s, row, len(part)) if langs else np.zeros((1, len(part)))
+                best, low = cost.argmin(0), cost.min(0)
+                gap = (cost - low) * np.log(2)
+                cols = [pa.array([langs[b] if k else "und" for b, k in zip(best, known)], pa.string()), pa.array(np.where(known, low / n, np.nan)), pa.array(np.where(known, 1 / np.exp(-gap / temperature).sum(0), 0.0))]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], *cols, *([pa.array(gap.T.tolist(), pa.list_(pa.float64()))] if gaps else [])], [*others, "lang_pred", "entropy", "score", *["gaps"] * gaps])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("text").schema)
-    return docs.select(*others, "text").mapInArrow(run, f"{schema}, lang_pred string, entropy double, score double")
+    return docs.select(*others, "text").mapInArrow(run, f"{schema}, lang_pred string, entropy double, score double" + ", gaps array<double>" * gaps)
+
+
+def calibrated(rows: DataFrame, langs: list[str]) -> float:
+    """The temperature of the least log loss over rows (lang, gaps)."""
+    if not langs:
+        return 1.0
+    at = F.array_position(F.lit(langs), F.col("lang"))
+    losses = []
+    for t in TEMPERATURES:
+        total = F.aggregate("gaps", F.lit(0.0), lambda a, g: a + F.exp(-g / t))
+        losses.append(F.sum(F.log(total) + F.get("gaps", (at - 1).cast("int")) / t).alias(f"t{t}"))
+    loss = rows.filter(at > 0).agg(*losses).first()
+    return min(zip(loss, TEMPERATURES))[1] if loss[0] is not None else 1.0
 
 
 def identify(docs: DataFrame, train: Column, reject_at: float = REJECT_AT) -> DataFrame:
     """doc_id, trained (may have been learnt from), lang_pred, entropy, score, rejected for each row of docs (doc_id, text, lang)."""
-    d = docs.select("doc_id", "text", "lang", train.alias("trained"))
-    found = written(entropies(d.select("doc_id", "trained", "text"), models(counts(d.filter("trained")))), "languages")
-    limit = found.filter("trained and lang_pred <> 'und'").groupBy("lang_pred").agg(F.percentile_approx("entropy", reject_at, 1000).alias("_max"))
-    return found.join(limit, "lang_pred", "left").select("doc_id", "trained", "lang_pred", "entropy", "score", F.coalesce(F.col("entropy") > F.col("_max"), F.lit(True)).alias("rejected"))
+    d = docs.select("doc_id", "text", "lang", F.coalesce(train, F.lit(False)).alias("trained"))
+    apart = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0
+    model = models(written(counts(d.filter(F.col("trained") & ~apart)), "grams"))
+    held = written(entropies(d.filter(F.col("trained") & apart & F.col("lang").isNotNull()).select("lang", "text"), model, gaps=True), "calibration")
+    limit = held.filter("lang_pred <> 'und'").groupBy(F.col("lang_pred").alias("_lang")).agg(F.percentile_approx("entropy", [0.5, reject_at], 100_000).alias("_at"))
+    limit = limit.select("_lang", (F.col("_at")[0] + MARGIN * (F.col("_at")[1] - F.col("_at")[0])).alias("_max"))
+    found = entropies(d.select("doc_id", "trained", "text"), model, calibrated(held, list(model)))
+    found = found.join(F.broadcast(limit), F.col("lang_pred") == F.col("_lang"), "left")  # one row a language
+    return found.select("doc_id", "trained", "lang_pred", "entropy", "score", ((F.col("lang_pred") == "und") | F.coalesce(F.col("entropy") > F.col("_max"), F.lit(False))).alias("rejected"))

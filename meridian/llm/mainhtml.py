@@ -1,36 +1,96 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes blocks of text in page order. A classifier gives each block a cost of being content and one of being
-boilerplate, the capacities to the two terminals; blocks that follow each other, and more so if they share
-containers in the DOM, are joined by smoothness edges. The minimum cut, found by max-flow, labels the blocks.
-Neighbours in one container that lean the same way are one node of the graph, with summed capacities.
+A page becomes blocks of text in page order. A classifier gives each block log-odds of being content, the capacity to
+one terminal or the other. They are made of what its containers say (elements, class names; OUTSIDE, INSIDE, BOILER,
+CONTENT) and of its shape (length, share of links, punctuation, kind), whose weights are fitted: blocks whose containers
+speak clearly are the labelled rows, on about `max_pages` pages with the lowest hashes of page_id, and few rows shrink
+towards PRIOR. Blocks that follow each other are joined by smoothness edges, and DOM proximity by edges from each block
+to its container and from each container to the one around it. The minimum cut labels the blocks: nodes whose own
+capacity outweighs all their edges are settled first, in a queue, and max-flow decides the rest.
 
-Null and empty pages give an empty text. Unclosed and stray tags are tolerated, very long pages cost little more
-than a scan. A page without markup is one block of content. Repeated rows get equal texts.
+Null and empty pages give an empty text. Unclosed and stray tags are tolerated: an unclosed quote ends no later than
+the next `>`, a tag that is never closed ends the page. A page costs in proportion to its length but for max-flow over
+what its costs leave open. A page without markup is one block of content. Null ids and urls are kept. Repeated rows
+get equal texts; an empty table gives an empty result. Columns other than page_id, url and html are left alone.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|object|textarea|select|canvas|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+NAME = re.compile(r"<(/?)([A-Za-z][\w:-]*)")
+TAG = re.compile(r"((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 #: The elements of HTML by what they do to text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "ruby", "rt", "rp"}
 LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "figcaption", "td", "th", "tr", "ul", "ol", "dl", "table", "tbody", "thead", "caption"}
 CLOSES_P = LEAF - {"td", "th", "tr", "tbody", "thead", "caption", "li", "dt", "dd"} | {"div", "section", "article", "aside", "nav", "header", "footer", "main", "form", "figure", "hr", "address", "fieldset", "details"}
-OUTSIDE = {"nav": 8.0, "footer": 8.0, "aside": 8.0, "form": 8.0, "button": 8.0, "menu": 8.0, "dialog": 8.0, "head": 50.0, "header": 5.0}
-INSIDE = {"article": 5.0, "main": 4.0}
+RAW = {"script": "", "style": "", "template": "", "svg": "", "noscript": " ", "iframe": " ", "object": " ", "textarea": " ", "select": " ", "canvas": " ", "title": " "}
+CLOSING = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: What containers add to the log-odds of content, and how far all of them may go.
+OUTSIDE = {"nav": 4.0, "footer": 4.0, "aside": 4.0, "form": 4.0, "button": 4.0, "menu": 4.0, "dialog": 4.0, "head": 9.0, "header": 3.0}
+INSIDE = {"article": 2.5, "main": 2.0}
+NAMED_BOILER, NAMED_CONTENT, FARTHEST = 4.0, 1.5, 6.0
 BOILER = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|sidebar|side|widget|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w*|shar(?:e|ing)\w*|social|related|recommend\w*|breadcrumbs?|comments?\w*|respond|repl(?:y|ies)|disqus|discussion|login|signin|search|toolbar|pag(?:er|ination)|copyright|legal|complementary|contentinfo|navigation|alert|dialog|hidden)(?=$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(articlebody|article|post|entry|story|content|main|body|text)(?=$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
+#: Edges: to the next block in the same container and in another one, to the container, to the container around it.
+NEXT, ACROSS, HOME, AROUND = 1.0, 0.3, 0.7, 0.2
+#: Log-odds of shapes before any page was seen, worth STRENGTH rows; how far one may go; what fitted ones are scaled by.
+PRIOR = {"links0": 0.3, "links1": 0.0, "links2": -1.0, "links3": -2.5, "heading": 0.5, "ends1": 0.4, "ends0": -0.2}
+STRENGTH, LIMIT, SCALE, BIAS = 50.0, 2.0, 0.6, 0.5
+#: Containers' log-odds from which a block counts as labelled.
+CLEAR_CONTENT, CLEAR_BOILER = 2.0, -3.0
+MAX_PAGES = 5_000
+
+
+def tokens(page: str):
+    """(text, None, None, None) or ("", closing, element, attributes), in page order; what isn't shown is left out."""
+    i, n, quoted = 0, len(page), True
+    while i < n:
+        j = page.find("<", i)
+        if j != i:
+            yield page[i : j if j >= 0 else n], None, None, None
+            if j < 0:
+                return
+        if page.startswith("<!--", j):
+            k = page.find("-->", j + 4)
+            i = k + 3 if k >= 0 else n
+            continue
+        m = NAME.match(page, j)
+        if not m:
+            if page[j + 1 : j + 2] in ("!", "?", "/"):
+                k = page.find(">", j + 2)
+                i = k + 1 if k >= 0 else n
+            else:
+                yield "<", None, None, None
+                i = j + 1
+            continue
+        t = TAG.match(page, m.end()) if quoted else None
+        if t:
+            attrs, i = t[1], t.end()
+        else:
+            quoted = False  # from here on a tag ends at the next >
+            k = page.find(">", m.end())
+            if k < 0:
+                return
+            attrs, i = page[m.end() : k], k + 1
+        tag = m[2].lower()
+        if tag in RAW and not m[1] and not attrs.endswith("/"):
+            end = CLOSING[tag].search(page, i)
+            i = end.end() if end else n
+            if RAW[tag]:
+                yield " ", None, None, None
+            continue
+        yield "", bool(m[1]), tag, attrs
 
 
 def _weight(tag: str, attrs: str, inside: bool) -> float:
@@ -42,144 +102,247 @@ def _weight(tag: str, attrs: str, inside: bool) -> float:
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role", "itemprop"):
             if BOILER.search(value):
-                w -= 1.0 if tag in ("body", "html") else 9.0
+                w -= 1.0 if tag in ("body", "html") else NAMED_BOILER
             elif CONTENT.search(value) and tag not in INLINE:
-                w += 2.5
+                w += NAMED_CONTENT
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             w -= 9.0
     return w
 
 
-def blocks(page: str) -> list[tuple[str, float, tuple]]:
-    """(text, log-odds of content, containers) of each block, in page order."""
-    out, text, links, inside_link = [], [], 0, 0
-    stack: list[tuple[str, float, int]] = []  # tag, weight, serial
-    serial = 0
-    tag_of_block = ""
+class Block:
+    __slots__ = ("text", "container", "said", "shape")
+
+    def __init__(self, text: str, container: int, said: float, links: float, kind: str):
+        self.text, self.container, self.said = text, container, max(-FARTHEST, min(FARTHEST, said))
+        stops = sum(map(text.count, ".,;:!?"))
+        self.shape = (
+            f"long{min(len(text).bit_length(), 11)}", f"links{0 if links == 0 else 1 if links < 0.3 else 2 if links < 0.7 else 3}",
+            f"ends{int(text[-1] in '.!?:;\"\'»”')}", f"stops{min(stops.bit_length(), 4)}", kind,
+        )
+
+
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """The blocks, and the container around each container; 0 is the page."""
+    out: list[Block] = []
+    parents = [-1]
+    text: list[str] = []
+    links = size = 0
+    inside_link, kind = False, ""
+    # element, its container, the log-odds of all containers, whether one of them is INSIDE
+    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    open_: Counter = Counter()
 
     def flush():
-        nonlocal text, links
-        t = SPACE.sub(" ", html.unescape("".join(text))).strip()
-        if t:
-            odds = sum(w for _, w, _ in stack)
-            density = links / max(1, sum(map(len, text)))
-            odds += 0.5 + min(len(t), 200) / 200 - 3.0 * density + (0.5 if t[-1] in ".!?:;\"'»”" else 0.0)
-            if len(tag_of_block) == 2 and tag_of_block[0] == "h":
-                odds += 1.0
-            out.append((t, odds, tuple(s for tag, _, s in stack if tag not in INLINE and tag not in LEAF)))
-        text, links = [], 0
-
-    for m in TOKEN.finditer(page):
-        tag = m[3]
+        nonlocal text, links, size
+        if text:
+            t = SPACE.sub(" ", html.unescape("".join(text))).strip()
+            if t:
+                out.append(Block(t, stack[-1][1], stack[-1][2], links / max(1, size), kind or "other"))
+            text, links, size = [], 0, 0
+
+    def push(tag, w, container):
+        if container:
+            parents.append(stack[-1][1])
+        stack.append((tag, len(parents) - 1 if container else stack[-1][1], stack[-1][2] + w, stack[-1][3] or tag in INSIDE))
+        open_[tag] += 1
+
+    def pop():
+        open_[stack.pop()[0]] -= 1
+
+    for shown, closing, tag, attrs in tokens(page):
         if tag is None:
-            s = m[0]
-            if m[1] is None and (s[0] != "<" or s == "<"):
-                text.append(s)
-                if inside_link:
-                    links += len(s)
-            elif m[1] is not None and m[1].lower() not in ("svg", "script", "style", "template"):
-                text.append(" ")
+            text.append(shown)
+            size += len(shown)
+            if inside_link:
+                links += len(shown)
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
-                inside_link = 0 if m[2] else 1
-            if not m[2] and tag not in VOID and m[4]:
-                w = _weight(tag, m[4], False)
+                inside_link = not closing
+            if not closing and tag not in VOID and attrs:
+                w = _weight(tag, attrs, False)
                 if w:
                     flush()
-                    serial += 1
-                    stack.append((tag, w, serial))
-            elif m[2] and any(t == tag for t, _, _ in stack):
-                if stack[-1][0] == tag:
-                    flush()
-                    stack.pop()
+                    push(tag, w, False)
+            elif closing and stack[-1][0] == tag:
+                flush()
+                pop()
             continue
         flush()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            tag_of_block = ""
+        if closing:
+            if open_[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+            kind = ""
             continue
-        while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE) and tag in CLOSES_P:
-            stack.pop()
-        tag_of_block = tag
-        if tag in VOID or m[4].endswith("/") and tag not in LEAF:
+        while (stack[-1][0] == "p" or stack[-1][0] in INLINE) and tag in CLOSES_P:
+            pop()
+        kind = "heading" if len(tag) == 2 and tag[0] == "h" and tag != "hr" else tag if tag in LEAF else "other"
+        if tag in VOID or attrs.endswith("/") and tag not in LEAF:
             continue
-        if tag == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
+        if tag == "li" and stack[-1][0] == "li":
+            pop()
         if tag == "body":
-            stack = [x for x in stack if x[0] == "html"]
-        serial += 1
-        stack.append((tag, _weight(tag, m[4], any(t in INSIDE for t, _, _ in stack)), serial))
+            while stack[-1][0] not in ("", "html"):
+                pop()
+        push(tag, _weight(tag, attrs, stack[-1][3]), tag not in LEAF)
     flush()
-    return out
+    return out, parents
 
 
-def min_cut(costs: list[tuple[float, float]], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """True for nodes on the source side. costs: (capacity from the source, to the sink); edges work both ways."""
-    n = len(costs)
+def _flow(source: list[float], sink: list[float], edges: list[list[tuple[int, float]]]) -> list[bool]:
+    """The source side of a minimum cut by blocking flows along shortest paths. edges[u] has (v, capacity) both ways."""
+    n = len(source)
     cap: list[dict[int, float]] = [{} for _ in range(n + 2)]
     s, t = n, n + 1
-    for i, (a, b) in enumerate(costs):
-        cap[s][i], cap[i][s] = a, 0.0
-        cap[i][t], cap[t][i] = b, 0.0
-    for i, j, c in edges:
-        cap[i][j] = cap[i].get(j, 0.0) + c
-        cap[j][i] = cap[j].get(i, 0.0) + c
+    for u in range(n):
+        both = min(source[u], sink[u])
+        if source[u] > both:
+            cap[s][u], cap[u][s] = source[u] - both, 0.0
+        elif sink[u] > both:
+            cap[u][t], cap[t][u] = sink[u] - both, 0.0
+        for v, c in edges[u]:
+            cap[u][v] = cap[u].get(v, 0.0) + c
     while True:
-        prev = {s: s}
-        queue = deque([s])
-        while queue and t not in prev:
+        level, queue = {s: 0}, deque([s])
+        while queue:
             u = queue.popleft()
             for v, c in cap[u].items():
-                if c > 1e-9 and v not in prev:
-                    prev[v] = u
+                if c > 1e-9 and v not in level:
+                    level[v] = level[u] + 1
+                    queue.append(v)
+        if t not in level:
+            return [u in level for u in range(n)]
+        ways = {u: iter(list(cap[u])) for u in level}
+        path = [s]
+        while path:
+            u = path[-1]
+            if u == t:
+                least = min(cap[a][b] for a, b in zip(path, path[1:]))
+                cut = 0
+                for i, (a, b) in enumerate(zip(path, path[1:])):
+                    cap[a][b] -= least
+                    cap[b][a] = cap[b].get(a, 0.0) + least
+                    if not cut and cap[a][b] <= 1e-9:
+                        cut = i + 1
+                path = path[:cut]
+                continue
+            v = next((v for v in ways[u] if level.get(v, -1) == level[u] + 1 and cap[u][v] > 1e-9), None)
+            if v is None:
+                level[u] = -1
+                path.pop()
+            else:
+                path.append(v)
+                if v != t:
+                    ways[u] = _again(v, ways[u])
+
+
+def _again(v, rest):
+    yield v
+    yield from rest
+
+
+def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """True for nodes on the content side. odds: capacity to content where positive, to boilerplate where negative; edges work both ways."""
+    n = len(odds)
+    gain, around = list(odds), [[] for _ in range(n)]
+    for u, v, c in edges:
+        around[u].append((v, c))
+        around[v].append((u, c))
+    pull = [sum(c for _, c in x) for x in around]
+    label: list[bool | None] = [None] * n
+    queue = deque(range(n))
+    while queue:  # nodes that outweigh what is open around them
+        u = queue.popleft()
+        if label[u] is None and (gain[u] > pull[u] or -gain[u] > pull[u] or not pull[u]):
+            label[u] = gain[u] > 0
+            for v, c in around[u]:
+                if label[v] is None:
+                    gain[v] += c if label[u] else -c
+                    pull[v] = max(0.0, pull[v] - c) if pull[v] - c > 1e-9 else 0.0
                     queue.append(v)
-        if t not in prev:
-            return [i in prev for i in range(n)]
-        path, v = [], t
-        while v != s:
-            path.append((prev[v], v))
-            v = prev[v]
-        flow = min(cap[u][v] for u, v in path)
-        for u, v in path:
-            cap[u][v] -= flow
-            cap[v][u] += flow
-
-
-def main_text(page: str | None, smooth: float = 0.6, near: float = 0.4) -> str:
+    rest = [u for u in range(n) if label[u] is None]
+    if rest:
+        at = {u: i for i, u in enumerate(rest)}
+        found = _flow([max(gain[u], 0.0) for u in rest], [max(-gain[u], 0.0) for u in rest], [[(at[v], c) for v, c in around[u] if v in at] for u in rest])
+        for u, x in zip(rest, found):
+            label[u] = x
+    return label
+
+
+def block_odds(found: list[Block], model: dict[str, float]) -> list[float]:
+    return [b.said + BIAS + SCALE * sum(model.get(x, 0.0) for x in b.shape) for b in found]
+
+
+def labels(found: list[Block], parents: list[int], odds: list[float]) -> list[bool]:
+    """The labels of blocks by the minimum cut."""
+    n = len(found)
+    used: set[int] = set()
+    edges = []
+    for i, b in enumerate(found):
+        edges.append((i, n + b.container, HOME))
+        if i:
+            edges.append((i - 1, i, NEXT if found[i - 1].container == b.container else ACROSS))
+        c = b.container
+        while c >= 0 and c not in used:
+            used.add(c)
+            if parents[c] >= 0:
+                edges.append((n + c, n + parents[c], AROUND))
+            c = parents[c]
+    return min_cut([*odds, *[0.0] * len(parents)], edges)[:n]
+
+
+def main_text(page: str | None, model: dict[str, float] = PRIOR) -> str:
     """The content blocks of a page, joined by two line feeds."""
     if not page:
         return ""
-    found = blocks(page)
-    nodes: list[list] = []  # containers, summed capacities, blocks
-    for i, (_, odds, where) in enumerate(found):
-        if not (nodes and nodes[-1][0] == where and (nodes[-1][3] > 0) == (odds > 0)):
-            nodes.append([where, 0.0, 0.0, odds, []])
-        node = nodes[-1]
-        node[1 if odds > 0 else 2] += abs(odds)
-        node[4].append(i)
-    edges = []
-    for i in range(len(nodes) - 1):
-        a, b = nodes[i][0], nodes[i + 1][0]
-        shared = sum(x == y for x, y in zip(a, b))
-        edges.append((i, i + 1, smooth + near * shared / max(1, len(a), len(b))))
-    label = min_cut([(x[1], x[2]) for x in nodes], edges)
-    return "\n\n".join(found[i][0] for x, content in zip(nodes, label) if content for i in x[4])
+    found, parents = blocks(page)
+    return "\n\n".join(b.text for b, content in zip(found, labels(found, parents, block_odds(found, model))) if content)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def shapes(pages: DataFrame) -> DataFrame:
+    """(shape, content, boiler): how many clearly labelled blocks of pages (html) have a shape; "" counts all."""
+    def run(batches):
+        n: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        for batch in batches:
+            for page in batch.column("html").to_pylist():
+                for b in blocks(page or "")[0]:
+                    if b.said >= CLEAR_CONTENT or b.said <= CLEAR_BOILER:
+                        n[b.said > 0].update([*b.shape, ""])
+        keys = sorted({*n[True], *n[False]})
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([n[x][k] for k in keys], pa.int64()) for x in (True, False)]], ["shape", "content", "boiler"])
+
+    return pages.select("html").mapInArrow(run, "shape string, content long, boiler long").groupBy("shape").agg(F.sum("content").alias("content"), F.sum("boiler").alias("boiler"))
+
+
+def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> dict[str, float]:
+    """Log-odds of content for each shape, from about max_pages pages."""
+    n = pages.count()
+    if n > max_pages:
+        pages = pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(1 << 52)) < (max_pages << 52) // n)
+    seen = {r.shape: (r.content, r.boiler) for r in shapes(pages).collect()}  # some 30 shapes
+    good, bad = seen.pop("", (0, 0))
+    out = dict(PRIOR)
+    if good and bad:
+        for k, (c, b) in seen.items():
+            odds = math.log((c + 1) / (good + 2)) - math.log((b + 1) / (bad + 2))
+            out[k] = max(-LIMIT, min(LIMIT, ((c + b) * odds + STRENGTH * PRIOR.get(k, 0.0)) / (c + b + STRENGTH)))
+    return out
+
+
+def extract(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
+    model = fit(pages, max_pages)
+
     def run(batches):
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                texts = [main_text(h) for h in part.column("html").to_pylist()]
+                texts = [main_text(h, model) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

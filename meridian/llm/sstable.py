@@ -5,7 +5,8 @@ ids); then follow a sparse index (last key and offset of each block), a Bloom fi
 are 8 bytes that sort as the ids do. A file is written under a name of its own by each attempt of a task; the
 manifest, a written table, lists the files of the attempts that counted. Repeated keys stand side by side.
 
-Null and empty texts are documents of the end id alone. An empty table gives no shards and no rows.
+Null and empty texts are documents of the end id alone. A row without an id has no key and is left out. An empty table
+gives no shards and no rows. Columns other than doc_id and text are left alone.
 """
 
 from __future__ import annotations
@@ -152,7 +153,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1,
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a fixed 1.7 MB
-    d = docs.select(F.col("doc_id").cast("long"), "text")
+    d = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     if shards is None:
         chars = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(chars // SHARD_CHARS + 1, 2 * spark.sparkContext.defaultParallelism)

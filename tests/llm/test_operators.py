@@ -114,7 +114,7 @@ def test_token_counts_do_not_depend_on_blocks(spark, docs, tmp_path):
 def test_context_tree_scores_are_probabilities(spark):
     docs = spark.createDataFrame([(i, "ab" * 40 if i % 2 else "ba" * 40) for i in range(40)] + [(50, None), (51, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in ctw.scores(docs, F.col("doc_id") < 30).collect()}
-    assert got[50].score == 0 and got[50].n_tokens == 1 and got[35].score > got[35].n_bytes * -0.3
+    assert got[50].score == got[51].score < 0 and got[50].n_tokens == 1 and got[35].score > got[35].n_bytes * -0.3
     counts = spark.createDataFrame([(int.from_bytes(b"\0\0\0\0" + bytes([x]), "big"), 0 if x else 5) for x in range(256)], "key long, n long")
     assert sum(10**r.value for r in ctw.gram_scores(counts).collect()) == pytest.approx(1)
 
@@ -134,7 +134,7 @@ def test_pages_keep_the_article_only():
     page = "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><article><h1>Title &amp; more</h1><p>First  part<br>of it.<p>Second part of the text, long enough.</article><div class=comments><p>Nice article, thanks!</p></div><aside>Related</aside><footer>&copy; me</footer>"
     assert mainhtml.main_text(page) == "Title & more\n\nFirst part of it.\n\nSecond part of the text, long enough."
     assert mainhtml.main_text(None) == mainhtml.main_text("") == ""
-    assert mainhtml.min_cut([(3.0, 0.0), (0.0, 1.0), (0.0, 5.0)], [(0, 1, 2.0), (1, 2, 0.5)]) == [True, True, False]
+    assert mainhtml.min_cut([3.0, -1.0, -5.0], [(0, 1, 2.0), (1, 2, 0.5)]) == [True, True, False]
 
 
 def test_features_of_tokens_are_those_of_whole_texts():
@@ -190,11 +190,33 @@ def test_context_tree_of_six_bytes_matches_brute_force(spark):
             total += math.log10(p if full[i] >> (7 - j) & 1 else 1 - p)
         return total
 
+    ends = {}
+    for _, t, train in rows:
+        full = b"\0\0" + t.encode()
+        for i in range(2, len(full) + 1):
+            for k in range(3):
+                if train:
+                    ends.setdefault(full[i - k : i], [0, 0])[i == len(full)] += 1
+
+    def end_weight(c):
+        pe = log_kt(ends[c])
+        return pe if len(c) == 2 else math.log(0.5) + np.logaddexp(pe, sum(end_weight(x) for x in ends if len(x) == len(c) + 1 and x.endswith(c)))
+
+    def end_logp(full, i):
+        p, a, b = 0.5, 0.0, 1.0
+        for k in range(3):
+            if (c := full[i - k : i]) not in ends:
+                break
+            kt = (ends[c][1] + 0.5) / (sum(ends[c]) + 1)
+            w = math.exp(math.log(0.5) + log_kt(ends[c]) - end_weight(c)) if k < 2 else 1.0
+            p, a, b = a + b * kt, a + b * w * kt, b * (1 - w)
+        return math.log10(p if i == len(full) else 1 - p)
+
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     got = {r.doc_id: r.score for r in ctw.scores(docs, F.col("doc_id") < 8).collect()}
     for i, t, _ in rows:
         full = b"\0" * 6 + t.encode()
-        assert got[i] == pytest.approx(sum(logp(full, x) for x in range(6, len(full))), abs=1e-6)
+        assert got[i] == pytest.approx(sum(logp(full, x) for x in range(6, len(full))) + sum(end_logp(full, x) for x in range(6, len(full) + 1)), abs=2e-5)
 
 
 def test_near_duplicates_of_the_pipeline_reach_down_to_four_fifths(spark):
