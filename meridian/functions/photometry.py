@@ -43,6 +43,12 @@ def julian_year_to_mjd(year: Column) -> Column:
     return 51544.5 + (year - 2000) * 365.25
 
 
+def effective_mags(flag: Column) -> tuple[Column, Column]:
+    """Magnitudes of A and B with limits for what one survey alone has seen: flag 1 is A alone, 2 is B alone."""
+    limit = F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv])[F.col("band")]
+    return F.when(flag == 2, F.col("mag_limit")).otherwise(F.col("psf_mag")), F.when(flag == 1, limit).otherwise(F.col("mag"))
+
+
 def any_bit(flags: Column, *bits: int) -> Column:
     mask = 0
     for b in bits:
@@ -89,6 +95,16 @@ def mean_ra(a: Column, b: Column) -> Column:
     return (F.degrees(F.atan2(y, x)) + 360.0) % 360.0
 
 
+def propagated(ra: Column, dec: Column, pmra: Column, pmdec: Column, years: Column | float) -> tuple[Column, Column]:
+    """A position after proper motion (mas a year, unknown is none): a step in the tangent plane of the unit vector."""
+    a, d = F.radians(ra), F.radians(dec)
+    east, north = (F.coalesce(x, F.lit(0.0)) * years * (math.pi / 180 / 3.6e6) for x in (pmra, pmdec))
+    x = F.cos(d) * F.cos(a) - east * F.sin(a) - north * F.sin(d) * F.cos(a)
+    y = F.cos(d) * F.sin(a) + east * F.cos(a) - north * F.sin(d) * F.sin(a)
+    z = F.sin(d) + north * F.cos(d)
+    return (F.degrees(F.atan2(y, x)) + 360.0) % 360.0, F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))
+
+
 def healpix_nested(ra: Column, dec: Column, order: int) -> Column:
     """The nested pixel number of a position (Gorski et al. 2005)."""
     n = 1 << order

@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .spatial import radius_join
 
 
+PAIRS_A_CALL = 20_000
+
+
 def first_valid(value: str | Column, order: str | Column) -> Column:
     """The value that isn't NULL with the least order."""
     value = F.col(value) if isinstance(value, str) else value
@@ -29,16 +32,27 @@ def neighbour_count(df: DataFrame, id_col: str, radius: float, include_self: boo
     return n.select(id_col, (F.col("n") - (0 if include_self else 1)).alias("n_neighbours"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by a checkpoint in the folder that the cluster names."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets a temporary one."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One component: earlier rows claim later ones unless they are claimed themselves."""
+    """Whole components: earlier rows claim later ones unless they are claimed themselves."""
     order = sorted(set(zip(pdf.rank_i, pdf.i)) | set(zip(pdf.rank_j, pdf.j)))
     near: dict = {}
     for i, j in zip(pdf.i, pdf.j):
@@ -55,23 +69,24 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
 def merge_bands(df: DataFrame, id_col: str, rank: str, radius: float, on: tuple = ()) -> DataFrame:
     """member, owner: greedy merging in the order (rank, id). Rows without neighbours own themselves.
 
-    Pairs come from a radius join; their connected groups are small (a few sources within arc seconds), and
-    each is settled in order.
+    Pairs come from a radius join; their connected groups are small (a few sources within arc seconds). Groups are
+    settled in order, some PAIRS_A_CALL pairs of whole groups at a time.
     """
     a = df.select(F.col(id_col).alias("i"), F.col(rank).alias("rank_i"), *on, "ra", "dec")
     b = df.select(F.col(id_col).alias("j"), F.col(rank).alias("rank_j"), *on, F.col("ra").alias("ra2"), F.col("dec").alias("dec2"))
     later = (F.col("rank_i") < F.col("rank_j")) | ((F.col("rank_i") == F.col("rank_j")) & (F.col("i") < F.col("j")))
     pairs = radius_join(a, b, radius, on=on).filter(later).select("i", "rank_i", "j", "rank_j")
-    pairs = _kept(pairs)
+    pairs = kept(pairs)
     edges = pairs.select(F.col("i").alias("u"), F.col("j").alias("v")).union(pairs.select(F.col("j").alias("u"), F.col("i").alias("v")))
     root, mark = edges.select("u", F.col("u").alias("root")).distinct(), None
     while True:  # groups span a few radii, so a few steps settle them
         seen = edges.join(root.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("root").alias("m"))
-        root = _kept(root.join(seen, "u").select("u", F.least("root", "m").alias("root")))
+        root = kept(root.join(seen, "u").select("u", F.least("root", "m").alias("root")))
         now = root.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == mark:
             break
         mark = now
-    settled = pairs.join(root, F.col("i") == F.col("u")).groupBy("root").applyInPandas(_greedy, "member long, owner long")
+    bucket = F.pmod(F.xxhash64("root"), F.lit(pairs.count() // PAIRS_A_CALL + 1))
+    settled = pairs.join(root, F.col("i") == F.col("u")).groupBy(bucket.alias("bucket")).applyInPandas(_greedy, "member long, owner long")
     alone = df.select(F.col(id_col).cast("long").alias("member")).join(settled.select("member"), "member", "left_anti")
     return settled.union(alone.select("member", F.col("member").alias("owner")))

@@ -4,32 +4,55 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 LOW, HIGH = 0.0013498980316301035, 0.9986501019683699  # the normal distribution at -3 and 3
+ONE = (0.15865525393145707, 0.8413447460685429)  # at -1 and 1
 CENTRES = (14.0, 24.0, 0.25)
+#: Deviations beyond which a row adds less than 1e-13 of its peak to a grid point and is left out there.
+REACH = 8.0
 
 
 def kde_envelope(df: DataFrame, points: int = 1000, half_width: float = 0.5) -> DataFrame:
     """(band, c, d, density): mean of N(dmag, err) over the rows within half_width of each magnitude centre.
 
-    A row goes to its four centres or fewer and to all grid points; sums are combined per task, so what
-    is shuffled is a grid per band.
+    A row goes to its four centres or fewer. Each task adds its rows up on one grid for each band and centre and sends
+    that, so what is shuffled doesn't grow with the rows. Centres with one row or none have no grid.
     """
     lo, hi, step = CENTRES
-    first, last = F.ceil((F.col("mag") - half_width - lo) / step), F.floor((F.col("mag") + half_width - lo) / step)
-    n = int((hi - lo) / step)
-    near = df.withColumn("ci", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.greatest(F.least(last, F.lit(n - 1)), F.greatest(first, F.lit(0))).cast("int"))))
-    near = near.withColumn("c", lo + F.col("ci") * step).filter((F.col("ci") < n) & (F.abs(F.col("mag") - F.col("c")) < half_width))
-    width = 10.0 / (points - 1)
-    grid = near.withColumn("di", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    z = (-5.0 + F.col("di") * width - F.col("dmag")) / F.col("err")
-    return grid.groupBy("band", "c", "di").agg(F.avg(F.exp(-0.5 * z * z) / (F.col("err") * math.sqrt(2 * math.pi))).alias("density"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "c", (-5.0 + F.col("di") * width).alias("d"), "density")
-
-
-def envelope_percentiles(grid: DataFrame) -> DataFrame:
+    n, width = int(round((hi - lo) / step)), 10.0 / (points - 1)
+    x = -5.0 + np.arange(points) * width
+
+    def add(batches):
+        grids: dict[tuple[str, int], list] = {}
+        for batch in batches:
+            band = np.array(batch.column("band").to_pylist(), object)
+            mag, d, e = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("mag", "dmag", "err"))
+            first = np.ceil((mag - half_width - lo) / step).astype(int)
+            for k in range(int(2 * half_width / step) + 1):
+                ci = first + k
+                near = (ci >= 0) & (ci < n) & (np.abs(mag - (lo + ci * step)) < half_width)
+                for b in set(band[near]):
+                    for c in np.unique(ci[near & (band == b)]):
+                        at = np.flatnonzero(near & (band == b) & (ci == c))
+                        grid = grids.setdefault((b, int(c)), [np.zeros(points), 0])
+                        for i in range(0, len(at), 2048):
+                            j = at[i : i + 2048, None]
+                            grid[0] += (np.exp(-0.5 * ((x - d[j]) / e[j]) ** 2) / (e[j] * math.sqrt(2 * math.pi))).sum(0)
+                        grid[1] += len(at)
+        for (b, c), (total, rows) in grids.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b] * points), pa.array([c] * points, pa.int32()), pa.array(range(points), pa.int32()), pa.array(total), pa.array([rows] * points, pa.int64())], ["band", "ci", "di", "total", "rows"])
+
+    known = df.select("band", F.col("mag").cast("double"), F.col("dmag").cast("double"), F.col("err").cast("double")).dropna()
+    sums = known.mapInArrow(add, "band string, ci int, di int, total double, rows long").groupBy("band", "ci", "di").agg(F.sum("total").alias("total"), F.sum("rows").alias("rows"))
+    return sums.filter("rows > 1").select("band", (lo + F.col("ci") * step).alias("c"), (-5.0 + F.col("di") * width).alias("d"), (F.col("total") / F.col("rows")).alias("density"))
+
+
+def envelope_percentiles(grid: DataFrame, least: float = LOW, most: float = HIGH) -> DataFrame:
     """(band, c, low, high): where the cumulative density passes the two percentiles, by linear interpolation."""
     w = Window.partitionBy("band", "c").orderBy("d")
     cum = grid.withColumn("cdf", F.sum("density").over(w) / F.sum("density").over(Window.partitionBy("band", "c")))
@@ -37,24 +60,63 @@ def envelope_percentiles(grid: DataFrame) -> DataFrame:
     def at(p):
         inside = (F.col("cdf") >= p) & (F.coalesce("cdf0", F.lit(-1.0)) < p)
         return F.min(F.when(inside, F.coalesce(F.col("d0") + (F.col("d") - F.col("d0")) * (p - F.col("cdf0")) / (F.col("cdf") - F.col("cdf0")), F.col("d"))))
-    return cum.groupBy("band", "c").agg(at(LOW).alias("low"), at(HIGH).alias("high"))
+    return cum.groupBy("band", "c").agg(at(least).alias("low"), at(most).alias("high"))
 
 
 def big_differences(df: DataFrame, bounds: DataFrame) -> DataFrame:
-    """df with low, high (interpolated over magnitude) and big: whether dmag lies outside."""
-    lo, _, step = CENTRES
+    """df with low, high (interpolated over magnitude, the outermost centres holding beyond) and big: whether dmag lies outside.
+
+    Between two centres both must have bounds, else nothing is big.
+    """
+    lo, hi, step = CENTRES
+    n = int(round((hi - lo) / step))
     b = F.broadcast(bounds.withColumn("ci", F.round((F.col("c") - lo) / step).cast("int")))  # 40 rows a band
-    i = F.floor((F.col("mag") - lo) / step).cast("int")
-    one, two = b.select(F.col("band").alias("_b1"), F.col("ci").alias("_c1"), F.col("low").alias("l1"), F.col("high").alias("h1")), b.select(F.col("band").alias("_b2"), F.col("ci").alias("_c2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    j = df.withColumn("_i", i).join(one, (F.col("band") == F.col("_b1")) & (F.col("_i") == F.col("_c1")), "left").join(two, (F.col("band") == F.col("_b2")) & (F.col("_i") + 1 == F.col("_c2")), "left")
-    t = (F.col("mag") - lo) / step - F.col("_i")
-    j = j.withColumn("low", F.col("l1") + t * (F.coalesce("l2", "l1") - F.col("l1"))).withColumn("high", F.col("h1") + t * (F.coalesce("h2", "h1") - F.col("h1")))
-    return j.withColumn("big", F.coalesce((F.col("dmag") < F.col("low")) | (F.col("dmag") > F.col("high")), F.lit(False))).drop("_i", "_b1", "_c1", "_b2", "_c2", "l1", "h1", "l2", "h2")
+    place = F.greatest(F.lit(0.0), F.least(F.lit(n - 1.0), (F.col("mag") - lo) / step))
+    i = F.least(F.floor(place), F.lit(n - 2)).cast("int")
+    one, two = (b.select(F.col("band").alias(f"_b{k}"), F.col("ci").alias(f"_c{k}"), F.col("low").alias(f"l{k}"), F.col("high").alias(f"h{k}")) for k in (1, 2))
+    j = df.withColumn("_t", place - i).withColumn("_i", i)
+    j = j.join(one, (F.col("band") == F.col("_b1")) & (F.col("_i") == F.col("_c1")), "left").join(two, (F.col("band") == F.col("_b2")) & (F.col("_i") + 1 == F.col("_c2")), "left")
+    def at(x):
+        return F.when(F.col("_t") == 0, F.col(f"{x}1")).when(F.col("_t") == 1, F.col(f"{x}2")).otherwise(F.col(f"{x}1") + F.col("_t") * (F.col(f"{x}2") - F.col(f"{x}1")))
+    j = j.withColumn("low", at("l")).withColumn("high", at("h"))
+    return j.withColumn("big", F.coalesce((F.col("dmag") < F.col("low")) | (F.col("dmag") > F.col("high")), F.lit(False))).drop("_t", "_i", "_b1", "_c1", "_b2", "_c2", "l1", "h1", "l2", "h2")
+
+
+def cached_envelopes(df: DataFrame, path: str) -> DataFrame:
+    """The envelopes of a field stored at path; computed and stored where there are none, or not for all bands of df."""
+    spark = df.sparkSession
+    wanted = {r[0] for r in df.select("band").distinct().collect()}  # bands
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        stored = spark.read.parquet(path)
+        if wanted <= {r[0] for r in stored.select("band").distinct().collect()}:
+            return stored
+    kde_envelope(df).write.mode("overwrite").partitionBy("band").parquet(path)
+    return spark.read.parquet(path)
+
+
+def weighted_kde(df: DataFrame, centres: list[float], bandwidth: float = 1.0, points: int = 21) -> DataFrame:
+    """(band, c, d, density): Gaussian kernel density of dmag at magnitude c, rows weighted by exp(-((mag - c) / (bandwidth / 2)) ** 2 / 2).
+
+    Silverman's rule gives the kernel from the effective number of rows. Rows beyond 8 deviations, which weigh less than
+    1e-13, are left out.
+    """
+    near = df.withColumn("c", F.explode(F.array(*map(F.lit, centres))))
+    z = (F.col("mag") - F.col("c")) / (bandwidth / 2)
+    near = near.filter(F.abs(z) <= REACH).select("band", "c", "dmag", F.exp(-0.5 * z * z).alias("w"))
+    w, x = F.col("w"), F.col("dmag")
+    s = near.groupBy("band", "c").agg(F.sum(w).alias("sw"), F.sum(w * w).alias("sw2"), (F.sum(w * x) / F.sum(w)).alias("mu"))
+    spread = near.join(s, ["band", "c"]).groupBy("band", "c", "sw", "sw2").agg(F.sum(w * (x - F.col("mu")) * (x - F.col("mu"))).alias("ss"))
+    neff = F.col("sw") * F.col("sw") / F.col("sw2")
+    var = F.col("ss") / F.col("sw") / (1 - 1 / neff) * F.pow(neff * 0.75, F.lit(-0.4))
+    spread = spread.filter(neff > 1).select("band", "c", "sw", var.alias("var")).filter("var > 0")
+    grid = F.explode(F.array(*[F.lit(-5.0 + 10.0 * i / (points - 1)) for i in range(points)])).alias("d")
+    g = near.select("*", grid).join(spread, ["band", "c"])
+    dev = F.col("d") - x
+    return g.groupBy("band", "c", "d").agg(F.sum(w / F.col("sw") * F.exp(-0.5 * dev * dev / F.col("var")) / F.sqrt(2 * math.pi * F.col("var"))).alias("density"))
 
 
 GRID = ((11.0, 25.0), (-5.0, 5.0), 100)
-#: Deviations beyond which a row adds less than 1e-13 of its peak to a grid point and is left out there.
-REACH = 8.0
 
 
 def kde2d_grid(df: DataFrame, by: list[str]) -> DataFrame:

@@ -58,15 +58,32 @@ def epoch_split(df: DataFrame, by: list[str], gap: float) -> DataFrame:
     return df.withColumn("_new", new).withColumn("epoch_no", F.sum("_new").over(w)).drop("_new")
 
 
-def anchored_windows(df: DataFrame, by: list[str], width: float) -> DataFrame:
-    """Mean time and flux of windows [t0, t0 + width) anchored on the first epoch not yet used.
+def anchored(df: DataFrame, by: list[str], width: float, closed: bool = False) -> DataFrame:
+    """df with t0, the start of its window [t0, t0 + width), or [t0, t0 + width] if closed; windows start at the first epoch not yet used.
 
-    The epochs of one series are folded in order; a series is bounded by how often a survey visits one source.
+    Of a series only the times go through the fold, which grows by one place a window; epochs find their window by order.
     """
-    series = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("jd", "event_id", "flux"))).alias("e"))
-    zero = F.struct(F.lit(float("-inf")).alias("t0"), F.expr("array()").cast("array<struct<t0:double,jd:double,flux:double>>").alias("rows"))
-    def step(acc, e):
-        t0 = F.when(e["jd"] < acc["t0"] + width, acc["t0"]).otherwise(e["jd"])
-        return F.struct(t0.alias("t0"), F.concat(acc["rows"], F.array(F.struct(t0.alias("t0"), e["jd"].alias("jd"), e["flux"].alias("flux")))).alias("rows"))
-    rows = series.select(*by, F.inline(F.aggregate("e", zero, step, lambda acc: acc["rows"])))
-    return rows.groupBy(*by, "t0").agg(F.avg("jd").alias("mean_jd"), F.avg("flux").alias("mean_flux"), F.count(F.lit(1)).alias("n"))
+    times = df.groupBy(*by).agg(F.array_sort(F.collect_list("jd")).alias("_e"))
+    last = F.lit(float("-inf"))
+
+    def step(starts: Column, t: Column) -> Column:
+        end = F.coalesce(F.element_at(starts, -1), last) + width
+        return F.when((t <= end) if closed else (t < end), starts).otherwise(F.concat(starts, F.array(t)))
+
+    starts = times.select(*by, F.explode(F.aggregate("_e", F.array().cast("array<double>"), lambda a, t: F.when(F.size(a) == 0, F.array(t)).otherwise(step(a, t)))).alias("jd"))
+    both = df.withColumn("_s", F.lit(None).cast("double")).unionByName(starts.withColumn("_s", F.col("jd")), allowMissingColumns=True).withColumn("_row", F.when(F.col("_s").isNull(), 1).otherwise(0))
+    w = Window.partitionBy(*by).orderBy("jd", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("t0", F.last("_s", ignorenulls=True).over(w)).filter("_row = 1").drop("_s", "_row")
+
+
+def anchored_windows(df: DataFrame, by: list[str], width: float) -> DataFrame:
+    """Mean time and flux of windows [t0, t0 + width) anchored on the first epoch not yet used."""
+    return anchored(df, by, width).groupBy(*by, "t0").agg(F.avg("jd").alias("mean_jd"), F.avg("flux").alias("mean_flux"), F.count(F.lit(1)).alias("n"))
+
+
+def same_night(df: DataFrame, by: list[str], days: float = 1.0) -> DataFrame:
+    """Rows up to `days` after the first row of a window, but at another time, are merged with it; ties with it stand alone."""
+    first = F.row_number().over(Window.partitionBy(*by, "t0", "jd").orderBy("event_id"))
+    d = anchored(df, by, days, closed=True).withColumn("_tie", F.when(F.col("jd") == F.col("t0"), first).otherwise(1))
+    n = F.count(F.lit(1))
+    return d.groupBy(*by, "t0", "_tie").agg(F.avg("jd").alias("jd"), F.avg("flux").alias("flux"), (F.sqrt(F.sum(F.col("flux_unc") * F.col("flux_unc"))) / n).alias("flux_unc"), n.alias("n")).drop("t0", "_tie")

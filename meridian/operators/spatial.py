@@ -27,6 +27,13 @@ def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     return 2.0 * F.asin(F.least(F.sqrt(d2) / 2.0, F.lit(1.0))) * ARCSEC
 
 
+def in_box(ra: tuple[float, float], dec: tuple[float, float], buffer: float = 0.0) -> Column:
+    """Whether ra and dec lie in a box widened by buffer degrees; a box from 359 to 1 goes through 0."""
+    lo, hi = (ra[0] - buffer) % 360.0, (ra[1] + buffer) % 360.0
+    x = F.col("ra")
+    return (x.between(lo, hi) if lo <= hi else (x >= lo) | (x <= hi)) & F.col("dec").between(dec[0] - buffer, dec[1] + buffer)
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius: float, left_pos=("ra", "dec"), right_pos=("ra2", "dec2"), on: tuple = (), how: str = "inner") -> DataFrame:
     """All pairs within `radius` arc seconds, with `sep`. Columns of the two sides must differ, but for those in `on`."""
     chord = 2.0 * math.sin(radius / ARCSEC / 2.0)
@@ -78,3 +85,44 @@ def cross_match(a: DataFrame, b: DataFrame, radius: float, a_id: str, b_id: str,
     m = nearest(a, b, radius, a_id, b_id, on)
     matched = a.join(m, [a_id, *on], "left").withColumn("catalog_flag", F.when(F.col(b_id).isNull(), 1).otherwise(0))
     return matched.unionByName(b.join(m.select(b_id).distinct(), b_id, "left_anti").withColumn("catalog_flag", F.lit(2)), allowMissingColumns=True)
+
+
+def overwritten_match(left: DataFrame, right: DataFrame, least: float, most: float, left_id: str, right_id: str, exempt: tuple[str, ...] = ()) -> DataFrame:
+    """All left rows, with right_id where the nearest right row is more than `least` and up to `most` arc seconds away.
+
+    In matched rows a column that both sides have, but for exempt ones, is the right side's, if any matched row has a
+    value in it there; else it stays as it is. right has its position as ra2, dec2.
+    """
+    shared = [x for x in right.columns if x in left.columns and x not in exempt]
+    other = right.select(right_id, "ra2", "dec2", *[F.col(x).alias(f"_r_{x}") for x in shared])
+    near = nearest(left.select(left_id, "ra", "dec"), other, most, left_id, right_id).filter(F.col("sep") > least).drop("ra2", "dec2")
+    counts = near.agg(*[F.count(f"_r_{x}").alias(x) for x in shared]).first() if shared else {}
+    j = left.join(near, left_id, "left")
+    use = {x: F.when(F.col(right_id).isNotNull(), F.col(f"_r_{x}")).otherwise(F.col(x)) for x in shared if counts[x]}
+    return j.withColumns(use).drop(*[f"_r_{x}" for x in shared]) if use else j.drop(*[f"_r_{x}" for x in shared])
+
+
+def in_ranges(points: DataFrame, boxes: DataFrame, degrees: float = 1.0) -> DataFrame:
+    """points (ra, dec) joined with the boxes (ra_lo, ra_hi, dec_lo, dec_hi; ra_hi beyond 360 goes through 0) that hold them.
+
+    A box is entered in all cells of `degrees` by `degrees` that it touches, so points meet only what is near.
+    """
+    n = int(360 / degrees)
+    cells = boxes.withColumn("_y", F.explode(F.sequence(F.floor(F.col("dec_lo") / degrees), F.floor(F.col("dec_hi") / degrees))))
+    x = F.transform(F.sequence(F.floor(F.col("ra_lo") / degrees), F.floor(F.col("ra_hi") / degrees)), lambda v: F.pmod(v, F.lit(n)))
+    cells = cells.withColumn("_x", F.explode(F.array_distinct(x)))
+    p = points.withColumn("_x", F.pmod(F.floor(F.col("ra") / degrees), F.lit(n))).withColumn("_y", F.floor(F.col("dec") / degrees))
+    inside = F.col("ra").between(F.col("ra_lo"), F.col("ra_hi")) | (F.col("ra") + 360.0).between(F.col("ra_lo"), F.col("ra_hi"))
+    return p.join(cells, ["_x", "_y"]).filter(inside & F.col("dec").between(F.col("dec_lo"), F.col("dec_hi"))).drop("_x", "_y")
+
+
+def within(left: DataFrame, right: DataFrame, tolerances: dict[tuple[str, str], float]) -> DataFrame:
+    """Pairs whose named columns (left, right) differ by less than the tolerances; the first is also hashed into cells."""
+    (a, b), t = next(iter(tolerances.items()))
+    width = 4 * t
+    lc = left.withColumn("_w", F.floor(F.col(a) / width))
+    rc = right.withColumn("_w", F.explode(F.sequence(F.floor((F.col(b) - t) / width), F.floor((F.col(b) + t) / width))))
+    j = lc.join(rc, "_w")
+    for (x, y), tol in tolerances.items():
+        j = j.filter(F.abs(F.col(x) - F.col(y)) < tol)
+    return j.drop("_w")

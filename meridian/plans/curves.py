@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..operators import density, lightcurve
+from ..operators import dedup, density, filters, lightcurve, spatial
+from .groups import _PASS, CHAIN
 from .registry import query
 
 c = F.col
@@ -61,24 +64,12 @@ def window3d_collapse(t):
     return lightcurve.anchored_windows(t.epochs, ["source_id"], 3.0).select("source_id", r6(c("t0")).alias("t0"), r6(c("mean_jd")).alias("mean_jd"), r6(c("mean_flux")).alias("mean_flux"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source_id, band, jd, event_id, flux, flux_unc, row_number() OVER (PARTITION BY source_id, band ORDER BY jd, event_id) AS i FROM epochs),
+w AS (SELECT source_id, band, i, jd, flux, flux_unc, jd AS t0, 0 AS tie FROM o WHERE i = 1 UNION ALL SELECT o.source_id, o.band, o.i, o.jd, o.flux, o.flux_unc, CASE WHEN o.jd <= w.t0 + 1 THEN w.t0 ELSE o.jd END, CASE WHEN o.jd = w.t0 THEN o.i ELSE 0 END FROM w JOIN o ON o.source_id = w.source_id AND o.band = w.band AND o.i = w.i + 1)
+SELECT source_id, band, round(avg(jd), 6) AS jd, round(avg(flux), 6) AS flux, round(sqrt(sum(flux_unc * flux_unc)) / count(*), 6) AS flux_unc, count(*) AS n FROM w GROUP BY source_id, band, t0, tie""")
 def same_night_collapse(t):
     """Greedy: from the first row of a band on, rows within a day, but at another time, are merged with it."""
-    def greedy(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["jd", "event_id"])
-        rows = list(zip(pdf.jd, pdf.flux, pdf.flux_unc))
-        out = []
-        while rows:
-            t0 = rows[0][0]
-            same = [rows[0], *(x for x in rows[1:] if 0 < abs(x[0] - t0) <= 1)]
-            rows = [x for x in rows[1:] if not 0 < abs(x[0] - t0) <= 1]
-            n = len(same)
-            out.append((pdf.source_id.iloc[0], pdf.band.iloc[0], sum(x[0] for x in same) / n, sum(x[1] for x in same) / n, sum(x[2] ** 2 for x in same) ** 0.5 / n, n))
-        return pd.DataFrame(out, columns=["source_id", "band", "jd", "flux", "flux_unc", "n"])
-
-    return t.epochs.select("source_id", "band", "jd", "event_id", "flux", "flux_unc").groupBy("source_id", "band").applyInPandas(greedy, "source_id long, band string, jd double, flux double, flux_unc double, n long")
+    return lightcurve.same_night(t.epochs, ["source_id", "band"]).select("source_id", "band", *[r6(c(x)).alias(x) for x in ("jd", "flux", "flux_unc")], "n")
 
 
 @query("SELECT event_id, round(jd - first_value(jd) OVER (PARTITION BY source_id ORDER BY flux DESC, event_id), 6) AS dt FROM epochs")
@@ -116,12 +107,24 @@ def bands_present(t):
     return t.epochs.groupBy("source_id").agg(F.concat_ws(",", F.array_intersect(order, F.collect_set("band"))).alias("bands"))
 
 
-@query("SELECT source_id, CAST(floor(jd) AS BIGINT) AS night, round(max(flux) FILTER (WHERE band = 'g'), 6) AS G, round(max(flux) FILTER (WHERE band = 'r'), 6) AS R FROM epochs WHERE band IN ('g', 'r') GROUP BY ALL")
+#: What surveys call their filters, and the band of each.
+FILTER_IDS = {"ptf": {"1": "G", "2": "R"}, "panstarr": {"1": "g", "2": "r", "3": "i", "4": "z", "5": "y"}, "ztf": {"zg": "g", "zr": "r", "zi": "i"}}
+_IDS = """s AS (SELECT source_id, jd, flux, CASE source_id % 3 WHEN 0 THEN 'ztf' WHEN 1 THEN 'panstarr' ELSE 'ptf' END AS survey, band, event_id FROM epochs),
+n AS (SELECT source_id, jd, flux, survey, CASE survey WHEN 'ztf' THEN 'z' || band WHEN 'panstarr' THEN CAST(event_id % 5 + 1 AS VARCHAR) ELSE CAST(event_id % 2 + 1 AS VARCHAR) END AS fid FROM s),
+m(survey, fid, name) AS (VALUES """ + ", ".join(f"('{x}', '{i}', '{n}')" for x, ids in FILTER_IDS.items() for i, n in ids.items()) + ")"
+_NAMES = ("G", "R", "g", "r", "i", "z", "y")
+_SHOWN = {"G": "ptf_G", "R": "ptf_R"} | {b: f"{b}_flux" for b in "grizy"}
+
+
+@query(f"WITH {_IDS} SELECT source_id, survey, CAST(floor(jd) AS BIGINT) AS night, {', '.join(f'round(max(flux) FILTER (WHERE name = {chr(39)}{n}{chr(39)}), 6) AS {_SHOWN[n]}' for n in _NAMES)} FROM n JOIN m USING (survey, fid) GROUP BY ALL")
 def pivot_filter_id(t):
-    ids = t.epochs.withColumn("fid", F.when(c("band") == "g", 1).when(c("band") == "r", 2)).filter("fid is not null")
-    named = ids.withColumn("name", F.create_map(F.lit(1), F.lit("G"), F.lit(2), F.lit("R"))[c("fid")])
-    p = named.groupBy("source_id", F.floor("jd").alias("night")).pivot("name", ["G", "R"]).agg(F.max("flux"))
-    return p.select("source_id", "night", r6(c("G")).alias("G"), r6(c("R")).alias("R"))
+    """Filters by their numbers or codes in three surveys, as columns of bands."""
+    survey = F.element_at(F.array(*map(F.lit, ("ztf", "panstarr", "ptf"))), (c("source_id") % 3 + 1).cast("int"))
+    e = t.epochs.withColumn("survey", survey)
+    fid = F.when(c("survey") == "ztf", F.concat(F.lit("z"), "band")).when(c("survey") == "panstarr", (c("event_id") % 5 + 1).cast("string")).otherwise((c("event_id") % 2 + 1).cast("string"))
+    names = F.create_map(*[F.lit(v) for x, ids in FILTER_IDS.items() for i, n in ids.items() for v in (f"{x} {i}", n)])
+    p = e.withColumn("name", names[F.concat_ws(" ", "survey", fid)]).groupBy("source_id", "survey", F.floor("jd").alias("night"))
+    return p.agg(*[r6(F.max(F.when(c("name") == n, c("flux")))).alias(_SHOWN[n]) for n in _NAMES])
 
 
 @query("SELECT event_id, round(flux / flux_unc, 6) AS w1snr FROM epochs")
@@ -129,39 +132,84 @@ def wise_snr(t):
     return t.epochs.select("event_id", r6(F.try_divide("flux", "flux_unc")).alias("w1snr"))
 
 
-@query("SELECT source_id, 'fp' AS survey, jd AS mjd, flux AS value FROM epochs WHERE band = 'g' UNION ALL SELECT k, 'cat', 2460000, psf_mag FROM cat_a WHERE band = 'g'")
+@query("SELECT source_id, 'fp' AS survey, band, jd AS mjd, flux AS value FROM epochs UNION ALL SELECT k, 'cat', band, 2460000, psf_mag FROM cat_a")
 def assemble_lc(t):
-    fp = t.epochs.filter("band = 'g'").select("source_id", F.lit("fp").alias("survey"), c("jd").alias("mjd"), c("flux").alias("value"))
-    return fp.unionByName(t.cat_a.filter("band = 'g'").select(c("k").alias("source_id"), F.lit("cat").alias("survey"), F.lit(2460000.0).alias("mjd"), c("psf_mag").alias("value")))
+    fp = t.epochs.select("source_id", F.lit("fp").alias("survey"), "band", c("jd").alias("mjd"), c("flux").alias("value"))
+    return fp.unionByName(t.cat_a.select(c("k").alias("source_id"), F.lit("cat").alias("survey"), "band", F.lit(2460000.0).alias("mjd"), c("psf_mag").alias("value")))
 
 
-@query("SELECT src_id FROM (SELECT src_id, dec, avg(dec) OVER (PARTITION BY k) AS d FROM cat_a) WHERE abs(dec - d) * 3600 < 0.25")
+@query("SELECT src_id FROM (SELECT src_id, dec, avg(dec) OVER (PARTITION BY k) AS d FROM cat_a) WHERE abs(dec - d) * 3600 < 0.26")
 def same_object_only(t):
-    return t.cat_a.withColumn("d", F.avg("dec").over(Window.partitionBy("k"))).filter(F.abs(c("dec") - c("d")) * 3600 < 0.25).select("src_id")
+    """Rows near the mean position of their object; the mean right ascension is that of unit vectors."""
+    w = Window.partitionBy("k")
+    ra = F.radians("ra")
+    mean = (F.degrees(F.atan2(F.avg(F.sin(ra)).over(w), F.avg(F.cos(ra)).over(w))) + 360.0) % 360.0
+    near = t.cat_a.withColumns({"mean_ra": mean, "mean_dec": F.avg("dec").over(w)})
+    return near.filter(spatial.separation(c("ra"), c("dec"), c("mean_ra"), c("mean_dec")) < 0.26).select("src_id")
 
 
 def _dmag(t):
     m = t.matched.filter("mag is not null")
-    return m.select("src_id", "band", ((c("psf_mag") + c("mag")) / 2).alias("mag"), (c("psf_mag") - c("mag")).alias("dmag"), F.greatest(F.sqrt(c("psf_err") * c("psf_err") + c("magerr") * c("magerr")), F.lit(0.05)).alias("err"))
+    err = F.greatest(F.sqrt(c("psf_err") * c("psf_err") + c("magerr") * c("magerr")), F.lit(0.01))
+    return m.select("src_id", "k", "band", c("mag").alias("b_mag"), ((c("psf_mag") + c("mag")) / 2).alias("mag"), (c("psf_mag") - c("mag")).alias("dmag"), err.alias("err"))
 
 
-_KDE = """WITH d AS (SELECT src_id, band, (psf_mag + mag) / 2 AS mag, psf_mag - mag AS dmag, greatest(sqrt(psf_err * psf_err + magerr * magerr), 0.05) AS err FROM matched WHERE mag IS NOT NULL),
-cs AS (SELECT 14 + 0.25e0 * unnest(range(0, 40)) AS c), gs AS (SELECT -5 + unnest(range(0, 200)) * (10e0 / 199) AS g),
-e AS (SELECT band, c, round(g, 6) AS d, avg(exp(-0.5 * pow((g - dmag) / err, 2)) / (err * sqrt(2 * pi()))) AS density, count(*) AS n FROM d JOIN cs ON abs(mag - c) < 0.5, gs GROUP BY band, c, g HAVING count(*) > 1)"""
+_KDE = """WITH d AS (SELECT src_id, k, band, mag AS b_mag, (psf_mag + mag) / 2 AS mag, psf_mag - mag AS dmag, greatest(sqrt(psf_err * psf_err + magerr * magerr), 0.01) AS err FROM matched WHERE mag IS NOT NULL),
+cs AS (SELECT 14 + 0.25e0 * unnest(range(0, 40)) AS c), gs AS (SELECT -5 + unnest(range(0, 1000)) * (10e0 / 999) AS g),
+e AS (SELECT band, c, g AS d, avg(exp(-0.5 * pow((g - dmag) / err, 2)) / (err * sqrt(2 * pi()))) AS density, count(*) AS n FROM d JOIN cs ON abs(mag - c) < 0.5, gs GROUP BY band, c, g HAVING count(*) > 1)"""
+_AT = "min(CASE WHEN cdf >= {p} AND coalesce(cdf0, -1) < {p} THEN coalesce(d0 + (d - d0) * ({p} - cdf0) / (cdf - cdf0), d) END)"
+_BOUNDS = _KDE + f""", cum AS (SELECT band, c, d, sum(density) OVER (PARTITION BY band, c ORDER BY d ROWS UNBOUNDED PRECEDING) / sum(density) OVER (PARTITION BY band, c) AS cdf FROM e),
+lagged AS (SELECT *, lag(cdf) OVER (PARTITION BY band, c ORDER BY d) AS cdf0, lag(d) OVER (PARTITION BY band, c ORDER BY d) AS d0 FROM cum),
+bounds AS (SELECT band, c, {_AT.format(p=repr(density.LOW))} AS low, {_AT.format(p=repr(density.HIGH))} AS high FROM lagged GROUP BY band, c)"""
+_BIG = _BOUNDS + """, placed AS (SELECT *, greatest(0e0, least(39e0, (mag - 14) / 0.25e0)) AS place FROM d), cell AS (SELECT *, CAST(least(floor(place), 38) AS BIGINT) AS ci FROM placed),
+lim AS (SELECT cell.*, place - ci AS t, x.low AS l1, x.high AS h1, y.low AS l2, y.high AS h2 FROM cell LEFT JOIN bounds x ON x.band = cell.band AND round((x.c - 14) / 0.25e0) = ci LEFT JOIN bounds y ON y.band = cell.band AND round((y.c - 14) / 0.25e0) = ci + 1),
+big AS (SELECT *, coalesce(dmag < CASE WHEN t = 0 THEN l1 WHEN t = 1 THEN l2 ELSE l1 + t * (l2 - l1) END OR dmag > CASE WHEN t = 0 THEN h1 WHEN t = 1 THEN h2 ELSE h1 + t * (h2 - h1) END, false) AND b_mag > 14 AS big FROM lim)"""
 
 
-@query(_KDE + " SELECT band, c, d, round(density, 5) AS density FROM e")
+@query(_KDE + " SELECT band, c, round(d, 6) AS d, round(density, 5) AS density FROM e")
 def kde_envelope(t):
     return density.kde_envelope(_dmag(t)).select("band", "c", r6(c("d")).alias("d"), F.round("density", 5).alias("density"))
 
 
-@query()
+@query(_KDE + " SELECT band, c, round(d, 6) AS d, round(density, 5) AS density FROM e")
+def envelope_cache(t):
+    """Envelopes stored once and read the second time."""
+    path = f"{dedup.shared_folder(t.spark)}/envelopes-{uuid.uuid4().hex}"
+    density.cached_envelopes(_dmag(t), path)
+    return density.cached_envelopes(_dmag(t), path).select("band", "c", r6(c("d")).alias("d"), F.round("density", 5).alias("density"))
+
+
+@query(_BOUNDS + " SELECT band, c, round(low, 6) AS low, round(high, 6) AS high FROM bounds")
 def envelope_percentile(t):
-    return density.envelope_percentiles(density.kde_envelope(_dmag(t)))
+    return density.envelope_percentiles(density.kde_envelope(_dmag(t))).select("band", "c", r6(c("low")).alias("low"), r6(c("high")).alias("high"))
 
 
-@query()
-def only_big_dmag(t):
+def _big(t, least=density.LOW, most=density.HIGH):
     d = _dmag(t)
-    found = density.big_differences(d, density.envelope_percentiles(density.kde_envelope(d)))
-    return found.filter("big and mag > 14").select("src_id", "band", r6(c("dmag")).alias("dmag"))
+    return density.big_differences(d, density.envelope_percentiles(density.kde_envelope(d), least, most)).withColumn("big", c("big") & (c("b_mag") > 14))
+
+
+@query(_BIG + " SELECT src_id, band, round(dmag, 6) AS dmag FROM big WHERE big")
+def only_big_dmag(t):
+    return _big(t).filter("big").select("src_id", "band", r6(c("dmag")).alias("dmag"))
+
+
+@query(_BIG.replace(repr(density.LOW), repr(density.ONE[0])).replace(repr(density.HIGH), repr(density.ONE[1])) + ", flags AS (SELECT k, count(*) AS n FROM matched WHERE catalog_flag = 0 GROUP BY k) SELECT k, count(*) AS n_big FROM big JOIN flags USING (k) WHERE big AND n > 1 GROUP BY k HAVING count(*) >= 2")
+def n_big_dmag_bands(t):
+    """Objects whose difference is big, here by one sigma, in two bands or more, and that are of the branch in more than one."""
+    of_branch = t.matched.filter("catalog_flag = 0").groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    return _big(t, *density.ONE).filter("big").groupBy("k").agg(F.count(F.lit(1)).alias("n_big")).filter("n_big >= 2").join(of_branch, "k", "left_semi")
+
+
+@query("WITH " + _PASS + " SELECT f.src_id FROM f JOIN matched USING (src_id) WHERE matched.catalog_flag = 0 AND mag IS NOT NULL AND p1 AND p2 AND p3 AND p4 AND p5")
+def kde_filtered_input(t):
+    """What the density estimates are made from: rows of both surveys that pass five filters."""
+    both = t.matched.filter("catalog_flag = 0 and mag is not null")
+    return filters.flagged(both, CHAIN[:5]).filter("reject_reason is null").select("src_id")
+
+
+@query(_KDE.split(",\ncs AS")[0] + """, n AS (SELECT band, c, dmag, exp(-0.5 * pow((mag - c) / 0.5, 2)) AS w FROM d, (SELECT unnest([16e0, 18e0, 20e0, 22e0]) AS c) cc WHERE abs((mag - c) / 0.5) <= 8), s AS (SELECT band, c, sum(w) AS sw, sum(w * w) AS sw2, sum(w * dmag) / sum(w) AS mu FROM n GROUP BY ALL),
+v AS (SELECT band, c, sw, sum(w * (dmag - mu) * (dmag - mu)) / sw / (1 - sw2 / (sw * sw)) * pow(sw * sw / sw2 * 0.75, -0.4) AS var FROM n JOIN s USING (band, c) WHERE sw * sw / sw2 > 1 GROUP BY band, c, sw, sw2), g AS (SELECT -5 + 0.5e0 * unnest(range(0, 21)) AS d)
+SELECT band, c, g.d, round(sum(w / sw * exp(-0.5 * (g.d - dmag) * (g.d - dmag) / var) / sqrt(2 * pi() * var)), 6) AS density FROM n JOIN v USING (band, c), g WHERE var > 0 GROUP BY ALL""")
+def weighted_kde(t):
+    return density.weighted_kde(_dmag(t), [16.0, 18.0, 20.0, 22.0]).select("band", "c", "d", F.round("density", 6).alias("density"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..operators import dedup, filters
+from ..functions import photometry as P
+from ..operators import dedup, filters, ranking
 from .registry import query
+from .scalars import SNR_A, SNR_B, SNR_BOTH
 
 c = F.col
 CHAIN = ["extraction", "shape", "not_saturated", "psf_fit", "dec_above", "snr_both"]
@@ -53,15 +55,9 @@ def n_bands(t):
     return t.cat_a.groupBy("k").agg(F.count_distinct("band").alias("n_bands"), F.concat_ws(",", bands).alias("bands")).filter("n_bands >= 2")
 
 
-@query("SELECT k, CAST(sum(CASE WHEN abs(psf_mag - mag) > 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS n_big FROM matched WHERE catalog_flag = 0 GROUP BY k HAVING sum(CASE WHEN abs(psf_mag - mag) > 0.1 THEN 1 ELSE 0 END) >= 2 AND count(*) > 1")
-def n_big_dmag_bands(t):
-    both = t.matched.filter("catalog_flag = 0").groupBy("k").agg(F.sum(F.coalesce(F.abs(c("psf_mag") - c("mag")) > 0.1, F.lit(False)).cast("long")).alias("n_big"), F.count(F.lit(1)).alias("n"))
-    return both.filter("n_big >= 2 and n > 1").select("k", "n_big")
-
-
 _PASS = """f AS (SELECT band, fieldid, catalog_flag, src_id, coalesce((CAST(sep_flag AS BIGINT) & 252) = 0, false) AS p1, coalesce(a / b < 2 AND (a / b < 1.35 OR npix < 200), false) AS p2,
     (coalesce(info_flag, 0) & 4224) = 0 AND (coalesce(info_flag2, 0) & 4096) = 0 AND psf_mag > 13.5 AS p3, psf_flag IS NULL OR psf_flag = 0 AS p4, dec > -29.5 AS p5,
-    coalesce(2.5 / ln(10) / psf_err > 5 AND (mag IS NULL OR 2.5 / ln(10) / magerr > 5), false) AS p6 FROM matched)"""
+    """ + SNR_BOTH + """ AS p6 FROM matched)"""
 _STEPS = [("true", "p1"), ("p1", "p1 AND p2"), ("p1 AND p2", "p1 AND p2 AND p3"), ("p1 AND p2 AND p3", "p1 AND p2 AND p3 AND p4"), ("p1 AND p2 AND p3 AND p4", "p1 AND p2 AND p3 AND p4 AND p5"), ("p1 AND p2 AND p3 AND p4 AND p5", "p1 AND p2 AND p3 AND p4 AND p5 AND p6")]
 
 
@@ -69,14 +65,22 @@ def _funnel_sql(by: str) -> str:
     return "WITH " + _PASS + " " + " UNION ALL ".join(f"SELECT {by}, {i} AS stage, '{CHAIN[i - 1]}' AS filter, count(*) FILTER (WHERE {x}) AS n_before, count(*) FILTER (WHERE {y}) AS n_after FROM f GROUP BY {by}" for i, (x, y) in enumerate(_STEPS, 1))
 
 
-@query(_funnel_sql("band, catalog_flag"))
+_BANDS = "VALUES ('g'), ('r'), ('i'), ('gri'), ('gr'), ('gi'), ('ri')"
+_FUNNEL = (
+    "deep AS (SELECT src_id // 10 AS k, catalog_flag, band, CASE WHEN NOT p1 THEN 0 WHEN NOT p2 THEN 1 WHEN NOT p3 THEN 2 WHEN NOT p4 THEN 3 WHEN NOT p5 THEN 4 WHEN NOT p6 THEN 5 ELSE 6 END AS d FROM f), st AS (SELECT unnest(range(0, 7)) AS stage), "
+    "alive AS (SELECT k, catalog_flag, stage, coalesce(string_agg(band, '' ORDER BY CASE band WHEN 'g' THEN 1 WHEN 'r' THEN 2 ELSE 3 END) FILTER (WHERE d >= stage), '') AS alive FROM deep, st GROUP BY ALL), "
+    f"n AS (SELECT catalog_flag, stage, b.bands, count(*) FILTER (WHERE CASE WHEN len(b.bands) = 1 THEN contains(alive, b.bands) ELSE alive = b.bands END) AS n FROM alive, ({_BANDS}) b(bands) GROUP BY ALL)"
+)
+
+
+@query("WITH " + _PASS + ", " + _FUNNEL + f" SELECT a.catalog_flag, a.stage, {CHAIN!r}[a.stage] AS filter, a.bands, b.n AS n_before, a.n AS n_after FROM n a JOIN n b ON b.catalog_flag = a.catalog_flag AND b.bands = a.bands AND b.stage = a.stage - 1")
 def funnel_stats(t):
-    return filters.funnel(t.matched, CHAIN, ["band", "catalog_flag"])
+    return filters.band_funnel(t.matched, CHAIN, "k", ["catalog_flag"])
 
 
 @query("WITH " + _PASS + " SELECT stage, filter, CAST(sum(n_before) AS BIGINT) AS n_before, CAST(sum(n_after) AS BIGINT) AS n_after FROM (" + _funnel_sql("fieldid").split(_PASS)[1] + ") GROUP BY ALL")
 def combine_stats(t):
-    return filters.funnel(t.matched, CHAIN, ["fieldid"]).groupBy("stage", "filter").agg(F.sum("n_before").alias("n_before"), F.sum("n_after").alias("n_after"))
+    return filters.summed(filters.funnel(t.matched, CHAIN, ["fieldid"]), "fieldid")
 
 
 @query("WITH " + _PASS + " SELECT band, stage, round(n_after / first_value(n_before) OVER (PARTITION BY band ORDER BY stage), 6) AS fraction FROM (" + _funnel_sql("band").split(_PASS)[1] + ")")
@@ -104,11 +108,12 @@ def rejected_in_all_bands(t):
     return log.groupBy("k", c("reject_reason").alias("filter")).agg(F.count_distinct("band").alias("n")).filter("n = 3").select("k", "filter")
 
 
-@query("SELECT src_id, unnest(list_filter([CASE WHEN 2.5 / ln(10) / psf_err > 5 AND coalesce(2.5 / ln(10) / magerr > 5, true) THEN 0 END, CASE WHEN 2.5 / ln(10) / psf_err <= 5 THEN 2 END, CASE WHEN mag IS NULL THEN 1 END], lambda x: x IS NOT NULL)) AS branch FROM matched")
+@query(f"SELECT src_id, unnest(list_filter([CASE WHEN catalog_flag = 1 OR {SNR_A} THEN 1 END, CASE WHEN {SNR_B} THEN 2 END, CASE WHEN catalog_flag = 0 AND {SNR_BOTH} THEN 0 END], lambda x: x IS NOT NULL)) AS branch FROM matched")
 def reroute_low_snr(t):
-    a_low, b_missing = 2.5 / F.log(F.lit(10.0)) / c("psf_err") <= 5, c("mag").isNull()
-    both = ~a_low & F.coalesce(2.5 / F.log(F.lit(10.0)) / c("magerr") > 5, F.lit(True))
-    return t.matched.select("src_id", F.explode(F.array_compact(F.array(F.when(both, 0), F.when(a_low, 2), F.when(b_missing, 1)))).alias("branch"))
+    """Rows that one survey alone sees with confidence go to its branch; by different magnitudes a row can go to both."""
+    one = (c("catalog_flag") == 1) | filters.snr_a_only()
+    both = (c("catalog_flag") == 0) & filters.snr_both()
+    return t.matched.select("src_id", F.explode(F.array_compact(F.array(F.when(both, 0), F.when(one, 1), F.when(filters.snr_b_only(), 2)))).alias("branch"))
 
 
 @query("SELECT fieldid, band, count(*) AS n, count(DISTINCT (ccdid, qid)) AS quadrants, round(count(DISTINCT (ccdid, qid)) * 0.73, 6) AS area FROM cat_a GROUP BY ALL")
@@ -117,25 +122,49 @@ def quadrant_counts(t):
     return q.withColumn("area", r6(c("quadrants") * 0.73))
 
 
-@query("WITH e AS (SELECT DISTINCT fieldid, ccdid, qid FROM pos), b AS (SELECT unnest(['g', 'r', 'i']) AS band) SELECT e.fieldid, e.ccdid, e.qid, string_agg(b.band, ',' ORDER BY b.band) AS missing FROM e, b WHERE NOT EXISTS (SELECT 1 FROM cat_a a WHERE a.fieldid = e.fieldid AND a.ccdid = e.ccdid AND a.qid = e.qid AND a.band = b.band AND a.npix > 350) GROUP BY ALL")
+_VALID = "npix > 350 AND psf_flag IS NOT NULL"
+_AUDIT = f"audit AS (SELECT fieldid, ccdid, qid, concat_ws(',', CASE WHEN count(*) FILTER (WHERE band = 'g' AND {_VALID}) = 0 THEN 'g' END, CASE WHEN count(*) FILTER (WHERE band = 'i' AND {_VALID}) = 0 THEN 'i' END, CASE WHEN count(*) FILTER (WHERE band = 'r' AND {_VALID}) = 0 THEN 'r' END) AS missing FROM cat_a GROUP BY ALL)"
+
+
+def _audit(t):
+    """Bands of each quadrant's table without a single value. A quadrant with an empty table is complete."""
+    valid = lambda b: F.count(F.when((c("band") == b) & (c("npix") > 350) & c("psf_flag").isNotNull(), 1)) == 0
+    return t.cat_a.groupBy("fieldid", "ccdid", "qid").agg(F.array_compact(F.array(*[F.when(valid(b), b) for b in "gir"])).alias("missing"))
+
+
+@query(f"WITH {_AUDIT} SELECT DISTINCT p.fieldid, p.ccdid, p.qid, coalesce(missing, '') AS missing FROM pos p LEFT JOIN audit USING (fieldid, ccdid, qid)")
 def completeness_audit(t):
-    expected = t.pos.select("fieldid", "ccdid", "qid").distinct().withColumn("band", F.explode(F.array(F.lit("g"), F.lit("r"), F.lit("i"))))
-    have = t.cat_a.filter("npix > 350").select("fieldid", "ccdid", "qid", "band")
-    gone = expected.join(have, ["fieldid", "ccdid", "qid", "band"], "left_anti")
-    return gone.groupBy("fieldid", "ccdid", "qid").agg(F.concat_ws(",", F.array_sort(F.collect_list("band"))).alias("missing"))
+    expected = t.pos.select("fieldid", "ccdid", "qid").distinct()
+    return expected.join(_audit(t), ["fieldid", "ccdid", "qid"], "left").select("fieldid", "ccdid", "qid", F.concat_ws(",", F.coalesce("missing", F.array().cast("array<string>"))).alias("missing"))
 
 
-@query("SELECT fieldid, ccdid, qid, string_agg(DISTINCT band, ',' ORDER BY band) AS redo FROM cat_a WHERE npix % 7 = 0 AND band <> 'i' GROUP BY ALL")
+@query(f"""WITH {_AUDIT}, img AS (SELECT fieldid, ccdid, string_agg(DISTINCT band, ',' ORDER BY band) AS bands FROM cat_a WHERE npix > 200 GROUP BY ALL), b AS (SELECT DISTINCT fieldid, ccdid, qid FROM cat_b WHERE info_flag = 128)
+SELECT fieldid, ccdid, qid, CASE WHEN b.qid IS NULL THEN bands ELSE array_to_string(list_filter(string_split(missing, ','), lambda x: contains(bands, x) AND x <> ''), ',') END AS redo FROM audit JOIN img USING (fieldid, ccdid) LEFT JOIN b USING (fieldid, ccdid, qid)
+WHERE b.qid IS NULL OR len(list_filter(string_split(missing, ','), lambda x: contains(bands, x) AND x <> '')) > 0""")
 def requeue_plan(t):
-    by = t.cat_a.groupBy("fieldid", "ccdid", "qid").agg(F.collect_set(F.when(c("npix") % 7 == 0, c("band"))).alias("bad"))
-    redo = F.array_intersect("bad", F.array(F.lit("g"), F.lit("r")))
-    return by.filter(F.size(redo) > 0).select("fieldid", "ccdid", "qid", F.concat_ws(",", F.array_sort(redo)).alias("redo"))
+    """Missing bands for which there are images; all of these where the quadrant's table of survey B is missing."""
+    images = t.cat_a.filter("npix > 200").groupBy("fieldid", "ccdid").agg(F.array_sort(F.collect_set("band")).alias("bands"))
+    there = t.cat_b.filter("info_flag = 128").select("fieldid", "ccdid", "qid").distinct().withColumn("there", F.lit(True))
+    j = _audit(t).join(images, ["fieldid", "ccdid"]).join(there, ["fieldid", "ccdid", "qid"], "left")
+    redo = F.when(c("there"), F.array_intersect("missing", "bands")).otherwise(c("bands"))
+    return j.select("fieldid", "ccdid", "qid", redo.alias("redo")).filter(F.size("redo") > 0).withColumn("redo", F.concat_ws(",", "redo"))
+
+
+_RANGE = """SELECT fieldid, CASE WHEN max(ra) - min(ra) > 180 THEN min(ra) FILTER (WHERE ra >= 180) ELSE min(ra) END AS ra_lo, CASE WHEN max(ra) - min(ra) > 180 THEN max(ra) FILTER (WHERE ra < 180) + 360 ELSE max(ra) END AS ra_hi,
+min(dec) AS dec_lo, max(dec) AS dec_hi FROM {} GROUP BY fieldid"""
+
 
+def ranges(df):
+    """Range of positions in each field; the RA of one that lies across 0 goes from lo to hi + 360."""
+    wraps = F.max("ra") - F.min("ra") > 180
+    lo = F.when(wraps, F.min(F.when(c("ra") >= 180, c("ra")))).otherwise(F.min("ra"))
+    hi = F.when(wraps, F.max(F.when(c("ra") < 180, c("ra"))) + 360.0).otherwise(F.max("ra"))
+    return df.groupBy("fieldid").agg(lo.alias("ra_lo"), hi.alias("ra_hi"), F.min("dec").alias("dec_lo"), F.max("dec").alias("dec_hi"))
 
-@query("SELECT fieldid, round(min((ra + 180) % 360) - 180, 6) AS ra_lo, round(max((ra + 180) % 360) - 180, 6) AS ra_hi, round(min(dec), 6) AS dec_lo, round(max(dec), 6) AS dec_hi FROM pos WHERE fieldid < 13 GROUP BY fieldid")
+
+@query(f"SELECT fieldid, round(ra_lo, 6) AS ra_lo, round(ra_hi, 6) AS ra_hi, round(dec_lo, 6) AS dec_lo, round(dec_hi, 6) AS dec_hi FROM ({_RANGE.format('pos')})")
 def coord_range(t):
-    shifted = (c("ra") + 180.0) % 360.0
-    return t.pos.filter("fieldid < 13").groupBy("fieldid").agg(r6(F.min(shifted) - 180.0).alias("ra_lo"), r6(F.max(shifted) - 180.0).alias("ra_hi"), r6(F.min("dec")).alias("dec_lo"), r6(F.max("dec")).alias("dec_hi"))
+    return ranges(t.pos).select("fieldid", *[r6(c(x)).alias(x) for x in ("ra_lo", "ra_hi", "dec_lo", "dec_hi")])
 
 
 @query("SELECT fieldid, band, max_by(src_id, npix * 1000000 - src_id) AS src_id FROM cat_a GROUP BY ALL")
@@ -166,10 +195,15 @@ def nsigma_bins(t):
     return s.join(g, ["band", "bin"]).filter(F.abs(c("d") - c("mu")) > 3 * c("sd")).select("src_id")
 
 
-@query("SELECT k, round(avg(abs(psf_mag - mag)), 6) AS mean_dmag, row_number() OVER (ORDER BY round(avg(abs(psf_mag - mag)), 6) DESC NULLS LAST, k) AS rank FROM matched GROUP BY k")
+_LIMITED = "abs(psf_mag - CASE WHEN mag IS NULL THEN CASE band WHEN 'g' THEN 23.3e0 WHEN 'r' THEN 23.2e0 ELSE 23.1e0 END ELSE mag END)"
+
+
+@query(f"SELECT k, round(avg({_LIMITED}), 6) AS mean_dmag, round(max({_LIMITED}) FILTER (WHERE band = 'g'), 6) AS g, round(max({_LIMITED}) FILTER (WHERE band = 'r'), 6) AS r, round(max({_LIMITED}) FILTER (WHERE band = 'i'), 6) AS i, row_number() OVER (ORDER BY round(avg({_LIMITED}), 6) DESC NULLS LAST, k) AS rank FROM matched GROUP BY k")
 def rank_by_dmag(t):
-    g = t.matched.groupBy("k").agg(r6(F.avg(F.abs(c("psf_mag") - c("mag")))).alias("mean_dmag"))
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("mean_dmag"), "k")).cast("long"))
+    a, b = P.effective_mags(F.when(c("mag").isNull(), 1).otherwise(0))
+    d = F.abs(a - b)
+    g = t.matched.groupBy("k").agg(r6(F.avg(d)).alias("mean_dmag"), *[r6(F.max(F.when(c("band") == x, d))).alias(x) for x in "gri"])
+    return ranking.ranked(g, [F.desc_nulls_last("mean_dmag"), F.asc("k")])
 
 
 @query("SELECT source_id, count(*) AS n FROM epochs GROUP BY 1 ORDER BY n DESC, source_id LIMIT 1")
@@ -193,9 +227,9 @@ def except_sets(t):
     return t.cat_a.filter("band = 'g'").select("k").distinct().subtract(t.cat_a.filter("band = 'r'").select("k"))
 
 
-@query("SELECT DISTINCT fieldid, ccdid, qid FROM pos EXCEPT SELECT fieldid, ccdid, qid FROM cat_b WHERE obj_id % 47 = 0")
+@query("SELECT fieldid, ccdid, qid FROM cat_b EXCEPT SELECT fieldid, ccdid, qid FROM masked")
 def missing_quadrants(t):
-    return t.pos.select("fieldid", "ccdid", "qid").subtract(t.cat_b.filter("obj_id % 47 = 0").select("fieldid", "ccdid", "qid"))
+    return t.cat_b.select("fieldid", "ccdid", "qid").subtract(t.masked.select("fieldid", "ccdid", "qid"))
 
 
 @query("SELECT k FROM cat_a WHERE band = 'g' UNION SELECT k FROM cat_a WHERE band = 'r'")
@@ -208,19 +242,25 @@ def vstack_union(t):
     return t.cat_a.select("src_id", "ra", "dec", "psf_mag").unionByName(t.cat_b.select(c("obj_id").alias("src_id"), "ra", "dec", "mag"), allowMissingColumns=True)
 
 
-@query("SELECT src_id FROM cat_a WHERE fieldid = 1 UNION ALL SELECT src_id FROM cat_a WHERE fieldid = 2")
+@query("SELECT src_id AS id, ra, dec FROM cat_a UNION ALL SELECT obj_id, ra, dec FROM cat_b")
 def add_sources(t):
-    return t.cat_a.filter("fieldid = 1").select("src_id").union(t.cat_a.filter("fieldid = 2").select("src_id"))
+    """Two collections one after the other, repeats kept."""
+    return t.cat_a.select(c("src_id").alias("id"), "ra", "dec").union(t.cat_b.select("obj_id", "ra", "dec"))
 
 
-@query("SELECT fieldid, ccdid, qid, src_id, band FROM cat_a WHERE fieldid IN (3, 4)")
+@query("SELECT fieldid, ccdid, qid, src_id, band FROM cat_a")
 def merge_field(t):
-    return t.cat_a.filter(c("fieldid").isin(3, 4)).select("fieldid", "ccdid", "qid", "src_id", "band")
+    """Quadrant tables of all fields stacked, with field, detector and quadrant from the names of their files."""
+    name = F.format_string("%06d_%02d_%d/objects.parquet", "fieldid", "ccdid", "qid")
+    part = lambda i: F.regexp_extract("name", r"^(\d+)_(\d+)_(\d)/", i).cast("long")
+    return t.cat_a.select(name.alias("name"), "src_id", "band").select(part(1).alias("fieldid"), part(2).alias("ccdid"), part(3).alias("qid"), "src_id", "band")
 
 
-@query("SELECT fieldid, count(*) AS n FROM cat_a WHERE psf_mag > 23 GROUP BY 1")
+@query("WITH " + _PASS + " SELECT fieldid, count(*) AS n, string_agg(DISTINCT band, ',' ORDER BY band) AS bands FROM f WHERE p1 AND p2 AND p3 AND p4 AND p5 AND p6 AND catalog_flag = 1 GROUP BY fieldid")
 def combine_fields(t):
-    return t.cat_a.filter("psf_mag > 23").groupBy("fieldid").agg(F.count(F.lit(1)).alias("n"))
+    """What is left of each field after all filters, stacked; fields without a row are dropped."""
+    left = filters.flagged(t.matched.filter("catalog_flag = 1"), CHAIN).filter("reject_reason is null")
+    return left.groupBy("fieldid").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", F.array_sort(F.collect_set("band"))).alias("bands"))
 
 
 @query("SELECT vec_id, CAST(floor((wavelength - lo) / 40) AS BIGINT) AS bin, round(avg(wavelength), 4) AS wavelength, round(avg(flux), 5) AS flux FROM (SELECT *, min(wavelength) OVER (PARTITION BY vec_id) AS lo FROM spectrum) GROUP BY ALL")

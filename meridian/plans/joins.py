@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.photometry import coord_stem as stem_of
-from ..functions.photometry import healpix_nested, mean_ra, parse_coord_stem
-from ..operators import dedup, spatial
+from ..functions.photometry import healpix_nested, mean_ra, parse_coord_stem, propagated
+from ..operators import dedup, filters, spatial, tiles
+from .groups import _PASS, _RANGE, ranges
 from .registry import query
+from .scalars import MOVED
 
 c = F.col
 
@@ -28,6 +30,7 @@ def _a(t):
 _SEP = """2 * asin(sqrt(pow(cos(radians(a.dec)) * cos(radians(a.ra)) - cos(radians(b.dec)) * cos(radians(b.ra)), 2)
     + pow(cos(radians(a.dec)) * sin(radians(a.ra)) - cos(radians(b.dec)) * sin(radians(b.ra)), 2) + pow(sin(radians(a.dec)) - sin(radians(b.dec)), 2)) / 2) * 648000 / pi()"""
 _PAIRS = f"pairs AS (SELECT a.src_id, a.k, a.band, a.psf_mag, b.obj_id, b.mag AS b_mag, {_SEP} AS sep FROM cat_a a JOIN cat_b b ON a.fieldid = b.fieldid AND abs(a.dec - b.dec) < 0.009)"
+_WIDE = f"WITH {_PAIRS}, near AS (SELECT * FROM pairs WHERE sep <= 30 QUALIFY row_number() OVER (PARTITION BY src_id ORDER BY sep, obj_id) = 1)"
 _NEAR = f"WITH {_PAIRS}, near AS (SELECT * FROM pairs WHERE sep <= 10 QUALIFY row_number() OVER (PARTITION BY src_id ORDER BY sep, obj_id) = 1)"
 
 
@@ -41,19 +44,30 @@ def radius_join(t):
     return spatial.radius_join(_a(t), _b(t), 20.0).select("src_id", "obj_id", r4(c("sep")).alias("sep"))
 
 
-@query(f"{_NEAR} SELECT src_id, obj_id, round(sep, 4) AS sep FROM near WHERE sep > 1 AND sep <= 3")
+@query(f"{_NEAR}, m AS (SELECT src_id, obj_id, b_mag FROM near WHERE sep > 1 AND sep <= 3) SELECT a.src_id, m.obj_id, CASE WHEN m.obj_id IS NULL THEN a.psf_mag ELSE m.b_mag END AS mag, a.k AS note FROM cat_a a LEFT JOIN m USING (src_id)")
 def annulus_nn_join(t):
-    return spatial.nearest(_a(t), _b(t), 3.0, "src_id", "obj_id").filter("sep > 1").select("src_id", "obj_id", r4(c("sep")).alias("sep"))
+    """All of A; where B's nearest is 1 to 3 arc seconds away, B's magnitude replaces A's. B has no note, so A's stays."""
+    left = t.cat_a.select("src_id", "ra", "dec", c("psf_mag").alias("mag"), c("k").alias("note"))
+    right = t.cat_b.select("obj_id", c("ra").alias("ra2"), c("dec").alias("dec2"), "mag", F.lit(None).cast("long").alias("note"))
+    return spatial.overwritten_match(left, right, 1.0, 3.0, "src_id", "obj_id").select("src_id", "obj_id", "mag", "note")
 
 
-@query(f"{_NEAR}, m AS (SELECT src_id, obj_id FROM near WHERE sep <= 1) SELECT a.src_id, m.obj_id, CASE WHEN m.obj_id IS NULL THEN 1 ELSE 0 END AS catalog_flag FROM cat_a a LEFT JOIN m USING (src_id) UNION ALL SELECT NULL, obj_id, 2 FROM cat_b WHERE obj_id NOT IN (SELECT obj_id FROM m)")
+_MEAN = "(degrees(atan2(sin(radians(a.ra)) + sin(radians(b.ra)), cos(radians(a.ra)) + cos(radians(b.ra)))) + 360) % 360"
+
+
+@query(f"{_NEAR}, m AS (SELECT src_id, obj_id FROM near WHERE sep <= 1) SELECT a.src_id, m.obj_id, CASE WHEN m.obj_id IS NULL THEN 1 ELSE 0 END AS catalog_flag, CASE WHEN m.obj_id IS NULL THEN 'A' ELSE 'Both' END AS label, round(CASE WHEN m.obj_id IS NULL THEN a.ra ELSE {_MEAN} END, 7) AS ra, round(CASE WHEN m.obj_id IS NULL THEN a.dec ELSE (a.dec + b.dec) / 2 END, 7) AS dec FROM cat_a a LEFT JOIN m USING (src_id) LEFT JOIN cat_b b ON b.obj_id = m.obj_id UNION ALL SELECT NULL, obj_id, 2, 'B', round(ra, 7), round(dec, 7) FROM cat_b WHERE obj_id NOT IN (SELECT obj_id FROM m)")
 def full_outer_xmatch(t):
-    return spatial.cross_match(_a(t), _b(t), 1.0, "src_id", "obj_id").select("src_id", "obj_id", "catalog_flag")
+    m = spatial.cross_match(_a(t), _b(t), 1.0, "src_id", "obj_id")
+    both, one = c("catalog_flag") == 0, c("catalog_flag") == 1
+    label = F.when(both, "Both").when(one, "A").otherwise("B")
+    ra = F.when(both, mean_ra(c("ra"), c("ra2"))).otherwise(F.coalesce("ra", "ra2"))
+    dec = F.when(both, (c("dec") + c("dec2")) / 2).otherwise(F.coalesce("dec", "dec2"))
+    return m.select("src_id", "obj_id", "catalog_flag", label.alias("label"), F.round(ra, 7).alias("ra"), F.round(dec, 7).alias("dec"))
 
 
-@query(f"WITH {_PAIRS} SELECT src_id FROM cat_a WHERE src_id NOT IN (SELECT src_id FROM pairs WHERE sep <= 3)")
+@query(f"WITH {_PAIRS} SELECT src_id, x, y FROM cat_a WHERE src_id NOT IN (SELECT src_id FROM pairs WHERE sep <= 3)")
 def unmatched_export(t):
-    return spatial.radius_join(_a(t), _b(t), 3.0, how="left_anti").select("src_id")
+    return spatial.radius_join(t.cat_a.select("src_id", "ra", "dec", "x", "y"), _b(t), 3.0, how="left_anti").select("src_id", "x", "y")
 
 
 @query(f"WITH {_PAIRS} SELECT DISTINCT src_id FROM pairs WHERE sep <= 2 AND b_mag < 18")
@@ -74,43 +88,75 @@ def neighbour_count(t):
     return dedup.neighbour_count(t.cat_a, "src_id", 200.0, on=("band",))
 
 
-@query("SELECT k, min(src_id) AS owner, string_agg(DISTINCT band, ',' ORDER BY band) AS bands FROM cat_a GROUP BY k")
+_OWNED = """x AS (SELECT k, max(src_id) FILTER (WHERE band_rank = 1) AS g, max(src_id) FILTER (WHERE band_rank = 2) AS r, max(src_id) FILTER (WHERE band_rank = 3) AS i, max(dec) FILTER (WHERE band_rank = 1) * 3600 AS dg, max(dec) FILTER (WHERE band_rank = 2) * 3600 AS dr, max(dec) FILTER (WHERE band_rank = 3) * 3600 AS di FROM cat_a GROUP BY k),
+y AS (SELECT *, CASE WHEN abs(dr - dg) <= 0.25 THEN g ELSE r END AS ro FROM x), z AS (SELECT *, CASE WHEN abs(di - dg) <= 0.25 THEN g WHEN ro = r AND abs(di - dr) <= 0.25 THEN r ELSE i END AS io FROM y),
+o AS (SELECT g AS owner, 'g' AS band FROM z WHERE g IS NOT NULL UNION ALL SELECT ro, 'r' FROM z WHERE r IS NOT NULL UNION ALL SELECT io, 'i' FROM z WHERE i IS NOT NULL)"""
+
+
+@query(f"WITH {_OWNED} SELECT owner, count(*) AS n, string_agg(DISTINCT band, ',' ORDER BY band) AS bands FROM o GROUP BY owner")
 def merge_bands(t):
-    a = t.cat_a.withColumn("dec", c("dec"))
-    owned = dedup.merge_bands(a, "src_id", "band_rank", 0.9).join(a.select(c("src_id").alias("member"), "k", "band"), "member")
-    return owned.groupBy("k").agg(F.min("owner").alias("owner"), F.concat_ws(",", F.array_sort(F.collect_set("band"))).alias("bands"))
+    """In a chain g - r - i of which g and i are too far apart, g takes r and i stands alone."""
+    owned = dedup.merge_bands(t.cat_a, "src_id", "band_rank", 0.25).join(t.cat_a.select(c("src_id").alias("member"), "band"), "member")
+    return owned.groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", F.array_sort(F.collect_set("band"))).alias("bands"))
 
 
-@query(f"{_NEAR} SELECT k, round(max(psf_mag) FILTER (WHERE band = 'g'), 6) AS g, round(max(psf_mag) FILTER (WHERE band = 'r'), 6) AS r, round(max(psf_mag) FILTER (WHERE band = 'i'), 6) AS i FROM near WHERE sep <= 5 GROUP BY k")
+@query(f"WITH {_PAIRS}, nb AS (SELECT obj_id, src_id FROM pairs WHERE sep <= 1 QUALIFY row_number() OVER (PARTITION BY obj_id, band ORDER BY sep, src_id) = 1) SELECT obj_id, round(max(psf_mag) FILTER (WHERE band = 'g'), 6) AS g, round(max(psf_mag) FILTER (WHERE band = 'r'), 6) AS r, round(max(psf_mag) FILTER (WHERE band = 'i'), 6) AS i, min_by(psf_flag, band_rank) FILTER (WHERE psf_flag IS NOT NULL) AS psf_flag FROM nb JOIN cat_a USING (src_id) GROUP BY obj_id")
 def multi_band_assemble(t):
-    m = spatial.nearest(_a(t), _b(t), 5.0, "src_id", "obj_id").join(_a(t).select("src_id", "k", "band", "psf_mag"), "src_id")
-    p = m.groupBy("k").pivot("band", ["g", "r", "i"]).agg(F.max("psf_mag"))
-    return p.select("k", *[F.round(b, 6).alias(b) for b in ("g", "r", "i")])
+    """For each object the nearest row of each band; what isn't a band's own takes its first value in band order."""
+    s = t.cat_b.select("obj_id", "ra", "dec", F.explode(F.array(*map(F.lit, "gri"))).alias("band"))
+    rows = t.cat_a.select("src_id", "band", c("ra").alias("ra2"), c("dec").alias("dec2"), "psf_mag", "psf_flag", "band_rank")
+    m = spatial.nearest(s, rows, 1.0, "obj_id", "src_id", on=("band",))
+    bands = [F.round(F.max(F.when(c("band") == b, c("psf_mag"))), 6).alias(b) for b in "gri"]
+    return m.groupBy("obj_id").agg(*bands, dedup.first_valid("psf_flag", "band_rank").alias("psf_flag"))
 
 
-_MASK = "FROM cat_a a WHERE EXISTS (SELECT 1 FROM masked m WHERE m.fieldid = a.fieldid AND m.ccdid = a.ccdid AND m.qid = a.qid AND abs(m.mx - a.x) <= {r} AND abs(m.my - a.y) <= {r})"
+_MASK = "FROM cat_a a WHERE EXISTS (SELECT 1 FROM masked m WHERE m.fieldid = a.fieldid AND m.ccdid = a.ccdid AND m.qid = a.qid AND abs(m.mx - greatest(a.x, {r})) <= {r} AND abs(m.my - greatest(a.y, {r})) <= {r})"
+
+
+def _near_mask(df, t, r):
+    """Rows with a masked pixel within r pixels; the window of a place near a low edge is moved inside."""
+    inside = df.withColumn("x", F.greatest("x", F.lit(r))).withColumn("y", F.greatest("y", F.lit(r)))
+    return spatial.near_pixels(inside, t.masked, r, ("fieldid", "ccdid", "qid"))
 
 
 @query("SELECT src_id " + _MASK.format(r=5))
 def near_mask(t):
-    return spatial.near_pixels(t.cat_a, t.masked, 5, ("fieldid", "ccdid", "qid")).select("src_id")
+    return _near_mask(t.cat_a, t, 5).select("src_id")
+
+
+_COVER = f"""{_NEAR}, m AS (SELECT src_id, obj_id FROM near WHERE sep <= 1), ao AS (SELECT * FROM cat_a WHERE src_id NOT IN (SELECT src_id FROM m)), bo AS (SELECT *, (obj_id * 31) % 3100 - 14 AS x, (obj_id * 57) % 3100 - 10 AS y FROM cat_b WHERE obj_id NOT IN (SELECT obj_id FROM m)),
+close AS (SELECT DISTINCT a.src_id FROM ao a JOIN bo b ON a.fieldid = b.fieldid AND abs(a.dec - b.dec) < 0.017 WHERE {_SEP} <= 60), n15 AS (SELECT src_id {_MASK.format(r=15)}), n5 AS (SELECT obj_id {_MASK.format(r=5).replace("cat_a a", "bo a")}),
+cover AS (SELECT src_id, obj_id, 0 AS flag FROM m UNION ALL SELECT src_id, NULL, CASE WHEN src_id NOT IN (SELECT src_id FROM close) OR src_id IN (SELECT src_id FROM n15) THEN 3 ELSE 1 END FROM ao
+UNION ALL SELECT NULL, obj_id, CASE WHEN x < 0 OR x >= 3072 OR y < 0 OR y >= 3080 OR obj_id IN (SELECT obj_id FROM n5) THEN 3 ELSE 2 END FROM bo)"""
 
 
-@query(f"WITH {_PAIRS}, m AS (SELECT DISTINCT src_id FROM pairs WHERE sep <= 1), n15 AS (SELECT src_id {_MASK.format(r=15)}) SELECT src_id, CASE WHEN m.src_id IS NOT NULL THEN 0 WHEN n15.src_id IS NOT NULL THEN 3 ELSE 1 END AS flag FROM cat_a LEFT JOIN m USING (src_id) LEFT JOIN n15 USING (src_id)")
+def _coverage(t):
+    """src_id, obj_id, flag: 0 in both surveys, 1 in A, 2 in B, 3 unknown (see the survey's rules a to c)."""
+    m = spatial.nearest(_a(t), _b(t), 1.0, "src_id", "obj_id").select("src_id", "obj_id")
+    ao = t.cat_a.join(m.select("src_id"), "src_id", "left_anti")
+    bo = t.cat_b.join(m.select("obj_id"), "obj_id", "left_anti").withColumns({"x": (c("obj_id") * 31) % 3100 - 14, "y": (c("obj_id") * 57) % 3100 - 10})
+    seen = spatial.radius_join(ao.select("src_id", "ra", "dec"), bo.select(c("ra").alias("ra2"), c("dec").alias("dec2")), 60.0, how="left_semi").select("src_id")
+    lost = ao.join(seen, "src_id", "left_anti").select("src_id").union(_near_mask(ao, t, 15).select("src_id")).distinct().withColumn("lost", F.lit(True))
+    out = ~(c("x").between(0, 3071) & c("y").between(0, 3079))
+    gone = bo.filter(out).select("obj_id").union(_near_mask(bo, t, 5).select("obj_id")).distinct().withColumn("lost", F.lit(True))
+    none = F.lit(None).cast("long")
+    one = ao.join(lost, "src_id", "left").select("src_id", none.alias("obj_id"), F.when(c("lost"), 3).otherwise(1).alias("flag"))
+    two = bo.join(gone, "obj_id", "left").select(none.alias("src_id"), "obj_id", F.when(c("lost"), 3).otherwise(2).alias("flag"))
+    return m.select("src_id", "obj_id", F.lit(0).alias("flag")).union(one).union(two)
+
+
+@query(f"{_COVER} SELECT src_id, obj_id, flag FROM cover")
 def coverage_flag(t):
-    matched = spatial.radius_join(_a(t), _b(t), 1.0, how="left_semi").select("src_id").withColumn("both", F.lit(True))
-    masked = spatial.near_pixels(t.cat_a, t.masked, 15, ("fieldid", "ccdid", "qid")).select("src_id").withColumn("bad", F.lit(True))
-    j = t.cat_a.select("src_id").join(matched, "src_id", "left").join(masked, "src_id", "left")
-    return j.select("src_id", F.when(c("both"), 0).when(c("bad"), 3).otherwise(1).alias("flag"))
+    return _coverage(t)
 
 
 _HIT = "FROM truth t JOIN cat_a a ON a.fieldid = t.fieldid AND a.ccdid = t.ccdid AND a.qid = t.qid AND abs(a.x - t.tx) < 1 AND abs(a.y - t.ty) < 1"
 
 
-def _recovered(t):
+def _recovered(t, radius=1):
     a = t.cat_a.select("src_id", "band", "fieldid", "ccdid", "qid", "x", "y", "sep_flag", "psf_err")
     truth = t.truth.select("inj_id", "mag", "iter", "tx", "ty", c("fieldid").alias("f"), c("ccdid").alias("cc"), c("qid").alias("q"))
-    j = spatial.near_pixels(a.select("*", c("fieldid").alias("f"), c("ccdid").alias("cc"), c("qid").alias("q")), truth, 1, ("f", "cc", "q"), right_xy=("tx", "ty"), how="inner", strict=True)
+    j = spatial.near_pixels(a.select("*", c("fieldid").alias("f"), c("ccdid").alias("cc"), c("qid").alias("q")), truth, radius, ("f", "cc", "q"), right_xy=("tx", "ty"), how="inner", strict=True)
     return j.select("inj_id", "mag", "iter", "src_id", "band", "sep_flag", "psf_err", "x", "y", "tx", "ty")
 
 
@@ -119,15 +165,61 @@ def pixel_match(t):
     return _recovered(t).select("inj_id", "src_id")
 
 
-@query(f"SELECT t.inj_id, a.band, min_by(a.src_id, (a.x - t.tx) * (a.x - t.tx) + (a.y - t.ty) * (a.y - t.ty)) AS src_id {_HIT} GROUP BY ALL")
-def pixel_nn(t):
-    d2 = (c("x") - c("tx")) * (c("x") - c("tx")) + (c("y") - c("ty")) * (c("y") - c("ty"))
-    return _recovered(t).groupBy("inj_id", "band").agg(F.min(F.struct(d2, "src_id"))["src_id"].alias("src_id"))
+_HIT3 = _HIT.replace("< 1 AND", "< 3 AND").replace("a.y - t.ty) < 1", "a.y - t.ty) < 3")
+_D2 = "(a.x - t.tx) * (a.x - t.tx) + (a.y - t.ty) * (a.y - t.ty)"
 
 
-@query(f"SELECT t.iter, t.mag, a.band, count(DISTINCT t.inj_id) AS found, count(DISTINCT CASE WHEN a.sep_flag < 4 THEN t.inj_id END) AS extracted {_HIT} GROUP BY ALL")
+@query(f"SELECT t.inj_id, a.band, min_by(a.src_id, {_D2}) AS src_id, min_by(a.sep_flag, {_D2}) AS sep_flag {_HIT3} AND {_D2} < 9 GROUP BY ALL")
+def pixel_nn(t):
+    """The nearest detection in a band within 3 pixels of an injected source, with its flag."""
+    d2 = (c("x") - c("tx")) * (c("x") - c("tx")) + (c("y") - c("ty")) * (c("y") - c("ty"))
+    near = _recovered(t, 3).withColumn("d2", d2).filter("d2 < 9")
+    return near.groupBy("inj_id", "band").agg(F.min(F.struct("d2", "src_id", "sep_flag")).alias("n")).select("inj_id", "band", "n.src_id", "n.sep_flag")
+
+
+#: Stages of recovery in order, each a predicate over detections in Spark and in SQL; a detection must pass all before.
+STAGES = [
+    ("extracted", lambda: F.lit(True), "true"),
+    ("covered", lambda: ~c("masked"), "NOT masked"),
+    ("new", lambda: ~c("known"), "NOT known"),
+    ("sep_flags", lambda: filters.extraction(), "(CAST(sep_flag AS BIGINT) & 252) = 0"),
+    ("extended", lambda: filters.not_extended_artifact(), "NOT ((CAST(sep_flag AS BIGINT) & 1) <> 0 AND coalesce(psf_mag - kron_mag > 1.5, false))"),
+    ("snr", lambda: c("psf_err") < 0.217, "psf_err < 0.217"),
+    ("shape", lambda: filters.shape(), "coalesce(a / b < 2 AND (a / b < 1.35 OR npix < 200), a IS NULL)"),
+    ("psf_fit", lambda: filters.psf_fit(), "(psf_flag IS NULL OR psf_flag = 0)"),
+    ("dec", lambda: filters.dec_above(-24.5), "dec > -24.5"),
+    ("delta_mag", lambda: F.abs(c("psf_mag") - c("mag_limit")) > 0.5, "abs(psf_mag - mag_limit) > 0.5"),
+]
+_LADDER = f"""WITH {_PAIRS}, kn AS (SELECT DISTINCT src_id FROM pairs WHERE sep <= 1), mk AS (SELECT src_id {_MASK.format(r=15)}),
+hit AS (SELECT t.inj_id, t.mag AS t_mag, t.iter, a.* {_HIT}), marked AS (SELECT hit.*, kn.src_id IS NOT NULL AS known, mk.src_id IS NOT NULL AS masked FROM hit LEFT JOIN kn USING (src_id) LEFT JOIN mk USING (src_id)),
+ladder AS (SELECT inj_id, t_mag, iter, band, {' + '.join('CASE WHEN ' + ' AND '.join(f'({x[2]})' for x in STAGES[: i + 1]) + ' THEN 1 ELSE 0 END' for i in range(len(STAGES)))} AS depth FROM marked)"""
+_NAMES = [x[0] for x in STAGES]
+
+
+def _ladder(t):
+    """Detections of injected sources with depth, the number of stages that they pass in turn."""
+    known = spatial.radius_join(_a(t), _b(t), 1.0, how="left_semi").select("src_id").withColumn("known", F.lit(True))
+    masked = _near_mask(t.cat_a, t, 15).select("src_id").withColumn("masked", F.lit(True))
+    hit = _recovered(t).select("inj_id", c("mag").alias("t_mag"), "iter", "src_id")
+    rows = hit.join(t.cat_a.drop("k"), "src_id").join(known, "src_id", "left").join(masked, "src_id", "left").na.fill(False, ["known", "masked"])
+    passed, depth = F.lit(True), F.lit(0)
+    for _, good, _ in STAGES:
+        passed = passed & F.coalesce(good(), F.lit(False))
+        depth = depth + passed.cast("int")
+    return rows.select("inj_id", "t_mag", "iter", "band", depth.alias("depth"))
+
+
+def _by_stage(rows, by):
+    """(by, stage, n): how many injected sources have a detection that passes a stage."""
+    deep = rows.groupBy("inj_id", *by).agg(F.max("depth").alias("depth"))
+    steps = deep.withColumn("stage", F.explode(F.sequence(F.lit(1), "depth")))
+    return steps.groupBy(*by, "stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_LADDER}, d AS (SELECT inj_id, iter, t_mag AS mag, band, max(depth) AS depth FROM ladder GROUP BY ALL) SELECT iter, mag, band, stage, {_NAMES!r}[stage] AS name, count(*) AS n FROM (SELECT *, unnest(range(1, depth + 1)) AS stage FROM d) GROUP BY ALL")
 def recovery_counts(t):
-    return _recovered(t).groupBy("iter", "mag", "band").agg(F.count_distinct("inj_id").alias("found"), F.count_distinct(F.when(c("sep_flag") < 4, c("inj_id"))).alias("extracted"))
+    n = _by_stage(_ladder(t), ["iter", "t_mag", "band"])
+    return n.select("iter", c("t_mag").alias("mag"), "band", c("stage").cast("long").alias("stage"), F.element_at(F.array(*map(F.lit, _NAMES)), c("stage").cast("int")).alias("name"), "n")
 
 
 @query(f"SELECT t.inj_id, count(DISTINCT a.band) AS n {_HIT} GROUP BY 1 HAVING count(DISTINCT a.band) >= 2")
@@ -141,31 +233,43 @@ def recovery_stats(t):
     return n.groupBy("mag").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_pop("n"), 6).alias("sd"))
 
 
-@query(f"WITH h AS (SELECT t.inj_id, bool_or(a.sep_flag < 4) AS ok, bool_or(a.sep_flag < 4 AND a.psf_err < 0.217) AS bright {_HIT} GROUP BY 1) SELECT t.inj_id, CASE WHEN h.inj_id IS NULL THEN 'not_found' WHEN NOT ok THEN 'extraction' WHEN NOT bright THEN 'snr' ELSE 'recovered' END AS stage FROM truth t LEFT JOIN h USING (inj_id)")
+_CLASSES = ["not_extracted", "flagged_by_cross_match", "matched_to_catalogue", "failed_sep_flags", "failed_ext_artifact", "failed_snr", "failed_shape", "failed_psf_fit", "failed_dec", "failed_delta_mag", "recovered"]
+
+
+@query(f"{_LADDER}, d AS (SELECT inj_id, max(depth) AS depth FROM ladder GROUP BY 1) SELECT t.inj_id, {_CLASSES!r}[coalesce(depth, 0) + 1] AS stage FROM truth t LEFT JOIN d USING (inj_id)")
 def dropout_attribution(t):
-    h = _recovered(t).groupBy("inj_id").agg(F.bool_or(c("sep_flag") < 4).alias("ok"), F.bool_or((c("sep_flag") < 4) & (c("psf_err") < 0.217)).alias("bright"))
-    j = t.truth.select("inj_id").join(h, "inj_id", "left")
-    return j.select("inj_id", F.when(c("ok").isNull(), "not_found").when(~c("ok"), "extraction").when(~c("bright"), "snr").otherwise("recovered").alias("stage"))
+    """The first stage that no detection of an injected source passes."""
+    d = _ladder(t).groupBy("inj_id").agg(F.max("depth").alias("depth"))
+    return t.truth.select("inj_id").join(d, "inj_id", "left").select("inj_id", F.element_at(F.array(*map(F.lit, _CLASSES)), (F.coalesce("depth", F.lit(0)) + 1).cast("int")).alias("stage"))
 
 
-@query(f"WITH h AS (SELECT t.mag, count(DISTINCT t.inj_id) AS found, count(DISTINCT CASE WHEN a.sep_flag < 4 THEN t.inj_id END) AS kept {_HIT} GROUP BY 1), n AS (SELECT mag, count(*) AS n FROM truth GROUP BY 1) SELECT mag, greatest(0, n - found) AS lost_found, greatest(0, found - kept) AS lost_kept FROM n JOIN h USING (mag)")
+@query(f"""{_LADDER}, st AS (SELECT unnest(range(0, {len(STAGES) + 1})) AS stage), d AS (SELECT t.inj_id, t.iter, t.mag, coalesce(max(depth), 0) AS depth FROM truth t LEFT JOIN ladder l USING (inj_id) GROUP BY ALL),
+n AS (SELECT mag, iter, stage, count(*) FILTER (WHERE depth >= stage) AS n FROM d, st GROUP BY ALL), m AS (SELECT mag, stage, avg(n) AS mean FROM n GROUP BY ALL)
+SELECT mag, stage, round(greatest(0, lag(mean) OVER (PARTITION BY mag ORDER BY stage) - mean), 6) AS lost FROM m QUALIFY stage > 0""")
 def loss_breakdown(t):
-    h = _recovered(t).groupBy("mag").agg(F.count_distinct("inj_id").alias("found"), F.count_distinct(F.when(c("sep_flag") < 4, c("inj_id"))).alias("kept"))
-    n = t.truth.groupBy("mag").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(h, "mag").select("mag", F.greatest(F.lit(0).cast("long"), c("n") - c("found")).alias("lost_found"), F.greatest(F.lit(0).cast("long"), c("found") - c("kept")).alias("lost_kept"))
+    """How many injected sources each stage loses, as the mean over iterations."""
+    depth = _ladder(t).groupBy("inj_id").agg(F.max("depth").alias("depth"))
+    d = t.truth.select("inj_id", "iter", "mag").join(depth, "inj_id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    per = d.groupBy("mag", "iter").agg(*[F.sum((c("depth") >= s).cast("long")).alias(f"_{s}") for s in range(len(STAGES) + 1)])
+    mean = per.groupBy("mag").agg(*[F.avg(f"_{s}").alias(f"_{s}") for s in range(len(STAGES) + 1)])
+    rows = [F.struct(F.lit(s).cast("long").alias("stage"), F.round(F.greatest(F.lit(0.0), c(f"_{s - 1}") - c(f"_{s}")), 6).alias("lost")) for s in range(1, len(STAGES) + 1)]
+    return mean.select("mag", F.inline(F.array(*rows)))
 
 
-@query("SELECT a.src_id, b.obj_id FROM cat_a a JOIN cat_b b ON round(a.ra, 5) = round(b.ra, 5) AND abs(a.ra - b.ra) < 1e-6 AND abs(a.dec - b.dec) < 1e-4")
+@query("SELECT a.src_id, b.obj_id FROM cat_a a JOIN cat_b b ON a.fieldid = b.fieldid AND abs(a.ra - (b.ra + 5e-7)) < 1e-6 AND abs(a.dec - b.dec) < 1e-4")
 def tolerance_match(t):
-    b = t.cat_b.select("obj_id", c("ra").alias("ra2"), c("dec").alias("dec2"))
-    j = t.cat_a.join(b, F.round("ra", 5) == F.round("ra2", 5)).filter((F.abs(c("ra") - c("ra2")) < 1e-6) & (F.abs(c("dec") - c("dec2")) < 1e-4))
-    return j.select("src_id", "obj_id")
+    b = t.cat_b.select("obj_id", (c("ra") + 5e-7).alias("ra2"), c("dec").alias("dec2"))
+    return spatial.within(t.cat_a, b, {("ra", "ra2"): 1e-6, ("dec", "dec2"): 1e-4}).select("src_id", "obj_id")
+
 
+_KEYS = ("k", "fieldid", "ccdid", "qid")
 
-@query("SELECT k, g.psf_mag AS g, r.psf_mag AS r FROM (SELECT k, psf_mag FROM cat_a WHERE band = 'g') g FULL JOIN (SELECT k, psf_mag FROM cat_a WHERE band = 'r') r USING (k)")
+
+@query(f"SELECT {', '.join(_KEYS)}, g.m AS g, r.m AS r, i.m AS i FROM " + " FULL JOIN ".join(f"(SELECT {', '.join(_KEYS)}, psf_mag AS m FROM cat_a WHERE band = '{b}') {b}" + (f" USING ({', '.join(_KEYS)})" if b != "g" else "") for b in "gri"))
 def band_outer_join(t):
-    side = lambda b: t.cat_a.filter(c("band") == b).select("k", c("psf_mag").alias(b))
-    return side("g").join(side("r"), "k", "full")
+    """The tables of the bands side by side, joined on all columns that they share."""
+    g, r, i = (t.cat_a.filter(c("band") == b).select(*_KEYS, c("psf_mag").alias(b)) for b in "gri")
+    return g.join(r, list(_KEYS), "full").join(i, list(_KEYS), "full")
 
 
 @query("SELECT obj_id, cat_b.mag, star_id, round(parallax_over_error, 6) AS poe FROM pos JOIN cat_b ON pos.k = obj_id JOIN stars ON star_id = obj_id")
@@ -174,11 +278,14 @@ def star_schema_join(t):
     return t.pos.select("k").join(t.cat_b.select("obj_id", "mag"), c("k") == c("obj_id")).join(s, c("star_id") == c("obj_id")).select("obj_id", "mag", "star_id", "poe")
 
 
-@query(f"{_NEAR} SELECT src_id, near.obj_id, cat_b.quality_flag, star_id FROM near JOIN cat_b USING (obj_id) LEFT JOIN stars ON star_id = near.obj_id WHERE sep <= 2")
+@query(f"{_NEAR} SELECT src_id, a.obj_id, a.quality_flag, star_id, model_mag FROM (SELECT * FROM near WHERE sep <= 2) n JOIN pos p ON p.k = n.obj_id LEFT JOIN stars ON star_id = p.k FULL JOIN (SELECT obj_id AS model_id, mag AS model_mag FROM cat_b_dup WHERE primary_detection = 1 AND mag < 23) mo ON model_id = p.k JOIN cat_b a ON a.obj_id = coalesce(p.k, model_id)")
 def cone_multi_join(t):
-    m = spatial.nearest(_a(t), _b(t), 2.0, "src_id", "obj_id").select("src_id", "obj_id")
-    j = m.join(t.cat_b.select("obj_id", "quality_flag"), "obj_id").join(t.stars.select("star_id"), c("star_id") == c("obj_id"), "left")
-    return j.select("src_id", "obj_id", "quality_flag", "star_id").dropDuplicates(["src_id"])
+    """Objects in a cone with their scores, if any, and their models, also those without an object; all need attributes."""
+    m = spatial.nearest(_a(t), _b(t), 2.0, "src_id", "obj_id").select("src_id", c("obj_id").alias("in_cone"))
+    j = m.join(t.pos.select("k"), c("in_cone") == c("k")).join(t.stars.select("star_id"), c("star_id") == c("k"), "left")
+    model = t.cat_b_dup.filter("primary_detection = 1 and mag < 23").select(c("obj_id").alias("model_id"), c("mag").alias("model_mag"))
+    j = j.join(model, c("model_id") == c("k"), "full").withColumn("any_id", F.coalesce("k", "model_id"))
+    return j.join(t.cat_b.select("obj_id", "quality_flag"), c("any_id") == c("obj_id")).select("src_id", "obj_id", "quality_flag", "star_id", "model_mag").dropDuplicates()
 
 
 @query(f"{_NEAR} SELECT a.src_id, coalesce(CASE WHEN a.src_id % 2 = 0 THEN b.obj_id END, near.obj_id) AS obj_id FROM cat_a a LEFT JOIN cat_b b ON a.k = b.obj_id LEFT JOIN near ON near.src_id = a.src_id AND near.sep <= 1")
@@ -189,94 +296,133 @@ def id_or_coord_lookup(t):
     return by_id.join(near, "src_id", "left").select("src_id", F.coalesce("by_id", "obj_id").alias("obj_id"))
 
 
-@query("SELECT ids.k, coalesce(g.dec, r.dec) AS dec FROM (SELECT k FROM cat_a WHERE band = 'g' UNION SELECT k FROM cat_a WHERE band = 'r') ids LEFT JOIN (SELECT * FROM cat_a WHERE band = 'g') g USING (k) LEFT JOIN (SELECT * FROM cat_a WHERE band = 'r') r USING (k)")
+_SIDE = "(SELECT k, dec FROM cat_a WHERE band = '{}')"
+
+
+@query(f"SELECT ids.k, coalesce(g.dec, r.dec, i.dec) AS dec FROM ({' UNION '.join('SELECT k FROM ' + _SIDE.format(b) for b in 'gri')}) ids " + " ".join(f"LEFT JOIN {_SIDE.format(b)} {b} USING (k)" for b in "gri"))
 def obj_union_left(t):
-    g, r = (t.cat_a.filter(c("band") == b).select("k", c("dec").alias(b)) for b in "gr")
-    return g.select("k").union(r.select("k")).distinct().join(g, "k", "left").join(r, "k", "left").select("k", F.coalesce("g", "r").alias("dec"))
+    g, r, i = (t.cat_a.filter(c("band") == b).select("k", c("dec").alias(b)) for b in "gri")
+    ids = g.select("k").union(r.select("k")).union(i.select("k")).distinct()
+    return ids.join(g, "k", "left").join(r, "k", "left").join(i, "k", "left").select("k", F.coalesce("g", "r", "i").alias("dec"))
 
 
-@query("WITH f AS (SELECT fieldid AS f, min(dec) AS lo, max(dec) AS hi, min((ra + 180) % 360) AS ra_lo, max((ra + 180) % 360) AS ra_hi FROM cat_b WHERE fieldid < 13 GROUP BY 1) SELECT k, f FROM pos JOIN f ON dec BETWEEN lo AND hi AND (ra + 180) % 360 BETWEEN ra_lo AND ra_hi")
+@query(f"WITH f AS ({_RANGE.format('cat_b')}) SELECT k, f.fieldid AS f FROM pos JOIN f ON dec BETWEEN dec_lo AND dec_hi AND (ra BETWEEN ra_lo AND ra_hi OR ra + 360 BETWEEN ra_lo AND ra_hi)")
 def footprint_join(t):
-    x = (c("ra") + 180.0) % 360.0
-    f = t.cat_b.filter("fieldid < 13").groupBy(c("fieldid").alias("f")).agg(F.min("dec").alias("lo"), F.max("dec").alias("hi"), F.min(x).alias("ra_lo"), F.max(x).alias("ra_hi"))
-    tiles = f.withColumn("_t", F.explode(F.sequence(F.floor("lo"), F.floor("hi"))))  # one-degree strips make it an equi-join
-    j = t.pos.withColumn("_t", F.floor("dec")).join(tiles, "_t").filter(c("dec").between(c("lo"), c("hi")) & x.between(c("ra_lo"), c("ra_hi")))
-    return j.select("k", "f")
+    fields = ranges(t.cat_b).withColumnRenamed("fieldid", "f")
+    return spatial.in_ranges(t.pos.select("k", "ra", "dec"), fields).select("k", "f")
 
 
-@query(f"{_NEAR}, one AS (SELECT src_id, obj_id FROM pairs WHERE sep <= 10 AND obj_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY src_id ORDER BY sep, obj_id) = 1), two AS (SELECT src_id, obj_id FROM pairs WHERE sep <= 10 AND obj_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY src_id ORDER BY sep, obj_id) = 1) SELECT a.src_id, coalesce(one.obj_id, two.obj_id) AS obj_id FROM cat_a a LEFT JOIN one USING (src_id) LEFT JOIN two USING (src_id)")
+@query(f"{_NEAR}, one AS (SELECT src_id, obj_id FROM pairs WHERE sep <= 30 AND obj_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY src_id ORDER BY sep, obj_id) = 1), two AS (SELECT src_id, obj_id FROM pairs WHERE sep <= 30 AND obj_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY src_id ORDER BY sep, obj_id) = 1) SELECT a.src_id, coalesce(one.obj_id, two.obj_id) AS obj_id FROM cat_a a LEFT JOIN one USING (src_id) LEFT JOIN two USING (src_id)")
 def fallback_match(t):
-    one = spatial.nearest(_a(t), _b(t).filter("obj_id % 2 = 0"), 10.0, "src_id", "obj_id").select("src_id", c("obj_id").alias("first"))
-    two = spatial.nearest(_a(t), _b(t).filter("obj_id % 2 = 1"), 10.0, "src_id", "obj_id").select("src_id", c("obj_id").alias("second"))
+    one = spatial.nearest(_a(t), _b(t).filter("obj_id % 2 = 0"), 30.0, "src_id", "obj_id").select("src_id", c("obj_id").alias("first"))
+    two = spatial.nearest(_a(t), _b(t).filter("obj_id % 2 = 1"), 30.0, "src_id", "obj_id").select("src_id", c("obj_id").alias("second"))
     return _a(t).select("src_id").join(one, "src_id", "left").join(two, "src_id", "left").select("src_id", F.coalesce("first", "second").alias("obj_id"))
 
 
-@query("SELECT k AS src_k, k AS obj_id FROM pos WHERE k % 10 = 3")
+@query(f"WITH st AS (SELECT obj_id, fieldid, round(ra, 4) AS ra, round(dec, 4) AS dec FROM cat_b) SELECT a.k AS src_k, b.obj_id FROM pos a JOIN st b ON a.fieldid = b.fieldid AND abs(a.dec - b.dec) < 0.009 WHERE {_SEP} <= 30 QUALIFY row_number() OVER (PARTITION BY a.k ORDER BY {_SEP}, b.obj_id) = 1")
 def redshift_match(t):
+    """The nearest of a list of places that is known by its stems, within 30 arc seconds."""
     ra, dec = parse_coord_stem(c("stem"))
-    stems = t.pos.filter("k % 10 = 3").select(c("k").alias("obj_id"), stem_of(c("ra"), c("dec")).alias("stem")).select("obj_id", ra.alias("ra2"), dec.alias("dec2"))
-    found = spatial.nearest(t.pos.select(c("k").alias("src_k"), "ra", "dec"), stems, 1.0, "src_k", "obj_id")
-    return found.select("src_k", "obj_id")
+    stems = t.cat_b.select("obj_id", stem_of(c("ra"), c("dec")).alias("stem")).select("obj_id", ra.alias("ra2"), dec.alias("dec2"))
+    return spatial.nearest(t.pos.select(c("k").alias("src_k"), "ra", "dec"), stems, 30.0, "src_k", "obj_id").select("src_k", "obj_id")
 
 
-@query("SELECT a.src_id, CASE WHEN l.src_id IS NOT NULL THEN 'psf_fit' ELSE '-' END AS reason FROM cat_a a LEFT JOIN (SELECT src_id FROM cat_a WHERE psf_flag = 4) l USING (src_id)")
+@query(f"""WITH {_PAIRS}, {_PASS}, lg AS (SELECT src_id, CASE WHEN NOT p1 THEN 'extraction' WHEN NOT p2 THEN 'shape' WHEN NOT p4 THEN 'psf_fit' END AS reason FROM f WHERE band <> 'i'),
+nb AS (SELECT p.obj_id, p.band, reason FROM pairs p JOIN lg USING (src_id) WHERE reason IS NOT NULL AND sep <= 1 QUALIFY row_number() OVER (PARTITION BY p.obj_id, p.band ORDER BY sep, src_id) = 1)
+SELECT b.obj_id, coalesce(max(reason) FILTER (WHERE band = 'g'), '-') AS g, coalesce(max(reason) FILTER (WHERE band = 'r'), '-') AS r, 'N/A' AS i FROM cat_b b LEFT JOIN nb USING (obj_id) GROUP BY b.obj_id""")
 def reject_reason_lookup(t):
-    log = t.cat_a.filter("psf_flag = 4").select(c("src_id").alias("log_id"), "band", c("ra").alias("ra2"), c("dec").alias("dec2"))
-    found = spatial.nearest(t.cat_a.select("src_id", "band", "ra", "dec"), log, 0.01, "src_id", "log_id", on=("band",))
-    return t.cat_a.select("src_id").join(found.select("src_id", "log_id"), "src_id", "left").select("src_id", F.when(c("log_id").isNotNull(), "psf_fit").otherwise("-").alias("reason"))
+    """Why the nearest row of a band's rejection log was rejected; '-' without one, 'N/A' in a band without a log."""
+    log = filters.flagged(t.matched.filter("band <> 'i'"), ["extraction", "shape", "psf_fit"]).filter("reject_reason is not null")
+    log = log.select(c("src_id").alias("log_id"), "band", c("ra").alias("ra2"), c("dec").alias("dec2"), "reject_reason")
+    targets = t.cat_b.select("obj_id", "ra", "dec", F.explode(F.array(*map(F.lit, "gri"))).alias("band"))
+    found = spatial.nearest(targets, log, 1.0, "obj_id", "log_id", on=("band",)).select("obj_id", "band", "reject_reason")
+    logged = {r.band for r in log.select("band").distinct().collect()}  # bands
+    by = found.groupBy("obj_id").agg(*[F.max(F.when(c("band") == b, c("reject_reason"))).alias(f"_{b}") for b in "gri"])
+    return t.cat_b.select("obj_id").join(by, "obj_id", "left").select("obj_id", *[F.coalesce(f"_{b}", F.lit("-" if b in logged else "N/A")).alias(b) for b in "gri"])
+
+
+_STAR = f"star AS (SELECT a.src_id, b.star_id, b.parallax_over_error, b.pmra, b.pmdec, b.pm_err, b.params_solved FROM cat_a a JOIN moved b ON a.fieldid = b.fieldid AND abs(a.dec - b.dec) < 0.002 WHERE {_SEP} <= 5 QUALIFY row_number() OVER (PARTITION BY a.src_id ORDER BY {_SEP}, b.star_id) = 1)"
+
 
+def _stars(t):
+    """All sources with the nearest star within 5 arc seconds, if any, at the epoch 2021."""
+    ra, dec = propagated(c("ra"), c("dec"), c("pmra"), c("pmdec"), 2021.0 - c("ref_epoch"))
+    moved = t.stars.select("star_id", ra.alias("ra2"), dec.alias("dec2"), "parallax_over_error", "pmra", "pmdec", "pm_err", "params_solved")
+    near = spatial.nearest(_a(t), moved, 5.0, "src_id", "star_id").drop("ra2", "dec2", "sep")
+    return t.cat_a.select("src_id").join(near, "src_id", "left")
 
-@query(f"{_NEAR} SELECT src_id, near.obj_id AS star_like FROM near JOIN stars ON star_id = near.obj_id WHERE sep <= 5 AND parallax_over_error < 5")
+
+@query(f"WITH {MOVED}, {_STAR} SELECT a.src_id, star_id FROM cat_a a LEFT JOIN star USING (src_id) WHERE parallax_over_error IS NULL OR parallax_over_error < 5")
 def parallax_filter(t):
-    s = t.stars.select("star_id", "parallax_over_error")
-    m = spatial.nearest(_a(t), _b(t), 5.0, "src_id", "obj_id").join(s, c("obj_id") == c("star_id"))
-    return m.filter(F.coalesce(c("parallax_over_error") < 5, F.lit(True))).select("src_id", c("obj_id").alias("star_like"))
+    return _stars(t).filter("parallax_over_error is null or parallax_over_error < 5").select("src_id", "star_id")
 
 
-@query("SELECT star_id FROM stars WHERE CASE WHEN pmra IS NULL THEN params_solved = 31 ELSE sqrt(pmra * pmra + pmdec * pmdec) / (pm_err + pm_err) < 500 END")
+@query(f"WITH {MOVED}, {_STAR} SELECT a.src_id, star_id FROM cat_a a LEFT JOIN star USING (src_id) WHERE star_id IS NULL OR CASE WHEN pmra IS NULL THEN params_solved = 31 ELSE sqrt(pmra * pmra + pmdec * pmdec) / (pm_err + pm_err) < 5 END")
 def proper_motion_filter(t):
-    pm = F.sqrt(c("pmra") * c("pmra") + c("pmdec") * c("pmdec"))
-    return t.stars.filter(F.when(c("pmra").isNull(), c("params_solved") == 31).otherwise(pm / (c("pm_err") + c("pm_err")) < 500)).select("star_id")
+    pm = F.sqrt(c("pmra") * c("pmra") + c("pmdec") * c("pmdec")) / (c("pm_err") + c("pm_err"))
+    still = F.when(c("pmra").isNull(), c("params_solved") == 31).otherwise(pm < 5)
+    return _stars(t).filter(c("star_id").isNull() | still).select("src_id", "star_id")
 
 
-@query(f"{_NEAR} SELECT b.obj_id, CASE WHEN b.obj_id % 3 = 0 THEN 'kept' ELSE CAST(min(near.src_id) AS VARCHAR) END AS link FROM cat_b b LEFT JOIN near ON near.obj_id = b.obj_id AND near.sep <= 1 GROUP BY b.obj_id")
+@query(f"WITH {_PAIRS}, n AS (SELECT obj_id, src_id FROM pairs WHERE sep <= 1 QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY sep, src_id) = 1) SELECT b.obj_id, CASE WHEN b.obj_id % 3 = 0 THEN 'kept' ELSE CAST(n.src_id AS VARCHAR) END AS link FROM cat_b b LEFT JOIN n USING (obj_id)")
 def fill_blank_links(t):
-    old = t.cat_b.select("obj_id", F.when(c("obj_id") % 3 == 0, "kept").alias("old"))
-    near = spatial.nearest(_a(t), _b(t), 1.0, "src_id", "obj_id").groupBy("obj_id").agg(F.min("src_id").alias("src_id"))
+    old = t.cat_b.select("obj_id", "ra", "dec", F.when(c("obj_id") % 3 == 0, "kept").alias("old"))
+    rows = t.cat_a.select("src_id", c("ra").alias("ra2"), c("dec").alias("dec2"))
+    near = spatial.nearest(old.filter("old is null"), rows, 1.0, "obj_id", "src_id").select("obj_id", "src_id")
     return old.join(near, "obj_id", "left").select("obj_id", F.coalesce("old", c("src_id").cast("string")).alias("link"))
 
 
-@query("SELECT k, CASE WHEN k % 10 < 8 AND k % 4 = 0 THEN 'seen' END AS label FROM pos")
+@query(f"WITH n AS (SELECT b.k, a.obj_id, a.quality_flag FROM cat_b a JOIN pos b ON a.fieldid = b.fieldid AND abs(a.dec - b.dec) < 0.009 WHERE a.info_flag = 0 AND {_SEP} <= 30 QUALIFY row_number() OVER (PARTITION BY a.obj_id ORDER BY {_SEP}, b.k) = 1), l AS (SELECT k, min(quality_flag) AS label FROM n GROUP BY k) SELECT k, label FROM pos LEFT JOIN l USING (k)")
 def carry_over_labels(t):
-    old = t.cat_b.filter("obj_id % 4 = 0").select("obj_id", c("ra").alias("ra2"), c("dec").alias("dec2"), F.lit("seen").alias("label"))
-    m = spatial.nearest(t.pos.select("k", "ra", "dec"), old, 5.0, "k", "obj_id").filter(c("k") == c("obj_id"))
-    return t.pos.select("k").join(m.select("k", "label"), "k", "left")
+    """Labels of an old table go to the nearest row of the new one within 30 arc seconds."""
+    old = t.cat_b.filter("info_flag = 0").select("obj_id", "ra", "dec", c("quality_flag").alias("label"))
+    m = spatial.nearest(old, t.pos.select("k", c("ra").alias("ra2"), c("dec").alias("dec2")), 30.0, "obj_id", "k")
+    labels = old.join(m.select("obj_id", "k"), "obj_id").groupBy("k").agg(F.min("label").alias("label"))
+    return t.pos.select("k").join(labels, "k", "left")
 
 
-@query(f"{_NEAR} SELECT src_id, obj_id FROM near WHERE sep <= 5 AND src_id % 10 = 1")
+@query(f"{_NEAR} SELECT src_id, obj_id FROM near WHERE sep <= 5")
 def single_cone_lookup(t):
-    return spatial.nearest(_a(t).filter("src_id % 10 = 1"), _b(t), 5.0, "src_id", "obj_id").select("src_id", "obj_id")
+    return spatial.nearest(_a(t), _b(t), 5.0, "src_id", "obj_id").select("src_id", "obj_id")
 
 
 @query("SELECT obj_id, round(sep, 4) AS sep, row_number() OVER (ORDER BY sep, obj_id) AS rank FROM (SELECT obj_id, " + _SEP.replace("a.dec", "(-23.0)").replace("a.ra", "13.7").replace("b.", "") + " AS sep FROM cat_b) WHERE sep <= 1800")
 def cone_search(t):
-    target = t.spark.createDataFrame([(1, 13.7, -23.0)], "target int, ra double, dec double")
-    found = spatial.radius_join(target, _b(t), 1800.0)
+    """Objects around a target by separation, out of the pixels that the circle touches."""
     from pyspark.sql import Window
 
-    return found.select("obj_id", r4(c("sep")).alias("sep"), F.row_number().over(Window.partitionBy("target").orderBy("sep", "obj_id")).cast("long").alias("rank"))
+    found = tiles.cone(tiles.by_pixel(t.cat_b.select("obj_id", "ra", "dec")), 13.7, -23.0, 1800.0)
+    return found.select("obj_id", r4(c("sep")).alias("sep"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("sep", "obj_id")).cast("long").alias("rank"))
 
 
-@query("SELECT obj_id FROM cat_b WHERE ra BETWEEN 13.2 AND 14.2 AND dec BETWEEN -23.4 AND -22.6")
+@query("SELECT obj_id FROM cat_b WHERE (ra >= 359.4 OR ra <= 0.7) AND dec BETWEEN -25.4 AND -24.6")
 def tile_prune(t):
-    cells = t.cat_b.withColumn("hpix32", healpix_nested(c("ra"), c("dec"), 5))
-    steps = [i / 8 for i in range(-4, 14)]
-    wanted = t.spark.createDataFrame([(13.2 + x, -23.4 + y) for x in steps for y in steps], "ra double, dec double")
-    pixels = wanted.select(healpix_nested(c("ra"), c("dec"), 5).alias("hpix32")).distinct()
-    return cells.join(F.broadcast(pixels), "hpix32").filter(c("ra").between(13.2, 14.2) & c("dec").between(-23.4, -22.6)).select("obj_id")
+    """Objects in a box across RA 0, out of the pixels that the box touches."""
+    return tiles.box(tiles.by_pixel(t.cat_b.select("obj_id", "ra", "dec")), (359.4, 0.7), (-25.4, -24.6)).select("obj_id")
+
+
+@query(f"WITH e AS (SELECT event_id, source_id, jd, flux, ra, dec FROM epochs JOIN pos ON k = source_id) SELECT star_id, event_id, row_number() OVER (PARTITION BY star_id ORDER BY jd, event_id) AS i FROM (SELECT a.star_id, b.event_id, b.jd, {_SEP} AS sep FROM stars a JOIN e b ON abs(a.dec - b.dec) < 0.002) WHERE sep <= 3")
+def neowise_lc(t):
+    """Light curves of all targets: epochs in the pixels that their circles touch, within 3 arc seconds, by time."""
+    from pyspark.sql import Window
+
+    e = t.epochs.join(t.pos.select(c("k").alias("source_id"), c("ra").alias("ra2"), c("dec").alias("dec2")), "source_id").select("event_id", "jd", "flux", "ra2", "dec2")
+    found = tiles.light_curves(tiles.by_pixel(e, "ra2", "dec2"), t.stars.select("star_id", "ra", "dec"), 3.0)
+    return found.select("star_id", "event_id", F.row_number().over(Window.partitionBy("star_id").orderBy("jd", "event_id")).cast("long").alias("i"))
+
+
+def _healpix_sql(n: int, bits: int) -> str:
+    """The nested pixel of pos in SQL, step by step."""
+    spread = lambda x, s: " + ".join(f"((({x} >> {b}) & 1) << {2 * b + s})" for b in range(bits))
+    return f"""WITH h0 AS (SELECT k, sin(radians(dec)) AS z, (ra % 360) / 90 AS tt FROM pos), h1 AS (SELECT *, abs(z) AS za, CAST(floor({n} * (0.5 + tt) - {n} * z * 0.75) AS BIGINT) AS jp, CAST(floor({n} * (0.5 + tt) + {n} * z * 0.75) AS BIGINT) AS jm, least(CAST(floor(tt) AS BIGINT), 3) AS nt FROM h0),
+h2 AS (SELECT *, CAST(floor(jp / {n}) AS BIGINT) AS ip, CAST(floor(jm / {n}) AS BIGINT) AS im, {n} * sqrt(3 * (1 - za)) AS tm FROM h1),
+h3 AS (SELECT *, least(CAST(floor((tt - nt) * tm) AS BIGINT), {n - 1}) AS pp, least(CAST(floor((1 - (tt - nt)) * tm) AS BIGINT), {n - 1}) AS pm FROM h2),
+h4 AS (SELECT k, CASE WHEN za <= 2e0 / 3 THEN CASE WHEN ip = im THEN CASE WHEN ip = 4 THEN 4 ELSE ip + 4 END WHEN ip < im THEN ip ELSE im + 8 END WHEN z >= 0 THEN nt ELSE nt + 8 END AS face,
+CASE WHEN za <= 2e0 / 3 THEN jm % {n} WHEN z >= 0 THEN {n} - pm - 1 ELSE pp END AS ix, CASE WHEN za <= 2e0 / 3 THEN {n} - jp % {n} - 1 WHEN z >= 0 THEN {n} - pp - 1 ELSE pm END AS iy FROM h3)
+SELECT k, face * {n * n} + {spread('ix', 0)} + {spread('iy', 1)} AS pixel FROM h4"""
 
 
-@query()
+@query(_healpix_sql(32, 5))
 def healpix_cell(t):
     return t.pos.select("k", healpix_nested(c("ra"), c("dec"), 5).alias("pixel"))
 

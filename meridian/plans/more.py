@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -29,7 +32,13 @@ def hdr_level(t):
     return density.hdr_level(density.kde2d_grid(_dmag(t), ["band"]), ["band"]).select("band", F.round("level", 6).alias("level"))
 
 
-@query()
+_SCORE = _GRID + """, r AS (SELECT band, density, sum(density) OVER (PARTITION BY band ORDER BY density DESC ROWS UNBOUNDED PRECEDING) / sum(density) OVER (PARTITION BY band) AS m FROM g), lev AS (SELECT band, max(density) AS level FROM r WHERE m >= 0.9973 GROUP BY band),
+q AS (SELECT src_id, band, mag, dmag, (mag - 11) * 99 / 14 AS u, (dmag + 5) * 99 / 10 AS v FROM d), q2 AS (SELECT *, floor(u) AS i0, floor(v) AS j0 FROM q),
+sc AS (SELECT src_id, q2.band, CASE WHEN mag BETWEEN 11 AND 25 AND dmag BETWEEN -5 AND 5 THEN (1 - (u - i0)) * ((1 - (v - j0)) * coalesce(a.density, 0) + (v - j0) * coalesce(b.density, 0)) + (u - i0) * ((1 - (v - j0)) * coalesce(e.density, 0) + (v - j0) * coalesce(f.density, 0)) END AS score
+FROM q2 LEFT JOIN g a ON a.band = q2.band AND a.i = i0 AND a.j = j0 LEFT JOIN g b ON b.band = q2.band AND b.i = i0 AND b.j = j0 + 1 LEFT JOIN g e ON e.band = q2.band AND e.i = i0 + 1 AND e.j = j0 LEFT JOIN g f ON f.band = q2.band AND f.i = i0 + 1 AND f.j = j0 + 1)"""
+
+
+@query(_SCORE + " SELECT src_id, band, round(score, 6) AS score, coalesce(score < level, false) AS kept FROM sc LEFT JOIN lev USING (band)")
 def kde_filter(t):
     d = _dmag(t)
     grid = density.kde2d_grid(d, ["band"])
@@ -91,11 +100,14 @@ def calibration_stars(t):
     return s.select("src_id").join(crowded.union(bad), "src_id", "left_anti")
 
 
-#: For each survey: its table and what its columns are called in a common light curve.
-SURVEYS = {"fp": ("epochs", {"object_id": "source_id", "time": "jd", "value": "flux"}), "catalogue": ("cat_b", {"object_id": "obj_id", "time": "fieldid", "value": "mag"})}
+#: For each survey: its table, and what stands for object, time and value in a common light curve.
+SURVEYS = {
+    "forced": ("epochs", "source_id", "jd", "flux"), "catalogue": ("cat_b", "obj_id", "fieldid", "mag"), "images": ("cat_a", "src_id", "band_rank", "psf_mag"), "stars": ("stars", "star_id", "ref_epoch", "parallax_over_error"),
+    "stacks": ("cat_b_dup", "obj_id", "primary_detection", "mag"), "matches": ("matched", "src_id", "catalog_flag", "kron_mag"), "injected": ("truth", "inj_id", "iter", "tx"), "positions": ("pos", "k", "ccdid", "m"),
+}
 
 
-@query("SELECT 'fp' AS survey, source_id AS object_id, CAST(jd AS DOUBLE) AS time, flux AS value FROM epochs UNION ALL SELECT 'catalogue', obj_id, CAST(fieldid AS DOUBLE), mag FROM cat_b")
+@query(" UNION ALL ".join(f"SELECT '{s}' AS survey, CAST({o} AS BIGINT) AS object_id, CAST({t} AS DOUBLE) AS time, CAST({v} AS DOUBLE) AS value FROM {tab}" for s, (tab, o, t, v) in SURVEYS.items()))
 def survey_spec(t):
-    parts = [getattr(t, tab).select(F.lit(s).alias("survey"), c(n["object_id"]).cast("long").alias("object_id"), c(n["time"]).cast("double").alias("time"), c(n["value"]).alias("value")) for s, (tab, n) in SURVEYS.items()]
-    return parts[0].unionByName(parts[1])
+    parts = [getattr(t, tab).select(F.lit(s).alias("survey"), c(o).cast("long").alias("object_id"), c(when).cast("double").alias("time"), c(v).cast("double").alias("value")) for s, (tab, o, when, v) in SURVEYS.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import photometry as P
-from ..operators import filters
+from ..operators import filters, spatial
 from ..operators.spatial import separation
 from .registry import query
 
@@ -55,10 +55,14 @@ def maglimit_broadcast(t):
     return t.cat_a.select("src_id", F.first(F.when(c("npix") % 3 == 0, c("mag_limit") + c("band_rank")), ignorenulls=True).over(w).alias("quad_limit"))
 
 
-@query("SELECT src_id, psf_mag AS a_mag, CASE WHEN catalog_flag = 1 THEN CASE band WHEN 'g' THEN 23.3e0 WHEN 'r' THEN 23.2e0 ELSE 23.1e0 END ELSE mag END AS b_mag FROM matched")
+_BRANCHED = "b AS (SELECT *, CASE WHEN catalog_flag = 0 AND src_id % 5 = 0 THEN 2 ELSE catalog_flag END AS flag FROM matched)"
+
+
+@query(f"WITH {_BRANCHED} SELECT src_id, flag, CASE WHEN flag = 2 THEN mag_limit ELSE psf_mag END AS a_mag, CASE WHEN flag = 1 THEN CASE band WHEN 'g' THEN 23.3e0 WHEN 'r' THEN 23.2e0 ELSE 23.1e0 END ELSE mag END AS b_mag FROM b")
 def effective_mags(t):
-    limit = F.create_map(*[F.lit(x) for kv in P.LIMITS.items() for x in kv])[c("band")]
-    return t.matched.select("src_id", c("psf_mag").alias("a_mag"), F.when(c("catalog_flag") == 1, limit).otherwise(c("mag")).alias("b_mag"))
+    branched = t.matched.withColumn("flag", F.when((c("catalog_flag") == 0) & (c("src_id") % 5 == 0), 2).otherwise(c("catalog_flag")))
+    a, b = P.effective_mags(c("flag"))
+    return branched.select("src_id", "flag", a.alias("a_mag"), b.alias("b_mag"))
 
 
 @query("SELECT src_id, round((psf_mag + mag) / 2, 6) AS mean_mag, round(psf_mag - mag, 6) AS dmag, round(greatest(sqrt(psf_err * psf_err + magerr * magerr), 0.01), 6) AS err FROM matched WHERE mag IS NOT NULL")
@@ -117,9 +121,13 @@ def parse_coord_stem(t):
     return stems.select("k", F.round(ra, 4).alias("ra"), F.round(dec, 4).alias("dec"))
 
 
-@query("SELECT k, substr(replace(CAST(CAST(round(ra, 4) AS DECIMAL(12, 4)) AS VARCHAR), '.', 'p'), 1, 6) AS box FROM pos")
+_PART = "substr(translate(CAST(CAST(round({x}, 4) AS DECIMAL(12, 4)) AS VARCHAR), '.-', 'pn'), 1, 6)"
+
+
+@query(f"SELECT k, {_PART.format(x='ra')} || '_' || {_PART.format(x='dec')} AS box FROM pos")
 def box_name(t):
-    return t.pos.select("k", F.substring(F.translate(F.round("ra", 4).cast("decimal(12,4)").cast("string"), ".", "p"), 1, 6).alias("box"))
+    part = lambda x: F.substring(F.translate(F.round(x, 4).cast("decimal(12,4)").cast("string"), ".-", "pn"), 1, 6)
+    return t.pos.select("k", F.concat_ws("_", part("ra"), part("dec")).alias("box"))
 
 
 @query("SELECT k, round(CASE WHEN v = 0 THEN 0 ELSE floor(abs(v) * pow(10, 1 - floor(log10(abs(v)))) + 0.5) / pow(10, 1 - floor(log10(abs(v)))) END, 6) AS v FROM (SELECT k, m * (k % 1000) AS v FROM pos)")
@@ -133,10 +141,16 @@ def angular_sep(t):
     return t.cat_a.join(b, "k").select("src_id", F.round(separation(c("ra"), c("dec"), c("ra2"), c("dec2")), 4).alias("sep"))
 
 
-@query("SELECT star_id, round(ra + coalesce(pmra, 0) * (2021 - ref_epoch) / 3600000 / cos(radians(dec)), 7) AS ra, round(dec + coalesce(pmdec, 0) * (2021 - ref_epoch) / 3600000, 7) AS dec FROM stars")
+_STEP = "SELECT star_id, fieldid, parallax_over_error, pmra, pmdec, pm_err, params_solved, radians(ra) AS ra_, radians(dec) AS de_, coalesce(pmra, 0) * (2021 - ref_epoch) * pi() / 648000000 AS ea, coalesce(pmdec, 0) * (2021 - ref_epoch) * pi() / 648000000 AS no FROM stars"
+#: Stars at the epoch 2021, for the checks.
+MOVED = f"""step AS ({_STEP}), vec AS (SELECT *, cos(de_) * cos(ra_) - ea * sin(ra_) - no * sin(de_) * cos(ra_) AS vx, cos(de_) * sin(ra_) + ea * cos(ra_) - no * sin(de_) * sin(ra_) AS vy, sin(de_) + no * cos(de_) AS vz FROM step),
+moved AS (SELECT star_id, fieldid, parallax_over_error, pmra, pmdec, pm_err, params_solved, (degrees(atan2(vy, vx)) + 360) % 360 AS ra, degrees(asin(vz / sqrt(vx * vx + vy * vy + vz * vz))) AS dec FROM vec)"""
+
+
+@query(f"WITH {MOVED} SELECT star_id, round(ra, 7) AS ra, round(dec, 7) AS dec FROM moved")
 def propagate_pm(t):
-    years = 2021.0 - c("ref_epoch")
-    return t.stars.select("star_id", F.round(c("ra") + F.coalesce("pmra", F.lit(0.0)) * years / 3600000.0 / F.cos(F.radians("dec")), 7).alias("ra"), F.round(c("dec") + F.coalesce("pmdec", F.lit(0.0)) * years / 3600000.0, 7).alias("dec"))
+    ra, dec = P.propagated(c("ra"), c("dec"), c("pmra"), c("pmdec"), 2021.0 - c("ref_epoch"))
+    return t.stars.select("star_id", F.round(ra, 7).alias("ra"), F.round(dec, 7).alias("dec"))
 
 
 @query("SELECT src_id, round(sqrt(psf_err * psf_err + magerr * magerr), 6) AS color_err FROM matched")
@@ -156,9 +170,16 @@ def filtercode_normalise(t):
     return t.cat_a.select("src_id", P.filter_code(band).alias("code"), F.concat_ws("_", F.lpad(c("fieldid").cast("string"), 6, "0"), F.lpad(c("ccdid").cast("string"), 2, "0")).alias("name"))
 
 
-@query("SELECT src_id, 'source ' || src_id || ' band ' || band || ' flag ' || catalog_flag AS info FROM matched")
+@query("""SELECT src_id, 'source ' || src_id || ' at ' || CAST(CAST(round(ra, 5) AS DECIMAL(8, 5)) AS VARCHAR) || ', ' || CAST(CAST(round(dec, 5) AS DECIMAL(8, 5)) AS VARCHAR) || '; band ' || band || '; match ' || coalesce(CAST(obj_id AS VARCHAR), 'none')
+|| '; class ' || CASE WHEN a / b < 1.35 THEN 'star' ELSE 'galaxy' END || coalesce('; colour ' || CAST(CAST(round(psf_mag - kron_mag, 2) AS DECIMAL(8, 2)) AS VARCHAR), '') AS info FROM matched""")
 def info_row(t):
-    return t.matched.select("src_id", F.concat_ws(" ", F.lit("source"), "src_id", F.lit("band"), "band", F.lit("flag"), "catalog_flag").alias("info"))
+    number = lambda x, n: F.round(x, n).cast(f"decimal(8,{n})").cast("string")
+    parts = [
+        F.concat(F.lit("source "), c("src_id").cast("string"), F.lit(" at "), number("ra", 5), F.lit(", "), number("dec", 5)), F.concat(F.lit("band "), "band"),
+        F.concat(F.lit("match "), F.coalesce(c("obj_id").cast("string"), F.lit("none"))), F.concat(F.lit("class "), F.when(F.try_divide("a", "b") < 1.35, "star").otherwise("galaxy")),
+        F.concat(F.lit("colour "), number(c("psf_mag") - c("kron_mag"), 2)),
+    ]
+    return t.matched.select("src_id", F.concat_ws("; ", *parts).alias("info"))
 
 
 @query("SELECT k, fieldid, k % 64 // 4 + 1 AS ccdid, k % 64 % 4 + 1 AS qid FROM pos")
@@ -182,10 +203,8 @@ ROW_FILTERS = {
     "sep_extraction_filter": ("extraction", {}, "(CAST(sep_flag AS BIGINT) & 252) = 0"),
     "extended_source_artifact_filter": ("not_extended_artifact", {}, "NOT ((CAST(sep_flag AS BIGINT) & 1) <> 0 AND coalesce(psf_mag - kron_mag > 1.5, false))"),
     "shape_filter": ("shape", {}, "a IS NULL OR (a / b < 2 AND (a / b < 1.35 OR npix < 200))"),
-    "snr_filter_any": ("snr_any", {}, "greatest(2.5 / ln(10) / psf_err, CASE WHEN mag IS NOT NULL THEN 2.5 / ln(10) / magerr END) > 5"),
-    "snr_filter_both": ("snr_both", {}, "(2.5 / ln(10) / psf_err > 5 AND (mag IS NULL OR 2.5 / ln(10) / magerr > 5))"),
+    "snr_filter_any": ("snr_any", {}, "greatest(2.5 / ln(10) / psf_err, CASE WHEN mag IS NOT NULL THEN 2.5 / ln(10) / magerr END, 2.5 / ln(10) / kron_err, CASE WHEN b_kron_mag IS NOT NULL THEN 2.5 / ln(10) / b_kron_err END) > 5"),
     "dec_greater_than": ("dec_above", {"limit": -10.0}, "dec > -10"),
-    "pstarr_mag_less_than": ("fainter_than_zero", {"limit": 20.0}, "mag > 0 AND mag < 20"),
     "pstarr_not_saturated": ("not_saturated", {}, "(coalesce(info_flag, 0) & 4224) = 0 AND (coalesce(info_flag2, 0) & 4096) = 0 AND psf_mag > 13.5"),
     "pstarr_quality_filter": ("quality", {}, "NOT ((coalesce(quality_flag, 0) & 131) <> 0 OR (coalesce(obj_info_flag, 0) & 1098907648) <> 0)"),
     "drop_bad_detections": ("good_detection", {}, "(coalesce(info_flag, 0) & 2048) = 0 AND (coalesce(info_flag2, 0) & 4) = 0"),
@@ -202,6 +221,24 @@ for _key, (_name, _options, _sql) in ROW_FILTERS.items():
     _row_filter(_key, _name, _options, _sql)
 
 
+_SA, _SB, _KA, _KB = "2.5 / ln(10) / psf_err", "CASE WHEN mag IS NOT NULL THEN 2.5 / ln(10) / magerr END", "2.5 / ln(10) / kron_err", "CASE WHEN b_kron_mag IS NOT NULL THEN 2.5 / ln(10) / b_kron_err END"
+#: Whether both surveys, or the first or the second alone, see a row, for the checks.
+SNR_BOTH = f"coalesce(({_SA} > 5 AND coalesce({_SB} > 5, true)) OR ({_KA} > 5 AND coalesce({_KB} > 5, true)), false)"
+SNR_A, SNR_B = f"(NOT {SNR_BOTH} AND ({_SA} > 5 OR {_KA} > 5))", f"(NOT {SNR_BOTH} AND (coalesce({_SB} > 5, false) OR coalesce({_KB} > 5, false)))"
+
+
+@query(f"SELECT src_id, {SNR_BOTH} AS keep, {SNR_A} AS a_only, {SNR_B} AS b_only FROM matched")
+def snr_filter_both(t):
+    return t.matched.select("src_id", filters.snr_both().alias("keep"), filters.snr_a_only().alias("a_only"), filters.snr_b_only().alias("b_only"))
+
+
+@query("SELECT k, bool_and(coalesce(mag > 0 AND mag < CASE band WHEN 'g' THEN 20 WHEN 'r' THEN 19.5 ELSE 19 END, false)) AND count(DISTINCT band) = 3 AS keep FROM matched GROUP BY k")
+def pstarr_mag_less_than(t):
+    bright = F.create_map(F.lit("g"), F.lit(20.0), F.lit("r"), F.lit(19.5), F.lit("i"), F.lit(19.0))[c("band")]
+    good = F.coalesce((c("mag") > 0) & (c("mag") < bright), F.lit(False))
+    return t.matched.groupBy("k").agg((F.bool_and(good) & (F.count_distinct("band") == 3)).alias("keep"))
+
+
 @query("SELECT event_id FROM epochs WHERE list_bool_and(list_transform(string_split(procstatus, ','), lambda x: x IN ('0', '56')))")
 def procstatus_filter(t):
     return t.epochs.filter(F.forall(F.split("procstatus", ","), lambda x: x.isin("0", "56"))).select("event_id")
@@ -217,17 +254,16 @@ def band_select(t):
     return t.epochs.filter((c("band") == "r") & c("jd").between(2460315.0, 2460325.0)).select("event_id", "jd")
 
 
-@query("SELECT obj_id FROM cat_b WHERE info_flag = 0 AND (ra >= 359.5 OR ra <= 0.5) AND dec BETWEEN -25.5 AND -24.5")
+@query("SELECT obj_id FROM cat_b WHERE info_flag = 0 AND (ra >= 359.45 OR ra <= 0.45) AND dec BETWEEN -25.55 AND -24.45")
 def box_search(t):
-    lo, hi = 359.5, 0.5
-    in_ra = ((c("ra") >= lo) | (c("ra") <= hi)) if lo > hi else c("ra").between(lo, hi)
-    return t.cat_b.filter(in_ra & c("dec").between(-25.5, -24.5) & (c("info_flag") == 0)).select("obj_id")
+    return t.cat_b.filter(spatial.in_box((359.5, 0.4), (-25.5, -24.5), 0.05) & (c("info_flag") == 0)).select("obj_id")
 
 
-@query("SELECT obj_id FROM cat_b WHERE info_flag2 = 0 AND obj_info_flag = 0 AND ra BETWEEN 13.0 AND 14.0 AND dec BETWEEN -23.5 AND -22.5")
+@query("SELECT obj_id FROM cat_b WHERE info_flag2 = 0 AND obj_info_flag = 0 AND ra BETWEEN 13.0 - 100e0 / 3600 AND 14.0 + 100e0 / 3600 AND dec BETWEEN -23.5 - 100e0 / 3600 AND -22.5 + 100e0 / 3600")
 def cc_flags_filter(t):
+    radius = 1.0
     b = t.cat_b.withColumn("cc_flags", F.when((c("info_flag2") == 0) & (c("obj_info_flag") == 0), "0000").otherwise("D000"))
-    return b.filter((c("cc_flags") == "0000") & c("ra").between(13.0, 14.0) & c("dec").between(-23.5, -22.5)).select("obj_id")
+    return b.filter((c("cc_flags") == "0000") & spatial.in_box((13.0, 14.0), (-23.5, -22.5), 100 * radius / 3600)).select("obj_id")
 
 
 @query("SELECT src_id, psf_mag - mag > 0.1 AS agn_like FROM matched WHERE sqrt(psf_err * psf_err + magerr * magerr) < 0.09 AND mag IS NOT NULL")

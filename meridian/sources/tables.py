@@ -18,7 +18,8 @@ DERIVED = {
         -25e0 + (o_orderkey % 26) * 2e0 + ((o_orderkey * 104729) % 7200) / 3600.0e0 - 1e0 AS dec,
         14e0 + (o_totalprice % 1000e0) / 100e0 AS m FROM orders""",
     "cat_b": """SELECT k AS obj_id, fieldid, ccdid, qid, ra, dec + (k % 50 + 0.5e0) / 36000e0 AS dec,
-        CASE WHEN k % 90 = 0 THEN NULL ELSE m END AS mag, k % 90 = 0 AS undetected, 0.03e0 AS magerr,
+        CASE WHEN k % 90 = 0 THEN NULL ELSE m END AS mag, k % 90 = 0 AS undetected, CASE WHEN k % 11 = 0 THEN 0.25e0 ELSE 0.03e0 END AS magerr,
+        CASE WHEN k % 35 = 0 THEN NULL ELSE m - 0.1e0 END AS b_kron_mag, CASE WHEN k % 12 = 0 THEN 0.3e0 ELSE 0.05e0 END AS b_kron_err,
         CASE WHEN k % 40 = 0 THEN 128 ELSE 0 END AS info_flag, CASE WHEN k % 45 = 0 THEN 4 ELSE 0 END AS info_flag2,
         CASE WHEN k % 60 = 0 THEN 1 ELSE 4 END AS quality_flag, CASE WHEN k % 70 = 0 THEN 8388608 ELSE 0 END AS obj_info_flag,
         1 AS primary_detection FROM pos WHERE k % 10 < 8""",
@@ -29,13 +30,13 @@ DERIVED = {
         m + (l_discount - 0.05e0) * 4e0 + CASE WHEN l_partkey % 50 = 0 THEN 2e0 ELSE 0e0 END AS psf_mag,
         CASE WHEN l_quantity > 45 THEN 0.3e0 ELSE 0.02e0 + l_tax END AS psf_err,
         m + (l_discount - 0.05e0) * 4e0 + CASE WHEN l_partkey % 50 = 0 THEN 2e0 ELSE 0e0 END - CASE WHEN l_suppkey % 25 = 0 THEN 2e0 ELSE 0.05e0 END AS kron_mag,
-        CASE l_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 8 END AS sep_flag,
+        CASE WHEN l_quantity > 40 THEN 0.25e0 ELSE 0.03e0 + l_tax END AS kron_err, CASE l_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 8 END AS sep_flag,
         CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 13 = 0 THEN 4 ELSE 0 END AS psf_flag,
         1e0 + l_quantity / 40e0 AS a, 1e0 AS b, l_partkey % 400 AS npix, 22e0 AS mag_limit, (k * 31) % 3072 AS x, (k * 57) % 3080 AS y
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem WHERE l_linenumber <= 3) l
         JOIN pos ON l_orderkey = k WHERE rn = 1""",
-    "matched": """SELECT cat_a.src_id, cat_a.k, cat_a.fieldid, cat_a.ccdid, cat_a.qid, cat_a.band, cat_a.band_rank, cat_a.ra, cat_a.dec, psf_mag, psf_err, kron_mag, sep_flag, psf_flag, a, b, npix,
-        mag_limit, x, y, obj_id, mag, magerr, undetected, info_flag, info_flag2, quality_flag, obj_info_flag, CASE WHEN obj_id IS NULL THEN 1 ELSE 0 END AS catalog_flag
+    "matched": """SELECT cat_a.src_id, cat_a.k, cat_a.fieldid, cat_a.ccdid, cat_a.qid, cat_a.band, cat_a.band_rank, cat_a.ra, cat_a.dec, psf_mag, psf_err, kron_mag, kron_err, sep_flag, psf_flag, a, b, npix,
+        mag_limit, x, y, obj_id, mag, magerr, b_kron_mag, b_kron_err, undetected, info_flag, info_flag2, quality_flag, obj_info_flag, CASE WHEN obj_id IS NULL THEN 1 ELSE 0 END AS catalog_flag
         FROM cat_a LEFT JOIN cat_b ON k = obj_id""",
     "stars": """SELECT c_custkey AS star_id, fieldid, ra, dec, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey % 400) - 200e0 END AS pmra,
         CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey % 300) - 150e0 END AS pmdec, CASE WHEN c_custkey % 7 = 0 THEN 3 ELSE 31 END AS params_solved,
