@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..sources.files import there
+
 LOW, HIGH = 0.0013498980316301035, 0.9986501019683699  # the normal distribution at -3 and 3
 ONE = (0.15865525393145707, 0.8413447460685429)  # at -1 and 1
 CENTRES = (14.0, 24.0, 0.25)
@@ -86,8 +88,7 @@ def cached_envelopes(df: DataFrame, path: str) -> DataFrame:
     """The envelopes of a field stored at path; computed and stored where there are none, or not for all bands of df."""
     spark = df.sparkSession
     wanted = {r[0] for r in df.select("band").distinct().collect()}  # bands
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if there(spark, path):
         stored = spark.read.parquet(path)
         if wanted <= {r[0] for r in stored.select("band").distinct().collect()}:
             return stored

@@ -21,15 +21,17 @@ def scan_text_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def parse_fp(files: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Rows of whole forced-photometry files (path, value): path, ra, dec, then columns (name: type).
 
-    A file has # lines with its position, one comma-separated line of names, and rows by white space; null is NULL,
-    and so is a column that the file lacks. A file without rows gives none.
+    A file has # lines with its position, one comma-separated line of names, and after it rows by white space, whose
+    fields may have commas; null is NULL, and so is a column that the file lacks. A file without rows gives none.
     """
     def number(label: str) -> Column:
         return F.expr(f"try_cast(nullif(regexp_extract(value, '{label}\\\\s*=\\\\s*{NUMBER}', 1), '') as double)")
     lines = F.filter(F.transform(F.split("value", "\\r?\\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     f = files.select("path", number("R[.]A[.]").alias("ra"), number("Dec[.]").alias("dec"), lines.alias("l"))
-    names = F.transform(F.split(F.filter("l", lambda x: x.contains(","))[0], ","), lambda x: F.trim(x))
-    f = f.select("path", "ra", "dec", names.alias("names"), F.explode(F.filter("l", lambda x: ~x.contains(","))).alias("row"))
+    f = f.withColumn("head", F.get(F.filter("l", lambda x: x.contains(",")), F.lit(0)))
+    names = F.transform(F.split("head", ","), lambda x: F.trim(x))
+    rows = F.slice("l", F.array_position("l", F.col("head")).cast("int") + 1, F.size("l"))
+    f = f.select("path", "ra", "dec", names.alias("names"), F.explode(rows).alias("row"))
     f = f.select("path", "ra", "dec", "names", F.split("row", "\\s+").alias("v"))
     def field(name: str, kind: str) -> Column:
         at = F.array_position("names", name)
@@ -59,6 +61,23 @@ def sink_stats_csv(df: DataFrame, path: str) -> None:
     df.na.fill("").write.csv(path, header=True)
 
 
+def sink_json(df: DataFrame, path: str) -> None:
+    """JSON lines, null fields kept."""
+    df.write.option("ignoreNullFields", "false").json(path)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def convert(spark: SparkSession, paths: dict[str, str], schema: str) -> None:
+    """Text tables to Parquet, source folder by target folder; finished targets (with a _SUCCESS file) are left alone."""
+    for source, target in paths.items():
+        if not there(spark, f"{target}/_SUCCESS"):
+            scan_text_table(spark, source, schema).write.mode("overwrite").parquet(target)
+
+
 def unseen(files: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:
     """Files whose key the table of finished ones lacks."""
     return files.join(done.select(key), key, "left_anti")

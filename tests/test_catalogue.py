@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridian import plans
-from meridian.operators import dedup, filters, spatial
+from meridian.operators import dedup, filters, lightcurve, ranking, spatial, tiles
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def plain(v):
     return round(float(v), 4) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.parametrize("name", ["flux_to_mag", "shape_filter", "funnel_stats", "nn_join", "annulus_nn_join", "ivw_stack", "rolling_stack_days", "window3d_collapse", "n_bands", "near_mask"])
+@pytest.mark.parametrize("name", ["flux_to_mag", "shape_filter", "funnel_stats", "nn_join", "annulus_nn_join", "ivw_stack", "rolling_stack_days", "window3d_collapse", "n_bands", "near_mask", "snr_filter_both", "coverage_flag", "merge_bands", "dropout_attribution", "loss_breakdown", "footprint_join", "tolerance_match", "parallax_filter", "proper_motion_filter", "rank_by_dmag", "same_night_collapse", "envelope_percentile", "only_big_dmag"])
 def test_query_equals_sql(spark, db, name):
     got = plans.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
@@ -60,7 +60,59 @@ def test_greedy_merge_keeps_first_and_third_of_a_chain(spark):
 
 
 def test_filters_split_all_rows(spark):
-    row = "psf_flag int, sep_flag int, psf_mag double, kron_mag double, psf_err double, a double, b double, npix long, mag double, magerr double, info_flag int, info_flag2 int, quality_flag int, obj_info_flag int, catalog_flag int, dec double"
-    df = spark.createDataFrame([(None,) * 16, (0, 0, 18.0, 18.1, 0.0, 1.0, 0.0, 10, 18.2, 0.0, 0, 0, 0, 0, 0, 1.0)], row)
+    row = "psf_flag int, sep_flag int, psf_mag double, kron_mag double, psf_err double, kron_err double, b_kron_mag double, b_kron_err double, a double, b double, npix long, mag double, magerr double, info_flag int, info_flag2 int, quality_flag int, obj_info_flag int, catalog_flag int, dec double"
+    df = spark.createDataFrame([(None,) * 19, (0, 0, 18.0, 18.1, 0.0, 0.0, 18.0, 0.0, 1.0, 0.0, 10, 18.2, 0.0, 0, 0, 0, 0, 0, 1.0)], row)
     for f in filters.FILTERS.values():
         assert df.filter(f()).count() + df.filter(~f()).count() == 2
+
+
+def test_boxes_and_fields_across_zero(spark):
+    points = spark.createDataFrame([(1, 359.95, 0.0), (2, 0.05, 0.0), (3, 0.4, 0.0), (4, 180.0, 0.0), (5, 359.95, 3.0)], "i long, ra double, dec double")
+    assert {r.i for r in points.filter(spatial.in_box((359.9, 0.1), (-1.0, 1.0))).collect()} == {1, 2}
+    assert {r.i for r in points.filter(spatial.in_box((359.9, 0.1), (-1.0, 1.0), 0.5)).collect()} == {1, 2, 3}
+    boxes = spark.createDataFrame([("a", 359.9, 360.1, -1.0, 1.0), ("b", 179.0, 181.0, -5.0, 5.0)], "f string, ra_lo double, ra_hi double, dec_lo double, dec_hi double")
+    assert {(r.i, r.f) for r in spatial.in_ranges(points, boxes).collect()} == {(1, "a"), (2, "a"), (4, "b")}
+
+
+def test_annulus_overwrites_columns_that_any_match_has(spark):
+    left = spark.createDataFrame([(1, 10.0, 0.0, 1.0, "x"), (2, 20.0, 0.0, 2.0, "y"), (3, 30.0, 0.0, 3.0, "z")], "i long, ra double, dec double, m double, note string")
+    right = spark.createDataFrame([(7, 10.0, 2 / 3600, None, None), (8, 20.0, 2 / 3600, 9.0, None), (9, 30.0, 0.5 / 3600, 9.0, None)], "j long, ra2 double, dec2 double, m double, note string")
+    got = {r.i: (r.j, r.m, r.note) for r in spatial.overwritten_match(left, right, 1.0, 3.0, "i", "j").collect()}
+    assert got == {1: (7, None, "x"), 2: (8, 9.0, "y"), 3: (None, 3.0, "z")}
+
+
+def test_ranks_over_many_partitions(spark):
+    df = spark.createDataFrame([(i, float(i * 7919 % 1000) if i % 10 else None) for i in range(3000)], "i long, v double").repartition(7)
+    got = [r.i for r in ranking.ranked(df, [F.desc_nulls_last("v"), F.asc("i")]).orderBy("rank").collect()]
+    assert got == [r.i for r in df.orderBy(F.desc_nulls_last("v"), "i").collect()]
+
+
+def test_funnels_of_different_filters_are_not_added(spark):
+    f = spark.createDataFrame([(1, 1, "a", 3, 2), (2, 1, "b", 3, 2)], "field long, stage long, filter string, n_before long, n_after long")
+    with pytest.raises(ValueError):
+        filters.summed(f, "field")
+    assert filters.summed(f.filter("field = 1"), "field").first().n_after == 2
+
+
+def test_a_circle_opens_few_pixels(spark):
+    rng = random.Random(3)
+    table = tiles.by_pixel(spark.createDataFrame([(i, rng.uniform(0, 360), rng.uniform(-90, 90)) for i in range(3000)], "i long, ra double, dec double"))
+    rows = table.collect()
+    found = tiles.cone(table, 0.5, 10.0, 20_000.0)
+    assert "PartitionFilters: [isnotnull(hpix" in found._jdf.queryExecution().toString() or "hpix" in found._jdf.queryExecution().executedPlan().toString()
+    for ra, dec, radius in ((0.5, 10.0, 20_000.0), (120.0, 89.5, 9_000.0), (359.9, -45.0, 5_000.0)):
+        want = {r.i for r in rows if spatial_sep(r, ra, dec) <= radius}
+        assert {r.i for r in tiles.cone(table, ra, dec, radius).collect()} == want
+    assert {r.i for r in tiles.box(table, (350.0, 8.0), (-12.0, 9.0)).collect()} == {r.i for r in rows if (r.ra >= 350 or r.ra <= 8) and -12 <= r.dec <= 9}
+
+
+def spatial_sep(r, ra, dec):
+    u, v = ([math.cos(math.radians(d)) * math.cos(math.radians(a)), math.cos(math.radians(d)) * math.sin(math.radians(a)), math.sin(math.radians(d))] for a, d in ((r.ra, r.dec), (ra, dec)))
+    return 2 * math.asin(min(1.0, math.dist(u, v) / 2)) * 206264.80624709636
+
+
+def test_windows_and_nights_with_ties(spark):
+    rows = [(1, t, i, 1.0, 2.0) for i, t in enumerate([0.0, 0.0, 0.5, 1.0, 1.2, 5.0])]
+    df = spark.createDataFrame(rows, "s long, jd double, event_id long, flux double, flux_unc double")
+    assert sorted((r.t0, r.n) for r in lightcurve.anchored_windows(df, ["s"], 1.0).collect()) == [(0.0, 3), (1.0, 2), (5.0, 1)]
+    assert sorted((r.jd, r.n) for r in lightcurve.same_night(df, ["s"]).collect()) == [(0.0, 1), (0.5, 3), (1.2, 1), (5.0, 1)]

@@ -17,7 +17,7 @@ FP = "# Requested input R.A. = 10.5 degrees\n# Requested input Dec. = -3.25 degr
 KINDS = {"jd": "double", "filter": "string", "flux": "double"}
 
 
-@pytest.mark.parametrize("name", ["kde2d_grid", "hdr_level", "absolute_mag", "cone_sorted", "funnel_order", "column_order", "fp_lookup", "lc_by_position", "calibration_stars", "survey_spec"])
+@pytest.mark.parametrize("name", ["kde2d_grid", "hdr_level", "absolute_mag", "cone_sorted", "funnel_order", "column_order", "fp_lookup", "lc_by_position", "calibration_stars", "survey_spec", "filter_branches", "scan_fp_text", "convert_format", "sink_extraction_json", "stream_window_stack", "stream_epoch_split", "neowise_lc", "weighted_kde", "kde_filter"])
 def test_query_equals_sql(spark, db, name):  # noqa: F811
     got = plans.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
