@@ -79,4 +79,13 @@ pos AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range
 it AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) item FROM occ) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op6_near_duplicates": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END sh FROM d),
+e AS (SELECT doc_id, len(sh) n, unnest(sh) h FROM s),
+p AS (SELECT a.doc_id a, b.doc_id b, any_value(a.n) + any_value(b.n) n, count(*) shared FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (n - shared)), ed AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id u, doc_id v FROM d UNION SELECT r.u, ed.b FROM r JOIN ed ON ed.a = r.v),
+c AS (SELECT u, min(v) component_id FROM r GROUP BY u)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) n_shingles, component_id, s.doc_id = component_id kept FROM s JOIN c ON u = s.doc_id""",
 }
