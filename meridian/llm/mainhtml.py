@@ -35,18 +35,18 @@ LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "block
 CLOSES_P = LEAF - {"td", "th", "tr", "tbody", "thead", "caption", "li", "dt", "dd"} | {"div", "section", "article", "aside", "nav", "header", "footer", "main", "form", "figure", "hr", "address", "fieldset", "details"}
 RAW = {"script": "", "style": "", "template": "", "svg": "", "noscript": " ", "iframe": " ", "object": " ", "textarea": " ", "select": " ", "canvas": " ", "title": " "}
 CLOSING = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
-#: What containers add to the log-odds of content, and how far all of them may go.
-OUTSIDE = {"nav": 4.0, "footer": 4.0, "aside": 4.0, "form": 4.0, "button": 4.0, "menu": 4.0, "dialog": 4.0, "head": 9.0, "header": 3.0}
+#: What containers add to the log-odds of content; how far those for content may go together, and all of them against it.
+OUTSIDE = {"nav": 8.0, "footer": 8.0, "aside": 8.0, "form": 8.0, "button": 8.0, "menu": 8.0, "dialog": 8.0, "head": 9.0, "header": 6.0}
 INSIDE = {"article": 2.5, "main": 2.0}
-NAMED_BOILER, NAMED_CONTENT, FARTHEST = 4.0, 1.5, 6.0
+NAMED_BOILER, NAMED_CONTENT, MOST, FARTHEST = 8.0, 1.5, 3.5, 6.0
 BOILER = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|sidebar|side|widget|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w*|shar(?:e|ing)\w*|social|related|recommend\w*|breadcrumbs?|comments?\w*|respond|repl(?:y|ies)|disqus|discussion|login|signin|search|toolbar|pag(?:er|ination)|copyright|legal|complementary|contentinfo|navigation|alert|dialog|hidden)(?=$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(articlebody|article|post|entry|story|content|main|body|text)(?=$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
 #: Edges: to the next block in the same container and in another one, to the container, to the container around it.
 NEXT, ACROSS, HOME, AROUND = 1.0, 0.3, 0.7, 0.2
-#: Log-odds of shapes before any page was seen, worth STRENGTH rows; how far one may go; what fitted ones are scaled by.
+#: Log-odds of shapes before any page was seen, worth STRENGTH rows; how far one may go, what they are scaled by, how far all may go.
 PRIOR = {"links0": 0.3, "links1": 0.0, "links2": -1.0, "links3": -2.5, "heading": 0.5, "ends1": 0.4, "ends0": -0.2}
-STRENGTH, LIMIT, SCALE, BIAS = 50.0, 2.0, 0.6, 0.5
+STRENGTH, LIMIT, SCALE, SHAPE, BIAS = 50.0, 2.0, 0.6, 3.0, 0.5
 #: Containers' log-odds from which a block counts as labelled.
 CLEAR_CONTENT, CLEAR_BOILER = 2.0, -3.0
 MAX_PAGES = 5_000
@@ -114,7 +114,7 @@ class Block:
     __slots__ = ("text", "container", "said", "shape")
 
     def __init__(self, text: str, container: int, said: float, links: float, kind: str):
-        self.text, self.container, self.said = text, container, max(-FARTHEST, min(FARTHEST, said))
+        self.text, self.container, self.said = text, container, said
         stops = sum(map(text.count, ".,;:!?"))
         self.shape = (
             f"long{min(len(text).bit_length(), 11)}", f"links{0 if links == 0 else 1 if links < 0.3 else 2 if links < 0.7 else 3}",
@@ -129,8 +129,8 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     text: list[str] = []
     links = size = 0
     inside_link, kind = False, ""
-    # element, its container, the log-odds of all containers, whether one of them is INSIDE
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    # element, its container, the log-odds of all containers for and against content, whether one of them is INSIDE
+    stack: list[tuple[str, int, float, float, bool]] = [("", 0, 0.0, 0.0, False)]
     open_: Counter = Counter()
 
     def flush():
@@ -138,13 +138,15 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         if text:
             t = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if t:
-                out.append(Block(t, stack[-1][1], stack[-1][2], links / max(1, size), kind or "other"))
+                _, container, good, bad, _ = stack[-1]
+                out.append(Block(t, container, max(-FARTHEST, min(MOST, good) + bad), links / max(1, size), kind or "other"))
             text, links, size = [], 0, 0
 
     def push(tag, w, container):
         if container:
             parents.append(stack[-1][1])
-        stack.append((tag, len(parents) - 1 if container else stack[-1][1], stack[-1][2] + w, stack[-1][3] or tag in INSIDE))
+        _, around, good, bad, inside = stack[-1]
+        stack.append((tag, len(parents) - 1 if container else around, good + max(w, 0.0), bad + min(w, 0.0), inside or tag in INSIDE))
         open_[tag] += 1
 
     def pop():
@@ -189,7 +191,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         if tag == "body":
             while stack[-1][0] not in ("", "html"):
                 pop()
-        push(tag, _weight(tag, attrs, stack[-1][3]), tag not in LEAF)
+        push(tag, _weight(tag, attrs, stack[-1][4]), tag not in LEAF)
     flush()
     return out, parents
 
@@ -275,7 +277,7 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
 
 
 def block_odds(found: list[Block], model: dict[str, float]) -> list[float]:
-    return [b.said + BIAS + SCALE * sum(model.get(x, 0.0) for x in b.shape) for b in found]
+    return [b.said + BIAS + max(-SHAPE, min(SHAPE, SCALE * sum(model.get(x, 0.0) for x in b.shape))) for b in found]
 
 
 def labels(found: list[Block], parents: list[int], odds: list[float]) -> list[bool]:

@@ -191,6 +191,14 @@ def test_the_cut_overrules_costs_and_long_pages_are_linear():
     assert mainhtml.main_text("no markup & more") == "no markup & more"
 
 
+def test_boilerplate_within_the_article_goes_and_short_parts_of_it_stay():
+    model = mainhtml.PRIOR | {"long2": -2, "long3": -2, "long8": 2, "long9": 2, "p": 2, "li": -2, "stops0": -2, "stops4": 2}
+    long = "A long sentence, of many words; it goes on and on, and then some more, until it ends at last. " * 3
+    page = f"""<html><body><header><h1>My site</h1><p>All the news that fits.</p></header><div class="cookie-notice"><p>{long}</p></div><main><article class="post content"><header><h1>Title</h1></header><p>{long}</p><p>Yes.</p><ul><li>one</li><li>two</li></ul><p>{long}</p>
+    <aside><p>{long} aside</p></aside><div class="share-buttons"><a href=x>Share</a></div><section class="comments"><article class="comment"><p>{long} comment</p></article></section></article></main><div class="sidebar"><p>{long}</p></div><form><p>{long}</p></form></body></html>"""
+    assert mainhtml.main_text(page, model).split("\n\n") == ["Title", long.strip(), "Yes.", "one", "two", long.strip()]
+
+
 def test_shapes_are_fitted_on_clear_blocks(spark):
     page = "<nav><li><a href=x>Home</a></li><li><a href=y>News</a></li></nav><article><p>A sentence, and more of it here.</p><p>Another sentence; it goes on.</p></article><div><p>Left, right and more words here.</p></div>"
     pages = spark.createDataFrame([(i, "u", page) for i in range(60)] + [(100, None, None), (None, "v", "")], "page_id long, url string, html string")
