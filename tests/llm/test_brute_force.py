@@ -70,29 +70,21 @@ def test_contamination_equals_brute_force(spark, broadcast):
     assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got.collect()) == want
 
 
-def test_fences_and_verdicts_equal_brute_force(spark):
-    rng = random.Random(2)
-    rows = []
-    for i in range(240):
-        lang, source = rng.choice([("en", "a"), ("en", "b"), ("de", "a"), (None, None)])
-        words = [rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(rng.randrange(40, 90))]
-        if i % 11 == 0:
-            words = [w + "##" for w in words]
-        if i % 13 == 0:
-            words = [w[:1] for w in words]
-        rows.append((i, " ".join(words[:30]) + "\n" + " ".join(words[30:]) + "\nsame line\nsame line" * (i % 3), lang, source))
-    docs = spark.createDataFrame([*rows, (500, None, "en", "a"), (501, "", None, "b")], "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r for r in quality.judge(docs).collect()}
-    groups, counts = defaultdict(list), {}
-    for i, t, lang, source in rows:
-        w, lines = t.split(), [x for x in t.split("\n") if x.strip()]
-        g = Counter(zip(w, w[1:], w[2:]))
-        repeat = len({j + k for j in range(len(w) - 2) if g[tuple(w[j : j + 3])] > 1 for k in range(3)})
-        c = {"symbol_ratio": (sum(x in "#*$%&|<>" for x in t), len(w)), "dup_line_ratio": (len(lines) - len(set(lines)), len(lines)), "repeat_ratio": (repeat, len(w)), "mean_word": (sum(map(len, w)), len(w))}
-        failed = len(w) < 50 or 100 * repeat > 50 * len(w)
-        counts[i] = c, failed, (lang, source)
+def quality_counts(t):
+    w, lines = t.split(), [x for x in t.split("\n") if x.strip()]
+    g = Counter(zip(w, w[1:], w[2:]))
+    repeat = len({j + k for j in range(len(w) - 2) if g[tuple(w[j : j + 3])] > 1 for k in range(3)})
+    c = {"symbol_ratio": (sum(x in "#*$%&|<>" for x in t), len(w)), "dup_line_ratio": (len(lines) - len(set(lines)), len(lines)), "repeat_ratio": (repeat, len(w)), "mean_word": (sum(map(len, w)), len(w))}
+    return c, len(w) < 50 or 100 * repeat > 50 * len(w)
+
+
+def quality_verdicts(rows):
+    """For each of rows (text, lang, source): the counts, whether the base rules fail it, and whether it is kept."""
+    counts = [(*quality_counts(t or ""), (lang, source)) for t, lang, source in rows]
+    groups = defaultdict(list)
+    for c, failed, group in counts:
         if not failed:
-            groups[lang, source].append(c)
+            groups[group].append(c)
 
     def quantile(rows, k, p):
         v = sorted(c[k][0] / c[k][1] if k == "mean_word" else (c[k][0] + 1) / (c[k][1] + 1) for c in rows)
@@ -104,16 +96,84 @@ def test_fences_and_verdicts_equal_brute_force(spark):
         q = (len(lang) * quantile(lang, k, p) + 100 * quantile(whole, k, p)) / (len(lang) + 100)
         return (len(groups[group]) * quantile(groups[group], k, p) + 100 * q) / (len(groups[group]) + 100)
 
-    for i, (c, failed, group) in counts.items():
-        good = True
-        for k, (near, tail, spread) in quality.SPREADS.items():
-            mid, far = blended(group, k, 0.5), spread * (blended(group, k, tail) - blended(group, k, near))
-            x = c[k][0] / c[k][1] if k == "mean_word" else (c[k][0] - 3 * math.sqrt(c[k][0])) / c[k][1]
-            good &= x <= mid + far and (k != "mean_word" or x >= mid - far)
+    out = []
+    for c, failed, group in counts:
+        good = not failed
+        if good:
+            for k, (near, tail, spread) in quality.SPREADS.items():
+                mid, far = blended(group, k, 0.5), spread * (blended(group, k, tail) - blended(group, k, near))
+                x = c[k][0] / c[k][1] if k == "mean_word" else (c[k][0] - 3 * math.sqrt(c[k][0])) / c[k][1]
+                good &= x <= mid + far and (k != "mean_word" or x >= mid - far)
+        out.append((c, failed, good))
+    return out
+
+
+def some_quality_rows(seed, n):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        lang, source = rng.choice([("en", "a"), ("en", "b"), ("de", "a"), (None, None)])
+        words = [rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(rng.randrange(40, 90))]
+        if i % 11 == 0:
+            words = [w + "##" for w in words]
+        if i % 13 == 0:
+            words = [w[:1] for w in words]
+        rows.append((" ".join(words[:30]) + "\n" + " ".join(words[30:]) + "\nsame line\nsame line" * (i % 3), lang, source))
+    return rows
+
+
+def test_fences_and_verdicts_equal_brute_force(spark):
+    rows = [*some_quality_rows(2, 240), (None, "en", "a"), ("", None, "b")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for i, (c, failed, good) in enumerate(quality_verdicts(rows)):
         r = got[i]
         assert (r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.word_chars) == (c["symbol_ratio"][0], c["dup_line_ratio"][0], c["repeat_ratio"][0], c["mean_word"][0])
-        assert (r.base_failed, r.kept) == (failed, good and not failed)
-    assert not got[500].kept and got[500].n_words == 0 and 0 < sum(r.kept for r in got.values()) < 230
+        assert (r.base_failed, r.kept) == (failed, good)
+    assert not got[240].kept and got[240].n_words == 0 and 0 < sum(r.kept for r in got.values()) < 230
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = some_quality_rows(7, 120)
+    for i in range(12):  # near copies, exact copies, passages of the benchmark, insults
+        t = rows[i * 3 + 1][0].split(" ")
+        rows.append((" ".join([*t[:-2], "changed", "end"]), "en", "a"))
+        rows.append((rows[i * 3 + 2][0], "de", "a"))
+        rows.append((rows[i * 3 + 2][0] + f" tail {i} of the other text", "en", "b"))
+    items = [(k, " ".join(rows[k * 7 + 4][0].split()[5:20])) for k in range(6)] + [(9, None)]
+    toxic = {i for i in range(len(rows)) if rng.random() < 0.2}
+    rows = [((t + f" you {rng.choice(['stupid', '1d10t', 's t u p i d'])} man") if i in toxic else t, lang, source) for i, (t, lang, source) in enumerate(rows)]
+    rows += [(None, None, None), ("", "en", "a")]
+    ids = rng.sample(range(1000), len(rows))
+    spark.createDataFrame([(i, *r) for i, r in zip(ids, rows)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, int(n in toxic)) for n, i in enumerate(ids)] + [(2000 + i, 1, i % 2) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    first = corpus_pipeline.without_toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    left = [(r.doc_id, r.text, r.lang, r.source) for r in first.collect()]
+    assert {ids[n] for n in toxic}.isdisjoint(r[0] for r in left) and len(left) == len(rows) - len(toxic)
+    left = [r for r, (_, _, good) in zip(left, quality_verdicts([r[1:] for r in left])) if good]
+    sets = {}
+    for i, t, *_ in left:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    home = {i: i for i in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            if home[a] != home[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                home[a] = home[b] = min(home[a], home[b])
+        home = {i: home[h] for i, h in home.items()}
+    left = [r for r in left if home[r[0]] == r[0]]
+    want = {i: t for i, t, *_ in left if not brute_hits(t, items)[1]}
+    lib = Tokenizer.from_file(public_vocabulary("byte_bpe_50k.json"))
+    assert {i: r.n_tokens for i, r in got.items()} == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in want.items()}
+    assert 20 < len(want) < len(rows) - 60
 
 
 def test_kneser_ney_equals_brute_force(spark):
