@@ -12,7 +12,8 @@ from ..functions.photometry import healpix_nested
 from .dedup import shared_folder
 from .spatial import in_box, radius_join, separation
 
-ORDER = 5
+#: Order of the pixels, and rows that a file of one has about.
+ORDER, ROWS = 5, 2_000_000
 #: Points of a ring around a circle; the corner of a pixel that reaches into the circle takes more than one step of it.
 RING, WIDER = 32, 1.5
 
@@ -21,7 +22,9 @@ def by_pixel(df: DataFrame, ra: str = "ra", dec: str = "dec", path: str | None =
     """df as a table whose partitions are nested pixels (hpix), written to path, or to a new folder, and read again."""
     path = path or f"{shared_folder(df.sparkSession)}/pixels-{uuid.uuid4().hex}"
     cells = df.withColumn("hpix", healpix_nested(F.col(ra), F.col(dec), ORDER).cast("int"))
-    cells.repartition("hpix").sortWithinPartitions("hpix").write.partitionBy("hpix").parquet(path)
+    crowd = cells.groupBy("hpix").agg((F.count(F.lit(1)) / ROWS + 1).cast("long").alias("_n"))  # a row a pixel
+    part = F.pmod(F.xxhash64(ra, dec), F.col("_n"))  # a crowded pixel is written by several tasks
+    cells.join(F.broadcast(crowd), "hpix", "left").repartition("hpix", part).select(*cells.columns).write.partitionBy("hpix").parquet(path)
     return df.sparkSession.read.schema(cells.schema).parquet(path)
 
 
