@@ -5,7 +5,8 @@ merged, entries whose symbols have changed since are skipped, and decoding conca
 Python worker remembers pieces it has met, in a bounded memory.
 
 The vocabulary file is read once where the job starts and broadcast: its size is fixed (some 1.5 MB).
-Null and empty texts give no tokens. Texts of any length cost n log n. Repeated rows are encoded alike.
+Null and empty texts give no tokens, null ids are kept. Texts of any length cost n log n. Repeated rows are encoded
+alike, an empty table gives an empty result, columns other than the id and the text are left alone.
 """
 
 from __future__ import annotations

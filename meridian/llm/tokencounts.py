@@ -6,7 +6,8 @@ gives each block the number of documents and the tokens carried into it, and so
 over one small row a block; the lengths that a block has are joined to what it is carried.
 
 A file may end without a separator: the rest is a document. Empty files and tables give no rows. A document of
-no tokens counts 0. Token files hold unsigned little-endian ids of `width` bytes.
+no tokens, as null and empty texts are, counts 0; null ids are kept. A very long text is written and read in blocks as
+any other. Repeated rows are counted each. Columns other than doc_id and text are left alone. Token files hold unsigned little-endian ids of `width` bytes.
 """
 
 from __future__ import annotations

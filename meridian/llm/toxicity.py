@@ -45,7 +45,6 @@ _LETTER = r"[^\W\d_]"
 _UNIT = rf"(?:{_LETTER}|[013457@$€])"
 SPACED_OUT = re.compile(rf"(?<![^\W_]){_UNIT}(?:[ .\-_*]{{1,3}}{_UNIT}(?![^\W_])){{2,}}")
 SIGNED = re.compile(rf"(?<!\S)(?:[\"'(\[]?)((?:{_LETTER}|{_SIGN}|\*)*?(?:{_LETTER}{_SIGN}{{1,2}}|{_SIGN}{{1,2}}{_LETTER})(?:{_LETTER}|{_SIGN}|\*)*)")
-REPEATED = re.compile(rf"{_LETTER}*({_LETTER})\1\1{_LETTER}*")
 ANY_SIGN = re.compile(_SIGN)
 THRICE = re.compile(r"(.)\1\1")
 WORD = re.compile(rf"{_LETTER}+")
@@ -125,13 +124,6 @@ class Restorer:
     def __init__(self, cost: np.ndarray):
         self.span = Memory(lambda s: restore(s, cost), 100_000)
 
-    def __call__(self, text: str) -> str:
-        """The restored text, lower-cased."""
-        low = self.joined(text)
-        if ANY_SIGN.search(low):
-            low = SIGNED.sub(lambda m: m[0][: m.start(1) - m.start()] + self.span[m[1]], low)
-        return REPEATED.sub(lambda m: self.span[m[0]], low)
-
     def joined(self, text: str) -> str:
         """Lower-cased, with letters set apart restored: the one error that crosses white space."""
         return SPACED_OUT.sub(lambda m: self.span[m[0]] if ANY_LETTER.search(m[0]) else m[0], text.lower())
