@@ -23,10 +23,13 @@ def first_valid(t):
     return t.cat_a.groupBy("fieldid", "ccdid").agg(dedup.first_valid(F.when(c("psf_flag").isNull(), c("psf_mag")), "src_id").alias("mag"))
 
 
-@query("SELECT obj_id, min_by(mag, -primary_detection) FILTER (WHERE mag IS NOT NULL) AS mag, max(primary_detection) AS primary_detection FROM cat_b_dup GROUP BY obj_id")
+@query("SELECT obj_id, min_by(mag, -primary_detection) FILTER (WHERE mag IS NOT NULL) AS mag, max(primary_detection) AS primary_detection, min_by(fieldid, -primary_detection) AS fieldid, round(min_by(dec, -primary_detection), 6) AS dec FROM cat_b_dup GROUP BY obj_id")
 def collapse_duplicates(t):
-    by_place = t.cat_b_dup.groupBy("obj_id", "ra", "dec").agg(dedup.first_valid("mag", -c("primary_detection")).alias("mag"), F.max("primary_detection").alias("primary_detection"))
-    return by_place.groupBy("obj_id").agg(dedup.first_valid("mag", -c("primary_detection")).alias("mag"), F.max("primary_detection").alias("primary_detection"))
+    """First by place, then by id: of each column the first value in order of detection that isn't NULL."""
+    order = -c("primary_detection")
+    def collapsed(df, *by):
+        return df.groupBy(*by).agg(*[dedup.first_valid(x, order).alias(x) for x in ("mag", "fieldid", *({"ra", "dec"} - set(by)))], F.max("primary_detection").alias("primary_detection"))
+    return collapsed(collapsed(t.cat_b_dup, "obj_id", "ra", "dec"), "obj_id").select("obj_id", "mag", "primary_detection", "fieldid", r6(c("dec")).alias("dec"))
 
 
 @query("SELECT obj_id, mag FROM cat_b_dup QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY primary_detection DESC) = 1")

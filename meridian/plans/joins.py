@@ -83,9 +83,10 @@ def tns_match(t):
 _SELF = _SEP.replace("b.", "o.")
 
 
-@query(f"SELECT a.src_id, count(*) AS n_neighbours FROM cat_a a JOIN cat_a o ON a.fieldid = o.fieldid AND a.band = o.band AND abs(a.dec - o.dec) < 0.06 AND {_SELF} <= 200 GROUP BY 1")
+@query(f"SELECT a.src_id, count(*) AS n_neighbours, count(*) <= 5 AS alone FROM cat_a a JOIN cat_a o ON a.fieldid = o.fieldid AND a.band = o.band AND abs(a.dec - o.dec) < 0.06 AND {_SELF} <= 200 GROUP BY 1")
 def neighbour_count(t):
-    return dedup.neighbour_count(t.cat_a, "src_id", 200.0, on=("band",))
+    """Sources of the band within 200 arc seconds, itself included, and whether there are no more than five."""
+    return dedup.neighbour_count(t.cat_a, "src_id", 200.0, on=("band",)).withColumn("alone", c("n_neighbours") <= 5)
 
 
 _OWNED = """x AS (SELECT k, max(src_id) FILTER (WHERE band_rank = 1) AS g, max(src_id) FILTER (WHERE band_rank = 2) AS r, max(src_id) FILTER (WHERE band_rank = 3) AS i, max(dec) FILTER (WHERE band_rank = 1) * 3600 AS dg, max(dec) FILTER (WHERE band_rank = 2) * 3600 AS dr, max(dec) FILTER (WHERE band_rank = 3) * 3600 AS di FROM cat_a GROUP BY k),

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from ..functions import photometry as P
 from ..operators import density, filters, spatial
 from .curves import _KDE, _dmag
-from .groups import CHAIN, _funnel_sql
+from .groups import _RANGE, CHAIN, _funnel_sql, ranges
 from .joins import _NEAR, _SEP, _a, _b
 from .registry import query
 
@@ -79,10 +79,18 @@ def fp_lookup(t):
     return spatial.nearest(_a(t), _b(t), 0.5, "src_id", "obj_id").select("src_id", c("obj_id").alias("series"), F.round("sep", 4).alias("sep"))
 
 
-@query(f"SELECT star_id, obj_id, event_id FROM (SELECT a.star_id, b.obj_id, {_SEP} AS sep FROM stars a JOIN cat_b b ON a.fieldid = b.fieldid AND abs(a.dec - b.dec) < 0.001 QUALIFY sep <= 1.5 AND row_number() OVER (PARTITION BY star_id ORDER BY sep, obj_id) = 1) JOIN epochs ON source_id = obj_id")
+_PLACED = f"""WITH fr AS ({_RANGE.format('cat_a')}), p AS (SELECT star_id, ra, dec, fr.fieldid FROM stars JOIN fr ON dec BETWEEN dec_lo AND dec_hi AND (ra BETWEEN ra_lo AND ra_hi OR ra + 360 BETWEEN ra_lo AND ra_hi)),
+n AS (SELECT a.star_id, b.fieldid, b.band, b.k FROM p a JOIN cat_a b ON a.fieldid = b.fieldid AND abs(a.dec - b.dec) < 0.001 WHERE {_SEP} <= 1.5 QUALIFY row_number() OVER (PARTITION BY a.star_id, b.fieldid, b.band ORDER BY {_SEP}, b.src_id) = 1)"""
+
+
+@query(f"{_PLACED} SELECT star_id, n.fieldid, n.band, event_id FROM n JOIN epochs ON source_id = k AND epochs.band = n.band")
 def lc_by_position(t):
-    near = spatial.nearest(t.stars, t.cat_b.select("obj_id", c("ra").alias("ra2"), c("dec").alias("dec2")), 1.5, "star_id", "obj_id")
-    return near.join(t.epochs, c("obj_id") == c("source_id")).select("star_id", "obj_id", "event_id")
+    """Fields that hold a position, the nearest object of each field and band within 1.5 arc seconds, its epochs in the band."""
+    fields = ranges(t.cat_a)
+    placed = spatial.in_ranges(t.stars.select("star_id", "ra", "dec"), fields).select("star_id", "ra", "dec", "fieldid", F.explode(F.array(*map(F.lit, "gri"))).alias("band"))
+    rows = t.cat_a.select("src_id", "k", "fieldid", "band", c("ra").alias("ra2"), c("dec").alias("dec2"))
+    near = spatial.nearest(placed, rows, 1.5, "star_id", "src_id", on=("fieldid", "band")).select("star_id", "fieldid", "band", "k")
+    return near.join(t.epochs.withColumnRenamed("source_id", "k"), ["k", "band"]).select("star_id", "fieldid", "band", "event_id")
 
 
 _QUAD = ("fieldid", "ccdid", "qid")
