@@ -34,8 +34,8 @@ from .graph import components
 
 PARTS, LOST = 96, 1e-6
 LEADER_ROUNDS = 2
-#: Partners of a set up to which one copy of it serves.
-PARTNERS = 64
+#: Partners of a set up to which one copy of it serves, and parts in which the pairs of one learn its copies.
+PARTNERS, SALTS = 64, 16
 _rng = np.random.Generator(np.random.PCG64(96))
 _MULTIPLY = _rng.integers(1, 2**31, PARTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FLIP = _rng.integers(0, 2**32, PARTS, dtype=np.uint32)
@@ -121,8 +121,9 @@ def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     A rep with many partners is copied once for every PARTNERS of them, so that no task meets them all.
     """
     copies = pairs.groupBy("a").agg((F.count(F.lit(1)) / PARTNERS).cast("long").alias("copies"))
-    many = copies.filter("copies > 0").select(F.col("a").alias("_a"), "copies")
-    p = pairs.join(many, F.col("a") == F.col("_a"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("copies") + 1), F.lit(0)).alias("copy"))
+    many = copies.filter("copies > 0").select(F.col("a").alias("_a"), "copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
+    p = pairs.join(many, (F.col("a") == F.col("_a")) & (salt == F.col("_s")), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("copies") + 1), F.lit(0)).alias("copy"))
     one = table.join(copies, F.col("rep") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), "copies")).alias("copy"), F.col(column).alias("x"))
     return p.join(one, ["a", "copy"]).drop("copy").join(table.select(F.col("rep").alias("b"), F.col(column).alias("y")), "b")
 
