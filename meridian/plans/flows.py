@@ -43,17 +43,16 @@ def branches(t, least: float, most: float) -> DataFrame:
     Rows of both surveys that one of them alone sees with confidence go on in that one's branch. The envelopes are
     made from what branch 0 keeps. A limit stands for the survey that hasn't seen a row.
     """
-    s = _sources(t)
-    passed = {b: filters.flagged(s, names).filter("reject_reason is null") for b, names in BRANCHES.items()}
-    both = dedup.kept(filters.flagged(passed[0].filter("catalog_flag = 0").select(*s.columns), ["snr_both", "snr_a_only", "snr_b_only"]))
-    rerouted = {1: both.filter("pass_snr_a_only"), 2: both.filter("pass_snr_b_only")}
-    rows = [both.filter("pass_snr_both").select(*s.columns, F.lit(0).alias("branch"))]
-    for b in (1, 2):
-        more = filters.flagged(rerouted[b].select(*s.columns), BRANCHES[b]).filter("reject_reason is null")
-        rows.append(passed[b].filter(c("catalog_flag") == b).select(*s.columns).union(more.select(*s.columns)).withColumn("branch", F.lit(b)))
+    names = dict.fromkeys([*(n for chain in BRANCHES.values() for n in chain), "snr_both", "snr_a_only", "snr_b_only"])
+    f = filters.flagged(_sources(t), list(names))
+    passed = {b: reduce(lambda x, y: x & y, [c(f"pass_{n}") for n in chain]) for b, chain in BRANCHES.items()}
+    both = (c("catalog_flag") == 0) & passed[0]
+    labels = [F.when(both & c("pass_snr_both"), 0)]
+    labels += [F.when(((c("catalog_flag") == b) | (both & c(f"pass_snr_{x}_only"))) & passed[b], b) for b, x in ((1, "a"), (2, "b"))]
+    rows = f.withColumn("branch", F.explode(F.array_compact(F.array(*labels))))
     a, b = P.effective_mags(c("branch"))
     err = F.greatest(F.sqrt(c("psf_err") * c("psf_err") + c("magerr") * c("magerr")), F.lit(0.01))
-    d = reduce(DataFrame.union, rows).select("branch", "src_id", "k", "band", "band_rank", "ra", "dec", b.alias("b_mag"), ((a + b) / 2).alias("mag"), (a - b).alias("dmag"), err.alias("err"))
+    d = dedup.kept(rows.select("branch", "src_id", "k", "band", "band_rank", "ra", "dec", b.alias("b_mag"), ((a + b) / 2).alias("mag"), (a - b).alias("dmag"), err.alias("err")))
     bounds = density.envelope_percentiles(density.kde_envelope(d.filter("branch = 0 and mag is not null")), least, most)
     big = density.big_differences(d, bounds).filter(c("big") & (c("b_mag") > 14))
     place = F.min_by(F.struct("ra", "dec"), "band_rank")

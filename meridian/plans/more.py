@@ -12,7 +12,7 @@ from ..functions import photometry as P
 from ..operators import density, filters, spatial
 from .curves import _KDE, _dmag
 from .groups import _RANGE, CHAIN, _funnel_sql, ranges
-from .joins import _NEAR, _SEP, _a, _b
+from .joins import _SEP
 from .registry import query
 
 c = F.col
@@ -74,9 +74,18 @@ def column_order(t):
     return t.cat_a.select(*first, *[x for x in t.cat_a.columns if x in ("band", "psf_mag")])
 
 
-@query(f"{_NEAR} SELECT src_id, obj_id AS series, round(sep, 4) AS sep FROM near WHERE sep <= 0.5")
+_INDEX = "ix AS (SELECT k AS series, fieldid, ra, dec FROM pos WHERE k IN (SELECT source_id FROM epochs)), tg AS (SELECT src_id, fieldid, ra, dec FROM cat_a WHERE k IN (SELECT source_id FROM epochs))"
+
+
+@query(f"WITH {_INDEX} SELECT a.src_id, b.series, round({_SEP}, 4) AS sep FROM tg a JOIN ix b ON a.fieldid = b.fieldid AND abs(a.dec - b.dec) < 0.001 WHERE {_SEP} <= 0.5 QUALIFY row_number() OVER (PARTITION BY a.src_id ORDER BY {_SEP}, b.series) = 1")
 def fp_lookup(t):
-    return spatial.nearest(_a(t), _b(t), 0.5, "src_id", "obj_id").select("src_id", c("obj_id").alias("series"), F.round("sep", 4).alias("sep"))
+    """The series nearest to each target, within half an arc second; a target without one is an error."""
+    ids = t.epochs.select(c("source_id").alias("k")).distinct()
+    index = t.pos.join(ids, "k").select(c("k").alias("series"), c("ra").alias("ra2"), c("dec").alias("dec2"))
+    targets = t.cat_a.join(ids, "k", "left_semi").select("src_id", "ra", "dec")
+    near = spatial.nearest(targets, index, 0.5, "src_id", "series").select("src_id", "series", F.round("sep", 4).alias("sep"))
+    none = F.raise_error(F.concat(F.lit("no series near source "), c("src_id").cast("string"))).cast("long")
+    return targets.select("src_id").join(near, "src_id", "left").select("src_id", F.when(c("series").isNotNull(), c("series")).otherwise(none).alias("series"), "sep")
 
 
 _PLACED = f"""WITH fr AS ({_RANGE.format('cat_a')}), p AS (SELECT star_id, ra, dec, fr.fieldid FROM stars JOIN fr ON dec BETWEEN dec_lo AND dec_hi AND (ra BETWEEN ra_lo AND ra_hi OR ra + 360 BETWEEN ra_lo AND ra_hi)),
