@@ -234,6 +234,7 @@ def recovery_stats(t):
     return n.groupBy("mag").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_pop("n"), 6).alias("sd"))
 
 
+#: Where an injected source is lost, in the order of the stages.
 _CLASSES = ["not_extracted", "flagged_by_cross_match", "matched_to_catalogue", "failed_sep_flags", "failed_ext_artifact", "failed_snr", "failed_shape", "failed_psf_fit", "failed_dec", "failed_delta_mag", "recovered"]
 
 
