@@ -41,9 +41,9 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 SIGN, DROP, SPACED, APART, ORNAMENT = 1.0, 10.0, 0.5, 1.5, 1.0
 _SIGN = "[" + re.escape("".join(SIGNS)) + "]"
 _LETTER = r"[^\W\d_]"
-#: Spans that may be disguised: letters and signs set apart; signs between or before letters; a letter three times or more.
+#: Spans that may be disguised: letters and signs set apart, up to a hundred at a time; signs between or before letters; a letter three times or more.
 _UNIT = rf"(?:{_LETTER}|[013457@$€])"
-SPACED_OUT = re.compile(rf"(?<![^\W_]){_UNIT}(?:[ .\-_*]{{1,3}}{_UNIT}(?![^\W_])){{2,}}")
+SPACED_OUT = re.compile(rf"(?<![^\W_]){_UNIT}(?:[ .\-_*]{{1,3}}{_UNIT}(?![^\W_])){{2,99}}")
 SIGNED = re.compile(rf"(?<!\S)(?:[\"'(\[]?)((?:{_LETTER}|{_SIGN}|\*)*?(?:{_LETTER}{_SIGN}{{1,2}}|{_SIGN}{{1,2}}{_LETTER})(?:{_LETTER}|{_SIGN}|\*)*)")
 ANY_SIGN = re.compile(_SIGN)
 THRICE = re.compile(r"(.)\1\1")
@@ -104,10 +104,10 @@ def readings(span: str) -> list[list[tuple[str, float]]]:
 
 def restore(span: str, cost: np.ndarray) -> str:
     """The cheapest path through the lattice under the character model."""
-    best = {(0, 0): (0.0, "")}
+    best: dict = {(0, 0): (0.0, None)}  # by the last two codes: the cost, and the path as (path before, letters)
     for each in [*readings(span.lower()), [(" ", 0.0)]]:
         step: dict = {}
-        for (a, b), (total, text) in best.items():
+        for (a, b), (total, path) in best.items():
             for letters, price in each:
                 x, y, t = a, b, total + price
                 for ch in letters:
@@ -115,9 +115,13 @@ def restore(span: str, cost: np.ndarray) -> str:
                     t += float(cost[x, y, z])
                     x, y = y, z
                 if (x, y) not in step or t < step[x, y][0]:
-                    step[x, y] = (t, text + letters)
+                    step[x, y] = (t, (path, letters))
         best = step
-    return min(best.values())[1].strip()
+    out, path = [], min(best.values(), key=lambda v: v[0])[1]
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out)).strip()
 
 
 class Restorer:

@@ -33,6 +33,13 @@ def test_restored_text_is_the_cheapest_path(span):
         assert toxicity.restore(span, cost) == min(every, key=lambda x: path_cost(*x, cost))[0].strip()
 
 
+def test_long_spans_cost_in_proportion():
+    restorer = toxicity.Restorer(np.random.default_rng(1).random((64, 64, 64)).astype(np.float32))
+    began = time.time()
+    assert len(restorer.joined("a b c d " * 20_000)) > 60_000 and len(restorer.words("a1b" * 5_000)[0]) > 5_000
+    assert time.time() - began < 60
+
+
 def test_spaced_out_insults_are_found(spark):
     plain = ["you are kind today", "what a stupid man", "an idiot like you", "a good friend of ours"]
     rows = [(i, " ".join([plain[i % 4]] * 3) + f" {i}") for i in range(80)]
