@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, langid, mainhtml, neardup, quality, sstable, tokencounts, toxicity
+from . import bpe, centroids, ctw, decontaminate, langid, mainhtml, neardup, quality, sstable, tokencounts, toxicity, warc
 from .common import fold, table
 
 
@@ -58,15 +58,30 @@ def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 _ALL = (
     op1_toxicity, op2_decontamination, op3_quality_rules, op4_bpe, op5_language_id,
     op6_near_duplicates, op7_context_tree_weighting, op8_token_counts, op9_main_text, op10_sorted_string_tables,
+    op12_centroid_clustering, op13_warc,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+#: One round of clustering: nearest centroids, then the floors of their means.
+_ASSIGN = """a{i} AS MATERIALIZED (SELECT rid, vec_id, v, min(struct_pack(d := d, c := c)).c c, min(struct_pack(d := d, c := c)).d d FROM (
+  SELECT x.rowid rid, x.vec_id, x.v, k.c, list_sum(list_transform(list_zip(x.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) d FROM (SELECT row_number() OVER () rowid, * FROM x) x, c{i} k) GROUP BY ALL)"""
+_ROUND = _ASSIGN + """, m{i} AS (SELECT c, p, sum(t) s, count(*) n FROM (SELECT c, generate_subscripts(v, 1) p, unnest(v) t FROM a{i}) GROUP BY ALL),
+l{i} AS (SELECT c, list(CAST((s - ((s %% n) + n) %% n) // n AS HUGEINT) ORDER BY p) v FROM m{i} GROUP BY c), c%s AS MATERIALIZED (SELECT k.c, coalesce(l.v, k.v) v FROM c{i} k LEFT JOIN l{i} l ON l.c = k.c)"""
+
 ORACLE = {
     "op2_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} w FROM documents), b AS (SELECT item_id, {_WORDS} w FROM benchmark),
@@ -88,4 +103,17 @@ l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (n - shared)), ed AS (SELECT
 r AS (SELECT doc_id u, doc_id v FROM d UNION SELECT r.u, ed.b FROM r JOIN ed ON ed.a = r.v),
 c AS (SELECT u, min(v) component_id FROM r GROUP BY u)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) n_shingles, component_id, s.doc_id = component_id kept FROM s JOIN c ON u = s.doc_id""",
+    "op12_centroid_clustering": f"""
+WITH x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda y: CAST(floor(64 * CAST(y AS DOUBLE)) AS HUGEINT)) v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 c, v FROM x WHERE vec_id IS NOT NULL QUALIFY c < 16),
+{_ROUND.format(i=0) % 1}, {_ROUND.format(i=1) % 2}, {_ROUND.format(i=2) % 3}, {_ASSIGN.format(i=3)}
+SELECT vec_id, CAST(a3.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a3.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON a3.c = c3.c""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages), r AS (SELECT h, max(page_id) last FROM p GROUP BY h),
+s AS (SELECT page_id, h, last, sha1(h) x FROM p JOIN r USING (h))
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, 5 * i + 1, 5) AS INTEGER) >> b) & 31), 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = last OR last IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to FROM s""",
 }
