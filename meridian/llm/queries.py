@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, ctw, decontaminate, langid, mainhtml, neardup, quality, sstable, tokencounts, toxicity, warc
+from . import bpe, centroids, ctw, decontaminate, langid, mainhtml, neardup, quality, sstable, tokencounts, toxicity, trie, warc
 from .common import fold, table
 
 
@@ -58,6 +58,10 @@ def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256))
 
@@ -69,7 +73,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_toxicity, op2_decontamination, op3_quality_rules, op4_bpe, op5_language_id,
     op6_near_duplicates, op7_context_tree_weighting, op8_token_counts, op9_main_text, op10_sorted_string_tables,
-    op12_centroid_clustering, op13_warc,
+    op11_prefix_trie, op12_centroid_clustering, op13_warc,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -103,6 +107,19 @@ l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (n - shared)), ed AS (SELECT
 r AS (SELECT doc_id u, doc_id v FROM d UNION SELECT r.u, ed.b FROM r JOIN ed ON ed.a = r.v),
 c AS (SELECT u, min(v) component_id FROM r GROUP BY u)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) n_shingles, component_id, s.doc_id = component_id kept FROM s JOIN c ON u = s.doc_id""",
+    "op11_prefix_trie": """
+WITH t AS MATERIALIZED (SELECT conv_id c, coalesce(text, '') x, left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) k,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS MATERIALIZED (SELECT c, xor(4294967295, list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda y: CAST(ascii(y) AS BIGINT)),
+  lambda a, b: list_reduce([CAST(0 AS BIGINT) for z in range(8)], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, xor(a, b)), CAST(4294967295 AS BIGINT))) % 6 h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT ids.c, 0 part, i, k, x FROM ids JOIN t ON t.c = ids.c - ids.c % 100 AND i <= h UNION ALL SELECT ids.c, 1, i, k, x FROM ids JOIN t ON t.c = ids.c AND i > h),
+m AS MATERIALIZED (SELECT c, row_number() OVER w d, array_to_string(list(k) OVER w, '') k, length(x) chars FROM r WINDOW w AS (PARTITION BY c ORDER BY part, i) UNION ALL SELECT c, 0, '', 0 FROM ids),
+n AS MATERIALIZED (SELECT k, min(c) conv_id, any_value(d) AS depth, count(*) n_convs, any_value(chars) chars, CASE WHEN k <> '' THEN left(k, length(k) - 32) END up FROM m GROUP BY k),
+kids AS (SELECT up k, count(*) n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT left(n.k, 32 * j) k, sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) n_leaves, sum((n_convs - 1) * chars) saved FROM (SELECT *, unnest(range(0, depth + 1)) j FROM n) n LEFT JOIN kids ON kids.k = n.k GROUP BY 1),
+ends AS (SELECT k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) s FROM (SELECT * FROM m QUALIFY d = max(d) OVER (PARTITION BY c)) GROUP BY k)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(s, '')) AS ends_sha256
+FROM n LEFT JOIN n p ON p.k = n.up LEFT JOIN kids ON kids.k = n.k JOIN below ON below.k = n.k LEFT JOIN ends ON ends.k = n.k""",
     "op12_centroid_clustering": f"""
 WITH x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda y: CAST(floor(64 * CAST(y AS DOUBLE)) AS HUGEINT)) v FROM embeddings
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
