@@ -27,11 +27,28 @@ def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     return 2.0 * F.asin(F.least(F.sqrt(d2) / 2.0, F.lit(1.0))) * ARCSEC
 
 
-def in_box(ra: tuple[float, float], dec: tuple[float, float], buffer: float = 0.0) -> Column:
-    """Whether ra and dec lie in a box widened by buffer degrees; a box from 359 to 1 goes through 0."""
-    lo, hi = (ra[0] - buffer) % 360.0, (ra[1] + buffer) % 360.0
-    x = F.col("ra")
-    return (x.between(lo, hi) if lo <= hi else (x >= lo) | (x <= hi)) & F.col("dec").between(dec[0] - buffer, dec[1] + buffer)
+def wider(ra: tuple[float, float], dec: tuple[float, float], buffer: float = 0.0, on_sky: bool = False) -> tuple[tuple[float, float] | None, tuple[float, float]]:
+    """A box widened by buffer degrees of each coordinate or, on_sky, by so many degrees of arc: (ra, dec), ra None if it goes round.
+
+    A box goes from its first RA upwards, through 0 where it starts above its end, and round if its ends are 360 or more apart.
+    """
+    low, high = dec[0] - buffer, dec[1] + buffer
+    width, reach = ra[1] - ra[0], buffer
+    width = width if width >= 360.0 else width % 360.0
+    if on_sky and buffer > 0:  # a circle at declination d reaches asin(sin(buffer) / cos(d)) in RA, all round if it holds a pole
+        far = max(abs(dec[0]), abs(dec[1]))
+        reach = math.degrees(math.asin(min(1.0, math.sin(math.radians(buffer)) / math.cos(math.radians(far))))) if far + buffer < 90.0 else 360.0
+    return None if width + 2 * reach >= 360.0 else ((ra[0] - reach) % 360.0, (ra[0] + width + reach) % 360.0), (low, high)
+
+
+def in_box(ra: tuple[float, float], dec: tuple[float, float], buffer: float = 0.0, on_sky: bool = False) -> Column:
+    """Whether ra (0 to 360) and dec lie in a box, widened as wider() says."""
+    ends, (low, high) = wider(ra, dec, buffer, on_sky)
+    x, y = F.col("ra"), F.col("dec").between(low, high)
+    if ends is None:
+        return x.isNotNull() & y
+    lo, hi = ends
+    return (x.between(lo, hi) if lo <= hi else (x >= lo) | (x <= hi)) & y
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, left_pos=("ra", "dec"), right_pos=("ra2", "dec2"), on: tuple = (), how: str = "inner") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.photometry import coord_stem as stem_of
-from ..functions.photometry import healpix_nested, mean_ra, parse_coord_stem, propagated
-from ..operators import dedup, filters, spatial, tiles
+from ..functions.photometry import flux_to_mag, flux_to_mag_err, healpix_nested, mean_ra, parse_coord_stem, propagated
+from ..operators import dedup, filters, ranking, spatial, tiles
 from .groups import _PASS, _RANGE, ranges
 from .registry import query
 from .scalars import MOVED
@@ -388,29 +388,60 @@ def single_cone_lookup(t):
     return spatial.nearest(_a(t), _b(t), 5.0, "src_id", "obj_id").select("src_id", "obj_id")
 
 
-@query("SELECT obj_id, round(sep, 4) AS sep, row_number() OVER (ORDER BY sep, obj_id) AS rank FROM (SELECT obj_id, " + _SEP.replace("a.dec", "(-23.0)").replace("a.ra", "13.7").replace("b.", "") + " AS sep FROM cat_b) WHERE sep <= 1800")
+def _sky(t):
+    """The stored pixel table of the second survey, which all searches of it share."""
+    return tiles.stored(t.cat_b.select("obj_id", "ra", "dec", "mag", "magerr", "info_flag"), "cat_b")
+
+
+def _cone_sql(ra, dec):
+    return "(SELECT obj_id, " + _SEP.replace("a.dec", f"({dec})").replace("a.ra", str(ra)).replace("b.", "") + " AS sep FROM cat_b)"
+
+
+@query(f"SELECT obj_id, round(sep, 4) AS sep, row_number() OVER (ORDER BY sep, obj_id) AS rank FROM {_cone_sql(13.7, -23.0)} WHERE sep <= 1800")
 def cone_search(t):
     """Objects around a target by separation, out of the pixels that the circle touches."""
-    from pyspark.sql import Window
+    found = tiles.cone(_sky(t), 13.7, -23.0, 1800.0)
+    return ranking.ranked(found, [F.asc("sep"), F.asc("obj_id")]).select("obj_id", r4(c("sep")).alias("sep"), "rank")
 
-    found = tiles.cone(tiles.by_pixel(t.cat_b.select("obj_id", "ra", "dec")), 13.7, -23.0, 1800.0)
-    return found.select("obj_id", r4(c("sep")).alias("sep"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("sep", "obj_id")).cast("long").alias("rank"))
+
+@query(f"SELECT obj_id, round(sep / 3600, 6) AS sep_deg FROM {_cone_sql(100.0, -10.0)} WHERE sep <= 72000")
+def cone_search_wide(t):
+    """A circle of 20 degrees: whole subtrees of pixels lie inside."""
+    return tiles.cone(_sky(t), 100.0, -10.0, 72_000.0).select("obj_id", F.round(c("sep") / 3600, 6).alias("sep_deg"))
 
 
 @query("SELECT obj_id FROM cat_b WHERE (ra >= 359.4 OR ra <= 0.7) AND dec BETWEEN -25.4 AND -24.6")
 def tile_prune(t):
     """Objects in a box across RA 0, out of the pixels that the box touches."""
-    return tiles.box(tiles.by_pixel(t.cat_b.select("obj_id", "ra", "dec")), (359.4, 0.7), (-25.4, -24.6)).select("obj_id")
+    return tiles.box(_sky(t), (359.4, 0.7), (-25.4, -24.6)).select("obj_id")
+
+
+@query("SELECT obj_id, mag FROM cat_b WHERE dec BETWEEN -10.6 AND -7.4 AND info_flag = 0")
+def strip_search(t):
+    """Good objects in a strip around the whole sky, widened by a tenth of a degree."""
+    return tiles.box(_sky(t), (0.0, 360.0), (-10.5, -7.5), 0.1, on_sky=True).filter("info_flag = 0").select("obj_id", "mag")
+
+
+@query("""SELECT p.k, b.obj_id FROM (SELECT k, ra, dec FROM pos WHERE qid = 1) p JOIN cat_b b ON abs(p.dec - b.dec) < 0.017 AND """ + _SEP.replace("a.", "p.") + """ <= 60""")
+def cone_search_many(t):
+    """Objects within a minute of arc of each of many targets: one plan, pruned by the pixels of all circles."""
+    targets = t.pos.filter("qid = 1").select("k", "ra", "dec")
+    found = tiles.light_curves(_sky(t).select("obj_id", c("ra").alias("ra2"), c("dec").alias("dec2"), "hpix"), targets, 60.0)
+    return found.select("k", "obj_id")
 
 
-@query(f"WITH e AS (SELECT event_id, source_id, jd, flux, ra, dec FROM epochs JOIN pos ON k = source_id) SELECT star_id, event_id, row_number() OVER (PARTITION BY star_id ORDER BY jd, event_id) AS i FROM (SELECT a.star_id, b.event_id, b.jd, {_SEP} AS sep FROM stars a JOIN e b ON abs(a.dec - b.dec) < 0.002) WHERE sep <= 3")
+@query(f"""WITH e AS (SELECT event_id, source_id, band, jd, flux, flux_unc, zp, ra, dec FROM epochs JOIN pos ON k = source_id WHERE catflags < 8192), n AS (SELECT a.star_id, b.*, {_SEP} AS sep FROM stars a JOIN e b ON abs(a.dec - b.dec) < 0.002)
+SELECT star_id, event_id, row_number() OVER (PARTITION BY star_id ORDER BY jd, event_id) AS i, band, jd, CASE WHEN flux > 0 THEN round(zp - 2.5 * log10(flux), 6) END AS mag, CASE WHEN flux > 0 THEN round(2.5 * flux_unc / (ln(10) * flux), 6) END AS magerr, round(flux / flux_unc, 6) AS snr FROM n WHERE sep <= 3""")
 def neowise_lc(t):
-    """Light curves of all targets: epochs in the pixels that their circles touch, within 3 arc seconds, by time."""
+    """Light curves of all targets by time: clean epochs in the pixels that their circles touch, within 3 arc seconds, as magnitudes with errors."""
     from pyspark.sql import Window
 
-    e = t.epochs.join(t.pos.select(c("k").alias("source_id"), c("ra").alias("ra2"), c("dec").alias("dec2")), "source_id").select("event_id", "jd", "flux", "ra2", "dec2")
-    found = tiles.light_curves(tiles.by_pixel(e, "ra2", "dec2"), t.stars.select("star_id", "ra", "dec"), 3.0)
-    return found.select("star_id", "event_id", F.row_number().over(Window.partitionBy("star_id").orderBy("jd", "event_id")).cast("long").alias("i"))
+    e = t.epochs.join(t.pos.select(c("k").alias("source_id"), c("ra").alias("ra2"), c("dec").alias("dec2")), "source_id")
+    e = tiles.stored(e.select("event_id", "band", "jd", "flux", "flux_unc", "zp", "catflags", "ra2", "dec2"), "epochs", "ra2", "dec2")
+    found = tiles.light_curves(e.filter("catflags < 8192"), t.stars.select("star_id", "ra", "dec"), 3.0)
+    order = F.row_number().over(Window.partitionBy("star_id").orderBy("jd", "event_id")).cast("long")
+    mag, err = flux_to_mag(c("flux"), c("zp")), flux_to_mag_err(c("flux"), c("flux_unc"))
+    return found.select("star_id", "event_id", order.alias("i"), "band", "jd", F.round(mag, 6).alias("mag"), F.round(err, 6).alias("magerr"), F.round(c("flux") / c("flux_unc"), 6).alias("snr"))
 
 
 def _healpix_sql(n: int, bits: int) -> str:

@@ -94,20 +94,6 @@ def test_funnels_of_different_filters_are_not_added(spark):
     assert filters.summed(f.filter("field = 1"), "field").first().n_after == 2
 
 
-def test_a_circle_opens_few_pixels(spark):
-    rng = random.Random(3)
-    around = [(0.5, 10.0), (120.0, 86.0), (359.9, -45.0), (200.0, 0.0)]
-    rows = [(4 * i + k, (ra + rng.uniform(-8, 8)) % 360, dec + rng.uniform(-4, 4)) for i in range(200) for k, (ra, dec) in enumerate(around)]
-    table = tiles.by_pixel(spark.createDataFrame(rows, "i long, ra double, dec double"))
-    rows = table.collect()
-    found = tiles.cone(table, 0.5, 10.0, 20_000.0)
-    assert "PartitionFilters: [hpix" in found._jdf.queryExecution().executedPlan().toString()
-    for ra, dec, radius in ((0.5, 10.0, 20_000.0), (120.0, 89.5, 20_000.0), (359.9, -45.0, 5_000.0)):
-        want = {r.i for r in rows if spatial_sep(r, ra, dec) <= radius}
-        assert {r.i for r in tiles.cone(table, ra, dec, radius).collect()} == want
-    assert {r.i for r in tiles.box(table, (350.0, 8.0), (-12.0, 9.0)).collect()} == {r.i for r in rows if (r.ra >= 350 or r.ra <= 8) and -12 <= r.dec <= 9}
-
-
 def spatial_sep(r, ra, dec):
     u, v = ([math.cos(math.radians(d)) * math.cos(math.radians(a)), math.cos(math.radians(d)) * math.sin(math.radians(a)), math.sin(math.radians(d))] for a, d in ((r.ra, r.dec), (ra, dec)))
     return 2 * math.asin(min(1.0, math.dist(u, v) / 2)) * 206264.80624709636
