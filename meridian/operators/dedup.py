@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+import math
 import tempfile
+import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .spatial import radius_join
+from .spatial import ARCSEC, radius_join, unit
 
-
-PAIRS_A_CALL = 20_000
+log = logging.getLogger(__name__)
+#: Rounds after which the rows claimed so far are kept as one table.
+ROUNDS = 8
 
 
 def first_valid(value: str | Column, order: str | Column) -> Column:
@@ -32,6 +35,29 @@ def neighbour_count(df: DataFrame, id_col: str, radius: float, include_self: boo
     return n.select(id_col, (F.col("n") - (0 if include_self else 1)).alias("n_neighbours"))
 
 
+def few_neighbours(df: DataFrame, id_col: str, radius: float, most: int = 5, on: tuple = ()) -> DataFrame:
+    """id, alone: whether a row has at most `most` rows within the radius, itself included.
+
+    Cells are so small that rows of one are within the radius of each other: more than `most` in a cell settle it, and so
+    do no more in all cells within reach. Only the other rows, at most `most` a cell, meet their neighbours, so
+    there are fewer than 125 * `most` pairs for each row, however crowded a cell is.
+    """
+    chord = 2.0 * math.sin(radius / ARCSEC / 2.0)
+    cell = [f"_n{i}" for i in range(3)]
+    x = df.select(F.col(id_col).alias("_id"), *on, "ra", "dec", *[F.floor(v / (chord / math.sqrt(3.0) * (1 - 1e-9))).alias(k) for k, v in zip(cell, unit(F.col("ra"), F.col("dec")))])
+    counts = x.groupBy(*on, *cell).agg(F.count(F.lit(1)).alias("_own"))
+    reach = counts
+    for k in cell:
+        reach = reach.withColumn(k, F.explode(F.array(*[F.col(k) + d for d in range(-2, 3)])))
+    reach = reach.groupBy(*on, *cell).agg(F.sum("_own").alias("_all"))
+    x = x.join(counts.join(reach, [*on, *cell]), [*on, *cell])
+    settled = x.filter((F.col("_own") > most) | (F.col("_all") <= most)).select("_id", (F.col("_own") <= most).alias("alone"))
+    open_ = x.filter((F.col("_own") <= most) & (F.col("_all") > most)).select("_id", *on, "ra", "dec")
+    other = df.select(*on, F.col("ra").alias("ra2"), F.col("dec").alias("dec2"))
+    met = radius_join(open_, other, radius, on=on).groupBy("_id").agg((F.count(F.lit(1)) <= most).alias("alone"))
+    return settled.union(met).withColumnRenamed("_id", id_col)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets a temporary one."""
     sc = spark.sparkContext
@@ -46,47 +72,35 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Whole components: earlier rows claim later ones unless they are claimed themselves."""
-    order = sorted(set(zip(pdf.rank_i, pdf.i)) | set(zip(pdf.rank_j, pdf.j)))
-    near: dict = {}
-    for i, j in zip(pdf.i, pdf.j):
-        near.setdefault(i, []).append(j)
-    owner: dict = {}
-    for _, i in order:
-        if i not in owner:
-            owner[i] = i
-            for j in near.get(i, ()):
-                owner.setdefault(j, i)
-    return pd.DataFrame({"member": list(owner), "owner": list(owner.values())})
+    """df computed once and read again from a table in the shared folder, its lineage cut."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def merge_bands(df: DataFrame, id_col: str, rank: str, radius: float, on: tuple = ()) -> DataFrame:
     """member, owner: greedy merging in the order (rank, id). Rows without neighbours own themselves.
 
-    Pairs come from a radius join; their connected groups are small (a few sources within arc seconds). Groups are
-    settled in order, some PAIRS_A_CALL pairs of whole groups at a time.
+    A row that no earlier owner claims is an owner and claims its later neighbours; the earliest owner near a row has it.
+    That is the lexicographic-first independent set of the pairs, found in rounds: rows that wait for no earlier one own,
+    what they claim is settled, and pairs with a settled row go. There are as many rounds as the longest chain of rows
+    that wait for each other; each keeps the pairs that are left, and nothing is gathered.
     """
-    a = df.select(F.col(id_col).alias("i"), F.col(rank).alias("rank_i"), *on, "ra", "dec")
-    b = df.select(F.col(id_col).alias("j"), F.col(rank).alias("rank_j"), *on, F.col("ra").alias("ra2"), F.col("dec").alias("dec2"))
+    a = df.select(F.col(id_col).cast("long").alias("i"), F.col(rank).alias("rank_i"), *on, "ra", "dec")
+    b = df.select(F.col(id_col).cast("long").alias("j"), F.col(rank).alias("rank_j"), *on, F.col("ra").alias("ra2"), F.col("dec").alias("dec2"))
     later = (F.col("rank_i") < F.col("rank_j")) | ((F.col("rank_i") == F.col("rank_j")) & (F.col("i") < F.col("j")))
-    pairs = radius_join(a, b, radius, on=on).filter(later).select("i", "rank_i", "j", "rank_j")
-    pairs = kept(pairs)
-    edges = pairs.select(F.col("i").alias("u"), F.col("j").alias("v")).union(pairs.select(F.col("j").alias("u"), F.col("i").alias("v")))
-    root, mark = edges.select("u", F.col("u").alias("root")).distinct(), None
-    while True:  # groups span a few radii, so a few steps settle them
-        seen = edges.join(root.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("root").alias("m"))
-        root = kept(root.join(seen, "u").select("u", F.least("root", "m").alias("root")))
-        now = root.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if now == mark:
+    pairs = kept(radius_join(a, b, radius, on=on).filter(later).select("i", "rank_i", "j"))
+    claimed, left, rounds = pairs.select("j").limit(0), pairs.select("i", "j"), 0
+    while True:
+        waits = left.select(F.col("j").alias("i"), F.lit(True).alias("waits")).distinct()
+        step = kept(left.join(waits, "i", "left"))
+        if step.isEmpty():
             break
-        mark = now
-    bucket = F.pmod(F.xxhash64("root"), F.lit(pairs.count() // PAIRS_A_CALL + 1))
-    settled = pairs.join(root, F.col("i") == F.col("u")).groupBy(bucket.alias("bucket")).applyInPandas(_greedy, "member long, owner long")
-    alone = df.select(F.col(id_col).cast("long").alias("member")).join(settled.select("member"), "member", "left_anti")
-    return settled.union(alone.select("member", F.col("member").alias("owner")))
+        rounds += 1
+        taken = step.filter("waits is null").select("j").distinct()
+        claimed = claimed.union(taken) if rounds % ROUNDS else kept(claimed.union(taken))
+        left = step.filter("waits").select("i", "j").join(taken.select(F.col("j").alias("i")), "i", "left_anti").join(taken, "j", "left_anti")
+    log.info("merge_bands: %d rounds", rounds)
+    owned = pairs.join(claimed.select(F.col("j").alias("i")), "i", "left_anti").groupBy("j").agg(F.min(F.struct("rank_i", "i")).alias("o"))
+    alone = df.select(F.col(id_col).cast("long").alias("j")).join(claimed, "j", "left_anti")
+    return owned.select(F.col("j").alias("member"), F.col("o.i").alias("owner")).union(alone.select("j", "j"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def stack_columns(snr_limit: float = 3.0) -> list[Column]:
@@ -61,19 +64,36 @@ def epoch_split(df: DataFrame, by: list[str], gap: float) -> DataFrame:
 def anchored(df: DataFrame, by: list[str], width: float, closed: bool = False) -> DataFrame:
     """df with t0, the start of its window [t0, t0 + width), or [t0, t0 + width] if closed; windows start at the first epoch not yet used.
 
-    Of a series only the times go through the fold, which grows by one place a window; epochs find their window by order.
+    Sorted series stream through a task, which remembers the series and the window that it is in and finds the end of a
+    window by search; a series is never held as a whole. Epochs without a time have no window.
     """
-    times = df.groupBy(*by).agg(F.array_sort(F.collect_list("jd")).alias("_e"))
-    last = F.lit(float("-inf"))
-
-    def step(starts: Column, t: Column) -> Column:
-        end = F.coalesce(F.element_at(starts, -1), last) + width
-        return F.when((t <= end) if closed else (t < end), starts).otherwise(F.concat(starts, F.array(t)))
-
-    starts = times.select(*by, F.explode(F.aggregate("_e", F.array().cast("array<double>"), lambda a, t: F.when(F.size(a) == 0, F.array(t)).otherwise(step(a, t)))).alias("jd"))
-    both = df.withColumn("_s", F.lit(None).cast("double")).unionByName(starts.withColumn("_s", F.col("jd")), allowMissingColumns=True).withColumn("_row", F.when(F.col("_s").isNull(), 1).otherwise(0))
-    w = Window.partitionBy(*by).orderBy("jd", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("t0", F.last("_s", ignorenulls=True).over(w)).filter("_row = 1").drop("_s", "_row")
+    side = "right" if closed else "left"
+
+    def run(batches):
+        last, t0 = None, None
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            jd = batch.column("jd").to_numpy(zero_copy_only=False).astype(float)
+            codes = [batch.column(c).dictionary_encode() for c in by]
+            codes = np.stack([x.indices.fill_null(-1).to_numpy(zero_copy_only=False) for x in codes]) if by else np.zeros((1, n))
+            cuts = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(0)) + 1).tolist(), n]
+            out = np.full(n, np.nan)
+            for lo, hi in zip(cuts, cuts[1:]):
+                key = tuple(batch.column(c)[lo].as_py() for c in by)
+                if key != last:
+                    last, t0 = key, None
+                lo += int(np.isnan(jd[lo:hi]).sum())  # nulls come first
+                while lo < hi:
+                    if t0 is None or not (jd[lo] <= t0 + width if closed else jd[lo] < t0 + width):
+                        t0 = jd[lo]
+                    end = max(lo + 1, lo + int(np.searchsorted(jd[lo:hi], t0 + width, side)))
+                    out[lo:end], lo = t0, end
+            yield batch.append_column("t0", pa.array(out, from_pandas=True))
+
+    dealt = df.withColumn("jd", F.nanvl(F.col("jd").cast("double"), F.lit(None))).repartition(*by).sortWithinPartitions(*by, "jd")
+    return dealt.mapInArrow(run, StructType([*dealt.schema, StructField("t0", DoubleType())]))
 
 
 def anchored_windows(df: DataFrame, by: list[str], width: float) -> DataFrame:

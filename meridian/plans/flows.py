@@ -58,7 +58,7 @@ def branches(t, least: float, most: float) -> DataFrame:
     place = F.min_by(F.struct("ra", "dec"), "band_rank")
     found = big.groupBy("branch", "k").agg(F.count(F.lit(1)).alias("n_big"), F.concat_ws(",", F.array_sort(F.collect_set("band"))).alias("bands"), place.alias("p"))
     found = dedup.kept(found.filter((c("n_big") >= 2) | (c("branch") == 2)).select("branch", "k", "n_big", "bands", "p.ra", "p.dec"))
-    crowd = dedup.neighbour_count(found.filter("branch = 1"), "k", RADIUS).filter(c("n_neighbours") > NEARBY).select("k", F.lit(1).alias("branch"))
+    crowd = dedup.few_neighbours(found.filter("branch = 1"), "k", RADIUS, NEARBY).filter("not alone").select("k", F.lit(1).alias("branch"))
     ra, dec = P.propagated(c("ra"), c("dec"), c("pmra"), c("pmdec"), 2021.0 - c("ref_epoch"))
     stars = t.stars.select("star_id", ra.alias("ra2"), dec.alias("dec2"), "parallax_over_error", "pmra", "pmdec", "pm_err", "params_solved")
     star = spatial.nearest(found.filter("branch < 2"), stars, 5.0, "k", "star_id", on=()).drop("ra2", "dec2")

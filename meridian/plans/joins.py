@@ -89,6 +89,12 @@ def neighbour_count(t):
     return dedup.neighbour_count(t.cat_a, "src_id", 200.0, on=("band",)).withColumn("alone", c("n_neighbours") <= 5)
 
 
+@query(f"SELECT a.src_id, count(*) <= 5 AS alone FROM cat_a a JOIN cat_a o ON a.fieldid = o.fieldid AND abs(a.dec - o.dec) < 0.04 AND {_SELF} <= 120 GROUP BY 1")
+def few_neighbours(t):
+    """Whether a source has at most five within two minutes of arc in any band, settled by counts of cells where they can."""
+    return dedup.few_neighbours(t.cat_a, "src_id", 120.0)
+
+
 _OWNED = """x AS (SELECT k, max(src_id) FILTER (WHERE band_rank = 1) AS g, max(src_id) FILTER (WHERE band_rank = 2) AS r, max(src_id) FILTER (WHERE band_rank = 3) AS i, max(dec) FILTER (WHERE band_rank = 1) * 3600 AS dg, max(dec) FILTER (WHERE band_rank = 2) * 3600 AS dr, max(dec) FILTER (WHERE band_rank = 3) * 3600 AS di FROM cat_a GROUP BY k),
 y AS (SELECT *, CASE WHEN abs(dr - dg) <= 0.25 THEN g ELSE r END AS ro FROM x), z AS (SELECT *, CASE WHEN abs(di - dg) <= 0.25 THEN g WHEN ro = r AND abs(di - dr) <= 0.25 THEN r ELSE i END AS io FROM y),
 o AS (SELECT g AS owner, 'g' AS band FROM z WHERE g IS NOT NULL UNION ALL SELECT ro, 'r' FROM z WHERE r IS NOT NULL UNION ALL SELECT io, 'i' FROM z WHERE i IS NOT NULL)"""
