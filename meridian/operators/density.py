@@ -86,16 +86,23 @@ def big_differences(df: DataFrame, bounds: DataFrame) -> DataFrame:
     return j.withColumn("big", F.coalesce((F.col("dmag") < F.col("low")) | (F.col("dmag") > F.col("high")), F.lit(False))).drop("_t", "_i", "_b1", "_c1", "_b2", "_c2", "l1", "h1", "l2", "h2")
 
 
-def cached_envelopes(df: DataFrame, path: str) -> DataFrame:
-    """The envelopes of a field stored at path; computed and stored where there are none, or not for all bands of df."""
+def cached_envelopes(df: DataFrame, path: str, field: str = "fieldid") -> DataFrame:
+    """(field, band, c, d, density): the envelopes of df's fields and bands out of the table at path.
+
+    Only those that the table lacks are computed, and only their partitions are written; one without a grid leaves an
+    empty mark, so that it isn't tried again.
+    """
     spark = df.sparkSession
-    wanted = {r[0] for r in df.select("band").distinct().collect()}  # bands
-    if there(spark, path):
-        stored = spark.read.parquet(path)
-        if wanted <= {r[0] for r in stored.select("band").distinct().collect()}:
-            return stored
-    kde_envelope(df).write.mode("overwrite").partitionBy("band").parquet(path)
-    return spark.read.parquet(path)
+    schema = f"`{field}` {df.schema[field].dataType.simpleString()}, band string, c double, d double, density double"
+    stored = lambda: spark.read.schema(schema).parquet(path)
+    wanted = df.select(field, "band").dropna().distinct()
+    missing = wanted.join(stored().select(field, "band").distinct(), [field, "band"], "left_anti") if there(spark, path) else wanted
+    missing = missing.withColumn("_key", F.to_json(F.struct(field, "band")))
+    if not missing.isEmpty():
+        new = df.join(missing, [field, "band"]).withColumn("band", F.col("_key"))
+        found = missing.join(kde_envelope(new).withColumnRenamed("band", "_key"), "_key", "left").select(field, "band", "c", "d", "density")
+        found.repartition(field, "band").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(field, "band").parquet(path)
+    return stored().join(wanted, [field, "band"], "left_semi").filter("c is not null")
 
 
 def weighted_kde(df: DataFrame, centres: list[float], bandwidth: float = 1.0, points: int = 21) -> DataFrame:

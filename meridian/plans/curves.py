@@ -171,12 +171,13 @@ def kde_envelope(t):
     return density.kde_envelope(_dmag(t)).select("band", "c", r6(c("d")).alias("d"), F.round("density", 5).alias("density"))
 
 
-@query(_KDE + " SELECT band, c, round(d, 6) AS d, round(density, 5) AS density FROM e")
+@query(_KDE.replace("SELECT src_id, k, band,", "SELECT src_id, k, fieldid % 2 || band AS band,") + " SELECT CAST(left(band, 1) AS BIGINT) AS half, right(band, 1) AS band, c, round(d, 6) AS d, round(density, 5) AS density FROM e")
 def envelope_cache(t):
-    """Envelopes stored once and read the second time."""
+    """Envelopes of one band are stored first, then what is missing of all bands; each by half of the fields."""
     path = f"{dedup.shared_folder(t.spark)}/envelopes-{uuid.uuid4().hex}"
-    density.cached_envelopes(_dmag(t), path)
-    return density.cached_envelopes(_dmag(t), path).select("band", "c", r6(c("d")).alias("d"), F.round("density", 5).alias("density"))
+    d = _dmag(t).join(t.matched.select("src_id", (c("fieldid") % 2).alias("half")), "src_id")
+    density.cached_envelopes(d.filter("band = 'g'"), path, "half")
+    return density.cached_envelopes(d, path, "half").select("half", "band", "c", r6(c("d")).alias("d"), F.round("density", 5).alias("density"))
 
 
 @query(_BOUNDS + " SELECT band, c, round(low, 6) AS low, round(high, 6) AS high FROM bounds")

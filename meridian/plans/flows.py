@@ -211,6 +211,21 @@ def stream_epoch_split(t):
     return out.select("source_id", F.unix_seconds("first_ts").alias("first"), F.unix_seconds("last_ts").alias("last"), "n")
 
 
+@query("""WITH RECURSIVE o AS (SELECT source_id, band, jd, event_id, flux, row_number() OVER (PARTITION BY source_id, band ORDER BY jd, event_id) AS i FROM epochs),
+w AS (SELECT source_id, band, i, jd, flux, jd AS t0 FROM o WHERE i = 1 UNION ALL SELECT o.source_id, o.band, o.i, o.jd, o.flux, CASE WHEN o.jd < w.t0 + 3 THEN w.t0 ELSE o.jd END FROM w JOIN o ON o.source_id = w.source_id AND o.band = w.band AND o.i = w.i + 1)
+SELECT source_id, band, round(t0, 6) AS t0, round(avg(jd), 6) AS mean_jd, round(avg(flux), 6) AS mean_flux, count(*) AS n FROM w GROUP BY source_id, band, t0""")
+def stream_anchored_windows(t):
+    """Windows that each series anchors, from files that arrive in no order; a last epoch, years later, moves the watermark past them."""
+    path = _new(t, "epochs")
+    e = t.epochs.select("source_id", "band", "jd", "flux", F.timestamp_micros(F.round((c("jd") - 2440587.5) * 86400e6).cast("long")).alias("ts"))
+    e.repartition(4, F.rand(5)).write.parquet(path)
+    end = e.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("source_id"), F.lit("end").alias("band"), F.lit(0.0).alias("jd"), F.lit(0.0).alias("flux"), (c("ts") + F.expr("interval 3000 days")).alias("ts"))
+    end.select(*e.columns).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    out = _drained(jobs.anchored_windows(stream, ["source_id", "band"], 3.0), t, "append").filter("band <> 'end'")
+    return out.select("source_id", "band", *[r6(c(x)).alias(x) for x in ("t0", "mean_jd", "mean_flux")], "n")
+
+
 @query(_funnel_sql("band"))
 def stream_filter_funnel(t):
     source, out, checkpoint = _new(t, "matched"), _new(t, "funnel"), _new(t, "funnel-checkpoint")

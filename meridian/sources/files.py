@@ -66,9 +66,25 @@ def sink_json(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
-def there(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str) -> tuple:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    fs, p = _at(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def deleted(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.delete(p, True)
 
 
 def convert(spark: SparkSession, paths: dict[str, str], schema: str) -> None:
