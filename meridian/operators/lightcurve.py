@@ -101,9 +101,14 @@ def anchored_windows(df: DataFrame, by: list[str], width: float) -> DataFrame:
     return anchored(df, by, width).groupBy(*by, "t0").agg(F.avg("jd").alias("mean_jd"), F.avg("flux").alias("mean_flux"), F.count(F.lit(1)).alias("n"))
 
 
-def same_night(df: DataFrame, by: list[str], days: float = 1.0) -> DataFrame:
-    """Rows up to `days` after the first row of a window, but at another time, are merged with it; ties with it stand alone."""
-    first = F.row_number().over(Window.partitionBy(*by, "t0", "jd").orderBy("event_id"))
-    d = anchored(df, by, days, closed=True).withColumn("_tie", F.when(F.col("jd") == F.col("t0"), first).otherwise(1))
+def same_night(df: DataFrame, by: list[str], days: float = 1.0, first: list[str] | None = None) -> DataFrame:
+    """Rows up to `days` after the first row of a window, but at another time, are merged with it; ties with it stand alone.
+
+    The columns of `first` are those of the first row of what is merged.
+    """
+    tied = F.row_number().over(Window.partitionBy(*by, "t0", "jd").orderBy("event_id"))
+    d = anchored(df, by, days, closed=True).withColumn("_tie", F.when(F.col("jd") == F.col("t0"), tied).otherwise(1))
     n = F.count(F.lit(1))
-    return d.groupBy(*by, "t0", "_tie").agg(F.avg("jd").alias("jd"), F.avg("flux").alias("flux"), (F.sqrt(F.sum(F.col("flux_unc") * F.col("flux_unc"))) / n).alias("flux_unc"), n.alias("n")).drop("t0", "_tie")
+    own = [F.min_by(F.struct(*first), F.struct("jd", "event_id")).alias("_f")] if first else []
+    out = d.groupBy(*by, "t0", "_tie").agg(F.avg("jd").alias("jd"), F.avg("flux").alias("flux"), (F.sqrt(F.sum(F.col("flux_unc") * F.col("flux_unc"))) / n).alias("flux_unc"), n.alias("n"), *own).drop("t0", "_tie")
+    return out.select("*", "_f.*").drop("_f") if first else out

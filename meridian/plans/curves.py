@@ -132,22 +132,6 @@ def wise_snr(t):
     return t.epochs.select("event_id", r6(F.try_divide("flux", "flux_unc")).alias("w1snr"))
 
 
-@query("SELECT source_id, 'fp' AS survey, band, jd AS mjd, flux AS value FROM epochs UNION ALL SELECT k, 'cat', band, 2460000, psf_mag FROM cat_a")
-def assemble_lc(t):
-    fp = t.epochs.select("source_id", F.lit("fp").alias("survey"), "band", c("jd").alias("mjd"), c("flux").alias("value"))
-    return fp.unionByName(t.cat_a.select(c("k").alias("source_id"), F.lit("cat").alias("survey"), "band", F.lit(2460000.0).alias("mjd"), c("psf_mag").alias("value")))
-
-
-@query("SELECT src_id FROM (SELECT src_id, dec, avg(dec) OVER (PARTITION BY k) AS d FROM cat_a) WHERE abs(dec - d) * 3600 < 0.26")
-def same_object_only(t):
-    """Rows near the mean position of their object; the mean right ascension is that of unit vectors."""
-    w = Window.partitionBy("k")
-    ra = F.radians("ra")
-    mean = (F.degrees(F.atan2(F.avg(F.sin(ra)).over(w), F.avg(F.cos(ra)).over(w))) + 360.0) % 360.0
-    near = t.cat_a.withColumns({"mean_ra": mean, "mean_dec": F.avg("dec").over(w)})
-    return near.filter(spatial.separation(c("ra"), c("dec"), c("mean_ra"), c("mean_dec")) < 0.26).select("src_id")
-
-
 def _dmag(t):
     m = t.matched.filter("mag is not null")
     err = F.greatest(F.sqrt(c("psf_err") * c("psf_err") + c("magerr") * c("magerr")), F.lit(0.01))

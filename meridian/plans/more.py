@@ -115,16 +115,3 @@ def calibration_stars(t):
     crowded = spatial.near_pixels(s, other, 10, (*_QUAD, "band"), how="inner").filter("src_id <> other and pow(mx - x, 2) + pow(my - y, 2) <= 100").select("src_id")
     bad = spatial.near_pixels(s, t.masked, 25, _QUAD, how="inner").groupBy("src_id").count().filter(c("count") >= 0.05 * 51 * 51).select("src_id")
     return s.select("src_id").join(crowded.union(bad), "src_id", "left_anti")
-
-
-#: For each survey: its table, and what stands for object, time and value in a common light curve.
-SURVEYS = {
-    "forced": ("epochs", "source_id", "jd", "flux"), "catalogue": ("cat_b", "obj_id", "fieldid", "mag"), "images": ("cat_a", "src_id", "band_rank", "psf_mag"), "stars": ("stars", "star_id", "ref_epoch", "parallax_over_error"),
-    "stacks": ("cat_b_dup", "obj_id", "primary_detection", "mag"), "matches": ("matched", "src_id", "catalog_flag", "kron_mag"), "injected": ("truth", "inj_id", "iter", "tx"), "positions": ("pos", "k", "ccdid", "m"),
-}
-
-
-@query(" UNION ALL ".join(f"SELECT '{s}' AS survey, CAST({o} AS BIGINT) AS object_id, CAST({t} AS DOUBLE) AS time, CAST({v} AS DOUBLE) AS value FROM {tab}" for s, (tab, o, t, v) in SURVEYS.items()))
-def survey_spec(t):
-    parts = [getattr(t, tab).select(F.lit(s).alias("survey"), c(o).cast("long").alias("object_id"), c(when).cast("double").alias("time"), c(v).cast("double").alias("value")) for s, (tab, o, when, v) in SURVEYS.items()]
-    return reduce(DataFrame.unionByName, parts)

@@ -46,6 +46,17 @@ DERIVED = {
         value - 30e0 AS flux, 8e0 + event_id % 12 AS flux_unc, 26e0 + (event_id % 5) / 10e0 AS zp,
         CASE WHEN event_id % 17 = 0 THEN '61' WHEN event_id % 9 = 0 THEN '0,56' ELSE '0' END AS procstatus,
         CAST((event_id % 3) * 4096 + event_id % 2 AS INT) AS catflags FROM events""",
+    "raw_epochs": """SELECT event_id AS seq, source_id AS source, jd - 2400000.5e0 AS mjd, ra, CASE WHEN event_id % 13 = 0 THEN dec + 0.001e0 ELSE dec + (event_id % 5) / 36000e0 END AS dec, band,
+        flux, flux_unc, CASE WHEN event_id % 29 = 0 THEN CAST('NaN' AS DOUBLE) WHEN flux > 0 THEN zp - 2.5e0 * log10(flux) END AS m, 0.02e0 + (event_id % 9) / 100e0 AS e,
+        source_id * 4 + CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END AS other_id FROM epochs JOIN pos ON k = source_id""",
+    "raw_ztf": "SELECT source, seq, source * 10 + seq % 3 AS oid, ra, dec, mjd, 'z' || band AS filtercode, m AS mag, e AS magerr FROM raw_epochs",
+    "raw_wise": "SELECT source, seq, other_id AS source_id_mf, ra, dec, mjd, " + ", ".join(f"m + {n} AS w{n}mpro_ep, e AS w{n}sigmpro_ep, flux + {n} AS w{n}flux_ep, CASE WHEN seq % 31 = 0 THEN 0e0 ELSE flux_unc END AS w{n}sigflux_ep" for n in range(1, 5)) + " FROM raw_epochs",
+    "raw_neowise": "SELECT source, seq, other_id AS source_id, ra, dec, mjd, " + ", ".join(f"m + {n} AS w{n}mpro, e AS w{n}sigmpro, flux / flux_unc AS w{n}snr" for n in (1, 2)) + " FROM raw_epochs",
+    "raw_ptf": "SELECT source, seq, other_id AS oid, ra, dec, mjd AS obsmjd, seq % 3 + 1 AS fid, m AS mag_autocorr, e AS magerr_auto FROM raw_epochs",
+    "raw_sdss": "SELECT source, seq, other_id AS objID, ra, dec, mjd, " + ", ".join(f"m + {i} AS psfMag_{b}, e AS psfMagerr_{b}, m + {i} - 0.1e0 AS modelMag_{b}, e * 2 AS modelMagerr_{b}" for i, b in enumerate("ugriz")) + " FROM raw_epochs",
+    "raw_panstarrs": "SELECT source, seq, other_id AS objID, ra, dec, mjd AS obsTime, 0 AS infoFlag2, seq % 6 + 1 AS filterID, m AS mag, e AS magerr FROM raw_epochs",
+    "raw_gaia": "SELECT source, seq, other_id AS source_id, ra, dec, 2016e0 + seq % 4 AS ref_epoch, flux AS phot_g_mean_flux, flux_unc AS phot_g_mean_flux_error, flux + 9 AS phot_rp_mean_flux, flux_unc AS phot_rp_mean_flux_error, flux - 9 AS phot_bp_mean_flux, flux_unc AS phot_bp_mean_flux_error FROM raw_epochs",
+    "raw_custom": "SELECT source, seq, 'custom_' || CAST(source AS VARCHAR(20)) AS custom_id, mjd, m AS custom_mag, e AS custom_magerr, band AS filter, 0 AS ul FROM raw_epochs",
     "masked": "SELECT fieldid, ccdid, qid, (k * 31) % 3072 + k % 25 - 12 AS mx, (k * 57) % 3080 + k % 7 AS my FROM pos WHERE k % 12 = 0",
     "truth": """SELECT s_suppkey AS inj_id, 16 + s_suppkey % 9 AS mag, s_suppkey % 10 AS iter, ((s_suppkey * 10) * 31) % 3072 + (s_suppkey % 3) * 0.6e0 AS tx,
         CAST(((s_suppkey * 10) * 57) % 3080 AS DOUBLE) AS ty, fieldid, ccdid, qid FROM supplier JOIN pos ON k = s_suppkey * 10""",
