@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LN10 = math.log(10.0)
 #: Band limits of the older survey and zero points of the star catalogue.
 LIMITS = {"g": 23.3, "r": 23.2, "i": 23.1}
+#: Texts that stand for a missing value.
+SENTINELS = ("False", "", "-999", "-999.0", "--", "n", "-9999.0", "nan", "b''")
 STAR_ZERO_POINTS = {"g": 25.8010, "bp": 25.3540, "rp": 25.1040}
 
 
@@ -19,6 +21,21 @@ def clean(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")) & (x != -999.0), x)
 
 
+def normalised(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with NULL for every missing value in these columns: SENTINELS in texts, False, and in numbers what clean() takes for one."""
+    kinds, out = dict(df.dtypes), {}
+    for name in columns:
+        x = F.col(name)
+        if kinds[name] == "string":
+            out[name] = F.when(~x.isin(*SENTINELS), x)
+        elif kinds[name] == "boolean":
+            out[name] = F.when(x, x)
+        else:
+            missing = F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")) | x.cast("double").isin(-999.0, -9999.0)
+            out[name] = F.when(~missing, x)
+    return df.withColumns(out)
+
+
 def flux_to_mag(flux: Column, zp: Column | float) -> Column:
     return F.when(flux > 0, -2.5 * F.log10(flux) + zp)
 

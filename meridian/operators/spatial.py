@@ -133,13 +133,30 @@ def in_ranges(points: DataFrame, boxes: DataFrame, degrees: float = 1.0) -> Data
     return p.join(cells, ["_x", "_y"]).filter(inside & F.col("dec").between(F.col("dec_lo"), F.col("dec_hi"))).drop("_x", "_y")
 
 
-def within(left: DataFrame, right: DataFrame, tolerances: dict[tuple[str, str], float]) -> DataFrame:
-    """Pairs whose named columns (left, right) differ by less than the tolerances; the first is also hashed into cells."""
-    (a, b), t = next(iter(tolerances.items()))
-    width = 4 * t
-    lc = left.withColumn("_w", F.floor(F.col(a) / width))
-    rc = right.withColumn("_w", F.explode(F.sequence(F.floor((F.col(b) - t) / width), F.floor((F.col(b) + t) / width))))
+def within(left: DataFrame, right: DataFrame, tolerances: dict[tuple[str, str], float | tuple[float, float]]) -> DataFrame:
+    """Pairs whose named columns (left, right) are close: |a - b| < t or, with a pair of tolerances, |a - b| <= absolute + relative * |b|.
+
+    The first is also hashed into cells, in a measure in which its tolerance is about as wide everywhere, so that a
+    right row enters two cells or three however large its value and tolerance are.
+    """
+    def measure(x: Column, t: float, r: float) -> Column:
+        return x / t if not r else F.signum(x) * F.asinh(F.abs(x) * (r / t)) / r
+
+    def reach(x: Column, t: float, r: float) -> Column:
+        return t + r * F.abs(x)
+
+    pair = lambda t: t if isinstance(t, tuple) else (t, 0.0)
+    (a, b), first = next(iter(tolerances.items()))
+    t, r = pair(first)
+    if t <= 0:
+        raise ValueError("cells need an absolute tolerance")
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    cell = lambda v: F.floor(measure(v, t, r) / 4)
+    lc = left.withColumn("_w", cell(x))
+    wide = reach(y, t, r) * (1 + 1e-9)
+    rc = right.filter(y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf"))).withColumn("_w", F.explode(F.sequence(cell(y - wide), cell(y + wide))))
     j = lc.join(rc, "_w")
     for (x, y), tol in tolerances.items():
-        j = j.filter(F.abs(F.col(x) - F.col(y)) < tol)
+        gap = F.abs(F.col(x) - F.col(y))
+        j = j.filter(gap <= reach(F.col(y), *tol) if isinstance(tol, tuple) else gap < tol)
     return j.drop("_w")

@@ -251,14 +251,6 @@ def add_sources(t):
     return t.cat_a.select(c("src_id").alias("id"), "ra", "dec").union(t.cat_b.select("obj_id", "ra", "dec"))
 
 
-@query("SELECT fieldid, ccdid, qid, src_id, band FROM cat_a")
-def merge_field(t):
-    """Quadrant tables of all fields stacked, with field, detector and quadrant from the names of their files."""
-    name = F.format_string("%06d_%02d_%d/objects.parquet", "fieldid", "ccdid", "qid")
-    part = lambda i: F.regexp_extract("name", r"^(\d+)_(\d+)_(\d)/", i).cast("long")
-    return t.cat_a.select(name.alias("name"), "src_id", "band").select(part(1).alias("fieldid"), part(2).alias("ccdid"), part(3).alias("qid"), "src_id", "band")
-
-
 @query("WITH " + _PASS + " SELECT fieldid, count(*) AS n, string_agg(DISTINCT band, ',' ORDER BY band) AS bands FROM f WHERE p1 AND p2 AND p3 AND p4 AND p5 AND p6 AND catalog_flag = 1 GROUP BY fieldid")
 def combine_fields(t):
     """What is left of each field after all filters, stacked; fields without a row are dropped."""

@@ -270,6 +270,13 @@ def tolerance_match(t):
     return spatial.within(t.cat_a, b, {("ra", "ra2"): 1e-6, ("dec", "dec2"): 1e-4}).select("src_id", "obj_id")
 
 
+@query("SELECT a.k, b.obj_id FROM pos a JOIN cat_b b ON a.fieldid = b.fieldid AND abs(a.ra - b.ra) <= 1e-4 + 1e-5 * abs(b.ra) AND abs(a.dec - b.dec) <= 1e-4 + 1e-5 * abs(b.dec)")
+def tolerance_match_relative(t):
+    """Places that are the same but for a tolerance that grows with their values."""
+    b = t.cat_b.select("obj_id", c("ra").alias("ra2"), c("dec").alias("dec2"))
+    return spatial.within(t.pos.select("k", "ra", "dec"), b, {("ra", "ra2"): (1e-4, 1e-5), ("dec", "dec2"): (1e-4, 1e-5)}).select("k", "obj_id")
+
+
 _KEYS = ("k", "fieldid", "ccdid", "qid")
 
 

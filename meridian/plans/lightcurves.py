@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import surveys
+from ..functions.photometry import flux_to_mag, flux_to_mag_err
+from ..operators import dedup, surveys
+from ..sources import quadrants
 from .curves import r6
+from .groups import _RANGE, ranges
+from .joins import _SEP
 from .registry import query
 
 c = F.col
@@ -88,3 +93,59 @@ s_panstarrs AS (SELECT source, 'panstarrs' AS survey, f.id AS panstarrs_id, f.ra
 def assemble_lc(t):
     """Light curves of all sources: one object each, nights and windows collapsed, eight surveys in tidy columns."""
     return _rounded(surveys.assembled(_raw(t)))
+
+
+_OBJ = "ob AS (SELECT src_id, k, fieldid, band, ccdid % 2 + 1 AS ccdid, qid % 2 + 1 AS qid, 13 + fieldid % 2 AS release, ra, dec FROM cat_a)"
+_GOOD = """good AS (SELECT source_id, band, event_id, jd - 2400000.5e0 AS hmjd, zp - 2.5 * log10(flux) AS mag, 2.5 * flux_unc / (ln(10) * flux) AS magerr FROM epochs WHERE flux > 0 AND (catflags & 6141) = 0)"""
+
+
+def _quadrants(t) -> DataFrame:
+    """The catalogue of files of array light curves, one a quadrant and band, which are written first."""
+    folder = f"{dedup.shared_folder(t.spark)}/quadrants-{uuid.uuid4().hex}"
+    mag, err = flux_to_mag(c("flux"), c("zp")), flux_to_mag_err(c("flux"), c("flux_unc"))
+    epoch = F.struct((c("jd") - 2400000.5).alias("hmjd"), mag.alias("mag"), err.alias("magerr"), "catflags")
+    series = t.epochs.groupBy(c("source_id").alias("k"), "band").agg(F.array_sort(F.collect_list(epoch)).alias("e"))
+    rows = t.cat_a.select("src_id", "k", "fieldid", "band", (c("ccdid") % 2 + 1).alias("ccdid"), (c("qid") % 2 + 1).alias("qid"), (13 + c("fieldid") % 2).alias("release"), "ra", "dec").join(series, ["k", "band"], "left")
+    arrays = [c(f"e.{x}").alias(x) for x in ("hmjd", "mag", "magerr", "catflags")]
+    quadrants.write(rows.select(*quadrants.KEYS, c("src_id").alias("objectid"), c("ra").alias("objra"), c("dec").alias("objdec"), *arrays), folder)
+    return quadrants.catalogue(t.spark, folder)
+
+
+@query(f"WITH {_OBJ} SELECT fieldid, band, ccdid, qid, release, count(*) AS n FROM ob GROUP BY ALL")
+def file_catalog(t):
+    """Files found by listing a folder, what their names say, and how many objects each holds."""
+    files = _quadrants(t)
+    n = quadrants.opened(t.spark, files, ["objectid"]).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return files.join(n, "path").select(*quadrants.KEYS, "n")
+
+
+@query(f"WITH {_OBJ} SELECT fieldid, ccdid, qid, count(DISTINCT band) AS bands, min(release) AS release FROM ob GROUP BY ALL")
+def quadrant_meta(t):
+    """Quadrants with files, out of the files' names alone."""
+    return _quadrants(t).groupBy("fieldid", "ccdid", "qid").agg(F.count_distinct("band").alias("bands"), F.min("release").alias("release"))
+
+
+@query(f"WITH {_OBJ} SELECT fieldid, ccdid, qid, src_id, band FROM ob")
+def merge_field(t):
+    """The files of all quadrants stacked, with field, detector and quadrant from the path of the file that a row comes from."""
+    rows = quadrants.opened(t.spark, _quadrants(t), ["objectid"])
+    return rows.select("fieldid", "ccdid", "qid", c("objectid").alias("src_id"), "band")
+
+
+_PLACED = f"""WITH {_OBJ}, {_GOOD}, fr AS ({_RANGE.format('cat_a')}), p AS (SELECT star_id, ra, dec, fr.fieldid FROM stars JOIN fr ON dec BETWEEN dec_lo AND dec_hi AND (ra BETWEEN ra_lo AND ra_hi OR ra + 360 BETWEEN ra_lo AND ra_hi)),
+n AS (SELECT a.star_id, b.src_id, b.band, b.k FROM p a JOIN ob b ON a.fieldid = b.fieldid AND abs(a.dec - b.dec) < 0.001 WHERE {_SEP} < 1.5 QUALIFY row_number() OVER (PARTITION BY a.star_id, b.fieldid, b.band, b.ccdid, b.qid ORDER BY {_SEP}, b.src_id) = 1)"""
+
+
+@query(f"{_PLACED} SELECT star_id, src_id AS objectid, n.band, round(hmjd, 6) AS hmjd, round(mag, 6) AS mag, round(magerr, 6) AS magerr FROM n JOIN good ON source_id = k AND good.band = n.band")
+def lc_by_position(t):
+    """Footprints give the files of a position; the nearest object of each file within 1.5 arc seconds, its clean epochs."""
+    found = quadrants.at_positions(t.spark, _quadrants(t), t.stars.select("star_id", "ra", "dec"), ranges(t.cat_a), 1.5, "star_id")
+    return quadrants.light_curves(t.spark, dedup.kept(found), "star_id").select("star_id", "objectid", "band", *[r6(c(x)).alias(x) for x in ("hmjd", "mag", "magerr")])
+
+
+@query(f"WITH {_OBJ}, {_GOOD} SELECT star_id, src_id AS objectid, ob.band, round(hmjd, 6) AS hmjd, round(mag, 6) AS mag, round(magerr, 6) AS magerr FROM stars JOIN ob ON src_id = star_id * 10 + 2 JOIN good ON source_id = k AND good.band = ob.band")
+def lc_by_object(t):
+    """Light curves by object id, in whichever file it is."""
+    ids = t.stars.select("star_id", (c("star_id") * 10 + 2).alias("objectid"))
+    found = quadrants.of_objects(t.spark, _quadrants(t), ids, "star_id")
+    return quadrants.light_curves(t.spark, dedup.kept(found), "star_id").select("star_id", "objectid", "band", *[r6(c(x)).alias(x) for x in ("hmjd", "mag", "magerr")])

@@ -88,20 +88,6 @@ def fp_lookup(t):
     return targets.select("src_id").join(near, "src_id", "left").select("src_id", F.when(c("series").isNotNull(), c("series")).otherwise(none).alias("series"), "sep")
 
 
-_PLACED = f"""WITH fr AS ({_RANGE.format('cat_a')}), p AS (SELECT star_id, ra, dec, fr.fieldid FROM stars JOIN fr ON dec BETWEEN dec_lo AND dec_hi AND (ra BETWEEN ra_lo AND ra_hi OR ra + 360 BETWEEN ra_lo AND ra_hi)),
-n AS (SELECT a.star_id, b.fieldid, b.band, b.k FROM p a JOIN cat_a b ON a.fieldid = b.fieldid AND abs(a.dec - b.dec) < 0.001 WHERE {_SEP} <= 1.5 QUALIFY row_number() OVER (PARTITION BY a.star_id, b.fieldid, b.band ORDER BY {_SEP}, b.src_id) = 1)"""
-
-
-@query(f"{_PLACED} SELECT star_id, n.fieldid, n.band, event_id FROM n JOIN epochs ON source_id = k AND epochs.band = n.band")
-def lc_by_position(t):
-    """Fields that hold a position, the nearest object of each field and band within 1.5 arc seconds, its epochs in the band."""
-    fields = ranges(t.cat_a)
-    placed = spatial.in_ranges(t.stars.select("star_id", "ra", "dec"), fields).select("star_id", "ra", "dec", "fieldid", F.explode(F.array(*map(F.lit, "gri"))).alias("band"))
-    rows = t.cat_a.select("src_id", "k", "fieldid", "band", c("ra").alias("ra2"), c("dec").alias("dec2"))
-    near = spatial.nearest(placed, rows, 1.5, "star_id", "src_id", on=("fieldid", "band")).select("star_id", "fieldid", "band", "k")
-    return near.join(t.epochs.withColumnRenamed("source_id", "k"), ["k", "band"]).select("star_id", "fieldid", "band", "event_id")
-
-
 _QUAD = ("fieldid", "ccdid", "qid")
 #: The derived table has no source with a difference under 0.05, the usual limit of calibration_stars; here it is 0.1.
 

@@ -76,9 +76,16 @@ def flag_any(t):
     return t.cat_a.select("src_id", P.any_bit(c("sep_flag"), 1, 8).alias("flagged"))
 
 
-@query("SELECT user_id * 1000000 + event_id AS id, CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE event_type END AS event_type FROM events")
+_TEXTS = [*P.SENTINELS, "0", "17.5", "nano", "-99"]
+_SENT, _GIVEN = ("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in texts) + "]" for texts in (P.SENTINELS, _TEXTS))
+
+
+@query(f"WITH r AS (SELECT event_id, {_GIVEN}[event_id % {len(_TEXTS)} + 1] AS note, CASE event_id % 4 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN -999e0 ELSE value END AS v FROM events) SELECT event_id, CASE WHEN NOT list_contains({_SENT}, note) THEN note END AS note, CASE WHEN NOT isnan(v) AND v <> -999 THEN v END AS v FROM r")
 def sentinel_normalise(t):
-    return t.events.select((c("user_id") * 1000000 + c("event_id")).alias("id"), F.when(~c("event_type").isin("error", "signup"), c("event_type")).alias("event_type"))
+    """Every spelling of a missing value becomes NULL, in texts and in numbers."""
+    note = F.element_at(F.array(*map(F.lit, _TEXTS)), (c("event_id") % len(_TEXTS) + 1).cast("int"))
+    v = F.when(c("event_id") % 4 == 0, float("nan")).when(c("event_id") % 4 == 1, -999.0).otherwise(c("value"))
+    return P.normalised(t.events.select("event_id", note.alias("note"), v.alias("v")), ["note", "v"])
 
 
 @query("SELECT CAST(obj_id AS BIGINT) + 9007199254740993 AS obj_id, CASE WHEN undetected THEN NULL ELSE mag END AS mag FROM cat_b")
@@ -182,20 +189,6 @@ def info_row(t):
     return t.matched.select("src_id", F.concat_ws("; ", *parts).alias("info"))
 
 
-@query("SELECT k, fieldid, k % 64 // 4 + 1 AS ccdid, k % 64 % 4 + 1 AS qid FROM pos")
-def quadrant_meta(t):
-    name = F.format_string("%06d_%02d_%d", "fieldid", F.expr("k % 64 div 4 + 1"), (c("k") % 64 % 4 + 1))
-    parts = F.split(name, "_")
-    return t.pos.select("k", parts[0].cast("long").alias("fieldid"), parts[1].cast("long").alias("ccdid"), parts[2].cast("long").alias("qid"))
-
-
-@query("SELECT k, fieldid, band, ccdid, qid, k % 30 AS release FROM cat_a")
-def file_catalog(t):
-    name = F.format_string("cat_%06d_z%s_c%02d_q%d_dr%d.parquet", "fieldid", "band", "ccdid", "qid", (c("k") % 30))
-    part = lambda i: F.regexp_extract(name, r"^cat_(\d+)_z([gri])_c(\d+)_q(\d)_dr(\d+)\.parquet$", i)
-    return t.cat_a.select("k", part(1).cast("long").alias("fieldid"), part(2).alias("band"), part(3).cast("long").alias("ccdid"), part(4).cast("long").alias("qid"), part(5).cast("long").alias("release"))
-
-
 #: query -> filter, its options and the same predicate in SQL
 ROW_FILTERS = {
     "catalog_filter": ("catalog", {}, "catalog_flag IN (0, 1, 2)"),
