@@ -15,6 +15,7 @@ from ..streaming import jobs
 from .curves import _BIG, r6
 from .groups import CHAIN, _funnel_sql
 from .joins import _SEP
+from .more import _D, _SCORE
 from .registry import query
 from .scalars import MOVED, SNR_A, SNR_B, SNR_BOTH
 
@@ -37,11 +38,24 @@ def _sources(t) -> DataFrame:
     return t.matched.unionByName(alone.select(*[x for x in t.matched.columns if x in alone.columns]), allowMissingColumns=True)
 
 
-def branches(t, least: float, most: float) -> DataFrame:
+def outside_envelopes(known: DataFrame, rows: DataFrame, least: float, most: float) -> DataFrame:
+    """The rows whose difference lies beyond the percentiles of known ones."""
+    bounds = density.envelope_percentiles(density.kde_envelope(known), least, most)
+    return density.big_differences(rows, bounds).filter(c("big") & (c("b_mag") > 14))
+
+
+def outside_densities(known: DataFrame, rows: DataFrame, mass: float) -> DataFrame:
+    """The rows where the density of known ones is under the level that encloses that share of it."""
+    grid = dedup.kept(density.kde2d_grid(known, ["band"]))
+    return density.kde_filter(rows, grid, density.hdr_level(grid, ["band"], mass), ["band"]).filter(c("kept") & c("b_mag").isNotNull())
+
+
+def branches(t, outside) -> DataFrame:
     """branch, k, bands, n_big of the objects that stay in each branch.
 
-    Rows of both surveys that one of them alone sees with confidence go on in that one's branch. The envelopes are
-    made from what branch 0 keeps. A limit stands for the survey that hasn't seen a row.
+    Rows of both surveys that one of them alone sees with confidence go on in that one's branch. outside(known, rows)
+    picks rows by what is usual among known ones, those that branch 0 keeps. A limit stands for the survey that hasn't
+    seen a row.
     """
     names = dict.fromkeys([*(n for chain in BRANCHES.values() for n in chain), "snr_both", "snr_a_only", "snr_b_only"])
     f = filters.flagged(_sources(t), list(names))
@@ -53,8 +67,7 @@ def branches(t, least: float, most: float) -> DataFrame:
     a, b = P.effective_mags(c("branch"))
     err = F.greatest(F.sqrt(c("psf_err") * c("psf_err") + c("magerr") * c("magerr")), F.lit(0.01))
     d = dedup.kept(rows.select("branch", "src_id", "k", "band", "band_rank", "ra", "dec", b.alias("b_mag"), ((a + b) / 2).alias("mag"), (a - b).alias("dmag"), err.alias("err")))
-    bounds = density.envelope_percentiles(density.kde_envelope(d.filter("branch = 0 and mag is not null")), least, most)
-    big = density.big_differences(d, bounds).filter(c("big") & (c("b_mag") > 14))
+    big = outside(d.filter("branch = 0 and mag is not null"), d)
     place = F.min_by(F.struct("ra", "dec"), "band_rank")
     found = big.groupBy("branch", "k").agg(F.count(F.lit(1)).alias("n_big"), F.concat_ws(",", F.array_sort(F.collect_set("band"))).alias("bands"), place.alias("p"))
     found = dedup.kept(found.filter((c("n_big") >= 2) | (c("branch") == 2)).select("branch", "k", "n_big", "bands", "p.ra", "p.dec"))
@@ -93,7 +106,18 @@ SELECT branch, k, bands, n_big FROM fnd WHERE NOT EXISTS (SELECT 1 FROM gone g W
 @query(_BRANCH_SQL)
 def filter_branches(t):
     """The whole search, here with differences of one sigma, as the derived tables have few larger ones."""
-    return branches(t, *density.ONE)
+    return branches(t, lambda known, rows: outside_envelopes(known, rows, *density.ONE))
+
+
+_BY_DENSITY = _BRANCH_SQL[: _BRANCH_SQL.index("cs AS")].rstrip().rstrip(",") + _SCORE[len(_D) :].replace("q AS (SELECT src_id, band,", "q AS (SELECT branch, k, band_rank, ra, dec, b_mag, src_id, band,").replace("FROM d), q2", "FROM alld), q2")
+_BY_DENSITY = _BY_DENSITY.replace("sc AS (SELECT src_id, q2.band,", "sc AS (SELECT q2.branch, q2.k, q2.band_rank, q2.ra, q2.dec, q2.b_mag, src_id, q2.band,").replace("0.9973", "0.9")
+_BY_DENSITY += ",\nbig AS (SELECT sc.*, coalesce(score < level, false) AND b_mag IS NOT NULL AS big FROM sc LEFT JOIN lev USING (band))" + _BRANCH_SQL[_BRANCH_SQL.index(",\nfnd AS") :]
+
+
+@query(_BY_DENSITY)
+def filter_branches_density(t):
+    """The whole search with densities instead of envelopes, here under the level that encloses nine tenths."""
+    return branches(t, lambda known, rows: outside_densities(known, rows, 0.9))
 
 
 def _new(t, name: str) -> str:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.photometry import coord_stem as stem_of
-from ..functions.photometry import flux_to_mag, flux_to_mag_err, healpix_nested, mean_ra, parse_coord_stem, propagated
-from ..operators import dedup, filters, ranking, spatial, tiles
+from ..functions.photometry import effective_mags, flux_to_mag, flux_to_mag_err, healpix_nested, mean_ra, parse_coord_stem, propagated
+from ..operators import dedup, density, filters, ranking, spatial, tiles
+from .curves import _BOUNDS, _dmag
 from .groups import _PASS, _RANGE, ranges
 from .registry import query
 from .scalars import MOVED
@@ -195,20 +196,30 @@ STAGES = [
     ("shape", lambda: filters.shape(), "coalesce(a / b < 2 AND (a / b < 1.35 OR npix < 200), a IS NULL)"),
     ("psf_fit", lambda: filters.psf_fit(), "(psf_flag IS NULL OR psf_flag = 0)"),
     ("dec", lambda: filters.dec_above(-24.5), "dec > -24.5"),
-    ("delta_mag", lambda: F.abs(c("psf_mag") - c("mag_limit")) > 0.5, "abs(psf_mag - mag_limit) > 0.5"),
+    ("delta_mag", lambda: c("big"), "big"),
 ]
-_LADDER = f"""WITH {_PAIRS}, kn AS (SELECT DISTINCT src_id FROM pairs WHERE sep <= 1), mk AS (SELECT src_id {_MASK.format(r=15)}),
-hit AS (SELECT t.inj_id, t.mag AS t_mag, t.iter, a.* {_HIT}), marked AS (SELECT hit.*, kn.src_id IS NOT NULL AS known, mk.src_id IS NOT NULL AS masked FROM hit LEFT JOIN kn USING (src_id) LEFT JOIN mk USING (src_id)),
+_EDGE = "CASE WHEN t = 0 THEN {0}1 WHEN t = 1 THEN {0}2 ELSE {0}1 + t * ({0}2 - {0}1) END"
+_LADDER = f"""WITH {_PAIRS}, kn AS (SELECT DISTINCT src_id FROM pairs WHERE sep <= 1), mk AS (SELECT src_id {_MASK.format(r=15)}), bnd AS ({_BOUNDS} SELECT band, round((c - 14) / 0.25e0) AS ci, low, high FROM bounds),
+hit AS (SELECT t.inj_id, t.mag AS t_mag, t.iter, a.*, psf_mag - CASE band WHEN 'g' THEN 23.3e0 WHEN 'r' THEN 23.2e0 ELSE 23.1e0 END AS dmag, greatest(0e0, least(39e0, ((psf_mag + CASE band WHEN 'g' THEN 23.3e0 WHEN 'r' THEN 23.2e0 ELSE 23.1e0 END) / 2 - 14) / 0.25e0)) AS place {_HIT}),
+lim AS (SELECT hit.*, place - least(floor(place), 38) AS t, x.low AS l1, x.high AS h1, y.low AS l2, y.high AS h2 FROM hit LEFT JOIN bnd x ON x.band = hit.band AND x.ci = least(floor(place), 38) LEFT JOIN bnd y ON y.band = hit.band AND y.ci = least(floor(place), 38) + 1),
+marked AS (SELECT lim.*, kn.src_id IS NOT NULL AS known, mk.src_id IS NOT NULL AS masked, coalesce(dmag < {_EDGE.format('l')} OR dmag > {_EDGE.format('h')}, false) AS big FROM lim LEFT JOIN kn USING (src_id) LEFT JOIN mk USING (src_id)),
 ladder AS (SELECT inj_id, t_mag, iter, band, {' + '.join('CASE WHEN ' + ' AND '.join(f'({x[2]})' for x in STAGES[: i + 1]) + ' THEN 1 ELSE 0 END' for i in range(len(STAGES)))} AS depth FROM marked)"""
 _NAMES = [x[0] for x in STAGES]
 
 
 def _ladder(t):
-    """Detections of injected sources with depth, the number of stages that they pass in turn."""
+    """Detections of injected sources with depth, the number of stages that they pass in turn.
+
+    What the other survey hasn't seen is compared with its limit, and the difference must lie outside the envelopes.
+    """
     known = spatial.radius_join(_a(t), _b(t), 1.0, how="left_semi").select("src_id").withColumn("known", F.lit(True))
     masked = _near_mask(t.cat_a, t, 15).select("src_id").withColumn("masked", F.lit(True))
     hit = _recovered(t).select("inj_id", c("mag").alias("t_mag"), "iter", "src_id")
     rows = hit.join(t.cat_a.drop("k"), "src_id").join(known, "src_id", "left").join(masked, "src_id", "left").na.fill(False, ["known", "masked"])
+    a, b = effective_mags(F.lit(1))
+    bounds = density.envelope_percentiles(density.kde_envelope(_dmag(t)))
+    rows = rows.withColumn("mag", F.lit(None).cast("double"))  # the other survey has no magnitude of it
+    rows = density.big_differences(rows.withColumns({"mag": (a + b) / 2, "dmag": a - b}), bounds)
     passed, depth = F.lit(True), F.lit(0)
     for _, good, _ in STAGES:
         passed = passed & F.coalesce(good(), F.lit(False))
