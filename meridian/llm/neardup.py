@@ -36,6 +36,7 @@ PARTS, LOST = 96, 1e-6
 LEADER_ROUNDS = 2
 #: Partners of a set up to which one copy of it serves, and parts in which the pairs of one learn its copies.
 PARTNERS, SALTS = 64, 16
+BAND = 1.05
 _rng = np.random.Generator(np.random.PCG64(96))
 _MULTIPLY = _rng.integers(1, 2**31, PARTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FLIP = _rng.integers(0, 2**32, PARTS, dtype=np.uint32)
@@ -155,7 +156,8 @@ def _prefix_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFram
     Shingles are ordered by how few of the texts hold them; one of a single text takes a place and meets nothing.
     Sets of na <= nb shingles must share at least `need` = ceil(t / (1 + t) (na + nb)) of them, so the first one they
     share stands within the first na - need + 1 of the one and nb - need + 1 of the other. As nb >= na, the smaller
-    enters only n - ceil(2t / (1 + t) n) + 1 shingles, the larger n - ceil(t n) + 1.
+    enters only n - ceil(2t / (1 + t) n) + 1 shingles, the larger n - ceil(t n) + 1. Lengths and places meet before texts
+    do, then components, so texts of one component and texts that the bounds keep apart are never paired.
     """
     comp = entries.select("rep", "comp").distinct()
     mine = sets.join(comp, "rep").select("rep", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
@@ -164,10 +166,27 @@ def _prefix_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFram
     first = written(ranked.filter((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("h", "rep", "comp", "n", "i"), "prefixes")
     one, two = (first.select("h", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}")) for x in "ab")
     one = one.filter(F.col("ia") <= F.col("na") - F.ceil(F.col("na") * 2 * percent / (100 + percent)) + 1)
-    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    alike = (F.col("ia") <= F.col("na") - need + 1) & (F.col("ib") <= F.col("nb") - need + 1)
-    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return one.join(two, "h").filter(order & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
+    met = written(_meeting(one, two, percent), "meeting")
+    groups = met.join(one.select("h", "na", "ia", "ca").distinct(), ["h", "na", "ia"]).join(two.select("h", "nb", "ib", "cb").distinct(), ["h", "nb", "ib"]).filter("ca <> cb")
+    pairs = groups.join(one, ["h", "na", "ia", "ca"]).join(two, ["h", "nb", "ib", "cb"])
+    return pairs.filter("na < nb or a < b").select("a", "b").distinct()
+
+
+def _meeting(one: DataFrame, two: DataFrame, percent: int) -> DataFrame:
+    """(h, na, ia, nb, ib): lengths and places of a shingle h that pairs of different components can have.
+
+    Texts of one length that hold h in one place are one row here, so a shingle of very many texts meets itself by the
+    lengths that occur, not by the texts. need <= n - i + 1 bounds what both lengths may add up to; bands of lengths,
+    each BAND times as long as the one before, make the range of partners an equi-join.
+    """
+    total = lambda x: F.floor((F.col(f"n{x}") - F.col(f"i{x}") + 1) * (100 + percent) / percent)
+    band = lambda n: F.floor(F.log(n) / math.log(BAND))
+    cells = lambda t, x: t.groupBy("h", f"n{x}", f"i{x}").agg(F.min(f"c{x}").alias(f"least_{x}"), F.max(f"c{x}").alias(f"most_{x}"))
+    small = cells(one, "a").withColumn("longest", total("a") - F.col("na")).filter("longest >= na")
+    small = small.withColumn("band", F.explode(F.sequence(band("na"), band("longest"))))
+    large = cells(two, "b").withColumns({"band": band("nb"), "others": total("b") - F.col("nb")})
+    apart = "(least_a < most_a or least_b < most_b or least_a <> least_b)"
+    return small.join(large, ["h", "band"]).filter(f"na <= nb and nb <= longest and na <= others and {apart}").select("h", "na", "ia", "nb", "ib")
 
 
 def links(docs: DataFrame, signed: DataFrame, percent: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame]:
