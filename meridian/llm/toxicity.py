@@ -3,7 +3,7 @@
 A noisy channel is undone first: spans with digits or signs among letters, letters repeated three times or more, or
 letters and signs set apart by spaces or dots, become a lattice of readings; the Viterbi path under a character trigram
 model (trained on all documents) is the restored text. What sets letters apart may be nothing or a space between
-words. Plain words have one reading. A logistic model over the words and word beginnings of restored text, found
+words; a span is decoded whole, however long, at a cost in proportion to its length. Plain words have one reading. A logistic model over the words and word beginnings of restored text, found
 and fitted on labelled rows, then scores the text. The character model tells Western European letters apart; letters
 of other scripts are one code for it, and whole words of any script are features.
 
@@ -12,7 +12,7 @@ never shuffled. The character counts cover every document. A label of a document
 repeated; a document labelled both ways counts for both.
 
 Null and empty texts get the score of a text without any of the features. A corpus without labelled rows scores
-0. Repeated rows get equal scores; an empty table gives an empty result. Any columns may be carried along, whatever
+0. Repeated rows get equal scores; very long texts are read whole; an empty table gives an empty result. Any columns may be carried along, whatever
 their names.
 """
 
@@ -41,15 +41,17 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 SIGN, DROP, SPACED, APART, ORNAMENT = 1.0, 10.0, 0.5, 1.5, 1.0
 _SIGN = "[" + re.escape("".join(SIGNS)) + "]"
 _LETTER = r"[^\W\d_]"
-#: Spans that may be disguised: letters and signs set apart, up to a hundred at a time; signs between or before letters; a letter three times or more.
+#: Spans that may be disguised: letters and signs set apart, however many; signs between or before letters; a letter three times or more.
 _UNIT = rf"(?:{_LETTER}|[013457@$€])"
-SPACED_OUT = re.compile(rf"(?<![^\W_]){_UNIT}(?:[ .\-_*]{{1,3}}{_UNIT}(?![^\W_])){{2,99}}")
+SPACED_OUT = re.compile(rf"(?<![^\W_]){_UNIT}(?:[ .\-_*]{{1,3}}{_UNIT}(?![^\W_])){{2,}}")
 SIGNED = re.compile(rf"(?<!\S)(?:[\"'(\[]?)((?:{_LETTER}|{_SIGN}|\*)*?(?:{_LETTER}{_SIGN}{{1,2}}|{_SIGN}{{1,2}}{_LETTER})(?:{_LETTER}|{_SIGN}|\*)*)")
 ANY_SIGN = re.compile(_SIGN)
 THRICE = re.compile(r"(.)\1\1")
 WORD = re.compile(rf"{_LETTER}+")
 ANY_LETTER = re.compile(_LETTER)
 PREFIXES = range(3, 8)
+#: Longest span whose restored text is remembered.
+REMEMBERED = 200
 
 
 def trigrams(docs: DataFrame) -> DataFrame:
@@ -124,9 +126,16 @@ def restore(span: str, cost: np.ndarray) -> str:
     return "".join(reversed(out)).strip()
 
 
+class _Spans(Memory):
+    """Restored spans; long ones are not kept."""
+
+    def __missing__(self, span):
+        return self.make(span) if len(span) > REMEMBERED else super().__missing__(span)
+
+
 class Restorer:
     def __init__(self, cost: np.ndarray):
-        self.span = Memory(lambda s: restore(s, cost), 100_000)
+        self.span = _Spans(lambda s: restore(s, cost), 100_000)
 
     def joined(self, text: str) -> str:
         """Lower-cased, with letters set apart restored: the one error that crosses white space."""

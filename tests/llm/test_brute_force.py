@@ -40,6 +40,16 @@ def test_long_spans_cost_in_proportion():
     assert time.time() - began < 60
 
 
+@pytest.mark.parametrize("units", [95, 98, 99, 100, 104, 997])
+def test_words_that_cross_any_unit_of_a_span_are_restored(units):
+    cost = np.full((64, 64, 64), 5, np.float32)
+    for x, y, z in zip("  stupid", " stupid ", "stupid s"):  # only this word is likely
+        cost[CODES.get(x, 0), CODES.get(y, 0), CODES.get(z, 0)] = 0.1
+    cost[:, :, CODES["x"]] = 1.0
+    got = toxicity.Restorer(cost).joined(" ".join("x" * units + "stupid" + "x" * 7))
+    assert "stupid" in got and got.count("x") == 7 + units
+
+
 def test_spaced_out_insults_are_found(spark):
     plain = ["you are kind today", "what a stupid man", "an idiot like you", "a good friend of ours"]
     rows = [(i, " ".join([plain[i % 4]] * 3) + f" {i}") for i in range(80)]
