@@ -197,7 +197,6 @@ def test_kneser_ney_equals_brute_force(spark):
     texts = ["abba cab", "Cabba ba", "жаба баба"]
     docs = spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string")
     table = langid.counts(docs)
-    model = langid.models(table)["xx"]
     top = Counter()
     for t in texts:
         c = " " * 3 + t.lower() + " "
@@ -227,13 +226,28 @@ def test_kneser_ney_equals_brute_force(spark):
         total = sum(mine.values())
         return max(mine.get(gram, 0) - d, 0) / total + d * len(mine) / total * p(gram[1:])
 
-    for gram in [*top, "   z", "abbz", "zzzz", " баж"]:
-        got = model.probability(np.array([[ord(x)] for x in gram[::-1]], np.uint32))[0]
-        assert got == pytest.approx(p(gram))
-    pruned = langid.KneserNey({k: (x.gram.tolist(), x.p.to_numpy(), x.gamma.to_numpy()) for k, x in langid.estimates(table, 0.08).toPandas().groupby("k")}, len(levels[1]) + 1)
-    for ctx in ("   ", "abb", "zzz"):
-        every = [*levels[1], "\0"]
-        assert pruned.probability(np.array([[ord(x), *map(ord, ctx[::-1])] for x in every], np.uint32).T).sum() == pytest.approx(1)
+    contexts = ("   ", "abb", "zzz")
+    every = {*top, "   z", "abbz", "zzzz", " баж", *(ctx + x for ctx in contexts for x in levels[1])}
+    asked = spark.createDataFrame([(None, g, 1) for g in sorted(every) + [ctx + "\0" for ctx in contexts]], "lang string, gram string, n long")
+    got = {r.gram: r.p[0] for r in langid.estimates(table.union(asked), ["xx"]).collect()}
+    assert {g: got[g] for g in every} == pytest.approx({g: p(g) for g in every})
+    for ctx in contexts:
+        assert sum(got[ctx + x] for x in [*levels[1], "\0"]) == pytest.approx(1)
+
+
+def test_languages_do_not_depend_on_what_is_broadcast(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéñç"
+    langs = [f"l{i:02d}" for i in range(40)]
+    voc = {lang: ["".join(rng.choices(rng.sample(letters, 9), k=rng.randrange(2, 8))) for _ in range(30)] for lang in langs}
+    rows = [(i * 40 + j, " ".join(rng.choices(voc[lang], k=15)) + f" {rng.choice('жщю')}x", lang) for i in range(12) for j, lang in enumerate(langs)]
+    docs = spark.createDataFrame([*rows, (None, "", None), (None, "жщ", None)], "doc_id long, text string, lang string")
+    full, part, none = ({r.doc_id: r for r in langid.identify(docs, F.col("doc_id") % 3 != 1, hot_values=n).collect() if r.doc_id is not None} for n in (langid.HOT_VALUES, 40 * 200, 0))
+    assert sum(full[i].lang_pred == lang for i, _, lang in rows) > 0.97 * len(rows)
+    for other in (part, none):
+        for i, r in full.items():
+            assert (r.lang_pred, r.rejected) == (other[i].lang_pred, other[i].rejected)
+            assert (r.entropy, r.score) == pytest.approx((other[i].entropy, other[i].score), rel=1e-5)
 
 
 def test_languages_of_other_scripts_and_texts_without_letters(spark):
