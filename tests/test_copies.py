@@ -1,9 +1,11 @@
 """Queries on tables with many objects at one place: places repeat with keys that are 93,600 apart."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_catalogue import SF, TABLES, plain
 
 from meridian import plans
+from meridian.operators import spatial
 
 PERIOD, COPIES = 93_600, 3
 SHIFTED = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey"], "customer": ["c_custkey"], "events": ["user_id"]}
@@ -37,3 +39,22 @@ def equals_sql(spark, copies, name):
 
 def test_objects_at_one_place_merge_their_own_bands(spark, copies):
     equals_sql(spark, copies, "merge_bands")
+
+
+@pytest.mark.parametrize("name", ["fallback_match", "annulus_nn_join", "redshift_match", "carry_over_labels", "cone_multi_join", "coverage_flag", "proper_motion_filter", "full_outer_xmatch"])
+def test_nearest_rows_where_many_share_a_place(spark, copies, name):
+    equals_sql(spark, copies, name)
+
+
+def test_a_place_meets_the_left_rows_once(spark, monkeypatch):
+    met = []
+    whole = spatial.radius_join
+
+    def counted(left, right, *args, **kwargs):
+        met.append(right.count())
+        return whole(left, right, *args, **kwargs)
+    monkeypatch.setattr(spatial, "radius_join", counted)
+    a = spark.range(2000).select(F.col("id").alias("i"), F.lit(10.0).alias("ra"), (F.col("id") % 2 * 2 / 3600.0).alias("dec"))
+    b = spark.range(2000).select((1999 - F.col("id")).alias("j"), F.lit(10.0).alias("ra2"), ((F.col("id") % 2 * 2 + 0.25) / 3600.0).alias("dec2"), F.col("id").alias("note"))
+    got = {(r.i, r.j, r.note) for r in spatial.nearest(a, b, 5.0, "i", "j").collect()}
+    assert met == [2] and got == {(i, 1 - i % 2, 1998 if i % 2 == 0 else 1999) for i in range(2000)}
