@@ -1,11 +1,14 @@
 """Queries on tables with many objects at one place: places repeat with keys that are 93,600 apart."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from test_catalogue import SF, TABLES, plain
 
 from meridian import plans
-from meridian.operators import spatial
+from meridian.operators import dedup, spatial
 
 PERIOD, COPIES = 93_600, 3
 SHIFTED = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey"], "customer": ["c_custkey"], "events": ["user_id"]}
@@ -58,3 +61,23 @@ def test_a_place_meets_the_left_rows_once(spark, monkeypatch):
     b = spark.range(2000).select((1999 - F.col("id")).alias("j"), F.lit(10.0).alias("ra2"), ((F.col("id") % 2 * 2 + 0.25) / 3600.0).alias("dec2"), F.col("id").alias("note"))
     got = {(r.i, r.j, r.note) for r in spatial.nearest(a, b, 5.0, "i", "j").collect()}
     assert met == [2] and got == {(i, 1 - i % 2, 1998 if i % 2 == 0 else 1999) for i in range(2000)}
+
+
+def test_neighbours_are_counted_by_cells(spark, monkeypatch):
+    random.seed(4)
+    places = [(random.choice([0.0, 359.999, 180.0]) + random.uniform(-0.02, 0.02), random.choice([89.99, -89.99, 0.0]) + random.uniform(-0.009, 0.009)) for _ in range(60)]
+    rows = [(i, ("g", "r")[i % 2], *places[i % 60]) for i in range(600)] + [(600, "g", None, 0.0), (601, "g", float("nan"), 0.0)]
+    df, met = spark.createDataFrame(rows, "id long, band string, ra double, dec double"), []
+    whole = dedup.radius_join
+
+    def counted(left, right, *args, **kwargs):
+        met.append((left.count(), right.count()))
+        return whole(left, right, *args, **kwargs)
+    monkeypatch.setattr(dedup, "radius_join", counted)
+    got = {r.id: r.n_neighbours for r in dedup.neighbour_count(df, "id", 60.0, include_self=False, on=("band",)).collect()}
+    assert max(met[0]) <= 60
+
+    def sep(p, q):
+        u, v = ([math.cos(math.radians(x[3])) * math.cos(math.radians(x[2])), math.cos(math.radians(x[3])) * math.sin(math.radians(x[2])), math.sin(math.radians(x[3]))] for x in (p, q))
+        return 2 * math.asin(min(1.0, math.dist(u, v) / 2)) * 206264.80624709636
+    assert got == {p[0]: sum(p[1] == q[1] and sep(p, q) <= 60.0 for q in rows[:600]) - 1 for p in rows[:600]}
