@@ -137,7 +137,7 @@ def _drops(t) -> str:
     lines = head.select("source_id", F.posexplode(F.array(*texts)).alias("i", "value")).withColumn("i", c("i").cast("long"))
     body = e.select("source_id", (c("event_id") + 3).alias("i"), F.concat_ws(" ", c("event_id").cast("string"), c("jd").cast("string"), "band", flux, "procstatus").alias("value"))
     folder = _new(t, "drops")
-    lines.union(body).repartition("source_id").sortWithinPartitions("source_id", "i").select("source_id", "value").write.partitionBy("source_id").text(folder)
+    files.sink_texts(lines.union(body), folder, "source_id", "i")
     return folder
 
 
@@ -160,7 +160,7 @@ def fp_index(t):
 def incremental_load(t):
     """Files that the table of finished ones lacks; finished are those of sources with more than 66 epochs."""
     rows = files.scan_fp_text(t.spark, _drops(t) + "/*", {"jd": "double"})
-    counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    counts = dedup.kept(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")))
     return files.unseen(counts, counts.filter("n > 66")).select(_source_of(c("path")), "n")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions.photometry import SENTINELS, normalised
 from meridian.operators import spatial
-from meridian.sources import quadrants
+from meridian.sources import files, quadrants
 
 ROWS = "fieldid int, band string, ccdid int, qid int, release int, objectid long, objra double, objdec double, hmjd array<double>, mag array<double>, magerr array<double>, catflags array<int>"
 
@@ -85,3 +85,17 @@ def test_spellings_of_missing_values(spark):
     assert all(tuple(r)[:4] == (None,) * 4 for r in got[: len(SENTINELS)]) and got[0].a == [1]
     assert [tuple(r)[:4] for r in got[len(SENTINELS) :]] == [("None", None, 5, True), (None,) * 4, ("-99", 0.0, 0, True)]
     assert normalised(df, ["t"]).filter(F.isnan("d")).count() == len(SENTINELS)
+
+
+def test_small_files_share_a_fixed_number_of_folders(spark, tmp_path):
+    from meridian.plans import flows
+    from meridian.sources.tables import Tables
+
+    folder = flows._drops(Tables(spark, "/root/testdata/sf0.01"))  # 150 sources
+    names = files.listed(spark, folder)
+    assert len(names) <= files.FOLDERS
+    assert sum(len([n for n in files.listed(spark, f"{folder}/{p}") if n.startswith("source_id=")]) for p in names) == 150
+    rows = [(k, i, f"{k} line {i}") for k in range(100) for i in range(12)]
+    assert files.sink_texts(spark.createDataFrame(rows, "k long, i long, value string"), f"file://{tmp_path}/t", "k", "i", folders=8) == 100
+    got = {r.value for r in spark.read.text(f"file://{tmp_path}/t/*", wholetext=True).collect()}
+    assert got == {"".join(f"{k} line {i}\n" for i in range(12)) for k in range(100)}
