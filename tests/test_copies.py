@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_catalogue import SF, TABLES, plain
 
 from meridian import plans
-from meridian.operators import dedup, spatial
+from meridian.operators import dedup, density, spatial
 
 PERIOD, COPIES = 93_600, 3
 SHIFTED = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey"], "customer": ["c_custkey"], "events": ["user_id"]}
@@ -81,3 +81,15 @@ def test_neighbours_are_counted_by_cells(spark, monkeypatch):
         u, v = ([math.cos(math.radians(x[3])) * math.cos(math.radians(x[2])), math.cos(math.radians(x[3])) * math.sin(math.radians(x[2])), math.sin(math.radians(x[3]))] for x in (p, q))
         return 2 * math.asin(min(1.0, math.dist(u, v) / 2)) * 206264.80624709636
     assert got == {p[0]: sum(p[1] == q[1] and sep(p, q) <= 60.0 for q in rows[:600]) - 1 for p in rows[:600]}
+
+
+def test_densities_add_up_rows_before_they_are_shuffled(spark):
+    df = spark.range(200).select(F.lit("g").alias("band"), (16.0 + F.col("id") % 7).alias("mag"), (F.col("id") % 5 / 10.0).alias("dmag"), F.lit(0.1).alias("err"))
+    with_threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = density.weighted_kde(df, [16.0, 18.0])._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_threshold)
+    assert "RoundRobinPartitioning" in density.kde_envelope(df.coalesce(1))._jdf.queryExecution().executedPlan().toString()
