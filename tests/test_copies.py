@@ -9,6 +9,7 @@ from test_catalogue import SF, TABLES, plain
 
 from meridian import plans
 from meridian.operators import dedup, density, spatial
+from meridian.sources import quadrants
 
 PERIOD, COPIES = 93_600, 3
 SHIFTED = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey"], "customer": ["c_custkey"], "events": ["user_id"]}
@@ -49,6 +50,33 @@ def test_nearest_rows_where_many_share_a_place(spark, copies, name):
     equals_sql(spark, copies, name)
 
 
+def test_light_curves_where_many_share_a_place(spark, copies):
+    equals_sql(spark, copies, "lc_by_position")
+
+
+def test_a_place_is_looked_up_once_for_all_its_targets_and_files(spark, monkeypatch, tmp_path):
+    met = []
+    whole = spatial.radius_join
+
+    def counted(left, right, *args, **kwargs):
+        met.append((left.count(), right.count(), set(left.columns) | set(right.columns)))
+        return whole(left, right, *args, **kwargs)
+    monkeypatch.setattr(spatial, "radius_join", counted)
+    hour, mag = F.array(F.lit(1.0)), F.array(F.lit(20.0))
+    rows = spark.range(240).select(F.lit(3).alias("fieldid"), F.element_at(F.array(*map(F.lit, "gri")), (F.col("id") % 3 + 1).cast("int")).alias("band"), F.lit(7).alias("ccdid"), (F.floor(F.col("id") / 3) % 4 + 1).alias("qid"), F.lit(23).alias("release"), F.col("id").alias("objectid"), F.lit(10.0).alias("objra"), (F.floor(F.col("id") / 120) / 36000).alias("objdec"), hour.alias("hmjd"), mag.alias("mag"), mag.alias("magerr"), F.array(F.lit(0)).alias("catflags"))
+    assert quadrants.write(rows, f"file://{tmp_path}/q") == 12
+    boxes = spark.createDataFrame([(3, 9.0, 11.0, -1.0, 1.0), (4, 9.0, 11.0, -1.0, 1.0)], "fieldid long, ra_lo double, ra_hi double, dec_lo double, dec_hi double")
+    some = spark.range(500).select("id", F.lit(10.0).alias("ra"), F.lit(0.0).alias("dec"))
+    more = spark.createDataFrame([(7, 10.0, 0.0), (8, None, 0.0), (8, 10.0, 0.1 / 3600), (9, 10.0, 0.09 / 3600), (501, 10.0, 0.09 / 3600), (501, 10.0, 0.2 / 3600), (502, float("nan"), 0.0), (503, 10.0, None)], "id long, ra double, dec double")
+    targets = some.union(more)
+    found = [(r.id, r.path.rsplit("/", 1)[1], r.objectid) for r in quadrants.at_positions(spark, quadrants.catalogue(spark, f"file://{tmp_path}/q"), targets, boxes, 1.5, "id").collect()]
+    # four places of two fields, and two places in each of twelve files; no path is carried along
+    assert met[0][:2] == (8, 24) and not any("path" in x for x in met[0][2])
+    # of ids with two places the nearer object, of equally near ones that with the smaller id
+    first = {quadrants.FORM % (3, "gri"[i % 3], 7, i // 3 % 4 + 1, 23): i for i in range(12)}
+    assert sorted(found) == sorted((i, f, o + 120 * (i == 501)) for i in [*range(500), 501] for f, o in first.items())
+
+
 def test_a_place_meets_the_left_rows_once(spark, monkeypatch):
     met = []
     whole = spatial.radius_join
