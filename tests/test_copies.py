@@ -121,3 +121,22 @@ def test_densities_add_up_rows_before_they_are_shuffled(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_threshold)
     assert "RoundRobinPartitioning" in density.kde_envelope(df.coalesce(1))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounding_settles_which_of_two_places_is_nearest_as_in_sql(spark):
+    rng = random.Random(5)
+    at = [(i, rng.uniform(0.0, 360.0), rng.uniform(-26.0, 26.0)) for i in range(3000)]
+    left = spark.createDataFrame(at, "i long, ra double, dec double")
+    right = spark.createDataFrame([(2 * i + (d > 0), ra, dec + d / 36000) for i, ra, dec in at for d in (-(i % 4 + 1), i % 4 + 1)], "j long, ra2 double, dec2 double")
+    import duckdb
+
+    db = duckdb.connect()
+    db.register("l", left.toPandas())
+    db.register("r", right.toPandas())
+    sep = """2 * asin(sqrt(pow(cos(radians(l.dec)) * cos(radians(l.ra)) - cos(radians(r.dec2)) * cos(radians(r.ra2)), 2)
+        + pow(cos(radians(l.dec)) * sin(radians(l.ra)) - cos(radians(r.dec2)) * sin(radians(r.ra2)), 2) + pow(sin(radians(l.dec)) - sin(radians(r.dec2)), 2)) / 2) * 648000 / pi()"""
+    want = dict(db.execute(f"SELECT i, j FROM l JOIN r ON i = j // 2 QUALIFY row_number() OVER (PARTITION BY i ORDER BY {sep}, j) = 1").fetchall())
+    assert {r.i: r.j for r in spatial.nearest(left, right, 2.0, "i", "j").collect()} == want
+    # a thousandth of a second of arc further is further, whatever the step it lies in
+    far = right.withColumn("dec2", F.when(F.col("j") % 2 == 0, F.col("dec2") - 0.001 / 3600).otherwise(F.col("dec2")))
+    assert {r.i: r.j % 2 for r in spatial.nearest(left, far, 2.0, "i", "j").collect()} == dict.fromkeys(range(3000), 1)
