@@ -9,7 +9,7 @@ from test_catalogue import SF, TABLES, plain
 
 from meridian import plans
 from meridian.operators import dedup, density, spatial
-from meridian.sources import quadrants
+from meridian.sources import quadrants, tables
 
 PERIOD, COPIES = 93_600, 3
 SHIFTED = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey"], "customer": ["c_custkey"], "events": ["user_id"]}
@@ -140,3 +140,54 @@ def test_rounding_settles_which_of_two_places_is_nearest_as_in_sql(spark):
     # a thousandth of a second of arc further is further, whatever the step it lies in
     far = right.withColumn("dec2", F.when(F.col("j") % 2 == 0, F.col("dec2") - 0.001 / 3600).otherwise(F.col("dec2")))
     assert {r.i: r.j % 2 for r in spatial.nearest(left, far, 2.0, "i", "j").collect()} == dict.fromkeys(range(3000), 1)
+
+
+def greedy_links(rows, radius):
+    """rows: (id, rank, ra, dec); pairs (member, owner), row by row."""
+    def unit(p):
+        a, d = math.radians(p[2]), math.radians(p[3])
+        return math.cos(d) * math.cos(a), math.cos(d) * math.sin(a), math.sin(d)
+    order, taken, links = sorted(rows, key=lambda r: (r[1], r[0])), set(), set()
+    known = [(p, unit(p)) if None not in p and p[2] == p[2] else (p, None) for p in order]
+    for n, (p, u) in enumerate(known):
+        if p[0] not in taken:
+            mine = {q[0] for q, v in known[n + 1 :] if u and v and 2 * math.asin(math.dist(u, v) / 2) * 206264.80624709636 <= radius}
+            taken |= mine
+            links |= {(i, p[0]) for i in mine | {p[0]}}
+    return links
+
+
+def test_rows_of_all_objects_at_a_place_merge(spark, copies):
+    folder, db = copies
+    rows = db.execute(f"{tables.with_clause()} SELECT src_id, band_rank, ra, dec, band FROM cat_a").fetchall()
+    near = {}
+    for r in rows:
+        near.setdefault(r[2], []).append(r)  # other places are of another RA, or some seconds of arc away in declination
+    bands, want = {r[0]: r[4] for r in rows}, {}
+    for place in near.values():
+        for member, owner in greedy_links([r[:4] for r in place], 0.25):
+            want.setdefault(owner, []).append(bands[member])
+    got = {r.owner: (r.n, r.bands) for r in plans.QUERIES["merge_bands"](spark, folder).collect()}
+    assert got == {o: (len(b), ",".join(sorted(set(b)))) for o, b in want.items()} and max(n for n, _ in got.values()) > 3
+
+
+def test_a_row_near_two_owners_is_linked_by_both(spark):
+    rng, sec = random.Random(6), 1 / 3600
+    spots = [((rng.uniform(-4.0, 4.0) * sec) % 360, rng.uniform(-4.0, 4.0) * sec) for _ in range(60)]
+    rows = [(i, rng.randrange(3), *rng.choice(spots)) for i in range(300)] + [(300, 0, None, 0.0), (301, 0, float("nan"), 0.0), (302, 0, float("nan"), 0.0), (303, 1, None, 0.0)]
+    df = spark.createDataFrame(rows, "id long, r int, ra double, dec double")
+    got = [(r.member, r.owner) for r in dedup.merge_links(df, "id", "r", 1.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy_links(rows, 1.0) and len(got) > len(rows)
+
+
+def test_merging_meets_a_place_once(spark, monkeypatch):
+    met = []
+    whole = dedup.radius_join
+
+    def counted(left, right, *args, **kwargs):
+        met.append((left.count(), right.count()))
+        return whole(left, right, *args, **kwargs)
+    monkeypatch.setattr(dedup, "radius_join", counted)
+    df = spark.range(5000).select("id", F.lit(1).alias("r"), F.lit(10.0).alias("ra"), (F.col("id") % 2 / 3600.0).alias("dec"))
+    got = {(r.member, r.owner) for r in dedup.merge_bands(df, "id", "r", 0.5).collect()}
+    assert met == [(2, 2)] and got == {(i, i % 2) for i in range(5000)}
