@@ -191,3 +191,26 @@ def test_merging_meets_a_place_once(spark, monkeypatch):
     df = spark.range(5000).select("id", F.lit(1).alias("r"), F.lit(10.0).alias("ra"), (F.col("id") % 2 / 3600.0).alias("dec"))
     got = {(r.member, r.owner) for r in dedup.merge_bands(df, "id", "r", 0.5).collect()}
     assert met == [(2, 2)] and got == {(i, i % 2) for i in range(5000)}
+
+
+def test_radius_join_measures_a_pair_of_places_once(spark, copies, monkeypatch):
+    met = []
+    whole = spatial.radius_join
+
+    def counted(left, right, *args, **kwargs):
+        met.append((left.count(), right.count()))
+        return whole(left, right, *args, **kwargs)
+    monkeypatch.setattr(spatial, "radius_join", counted)
+    equals_sql(spark, copies, "radius_join")
+    places = "SELECT count(*) FROM (SELECT DISTINCT ra, dec FROM {})"
+    assert met == [tuple(copies[1].execute(tables.with_clause() + places.format(t)).fetchone()[0] for t in ("cat_a", "cat_b"))]
+
+
+def test_rows_of_pairs_of_places(spark):
+    a = spark.createDataFrame([(i, "gr"[i % 2], ra, 0.0) for i, ra in enumerate([10.0, 10.0, 10.0, 359.9999, -0.0, None, float("nan")])], "i long, band string, ra double, dec double")
+    b = spark.createDataFrame([(i, "gr"[i % 2], ra, 0.0) for i, ra in enumerate([10.0, 10.0, 10.0001, 0.0, None, float("nan"), 0.0])], "j long, band string, ra2 double, dec2 double")
+    for on in ((), ("band",)):
+        right = b if on else b.drop("band")
+        want = {(r.i, r.j, round(r.sep, 6)) for r in spatial.radius_join(a, right, 1.0, on=on).collect()}
+        got = [(r.i, r.j, round(r.sep, 6)) for r in spatial.with_rows(spatial.place_pairs(a, right, 1.0, on=on), a, right, on=on).collect()]
+        assert set(got) == want and len(got) == len(want) and want
