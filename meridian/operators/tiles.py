@@ -202,5 +202,19 @@ def box(table: DataFrame, ra: tuple[float, float], dec: tuple[float, float], buf
 
 
 def light_curves(table: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
-    """Pairs of targets (ra, dec) and rows of a by_pixel table (ra2, dec2) within radius arc seconds."""
-    return radius_join(targets, only(table, circle_cover(targets.select("ra", "dec"), radius, order=order_of(table))), radius)
+    """Pairs of targets (ra, dec) and rows of a by_pixel table (ra2, dec2) within radius arc seconds.
+
+    Targets at one place have the same rows, so a place is looked up once, whatever targets share it.
+    """
+    return of_targets(place_curves(table, targets, radius), targets)
+
+
+def place_curves(table: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+    """light_curves() of the targets' places (ra, dec), each once: what all targets of a place share is worked out here."""
+    places = targets.select("ra", "dec").distinct()
+    return radius_join(places, only(table, circle_cover(places, radius, order=order_of(table))), radius)
+
+
+def of_targets(curves: DataFrame, targets: DataFrame) -> DataFrame:
+    """place_curves() for each target at its place; the rows come out of this join and are not shuffled."""
+    return curves.join(targets, ["ra", "dec"])

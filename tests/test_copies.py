@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_catalogue import SF, TABLES, plain
 
 from meridian import plans
-from meridian.operators import dedup, density, spatial
+from meridian.operators import dedup, density, spatial, tiles
 from meridian.sources import quadrants, tables
 
 PERIOD, COPIES = 93_600, 3
@@ -214,3 +214,22 @@ def test_rows_of_pairs_of_places(spark):
         want = {(r.i, r.j, round(r.sep, 6)) for r in spatial.radius_join(a, right, 1.0, on=on).collect()}
         got = [(r.i, r.j, round(r.sep, 6)) for r in spatial.with_rows(spatial.place_pairs(a, right, 1.0, on=on), a, right, on=on).collect()]
         assert set(got) == want and len(got) == len(want) and want
+
+
+@pytest.mark.parametrize("name,targets", [("neowise_lc", "SELECT ra, dec FROM stars"), ("cone_search_many", "SELECT ra, dec FROM pos WHERE qid = 1")])
+def test_targets_at_one_place_are_looked_up_once(spark, copies, monkeypatch, name, targets):
+    met = []
+    whole = tiles.radius_join
+
+    def counted(left, right, *args, **kwargs):
+        met.append(left.count())
+        return whole(left, right, *args, **kwargs)
+    monkeypatch.setattr(tiles, "radius_join", counted)
+    equals_sql(spark, copies, name)
+    n, places = copies[1].execute(f"{tables.with_clause()} SELECT count(*), count(DISTINCT (ra, dec)) FROM ({targets})").fetchone()
+    assert met == [places] and n == (COPIES * places if name == "neowise_lc" else places)
+
+
+def test_light_curves_are_put_in_order_before_targets_are_joined(spark, copies):
+    plan = plans.QUERIES["neowise_lc"](spark, copies[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Window ")  # from the top: pairs of targets and rows are not sorted
