@@ -139,7 +139,8 @@ def by_pixel(df: DataFrame, ra: str = "ra", dec: str = "dec", path: str | None =
     """df as a table whose partitions are nested pixels (hpix), written to path, or to a new folder, and read again."""
     path = path or f"{shared_folder(df.sparkSession)}/pixels-{uuid.uuid4().hex}"
     cells = df.withColumn("hpix", healpix_nested(F.col(ra), F.col(dec), order).cast("int"))
-    crowd = cells.groupBy("hpix").agg((F.count(F.lit(1)) / ROWS + 1).cast("long").alias("_n"))  # a row a pixel
+    # a key that can't be NULL: else Spark works the pixel out once more, to leave out NULLs, and far more slowly there
+    crowd = cells.groupBy(F.coalesce("hpix", F.lit(-1)).alias("hpix")).agg((F.count(F.lit(1)) / ROWS + 1).cast("long").alias("_n"))  # a row a pixel
     part = F.pmod(F.xxhash64(ra, dec), F.col("_n"))  # a crowded pixel is written by several tasks
     cells.join(F.broadcast(crowd), "hpix", "left").repartition("hpix", part).select(*cells.columns).write.partitionBy("hpix").parquet(path)
     return _opened(df, path, order)

@@ -233,3 +233,17 @@ def test_targets_at_one_place_are_looked_up_once(spark, copies, monkeypatch, nam
 def test_light_curves_are_put_in_order_before_targets_are_joined(spark, copies):
     plan = plans.QUERIES["neowise_lc"](spark, copies[0])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") < plan.index("Window ")  # from the top: pairs of targets and rows are not sorted
+
+
+def test_rows_without_a_pixel_are_kept_and_no_filter_works_pixels_out(spark, tmp_path, monkeypatch):
+    seen = []
+    whole = tiles.F.broadcast
+
+    def noted(df):
+        seen.append(df)
+        return whole(df)
+    monkeypatch.setattr(tiles.F, "broadcast", noted)
+    df = spark.range(50).select("id", F.when(F.col("id") != 3, F.col("id") * 7.0).alias("ra"), (F.col("id") - 30.0).alias("dec"))
+    rows = tiles.by_pixel(df, path=f"file://{tmp_path}/pixels")
+    assert not seen[0].schema["hpix"].nullable  # else the join on it infers a filter on the whole expression
+    assert rows.count() == 50 and rows.filter("hpix is null").count() == 1
